@@ -39,8 +39,8 @@ CACHE_WORDS = 300_000
 
 # The vocabulary's splitting pattern (here for strings without white space).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
-# The characters that Unicode calls white space.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: The characters that Unicode calls white space; the four controls are str.isspace's own.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
 SPLIT = re.compile(f"[{WHITE}]+")
 #: str.split also parts at these, which are not white space.
 CONTROLS = re.compile("[\x1c-\x1f]")

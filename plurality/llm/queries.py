@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plurality.llm import bpe
+from plurality.llm import bpe, jaccard
 from plurality.llm.common import table
 
 VOCAB = "word_bpe_49k.json"
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB), limit=2048)
 
@@ -19,5 +23,5 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_token_counts, op7_bpe_codec)}
 ORACLES: dict[str, str] = {}
