@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plurality.llm import bpe, jaccard
+from plurality.llm import bpe, jaccard, repetition
 from plurality.llm.common import table
 
 VOCAB = "word_bpe_49k.json"
@@ -23,5 +23,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_token_counts, op7_bpe_codec)}
+
+def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_token_counts, op7_bpe_codec, op10_repetition_rules)}
 ORACLES: dict[str, str] = {}
