@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plurality.llm import bpe, jaccard, repetition
+from plurality.llm import bpe, jaccard, quality, repetition
 from plurality.llm.common import table
 
 VOCAB = "word_bpe_49k.json"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -28,5 +32,5 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_token_counts, op7_bpe_codec, op10_repetition_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op4_token_counts, op7_bpe_codec, op10_repetition_rules)}
 ORACLES: dict[str, str] = {}
