@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plurality.llm import bpe, jaccard, quality, repetition
+from plurality.llm import bpe, jaccard, quality, repetition, secrets
 from plurality.llm.common import table
 
 VOCAB = "word_bpe_49k.json"
@@ -28,9 +28,13 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op4_token_counts, op7_bpe_codec, op10_repetition_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op4_token_counts, op7_bpe_codec, op9_secret_scan, op10_repetition_rules)}
 ORACLES: dict[str, str] = {}
