@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plurality.llm import bpe, jaccard, quality, repetition, secrets
+from plurality.llm import bpe, decontaminate, jaccard, quality, repetition, secrets
 from plurality.llm.common import table
 
 VOCAB = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB), limit=2048)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB), digests=True)
 
@@ -36,5 +40,5 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op4_token_counts, op7_bpe_codec, op9_secret_scan, op10_repetition_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op4_token_counts, op6_benchmark_decontamination, op7_bpe_codec, op9_secret_scan, op10_repetition_rules)}
+ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.oracle_sql()}
