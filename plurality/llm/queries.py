@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plurality.llm import bpe, decontaminate, jaccard, quality, repetition, secrets
+from plurality.llm import bpe, decontaminate, jaccard, pii, quality, repetition, secrets
 from plurality.llm.common import table
 
 VOCAB = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB), limit=2048)
 
@@ -40,5 +44,5 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op4_token_counts, op6_benchmark_decontamination, op7_bpe_codec, op9_secret_scan, op10_repetition_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_personal_data, op4_token_counts, op6_benchmark_decontamination, op7_bpe_codec, op9_secret_scan, op10_repetition_rules)}
 ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.oracle_sql()}
