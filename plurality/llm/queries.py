@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plurality.llm import bpe, decontaminate, jaccard, pii, quality, repetition, secrets
+from plurality.llm import bpe, decontaminate, jaccard, pii, quality, repetition, secrets, threads, urls
 from plurality.llm.common import table
 
 VOCAB = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB), limit=2048)
 
 
+def op5_reply_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.reply_threads(table(spark, sf_dir, "conversations"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -44,5 +52,5 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_personal_data, op4_token_counts, op6_benchmark_decontamination, op7_bpe_codec, op9_secret_scan, op10_repetition_rules)}
-ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_personal_data, op4_token_counts, op5_reply_threads, op6_benchmark_decontamination, op7_bpe_codec, op8_url_filter, op9_secret_scan, op10_repetition_rules)}
+ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.oracle_sql(), "op5_reply_threads": threads.ORACLE_SQL}
