@@ -178,6 +178,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_batches(docs, [id_col, text_col], step, f"`{id_col}` {kind}, score double")
 
 
+def accept(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``, all columns as they were."""
+
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            rows = np.array([statistics(x) for x in texts(batch.column(at))], float).reshape(-1, STATISTICS)
+            yield batch.filter(pa.array(model.scores(rows) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id") -> Column:
     """Rows never learnt from: CRC-32 of the id as text leaves 2 by 4."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2
