@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from plurality.plans import support_queries, vote_queries  # noqa: F401
+from plurality.plans import measure_queries, support_queries, vote_queries  # noqa: F401
 from plurality.plans.registry import ORACLES, QUERIES  # noqa: F401
