@@ -10,8 +10,9 @@ Which sets meet in a block is exact as well. If two sets with similarity ``t`` h
 ``m <= n``, they differ in at most ``m (1 - t) / t`` n-grams. N-grams are dealt by hash into
 more cells than that, so at least one cell is equal in both and (as shown in
 ``signatures``) not empty. Equal cells are found by one range-partitioned sort of
-(cell hash, document), which splits a cell that very many documents share, and only chains
-of neighbours leave it. Chained documents form clusters; every link lies inside one. A
+(cell hash, document), which splits a cell that very many documents share, and only each
+document's pair with the cell's first one leaves it. Connected documents form clusters;
+every link lies inside one. A
 cluster too large for one task is cut into chunks, and each pair of chunks is a block.
 
 N-grams are 64-bit hashes, document sets are told apart by 128 bits.
@@ -247,8 +248,9 @@ class PrefixTree:
         return out
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours with equal cells in a sorted partition (kind 0), and its two ends."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted partition: each document with the first one of its cell (kind 0), and
+    the cell and first document of the partition's first and last cells (kinds 1, 2)."""
     from pyspark import TaskContext
 
     part, first, last = TaskContext.get().partitionId(), None, None
@@ -261,41 +263,40 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, doc = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(cell):
             continue
+        begins = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1])
+        hubs = doc[begins]
         if last is None:
             first = cell[0], doc[0]
-        else:
-            cell, doc = np.concatenate([[last[0]], cell]), np.concatenate([[last[1]], doc])
-        last = cell[-1], doc[-1]
-        same = np.flatnonzero((cell[1:] == cell[:-1]) & (doc[1:] != doc[:-1]))
-        if len(same):
-            pairs = np.unique(np.stack([doc[same], doc[same + 1]]), axis=1)
+        elif last[0] == cell[0]:
+            hubs[0] = last[1]
+        last = cell[-1], hubs[-1]
+        hub = np.repeat(hubs, np.diff(np.append(begins, len(cell))))
+        linked = np.flatnonzero(hub != doc)
+        if len(linked):
+            pairs = np.unique(np.stack([hub[linked], doc[linked]]), axis=1)
             yield rows(0, np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1])
-    if first is not None:
-        ends = np.array([first[0], last[0]]), np.array([first[1], last[1]])
-        yield rows(1, ends[0], ends[1], ends[1])
+    for kind, end in ((1, first), (2, last)):
+        if end is not None:
+            yield rows(kind, np.array([end[0]]), np.array([end[1]]), np.array([end[1]]))
 
 
 def _clusters(base: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, component`` over documents that share a cell, directly or by a chain."""
+    """``node, component`` over documents that share a cell, directly or by others."""
     spark = base.sparkSession
     cells = base.select(F.explode("cells").alias("cell"), "doc")
     dealt = cells.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell", "doc").sortWithinPartitions("cell", "doc")
-    chained = scratch.keep(dealt.mapInArrow(_chain, "kind int, part int, cell long, a long, b long"))
-    # two rows a partition: what meets at the borders of the sorted partitions
-    ends: dict[int, list] = {}
-    for row in chained.where("kind = 1").select("part", "cell", "a").collect():
-        ends.setdefault(row.part, []).append((row.cell, row.a))
-    seams, before = [], None
-    for part in sorted(ends):
-        low, high = min(ends[part]), max(ends[part])
-        if before and before[0] == low[0] and before[1] != low[1]:
-            seams.append((before[1], low[1]))
-        before = high
-    edges = chained.where("kind = 0").select("a", "b")
+    starred = scratch.keep(dealt.mapInArrow(_stars, "kind int, part int, cell long, a long, b long"))
+    # two rows a partition: a cell that goes on in the next partition joins both hubs
+    firsts, lasts = {}, {}
+    for row in starred.where("kind > 0").select("kind", "part", "cell", "a").collect():
+        (firsts if row.kind == 1 else lasts)[row.part] = row.cell, row.a
+    parts = sorted(firsts)
+    seams = [(lasts[p][1], firsts[q][1]) for p, q in zip(parts, parts[1:], strict=False) if lasts[p][0] == firsts[q][0] and lasts[p][1] != firsts[q][1]]
+    edges = starred.where("kind = 0").select("a", "b")
     if seams:
         edges = edges.union(spark.createDataFrame(seams, "a long, b long"))
     found = connected_components(edges, scratch)
-    scratch.drop(chained)
+    scratch.drop(starred)
     return found
 
 
