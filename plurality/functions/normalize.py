@@ -15,8 +15,8 @@ SCALAR = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 def unwrapped(value: Column) -> Column:
     """Without a leading ``answer is:``, one pair of brackets, and trailing ``.:;``."""
     text = F.regexp_replace(F.regexp_replace(value, PREFIX, ""), r"^\s+|\s+$", "")
-    inner = F.regexp_extract(text, r"(?s)^(?:\((.*)\)|\[.*\])$", 0)
-    bare = F.when(inner != "", F.regexp_replace(F.substring(text, F.lit(2), F.length(text) - 2), r"^\s+|\s+$", "")).otherwise(text)
+    wrapped = text.rlike(r"(?s)^(?:\(.*\)|\[.*\])$")
+    bare = F.when(wrapped, F.regexp_replace(F.substring(text, F.lit(2), F.length(text) - 2), r"^\s+|\s+$", "")).otherwise(text)
     return F.regexp_replace(F.regexp_replace(bare, "[.:;]+$", ""), r"^\s+|\s+$", "")
 
 
