@@ -16,7 +16,7 @@ def windowed_votes(samples: DataFrame, time: str = "ts", window: str = "10 minut
     Works on a batch frame too. Rows without answer do not vote; rows later than the
     watermark are dropped by the stream, as watermarks do.
     """
-    rows = samples.where("answer IS NOT NULL").withWatermark(time, late)
+    rows = samples.where("answer IS NOT NULL").withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     grouped = rows.groupBy("question_id", F.window(time, window).alias("w"), "answer").agg(F.count("*").alias("votes"), F.min(time).alias("first_seen"))
     return grouped.select("question_id", F.col("w.start").alias("start"), "answer", "votes", "first_seen")
 
