@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label spreading with pointer jumping."""
+"""Connected components of an edge table, by pointing to smaller nodes and contracting."""
 
 from __future__ import annotations
 
@@ -7,28 +7,42 @@ from pyspark.sql import functions as F
 
 from plurality.llm.common import Scratch
 
+#: Times that pointers are doubled in a round.
+DOUBLINGS = 2
+
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, component``: the smallest node reachable over ``edges(a long, b long)``.
 
-    Each round takes the smallest label among neighbours (partial aggregation before the
-    shuffle, so a node with very many edges is no hot spot) and then the label's own
-    label, so long chains shorten by half. Rounds end when no label changes. Every round
-    is written to the shared folder; nothing but a count of changes reaches the driver.
-    Rows with a null end are ignored; nodes without edges do not appear.
+    In a round each node points to its smallest neighbour if that is smaller than itself
+    (aggregated before the shuffle, so a node with very many edges is no hot spot),
+    pointers are followed to pointers, and edges are moved to where their ends point.
+    Edges inside one target vanish, so the edge table shrinks from round to round; rounds
+    end when it is empty. Every table is written to the shared folder; only whether edges
+    are left reaches the driver. Rows with a null end are ignored; nodes without edges do
+    not appear.
     """
-    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = scratch.keep(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        jumped = spread.join(hop, "label").select("node", "old", F.least("label", "far").alias("label"))
-        after = scratch.keep(jumped)
-        moved = after.where("label <> old").limit(1).count()
-        scratch.drop(labels)
-        if not moved:
-            scratch.drop(both)
-            return after.select("node", F.col("label").alias("component"))
-        labels = after
+    ends = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    left = scratch.keep(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds: list[DataFrame] = []
+    while not rounds or left.limit(1).count():
+        both = left.select("a", "b").union(left.select("b", "a"))
+        points = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+        for _ in range(DOUBLINGS):
+            hop = points.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            further = scratch.keep(points.join(hop, "label").select("node", F.col("far").alias("label")))
+            scratch.drop(points)
+            points = further
+        rounds.append(points)
+        moved = left
+        for end in ("a", "b"):
+            moved = moved.join(points.select(F.col("node").alias(end), F.col("label").alias(f"to_{end}")), end)
+        targets = moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        fewer = scratch.keep(targets)
+        scratch.drop(left)
+        left = fewer
+    found = rounds.pop().select("node", F.col("label").alias("component"))
+    while rounds:
+        later = found.select(F.col("node").alias("label"), "component")
+        found = rounds.pop().join(later, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    return found
