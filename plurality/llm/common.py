@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds on its way to Python. Texts may be long, so batches are
 #: small; memory follows the batch, never the partition.
@@ -57,6 +58,19 @@ class Scratch:
             hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
 
 
+#: Rows of identifiers that are sent to every executor at most (about 16 bytes each).
+SENT_ROWS = 500_000
+
+
+def sent_if_small(frame: DataFrame, scratch: Scratch, rows: int = SENT_ROWS) -> DataFrame:
+    """``frame`` written down and counted, and marked for sending if it has few rows.
+
+    Spares the other side of a join its shuffle; with more rows both sides are shuffled.
+    """
+    kept = scratch.keep(frame)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def map_batches(
     frame: DataFrame,
     columns: list[str],

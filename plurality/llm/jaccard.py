@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import Scratch, map_batches, texts
+from plurality.llm.common import Scratch, map_batches, sent_if_small, texts
 from plurality.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: N-grams a chunk of a large cluster holds at most (unless one document has more).
 CHUNK_NGRAMS = 1_500_000
 CACHE_WORDS = 400_000
+#: Rows of the block table (four numbers each) up to which it is sent to every executor.
+BROADCAST_ROWS = 200_000
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 SHIFT = np.uint64(33)
 
@@ -380,6 +382,9 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     paired = dealt.select("*", other)
     blocks = paired.select(F.col("rep").alias("doc"), "k1", "k2", F.xxhash64("cluster", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"))
+    # texts of a small share of documents are needed: spare the others the shuffle if the
+    # wanted rows are few enough to be sent
+    blocks = sent_if_small(blocks, scratch, BROADCAST_ROWS)
     laid = source.join(blocks, "doc").select("block", "doc", "k1", "k2", "text").repartition("block").sortWithinPartitions("block", "doc", "k1", "k2")
     linked = connected_components(laid.mapInArrow(_join_blocks(percent, size), "a long, b long"), scratch)
 
