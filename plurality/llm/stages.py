@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.llm import bpe, decontaminate, jaccard, quality, secrets
-from plurality.llm.common import table
+from plurality.llm.common import Scratch, sent_if_small, table
 
 #: A document goes if its score says so: under it, label 0 is likelier than label 1.
 REJECT_BELOW = 0.5
@@ -37,7 +37,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     kept id stay too.
     """
     groups = jaccard.ngram_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = sent_if_small(groups.where("component_id <> doc_id").select("doc_id").distinct(), Scratch(spark))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
