@@ -13,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plurality.llm.common import Scratch, sent_if_small
 from plurality.llm.native import let
 
 # A token is a number (with grouping, decimals, and letters attached) or a run of letters
-# and digits; what stands before it may end a sentence.
-TOKEN = r"([.!?\n][^\p{L}\p{N}]*)?([0-9]+(?:[.,][0-9]+)*[\p{L}\p{N}]*|[\p{L}\p{N}]+)"
+# and digits; a stop between digits is no end of a sentence.
+CORE = r"[0-9]+(?:[.,][0-9]+)*[\p{L}\p{N}]*|[\p{L}\p{N}]+"
+SENTENCE_END = r"(?:[!?\n]|\.(?![0-9])|(?<![0-9])\.)[^\p{L}\p{N}]*"
+MARK = "\x01"
 UNITS = (
     "percent km kilometers kilometres m meters metres cm mm miles mile feet foot inches inch yards "
     "kg kilograms g grams mg tons pounds pound ounces l liters litres ml gallons "
@@ -33,56 +36,56 @@ LEAST_SHARE = 0.25
 BROADCAST_WINDOWS = 200_000
 
 
-def _forms(text: Column) -> Column:
-    """Array of ``struct<form, raw>``; ``raw`` is the token in lower case."""
-    cores = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(2))
-    heads = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
-    pairs = F.arrays_zip(cores.alias("core"), heads.alias("head"))
-
-    def form(words: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            core, low = x["core"], F.lower(x["core"])
-            digit = (core >= "0") & (core < ":")
-            before = F.get(words, i - 1)["core"]
-            unit = (i > 0) & (before >= "0") & (before < ":") & low.isin(UNITS)
-            first = F.substring(core, 1, 1)
-            name = (first != F.lower(first)) & (i > 0) & (x["head"] == "")
-            kind = F.when(digit, "<number>").when(unit, "<unit>").when(name, "<name>").otherwise(low)
-            return F.struct(kind.alias("form"), low.alias("raw"))
+def _tokens(text: Column) -> Column:
+    """Tokens of a text; the first one of a sentence has ``MARK`` before it."""
+    marked = F.regexp_replace(F.translate(text, MARK, " "), SENTENCE_END, MARK)
+    return F.regexp_extract_all(marked, F.lit(f"{MARK}?(?:{CORE})"), F.lit(0))
 
-        return F.transform(words, one)
 
-    return let(pairs, form)
+def _forms(text: Column) -> Column:
+    """``struct<forms, raws>`` of arrays; ``raws`` are the tokens in lower case."""
 
+    def form(words: Column) -> Column:
+        def digit(word: Column) -> Column:
+            return (word >= "0") & (word < ":")
 
-def _windows(text: Column, window: int, whole_from: int | None = None) -> Column:
-    """Array of ``struct<hash, forms, raws>``, one for each start of a window.
+        def one(word: Column, i: Column) -> Column:
+            low = F.lower(word)
+            measured = low.isin(UNITS) & (i > 0) & digit(F.translate(F.get(words, i - 1), MARK, ""))
+            core = F.substring(word, 2, 1_000_000)
+            # a capital is lower-cased at the beginning of a sentence, and a name inside
+            first = F.when(digit(core), "<number>").when(F.lower(core).isin(UNITS) & (i > 0) & digit(F.translate(F.get(words, i - 1), MARK, "")), "<unit>").otherwise(F.lower(core))
+            letter = F.substring(word, 1, 1)
+            inner = F.when((i > 0) & (letter != F.lower(letter)), "<name>").otherwise(low)
+            return F.when(digit(word), "<number>").when(word.startswith(MARK), first).when(measured, "<unit>").when(word == low, word).otherwise(inner)
 
-    With ``whole_from``, a text of fewer tokens than ``window`` but at least that many is
-    one window by itself.
-    """
+        return F.struct(F.transform(words, one).alias("forms"), F.transform(words, lambda w: F.lower(F.translate(w, MARK, ""))).alias("raws"))
 
-    def cut(x: Column) -> Column:
-        forms, raws = x["forms"], x["raws"]
-        n = F.size(forms)
-        width = F.lit(window) if whole_from is None else F.least(n, F.lit(window))
-        enough = n >= (window if whole_from is None else whole_from)
+    return let(_tokens(text), form)
 
-        def one(i: Column) -> Column:
-            part = F.slice(forms, i, width)
-            return F.struct(F.xxhash64(part).alias("hash"), part.alias("forms"), F.slice(raws, i, width).alias("raws"))
 
-        steps = F.when(enough, F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(steps, one)
+def _windows(rows: DataFrame, keep: list[str], text: Column, window: int, whole_from: int | None = None) -> DataFrame:
+    """``keep`` columns, ``at``, ``hash``, ``forms`` and ``raws`` of a row's tokens, ``width``.
 
-    return let(let(_forms(text), lambda t: F.struct(t["form"].alias("forms"), t["raw"].alias("raws"))), cut)
+    Tokens are found once a row. Windows are cut from their arrays by compiled code, and
+    only those that a later join keeps get their tokens copied. With ``whole_from``, a text
+    of fewer tokens than ``window`` but at least that many is one window by itself.
+    """
+    tokens = rows.select(*keep, _forms(text).alias("t")).select(*keep, "t.forms", "t.raws")
+    n = F.size("forms")
+    width = F.lit(window) if whole_from is None else F.least(n, F.lit(window))
+    enough = n >= (window if whole_from is None else whole_from)
+    starts = F.when(enough, F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
+    cut = tokens.select(*keep, "forms", "raws", F.explode(starts).alias("at")).withColumn("width", width)
+    return cut.withColumn("hash", F.xxhash64(F.slice("forms", F.col("at"), F.col("width"))))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``item, at, hash, width, forms, raws, total``: windows that can tell an item."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = benchmark.select(F.col(item_col).alias("item"), F.posexplode(_windows(text, window, LEAST_LITERALS)).alias("at", "w"))
-    rows = rows.select("item", "at", "w.*").withColumn("width", F.size("forms"))
+    cut = _windows(benchmark.select(F.col(item_col).alias("item"), text.alias("text")), ["item"], F.col("text"), window, LEAST_LITERALS)
+    part = lambda c: F.slice(c, F.col("at"), F.col("width")).alias(c)
+    rows = cut.select("item", "at", "hash", "width", part("forms"), part("raws"))
     literal = F.size(F.filter("forms", lambda f: ~f.startswith("<")))
     rows = rows.where(literal >= F.least(F.lit(LEAST_LITERALS), "width")).distinct()
     return rows.join(rows.groupBy("item").agg(F.count("*").alias("total")), "item")
@@ -108,20 +111,23 @@ def contaminated(
     """
     known = benchmark_windows(benchmark, item_col, item_text_col, window)
     sizes = known.groupBy("width").count().collect()  # at most `window` rows
-    text = F.coalesce(F.col(text_col), F.lit(""))
     if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    widths = sorted({r.width for r in sizes} | {window})
+    source = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = None
-    for width in widths:
-        spread = docs.select(F.col(id_col).alias("doc"), F.posexplode(_windows(text, width)).alias("doc_at", "w"))
-        spread = spread.select("doc", "doc_at", F.col("w.hash").alias("hash"), F.col("w.forms").alias("doc_forms"), F.col("w.raws").alias("doc_raws"))
-        hit = spread.join(known.where(F.col("width") == width), "hash").where(F.col("doc_forms") == F.col("forms"))
+    for width in sorted({r.width for r in sizes} | {window}):
+        cut = _windows(source, ["doc"], F.col("text"), width).select("doc", F.col("at").alias("doc_at"), "hash", F.col("forms").alias("_f"), F.col("raws").alias("_r"))
+        hit = cut.join(known.where(F.col("width") == width), "hash")
+        part = lambda c: F.slice(c, F.col("doc_at"), F.lit(width))  # noqa: B023, E731
+        # said as an order, and null-safe: an equation would become part of the join key, and
+        # its not-null check would find the tokens a second time
+        alike = F.coalesce((part("_f") >= F.col("forms")) & (part("_f") <= F.col("forms")), F.lit(False))
+        hit = hit.where(alike).select("doc", "item", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "total", "forms", "raws", part("_r").alias("doc_raws"))
         found = hit if found is None else found.unionByName(hit)
     slots = F.filter(F.arrays_zip(F.col("forms").alias("form"), F.col("raws").alias("item"), F.col("doc_raws").alias("doc")), lambda s: s["form"].startswith("<"))
     bound = F.array_distinct(F.transform(slots, lambda s: F.struct(s["form"].alias("form"), s["item"].alias("item"), s["doc"].alias("doc"))))
     # along one alignment there are no more windows and slots than the item has
-    along = found.select("doc", "item", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "total", bound.alias("bound")).groupBy("doc", "item", "shift").agg(
+    along = found.select("doc", "item", "shift", "at", "total", bound.alias("bound")).groupBy("doc", "item", "shift").agg(
         F.collect_set("at").alias("places"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("bound"))).alias("bound")
     )
     values = F.array_distinct(F.transform("bound", lambda s: F.struct(s["form"], s["item"])))
@@ -132,13 +138,14 @@ def contaminated(
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """``docs`` without the documents that hold an item; rows with a null id stay."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **parameters).select(F.col(id_col)).distinct()
+    found = contaminated(docs, benchmark, id_col, text_col, **parameters).select(F.col(id_col)).distinct()
+    bad = sent_if_small(found, Scratch(docs.sparkSession))
     return docs.join(bad, id_col, "left_anti").select(*docs.columns)
 
 
 def oracle_sql(window: int = WINDOW) -> str:
     """The same over the tables ``documents`` and ``benchmark``, for DuckDB."""
-    token = TOKEN.replace("'", "''")
+    token = rf"([.!?\n][^\p{{L}}\p{{N}}]*)?({CORE})"
     units = ", ".join(f"'{u}'" for u in UNITS)
 
     def forms(source: str, key: str) -> str:
