@@ -87,6 +87,15 @@ EDGE = " \t\n\"'.,;:!?)]}>([{<"
 
 def features(word: str) -> tuple[str, ...]:
     """Shape (runs of one class written once), size, and cue features of a word."""
+    head = word[:-1] if word[-1] in ".,;:!?" else word
+    if head.isalpha() and (head.islower() or head.istitle()):  # most words: no need to look at each letter
+        shape = ("x" if head.islower() else "X" if len(head) == 1 else "Xx") + word[len(head) :]
+        out = [f"s:{shape}", "d:0", f"n:{min(len(word), 12)}"]
+        if head.lower() in CUES:
+            out.append(f"c:{head.lower()}")
+        if word[-1] in ".!?":
+            out.append("end")
+        return tuple(out)
     core = word.strip(EDGE).lower() or word
     shape, last = [], ""
     for c in word[:40]:
@@ -235,6 +244,18 @@ def default_field() -> Field:
     return Field(labelled_table())
 
 
+#: The tagger of this worker, with what it remembers of words, by its field.
+TAGGERS: dict[bytes, Tagger] = {}
+
+
+def tagger_of(field: Field) -> Tagger:
+    key = hashlib.sha256(field.emit.tobytes() + field.moves.tobytes() + field.start.tobytes()).digest()
+    if key not in TAGGERS:
+        TAGGERS.clear()
+        TAGGERS[key] = Tagger(field)
+    return TAGGERS[key]
+
+
 class Tagger:
     """Decodes batches of sentences; remembers the feature row of each distinct word."""
 
@@ -381,12 +402,9 @@ def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "do
     """
     field = field or default_field()
     kind = dict(docs.dtypes)[id_col]
-    holder: list[Tagger] = []
 
     def step(ids: pa.Array, column: pa.Array) -> pa.RecordBatch:
-        if not holder:
-            holder.append(Tagger(field))
-        done = scan(texts(column), holder[0])
+        done = scan(texts(column), tagger_of(field))
         counts = [pa.array([sum(k == n for k, _, _ in base) for base, _ in done], pa.int64()) for n in range(len(KINDS))]
         digests = pa.array([hashlib.sha256(span_text(base).encode()).hexdigest() for base, _ in done], pa.string())
         return pa.RecordBatch.from_arrays([ids, *counts, digests, pa.array([span_text(b + a) for b, a in done], pa.string())], [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
