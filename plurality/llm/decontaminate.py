@@ -19,6 +19,8 @@ from plurality.llm.native import let
 # A token is a number (with grouping, decimals, and letters attached) or a run of letters
 # and digits; a stop between digits is no end of a sentence.
 CORE = r"[0-9]+(?:[.,][0-9]+)*[\p{L}\p{N}]*|[\p{L}\p{N}]+"
+#: The same for Java, where only a possessive group repeats without a call a repeat.
+JAVA_CORE = CORE.replace("[0-9]+)*", "[0-9]++)*+")
 SENTENCE_END = r"(?:[!?\n]|\.(?![0-9])|(?<![0-9])\.)[^\p{L}\p{N}]*"
 MARK = "\x01"
 UNITS = (
@@ -39,7 +41,7 @@ BROADCAST_WINDOWS = 200_000
 def _tokens(text: Column) -> Column:
     """Tokens of a text; the first one of a sentence has ``MARK`` before it."""
     marked = F.regexp_replace(F.translate(text, MARK, " "), SENTENCE_END, MARK)
-    return F.regexp_extract_all(marked, F.lit(f"{MARK}?(?:{CORE})"), F.lit(0))
+    return F.regexp_extract_all(marked, F.lit(f"{MARK}?(?:{JAVA_CORE})"), F.lit(0))
 
 
 def _forms(text: Column) -> Column:

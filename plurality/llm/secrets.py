@@ -26,12 +26,13 @@ WINDOW = 20
 HEX_BITS = 3.0
 MIXED_BITS = 3.6
 #: Candidates that look random and are no secrets: UUIDs, dates and numbers, words joined
-#: by one kind of mark, paths, runs of one placeholder.
+#: by one kind of mark, paths, runs of one placeholder. Repeated groups are possessive, as
+#: others recurse once a repeat in Java and end in a stack overflow on long texts.
 ALLOWED = [
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "^[0-9+/_=-]+$",
     "^[A-Za-z+/_=-]+$",
-    "^(?:[A-Za-z]+[-_/=+]|[0-9]+[-_/=+])+(?:[A-Za-z]+|[0-9]+)?$",
+    "^(?:[A-Za-z]++[-_/=+]|[0-9]++[-_/=+])++(?:[A-Za-z]+|[0-9]+)?$",
     "(?i)example|placeholder|xxxx|0000000",
 ]
 

@@ -71,3 +71,9 @@ def test_documents_equal_oracle(spark):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     want = sorted(con.sql(dec.oracle_sql()).fetchall())
     assert want and sorted(map(tuple, dec.contaminated(docs, bench).collect())) == want
+
+
+def test_long_lists_of_numbers(spark):
+    rows = [(1, "12," * 100_000), (2, ITEM)]
+    got, *_ = run(spark, rows, ITEMS[:1])
+    assert got == oracle(rows, ITEMS[:1]) and [d for d, *_ in got] == [2]

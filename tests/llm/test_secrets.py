@@ -69,3 +69,8 @@ def test_redact(spark):
     docs = spark.createDataFrame([(1, 'é token = "96d17ded865a61704b5b8dc58aafba7d26a3" ok', 5), (2, "clean", 1), (3, None, None)], "doc_id long, text string, n int")
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert got == {1: 'é [secret]" ok', 2: "clean", 3: None} and secrets.redact(docs).columns == docs.columns
+
+
+def test_long_lists_of_words(spark):
+    texts = ["ab/12/" * 100_000, "ab-" * 100_000, "12," * 100_000]
+    assert run(spark, texts) == [brute(x) for x in texts]
