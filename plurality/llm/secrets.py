@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and Shannon entropy in windows over candidate strings.
 
 Built-in column expressions only. A candidate is a long run of key characters. Its class
-(hexadecimal, or letters with digits) sets the entropy that a window of ``WINDOW``
+(hexadecimal, letters, or letters with digits) sets the entropy that a window of ``WINDOW``
 characters must reach. The window moves by one character at a time: the sum of
 ``c log2 c`` over character counts changes only by the counts of the character that leaves
 and of the one that enters. Candidates on the allow-list are suppressed.
@@ -25,15 +25,18 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 HEX_BITS = 3.0
 MIXED_BITS = 3.6
+LETTER_BITS = 3.6
+#: A word has letters of one case, or a capital before small ones.
+WORD = "(?:[A-Z]?[a-z]++|[A-Z]++)"
 #: Candidates that look random and are no secrets: UUIDs, dates and numbers, words joined
-#: by one kind of mark, paths, runs of one placeholder. Repeated groups are possessive, as
+#: by marks, paths, placeholders as a whole. Repeated groups are possessive, as
 #: others recurse once a repeat in Java and end in a stack overflow on long texts.
 ALLOWED = [
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "^[0-9+/_=-]+$",
-    "^[A-Za-z+/_=-]+$",
-    "^(?:[A-Za-z]++[-_/=+]|[0-9]++[-_/=+])++(?:[A-Za-z]+|[0-9]+)?$",
-    "(?i)example|placeholder|xxxx|0000000",
+    f"^[+/_=-]*+(?:{WORD}(?:[+/_=-]++|$))*+$",
+    f"^(?:{WORD}[-_/=+]|[0-9]++[-_/=+])++(?:{WORD}|[0-9]+)?$",
+    "(?i)^(?:example|placeholder|x{4,}+|0{7,}+|[+/_=-])++$",
 ]
 
 
@@ -77,7 +80,7 @@ def entropy_spans(text: Column, base: Column) -> Column:
             allowed = F.lit(False)
             for pattern in ALLOWED:
                 allowed = allowed | word.rlike(pattern)
-            bits = F.when(word.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS))
+            bits = F.when(word.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).when(word.rlike("^[A-Za-z+/_=-]+$"), F.lit(LETTER_BITS)).otherwise(F.lit(MIXED_BITS))
             return F.when(allowed, F.lit(False)).otherwise(most_entropy(word) >= bits)
 
         return let(F.substring(text, s["start"] + 1, s["end"] - s["start"]), judged)

@@ -74,3 +74,10 @@ def test_redact(spark):
 def test_long_lists_of_words(spark):
     texts = ["ab/12/" * 100_000, "ab-" * 100_000, "12," * 100_000]
     assert run(spark, texts) == [brute(x) for x in texts]
+
+
+def test_keys_of_letters_and_placeholders(spark):
+    found = ["qZtWmXcVbNkLjHgFdSaPoIuY", "qZtWmXcVbNkLjH-gFdSaPoIuYbR=", "Zx9kQ2mV7pLr4Tn0000000W8sYb1HdJ6", "Zx9kQ2mV7pLrexample4TnW8sYb1HdJ6"]
+    allowed = ["Donaudampfschifffahrtsgesellschaft", "some/Path/With_many-WORDS/inside", "UPPER_CASE_NAME_OF_A_CONSTANT", "placeholder-EXAMPLE_xxxxxxxx0000000", "2024-Report_Final/Version-12"]
+    got = [r[-1] for r in run(spark, found + allowed)]
+    assert got == [f"entropy:0:{len(x)}" for x in found] + [""] * len(allowed)
