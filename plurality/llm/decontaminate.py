@@ -32,6 +32,9 @@ UNITS = (
 WINDOW = 8
 #: A window must have this many literal tokens, so that it is not a pattern of slots alone.
 LEAST_LITERALS = 4
+#: How a window meets an item's: by template, by template with a capital at the beginning of
+#: a sentence as a name too, or word for word.
+KINDS = PLAIN, NAMES, LITERAL = 0, 1, 2
 #: The share of an item's windows that a document must hold.
 LEAST_SHARE = 0.25
 #: Benchmark windows up to this number are sent to every executor; more are shuffled.
@@ -45,7 +48,11 @@ def _tokens(text: Column) -> Column:
 
 
 def _forms(text: Column) -> Column:
-    """``struct<forms, raws>`` of arrays; ``raws`` are the tokens in lower case."""
+    """``struct<forms, names, raws>`` of arrays.
+
+    ``names`` are forms with a capitalised word as ``<name>`` at the beginning of a sentence
+    too; ``raws`` are the tokens in lower case.
+    """
 
     def form(words: Column) -> Column:
         def digit(word: Column) -> Column:
@@ -61,36 +68,59 @@ def _forms(text: Column) -> Column:
             inner = F.when((i > 0) & (letter != F.lower(letter)), "<name>").otherwise(low)
             return F.when(digit(word), "<number>").when(word.startswith(MARK), first).when(measured, "<unit>").when(word == low, word).otherwise(inner)
 
-        return F.struct(F.transform(words, one).alias("forms"), F.transform(words, lambda w: F.lower(F.translate(w, MARK, ""))).alias("raws"))
+        def name(plain: Column, i: Column) -> Column:
+            # differs from the form only where a sentence begins with a capital
+            word = F.get(words, i)
+            begins = (i == 0) | word.startswith(MARK)
+            letter = F.substring(F.translate(word, MARK, ""), 1, 1)
+            return F.when(begins & ~plain.startswith("<") & (letter != F.lower(letter)), "<name>").otherwise(plain)
+
+        raws = F.transform(words, lambda w: F.lower(F.translate(w, MARK, "")))
+        return let(F.transform(words, one), lambda forms: F.struct(forms.alias("forms"), F.transform(forms, name).alias("names"), raws.alias("raws")))
 
     return let(_tokens(text), form)
 
 
-def _windows(rows: DataFrame, keep: list[str], text: Column, window: int, whole_from: int | None = None) -> DataFrame:
-    """``keep`` columns, ``at``, ``hash``, ``forms`` and ``raws`` of a row's tokens, ``width``.
+def _chosen(kind: Column) -> Column:
+    """The array of tokens that windows of a kind are cut from."""
+    return F.when(kind == PLAIN, F.col("forms")).when(kind == NAMES, F.col("names")).otherwise(F.col("raws"))
+
 
-    Tokens are found once a row. Windows are cut from their arrays by compiled code, and
-    only those that a later join keeps get their tokens copied. With ``whole_from``, a text
-    of fewer tokens than ``window`` but at least that many is one window by itself.
+def _windows(rows: DataFrame, keep: list[str], text: Column, cuts: list[tuple[Column, int]]) -> DataFrame:
+    """``keep`` columns, ``forms``, ``names``, ``raws``, and ``at, width, kind, hash`` of windows.
+
+    ``cuts`` are widths and kinds. Tokens are found once a row. Windows are cut from their
+    arrays by compiled code, and only those that a later join keeps get their tokens copied.
     """
-    tokens = rows.select(*keep, _forms(text).alias("t")).select(*keep, "t.forms", "t.raws")
-    n = F.size("forms")
-    width = F.lit(window) if whole_from is None else F.least(n, F.lit(window))
-    enough = n >= (window if whole_from is None else whole_from)
-    starts = F.when(enough, F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
-    cut = tokens.select(*keep, "forms", "raws", F.explode(starts).alias("at")).withColumn("width", width)
-    return cut.withColumn("hash", F.xxhash64(F.slice("forms", F.col("at"), F.col("width"))))
+    tokens = rows.select(*keep, _forms(text).alias("t")).select(*keep, "t.forms", "t.names", "t.raws")
+    n, each = F.size("forms"), len(cuts)
+    numbers = F.when(n > 0, F.sequence(F.lit(0), n * each - 1)).otherwise(F.array().cast("array<int>"))
+    nth = tokens.select(*keep, "forms", "names", "raws", F.explode(numbers).alias("nth"))
+    cut = F.pmod("nth", F.lit(each))
+    width, kind = cuts[0][0], F.lit(cuts[0][1])
+    for i, (w, k) in enumerate(cuts[1:], 1):
+        width, kind = F.when(cut == i, w).otherwise(width), F.when(cut == i, F.lit(k)).otherwise(kind)
+    placed = nth.withColumn("at", F.floor(F.col("nth") / each).cast("int") + 1).withColumn("width", width).withColumn("kind", kind).drop("nth")
+    inside = placed.where(F.col("at") + F.col("width") - 1 <= F.size("forms"))
+    return inside.withColumn("hash", F.xxhash64("kind", F.slice(_chosen(F.col("kind")), F.col("at"), F.col("width"))))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``item, at, hash, width, forms, raws, total``: windows that can tell an item."""
+    """``item, kind, at, hash, width, tokens, raws`` of windows that can tell an item, and totals.
+
+    Templates need literals; word for word every window counts, however short its item.
+    ``total0`` to ``total2`` count the item's windows of each kind.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = _windows(benchmark.select(F.col(item_col).alias("item"), text.alias("text")), ["item"], F.col("text"), window, LEAST_LITERALS)
-    part = lambda c: F.slice(c, F.col("at"), F.col("width")).alias(c)
-    rows = cut.select("item", "at", "hash", "width", part("forms"), part("raws"))
-    literal = F.size(F.filter("forms", lambda f: ~f.startswith("<")))
-    rows = rows.where(literal >= F.least(F.lit(LEAST_LITERALS), "width")).distinct()
-    return rows.join(rows.groupBy("item").agg(F.count("*").alias("total")), "item")
+    width = F.least(F.size("forms"), F.lit(window))
+    cut = _windows(benchmark.select(F.col(item_col).alias("item"), text.alias("text")), ["item"], F.col("text"), [(width, kind) for kind in KINDS])
+    part = lambda c: F.slice(c, F.col("at"), F.col("width"))
+    rows = cut.select("item", "kind", "at", "hash", "width", F.size("forms").alias("n"), part(_chosen(F.col("kind"))).alias("tokens"), part(F.col("raws")).alias("raws"))
+    literal = F.size(F.filter("tokens", lambda f: ~f.startswith("<")))
+    told = (F.col("n") >= LEAST_LITERALS) & (literal >= F.least(F.lit(LEAST_LITERALS), "width"))
+    rows = rows.where((F.col("kind") != NAMES) & told).drop("n").distinct()
+    totals = rows.groupBy("item").agg(*(F.count(F.when(F.col("kind") == kind, 1)).alias(f"total{kind}") for kind in KINDS))
+    return rows.join(totals, "item")
 
 
 def contaminated(
@@ -106,36 +136,55 @@ def contaminated(
     """One row per document and item found in it: ``id, item, n_windows, item_windows``.
 
     ``n_windows`` counts the item's windows found along consistent alignments; a pair is
-    reported if they are at least ``least_share`` of ``item_windows``. An item of fewer than
-    ``window`` tokens is one window; of fewer than ``LEAST_LITERALS`` tokens, or with slots
-    only, it has none and can not be found. Null and empty texts hold nothing. Rows with the
-    same document id (a null one too) count together, and so do rows of one item.
+    reported if they are at least ``least_share`` of ``item_windows``. Three counts are
+    looked at, and the first that suffices is shown: templates; templates with a capital at
+    the beginning of a sentence as a name; and all windows of the item, found by a template
+    or word for word in any letter case. An item of fewer than ``window`` tokens is one
+    window. A template has ``LEAST_LITERALS`` literals at least; other windows, and items of
+    fewer tokens, are found word for word only. Null and empty texts hold nothing. Rows with
+    the same document id (a null one too) count together, and so do rows of one item.
+    ``oracle_sql`` says the first count only, so pairs found by the others are not in it.
     """
     known = benchmark_windows(benchmark, item_col, item_text_col, window)
-    sizes = known.groupBy("width").count().collect()  # at most `window` rows
+    sizes = known.groupBy("width", "kind").count().collect()  # at most 3 x `window` rows
     if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     source = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = None
-    for width in sorted({r.width for r in sizes} | {window}):
-        cut = _windows(source, ["doc"], F.col("text"), width).select("doc", F.col("at").alias("doc_at"), "hash", F.col("forms").alias("_f"), F.col("raws").alias("_r"))
-        hit = cut.join(known.where(F.col("width") == width), "hash")
-        part = lambda c: F.slice(c, F.col("doc_at"), F.lit(width))  # noqa: B023, E731
-        # said as an order, and null-safe: an equation would become part of the join key, and
-        # its not-null check would find the tokens a second time
-        alike = F.coalesce((part("_f") >= F.col("forms")) & (part("_f") <= F.col("forms")), F.lit(False))
-        hit = hit.where(alike).select("doc", "item", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "total", "forms", "raws", part("_r").alias("doc_raws"))
-        found = hit if found is None else found.unionByName(hit)
-    slots = F.filter(F.arrays_zip(F.col("forms").alias("form"), F.col("raws").alias("item"), F.col("doc_raws").alias("doc")), lambda s: s["form"].startswith("<"))
+    cuts = [(F.lit(w), k) for w, k in sorted({(r["width"], r["kind"]) for r in sizes}) or [(window, PLAIN)]]
+    cut = _windows(source, ["doc"], F.col("text"), cuts)
+    cut = cut.select("doc", F.col("at").alias("doc_at"), "hash", F.col("width").alias("_w"), _chosen(F.col("kind")).alias("_t"), F.col("raws").alias("_r"))
+    hit = cut.join(known, "hash")
+    part = lambda c: F.slice(c, F.col("doc_at"), F.col("_w"))
+    # said as an order, and null-safe: an equation would become part of the join key, and
+    # its not-null check would find the tokens a second time
+    alike = F.coalesce((part("_t") >= F.col("tokens")) & (part("_t") <= F.col("tokens")), F.lit(False))
+    totals = [f"total{kind}" for kind in KINDS]
+    found = hit.where(alike).select("doc", "item", "kind", (F.col("doc_at") - F.col("at")).alias("shift"), "at", *totals, "tokens", "raws", part("_r").alias("doc_raws"))
+    slots = F.filter(F.arrays_zip(F.col("tokens").alias("form"), F.col("raws").alias("item"), F.col("doc_raws").alias("doc")), lambda s: s["form"].startswith("<"))
     bound = F.array_distinct(F.transform(slots, lambda s: F.struct(s["form"].alias("form"), s["item"].alias("item"), s["doc"].alias("doc"))))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    joined = lambda sets: F.array_distinct(F.flatten(sets))
     # along one alignment there are no more windows and slots than the item has
-    along = found.select("doc", "item", "shift", "at", "total", bound.alias("bound")).groupBy("doc", "item", "shift").agg(
-        F.collect_set("at").alias("places"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("bound"))).alias("bound")
+    along = found.select("doc", "item", "kind", "shift", "at", *totals, bound.alias("bound")).groupBy("doc", "item", "shift").agg(
+        *(F.collect_set(of(kind, "at")).alias(f"at{kind}") for kind in KINDS),
+        *(F.max(total).alias(total) for total in totals),
+        joined(F.collect_set(of(PLAIN, "bound"))).alias("bound"),
+        joined(F.collect_set("bound")).alias("every"),
+    )
+    steady = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda s: F.struct(s["form"], s["item"]))))
+    # values that break the plain templates break the whole alignment
+    sound = along.where(steady("bound")).withColumn(f"at{NAMES}", F.when(steady("every"), F.col(f"at{NAMES}")).otherwise(F.array().cast("array<int>")))
+    sound = sound.withColumn("any", F.array_union(F.array_union(f"at{PLAIN}", f"at{NAMES}"), f"at{LITERAL}"))
+    places = {PLAIN: f"at{PLAIN}", NAMES: f"at{NAMES}", LITERAL: "any"}
+    counted = sound.groupBy("doc", "item").agg(
+        *(F.size(joined(F.collect_set(place))).alias(f"n{kind}") for kind, place in places.items()),
+        *(F.max(total).alias(total) for total in totals),
     )
-    values = F.array_distinct(F.transform("bound", lambda s: F.struct(s["form"], s["item"])))
-    steady = along.where(F.size("bound") == F.size(values))
-    counted = steady.select("doc", "item", "total", F.explode("places").alias("at")).distinct().groupBy("doc", "item").agg(F.count("*").alias("n_windows"), F.max("total").alias("item_windows"))
-    return counted.where(F.col("n_windows") >= least_share * F.col("item_windows")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "item_windows")
+    enough = lambda kind: (F.col(f"n{kind}") > 0) & (F.col(f"n{kind}") >= least_share * F.col(f"total{kind}"))
+    count = lambda kind: F.struct(F.col(f"n{kind}").cast("long").alias("n_windows"), F.col(f"total{kind}").alias("item_windows"))
+    best = F.when(enough(PLAIN), count(PLAIN)).when(enough(NAMES), count(NAMES)).when(enough(LITERAL), count(LITERAL))
+    shown = counted.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), best.alias("best"))
+    return shown.where(F.col("best").isNotNull()).select(id_col, item_col, "best.n_windows", "best.item_windows")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

@@ -77,3 +77,9 @@ def test_long_lists_of_numbers(spark):
     rows = [(1, "12," * 100_000), (2, ITEM)]
     got, *_ = run(spark, rows, ITEMS[:1])
     assert got == oracle(rows, ITEMS[:1]) and [d for d, *_ in got] == [2]
+
+
+def test_copies_in_capitals(spark):
+    rows = [(1, "So it reads. " + ITEM.upper()), (2, ITEM.title()), (3, ITEM.lower()), (4, "ONLY 12 COWS AND SOME 300 DOLLARS FOR A FARMER")]
+    got, *_ = run(spark, rows, ITEMS[:1])
+    assert {d for d, *_ in got} == {1, 2, 3} and set(oracle(rows, ITEMS[:1])) <= set(got)
