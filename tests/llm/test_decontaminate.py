@@ -83,3 +83,10 @@ def test_copies_in_capitals(spark):
     rows = [(1, "So it reads. " + ITEM.upper()), (2, ITEM.title()), (3, ITEM.lower()), (4, "ONLY 12 COWS AND SOME 300 DOLLARS FOR A FARMER")]
     got, *_ = run(spark, rows, ITEMS[:1])
     assert {d for d, *_ in got} == {1, 2, 3} and set(oracle(rows, ITEMS[:1])) <= set(got)
+
+
+def test_items_of_few_literals(spark):
+    items = ["What is 17 times 24?", "Who wrote Hamlet in 1603?", "Compute 12 + 45 - 7 + 88 - 3 + 19.", "Solve 3x + 7 = 22 for x.", "Name Ann, Bob, Carl, Dora, Emil, Fritz, Gus and Hans in order", "Define entropy"]
+    rows = [(i, f"Some words before. {x} Some words after.") for i, x in enumerate(items)]
+    rows += [(100, "What is 18 times 25? Compute 1 + 5 - 7 + 8 - 3 + 9. Define nothing but entropy")]
+    assert [(d, i) for d, i, *_ in run(spark, rows, list(enumerate(items)))[0]] == [(i, i) for i in range(len(items))]
