@@ -118,7 +118,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     rows = cut.select("item", "kind", "at", "hash", "width", F.size("forms").alias("n"), part(_chosen(F.col("kind"))).alias("tokens"), part(F.col("raws")).alias("raws"))
     literal = F.size(F.filter("tokens", lambda f: ~f.startswith("<")))
     told = (F.col("n") >= LEAST_LITERALS) & (literal >= F.least(F.lit(LEAST_LITERALS), "width"))
-    rows = rows.where((F.col("kind") == LITERAL) | (F.col("kind") == PLAIN) & told).drop("n").distinct()
+    rows = rows.where((F.col("kind") == LITERAL) | told).drop("n").distinct()
     totals = rows.groupBy("item").agg(*(F.count(F.when(F.col("kind") == kind, 1)).alias(f"total{kind}") for kind in KINDS))
     return rows.join(totals, "item")
 

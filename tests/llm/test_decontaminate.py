@@ -90,3 +90,10 @@ def test_items_of_few_literals(spark):
     rows = [(i, f"Some words before. {x} Some words after.") for i, x in enumerate(items)]
     rows += [(100, "What is 18 times 25? Compute 1 + 5 - 7 + 8 - 3 + 9. Define nothing but entropy")]
     assert [(d, i) for d, i, *_ in run(spark, rows, list(enumerate(items)))[0]] == [(i, i) for i in range(len(items))]
+
+
+def test_other_names_at_the_beginning_of_sentences(spark):
+    item = "Alice has 5 apples. Bob has 3. Alice gives 2 to Bob. Carol eats 4. How many remain?"
+    changed = item.replace("Alice", "Zoe").replace("Bob", "Max").replace("Carol", "Ines")
+    rows = [(1, changed), (2, "Question: " + changed.replace("5", "17")), (3, changed.replace("Zoe gives", "Ute gives").replace("to Max", "to Jan"))]
+    assert [d for d, *_ in run(spark, rows, [(1, item)])[0]] == [1, 2]
