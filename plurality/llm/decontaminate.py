@@ -35,8 +35,11 @@ LEAST_LITERALS = 4
 #: How a window meets an item's: by template, by template with a capital at the beginning of
 #: a sentence as a name too, or word for word.
 KINDS = PLAIN, NAMES, LITERAL = 0, 1, 2
+TOKENS, HASHES = ("forms", "names", "raws"), ("hash0", "hash1", "hash2")
 #: The share of an item's windows that a document must hold.
 LEAST_SHARE = 0.25
+#: A run of this many tokens along one alignment is reported, whatever share of the item it is.
+LONG_RUN = 13
 #: Benchmark windows up to this number are sent to every executor; more are shuffled.
 BROADCAST_WINDOWS = 200_000
 
@@ -48,10 +51,10 @@ def _tokens(text: Column) -> Column:
 
 
 def _forms(text: Column) -> Column:
-    """``struct<forms, names, raws>`` of arrays.
+    """``struct<forms, names, raws, hash0, hash1, hash2>`` of arrays.
 
     ``names`` are forms with a capitalised word as ``<name>`` at the beginning of a sentence
-    too; ``raws`` are the tokens in lower case.
+    too; ``raws`` are the tokens in lower case. The hashes are of those three, token by token.
     """
 
     def form(words: Column) -> Column:
@@ -75,15 +78,17 @@ def _forms(text: Column) -> Column:
             letter = F.substring(F.translate(word, MARK, ""), 1, 1)
             return F.when(begins & ~plain.startswith("<") & (letter != F.lower(letter)), "<name>").otherwise(plain)
 
-        raws = F.transform(words, lambda w: F.lower(F.translate(w, MARK, "")))
-        return let(F.transform(words, one), lambda forms: F.struct(forms.alias("forms"), F.transform(forms, name).alias("names"), raws.alias("raws")))
+        raws = F.transform(words, lambda w: F.lower(F.when(w.startswith(MARK), F.substring(w, 2, 1_000_000)).otherwise(w)))
+        arrays = let(F.transform(words, one), lambda forms: F.struct(forms.alias("forms"), F.transform(forms, name).alias("names"), raws.alias("raws")))
+        hashes = lambda t: (F.transform(t[c], lambda w: F.xxhash64(w)).alias(f"hash{k}") for k, c in enumerate(("forms", "names", "raws")))
+        return let(arrays, lambda t: F.struct(t["forms"].alias("forms"), t["names"].alias("names"), t["raws"].alias("raws"), *hashes(t)))
 
     return let(_tokens(text), form)
 
 
-def _chosen(kind: Column) -> Column:
-    """The array of tokens that windows of a kind are cut from."""
-    return F.when(kind == PLAIN, F.col("forms")).when(kind == NAMES, F.col("names")).otherwise(F.col("raws"))
+def _chosen(arrays: tuple[str, str, str]) -> Column:
+    """Of three arrays the one that windows of the row's kind are cut from."""
+    return F.when(F.col("kind") == PLAIN, F.col(arrays[0])).when(F.col("kind") == NAMES, F.col(arrays[1])).otherwise(F.col(arrays[2]))
 
 
 def _windows(rows: DataFrame, keep: list[str], text: Column, cuts: list[tuple[Column, int]]) -> DataFrame:
@@ -92,17 +97,17 @@ def _windows(rows: DataFrame, keep: list[str], text: Column, cuts: list[tuple[Co
     ``cuts`` are widths and kinds. Tokens are found once a row. Windows are cut from their
     arrays by compiled code, and only those that a later join keeps get their tokens copied.
     """
-    tokens = rows.select(*keep, _forms(text).alias("t")).select(*keep, "t.forms", "t.names", "t.raws")
+    tokens = rows.select(*keep, _forms(text).alias("t")).select(*keep, *(f"t.{c}" for c in TOKENS + HASHES))
     n, each = F.size("forms"), len(cuts)
     numbers = F.when(n > 0, F.sequence(F.lit(0), n * each - 1)).otherwise(F.array().cast("array<int>"))
-    nth = tokens.select(*keep, "forms", "names", "raws", F.explode(numbers).alias("nth"))
+    nth = tokens.select(*keep, *TOKENS, *HASHES, F.explode(numbers).alias("nth"))
     cut = F.pmod("nth", F.lit(each))
     width, kind = cuts[0][0], F.lit(cuts[0][1])
     for i, (w, k) in enumerate(cuts[1:], 1):
         width, kind = F.when(cut == i, w).otherwise(width), F.when(cut == i, F.lit(k)).otherwise(kind)
     placed = nth.withColumn("at", F.floor(F.col("nth") / each).cast("int") + 1).withColumn("width", width).withColumn("kind", kind).drop("nth")
     inside = placed.where(F.col("at") + F.col("width") - 1 <= F.size("forms"))
-    return inside.withColumn("hash", F.xxhash64("kind", F.slice(_chosen(F.col("kind")), F.col("at"), F.col("width"))))
+    return inside.withColumn("hash", F.xxhash64("kind", F.slice(_chosen(HASHES), F.col("at"), F.col("width"))))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -115,7 +120,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     width = F.least(F.size("forms"), F.lit(window))
     cut = _windows(benchmark.select(F.col(item_col).alias("item"), text.alias("text")), ["item"], F.col("text"), [(width, kind) for kind in KINDS])
     part = lambda c: F.slice(c, F.col("at"), F.col("width"))
-    rows = cut.select("item", "kind", "at", "hash", "width", F.size("forms").alias("n"), part(_chosen(F.col("kind"))).alias("tokens"), part(F.col("raws")).alias("raws"))
+    rows = cut.select("item", "kind", "at", "hash", "width", F.size("forms").alias("n"), part(_chosen(TOKENS)).alias("tokens"), part(F.col("raws")).alias("raws"))
     literal = F.size(F.filter("tokens", lambda f: ~f.startswith("<")))
     told = (F.col("n") >= LEAST_LITERALS) & (literal >= F.least(F.lit(LEAST_LITERALS), "width"))
     rows = rows.where((F.col("kind") == LITERAL) | told).drop("n").distinct()
@@ -139,7 +144,8 @@ def contaminated(
     reported if they are at least ``least_share`` of ``item_windows``. Three counts are
     looked at, and the first that suffices is shown: templates; templates with a capital at
     the beginning of a sentence as a name; and all windows of the item, found by a template
-    or word for word in any letter case. An item of fewer than ``window`` tokens is one
+    or word for word in any letter case. These are also shown for a pair with ``LONG_RUN``
+    tokens or more in a row along one alignment, whatever their share. An item of fewer than ``window`` tokens is one
     window. A template has ``LEAST_LITERALS`` literals at least; other windows, and items of
     fewer tokens, are found word for word only. Null and empty texts hold nothing. Rows with
     the same document id (a null one too) count together, and so do rows of one item.
@@ -152,7 +158,7 @@ def contaminated(
     source = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = [(F.lit(w), k) for w, k in sorted({(r["width"], r["kind"]) for r in sizes}) or [(window, PLAIN)]]
     cut = _windows(source, ["doc"], F.col("text"), cuts)
-    cut = cut.select("doc", F.col("at").alias("doc_at"), "hash", F.col("width").alias("_w"), _chosen(F.col("kind")).alias("_t"), F.col("raws").alias("_r"))
+    cut = cut.select("doc", F.col("at").alias("doc_at"), "hash", F.col("width").alias("_w"), _chosen(TOKENS).alias("_t"), F.col("raws").alias("_r"))
     hit = cut.join(known, "hash")
     part = lambda c: F.slice(c, F.col("doc_at"), F.col("_w"))
     # said as an order, and null-safe: an equation would become part of the join key, and
@@ -175,14 +181,18 @@ def contaminated(
     # values that break the plain templates break the whole alignment
     sound = along.where(steady("bound")).withColumn(f"at{NAMES}", F.when(steady("every"), F.col(f"at{NAMES}")).otherwise(F.array().cast("array<int>")))
     sound = sound.withColumn("any", F.array_union(F.array_union(f"at{PLAIN}", f"at{NAMES}"), f"at{LITERAL}"))
+    more = max(LONG_RUN - window, 0)
+    run = lambda at: F.when(F.size(at) > more, F.exists(F.sequence(F.lit(1), F.size(at) - more), lambda i: F.element_at(at, i + more) - F.element_at(at, i) == more))
+    sound = sound.withColumn("long", let(F.sort_array("any"), run))
     places = {PLAIN: f"at{PLAIN}", NAMES: f"at{NAMES}", LITERAL: "any"}
     counted = sound.groupBy("doc", "item").agg(
         *(F.size(joined(F.collect_set(place))).alias(f"n{kind}") for kind, place in places.items()),
         *(F.max(total).alias(total) for total in totals),
+        F.max("long").alias("long"),
     )
     enough = lambda kind: (F.col(f"n{kind}") > 0) & (F.col(f"n{kind}") >= least_share * F.col(f"total{kind}"))
     count = lambda kind: F.struct(F.col(f"n{kind}").cast("long").alias("n_windows"), F.col(f"total{kind}").alias("item_windows"))
-    best = F.when(enough(PLAIN), count(PLAIN)).when(enough(NAMES), count(NAMES)).when(enough(LITERAL), count(LITERAL))
+    best = F.when(enough(PLAIN), count(PLAIN)).when(enough(NAMES), count(NAMES)).when(enough(LITERAL) | F.col("long"), count(LITERAL))
     shown = counted.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), best.alias("best"))
     return shown.where(F.col("best").isNotNull()).select(id_col, item_col, "best.n_windows", "best.item_windows")
 

@@ -97,3 +97,9 @@ def test_other_names_at_the_beginning_of_sentences(spark):
     changed = item.replace("Alice", "Zoe").replace("Bob", "Max").replace("Carol", "Ines")
     rows = [(1, changed), (2, "Question: " + changed.replace("5", "17")), (3, changed.replace("Zoe gives", "Ute gives").replace("to Max", "to Jan"))]
     assert [d for d, *_ in run(spark, rows, [(1, item)])[0]] == [1, 2]
+
+
+def test_long_quotes_of_long_items(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    item, rows = " ".join(words), [(1, "so " + " ".join(words[50:63]) + " it goes"), (2, " ".join(words[50:62])), (3, " ".join(words[:8] + words[20:30] + words[90:101]))]
+    assert run(spark, rows, [(1, item)])[0] == [(1, 1, 6, 193)]
