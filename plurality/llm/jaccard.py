@@ -12,34 +12,42 @@ more cells than that, so at least one cell is equal in both and (as shown in
 ``signatures``) not empty. Equal cells are found by one range-partitioned sort of
 (cell hash, document), which splits a cell that very many documents share, and only each
 document's pair with the cell's first one leaves it. Connected documents form clusters;
-every link lies inside one. A
-cluster too large for one task is cut into chunks, and each pair of chunks is a block.
-
-N-grams are 64-bit hashes, document sets are told apart by 128 bits.
+every link lies inside one.
+
+A passage that many documents share can fill a cell and tie unlike documents into one
+cluster. Clusters of more than ``CHUNK_NGRAMS`` n-grams are therefore dealt a second time, by
+their rarest n-grams: with all n-grams in one order, rarest first, linked sets share one of
+their first ``n - ceil(t n) + 1`` (see ``_redealt``). What is still too large for one task is
+cut into chunks, each joined on its own together with a few hub documents. Pairs of chunks
+are then joined for the documents that are not of the cluster's largest component so far:
+those walk the trees of all chunks (see ``_linked``).
+
+N-grams are 64-bit hashes, document sets are told apart by 128 bits: two different n-grams
+have one hash with a chance of about 2 ** -58 a pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.llm.common import Scratch, map_batches, sent_if_small, texts
+from plurality.llm.common import Scratch, bound_batches, map_batches, sent_if_small, texts
 from plurality.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: N-grams a chunk of a large cluster holds at most (unless one document has more).
-CHUNK_NGRAMS = 1_500_000
-CACHE_WORDS = 400_000
+#: N-grams a block or chunk holds about at most (unless one document has more).
+CHUNK_NGRAMS = 250_000
+#: Documents of a chunked cluster that are in every chunk, about.
+HUBS = 32
 #: Rows of the block table (four numbers each) up to which it is sent to every executor.
 BROADCAST_ROWS = 200_000
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-SHIFT = np.uint64(33)
+SHIFT, HALF = np.uint64(33), np.uint64(32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,23 +57,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> SHIFT)
 
 
-@lru_cache(maxsize=CACHE_WORDS)
-def _word(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def shingles(text: str, size: int) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams (shorter texts: all words as one)."""
     words = text.encode("utf-8").translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array(list(map(_word, words)), np.uint64)
+    # remembering words would cost more than hashing them again
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(size, len(h))
     count = len(h) - width + 1
-    total = np.full(count, width, np.uint64)
-    for i in range(width):
-        total = mixed(total + h[i : i + count]) if i else mixed(h[:count] + np.uint64(width))
-    return np.unique(total)
+    total = h[:count] + np.uint64(width)
+    for i in range(1, width):
+        total *= MIX1
+        total += h[i : i + count]
+    total = np.sort(mixed(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 class Signatures:
@@ -93,6 +99,7 @@ class Signatures:
         n = len(tokens)
         if not n:
             return np.empty(0, np.int64)
+        tokens = np.sort(tokens)
         own = self.bucket(n)
         found = [self._cells(tokens, own)]
         # as the larger of a pair whose smaller set is one bucket below
@@ -110,12 +117,13 @@ class Signatures:
         cells = h + 1 if h == 0 else int((h + 1) / (1 - np.exp(-0.8 * low / (h + 1)))) + 3
         out = []
         for level in range(self.LEVELS):
-            cell = (mixed(tokens + np.uint64(level + 1)) % np.uint64(cells)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
-            sums = np.add.reduceat(mixed(tokens[order]), starts)
+            # hashes are dealt by their size, so sorted ones lie cell by cell
+            dealt = tokens if not level else np.sort(mixed(tokens + np.uint64(level)))
+            cell = (dealt >> HALF) * np.uint64(cells) >> HALF
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            sums = np.add.reduceat(mixed(dealt), starts)
             tag = np.uint64((bucket * (self.LEVELS + 1) + level) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-            out.append(mixed(mixed(sums + tag) + cell[order][starts].astype(np.uint64)))
+            out.append(mixed(mixed(sums + tag) + cell[starts]))
             if len(starts) > h:
                 return np.concatenate(out)
         least = -(-self.percent * len(tokens) // 100)
@@ -232,6 +240,16 @@ class PrefixTree:
         self.flag[path] = False
         return np.array(found, np.int64)
 
+    def met(self, walks: np.ndarray, open_: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For each walking set the least id of the open sets it links with, else its own."""
+        place = np.array(self.place)
+        out, inside = ids.copy(), open_[place]
+        for at in np.flatnonzero(walks[place]):
+            near = self.links(int(at), inside)
+            if len(near):
+                out[place[at]] = ids[place[near]].min()
+        return out[walks]
+
     def components(self) -> np.ndarray:
         """For each set (in given order) the index of a set that names its component."""
         m = len(self.place)
@@ -282,10 +300,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(kind, np.array([end[0]]), np.array([end[1]]), np.array([end[1]]))
 
 
-def _clusters(base: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, component`` over documents that share a cell, directly or by others."""
-    spark = base.sparkSession
-    cells = base.select(F.explode("cells").alias("cell"), "doc")
+def _tied(cells: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, component`` over documents of ``cells(cell long, doc long)`` that share a cell,
+    directly or by others."""
+    spark = cells.sparkSession
     dealt = cells.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell", "doc").sortWithinPartitions("cell", "doc")
     starred = scratch.keep(dealt.mapInArrow(_stars, "kind int, part int, cell long, a long, b long"))
     # two rows a partition: a cell that goes on in the next partition joins both hubs
@@ -307,38 +325,150 @@ def _set_key(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def _clusters(classes: DataFrame, tied: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rep, k1, k2, n, cluster, ngrams, sets`` of classes that are not alone in a cluster.
+
+    A class is of the cluster of its ``rep``; sizes of clusters ride on its rows.
+    """
+    inside = scratch.keep(classes.join(tied.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep").select("rep", "k1", "k2", "n", "cluster"))
+    totals = inside.groupBy("cluster").agg(F.sum("n").alias("ngrams"), F.count("*").alias("sets")).where("sets > 1")
+    found = scratch.keep(inside.join(totals, "cluster").select("rep", "k1", "k2", "n", "cluster", "ngrams", "sets"))
+    scratch.drop(inside)
+    return found
+
+
+def _with_texts(source: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """``wanted`` (by ``rep``) with the rows of ``source`` that have the id.
+
+    Mostly few documents are wanted: spare the others the shuffle if the wanted rows are few
+    enough to be sent.
+    """
+    return source.join(sent_if_small(wanted.withColumnRenamed("rep", "doc"), scratch, BROADCAST_ROWS), "doc")
+
+
+def _redealt(source: DataFrame, classes: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
+    """``node, component`` over documents of large clusters that share a rare n-gram.
+
+    A set of ``n`` n-grams lacks at most ``n - ceil(t n)`` in a set that it links with. So in
+    any order of all n-grams the first shared one is among its first ``n - ceil(t n) + 1``,
+    and the same holds for the other set. Here the order is by the number of sets that hold
+    an n-gram, then by hash; those of one set only can be shared with none and are left out.
+    An id with several sets is one document of all their n-grams, of which so many more are
+    looked at as its other sets have.
+    """
+    least = F.ceil(F.col("n") * percent / 100)
+    # n-grams of a document that need not be looked at
+    spared = classes.groupBy("rep").agg((F.min(least) - 1).cast("int").alias("spared"))
+    wanted = classes.join(spared, "rep").select("rep", "k1", "k2", "spared")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, spared = (batch.column(i).to_numpy() for i in (0, 3))
+            k1, k2 = (batch.column(i).to_pylist() for i in (1, 2))
+            sets = [shingles(x, size) for x in texts(batch.column(4))]
+            own = [i for i, x in enumerate(sets) if _set_key(x) == (k1[i], k2[i])]
+            if own:
+                counts = [len(sets[i]) for i in own]
+                columns = np.concatenate([sets[i] for i in own]).view(np.int64), np.repeat(ids[own], counts), np.repeat(spared[own], counts)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "doc", "spared"])
+
+    laid = _with_texts(source, wanted, scratch).select("doc", "k1", "k2", "spared", "text")
+    tokens = scratch.keep(laid.mapInArrow(cut, "cell long, doc long, spared int"))
+    shared = tokens.groupBy("cell").agg(F.count("*").alias("sets")).where("sets > 1")
+    ranked = tokens.join(shared, "cell")
+    of_doc = Window.partitionBy("doc")
+    first = ranked.select("cell", "doc", F.row_number().over(of_doc.orderBy("sets", "cell")).alias("at"), F.count("*").over(of_doc).alias("shared"), "spared").where("at <= shared - spared")
+    found = _tied(first.select("cell", "doc"), scratch)
+    scratch.drop(tokens)
+    return found
+
+
+#: What a set is to its block: one that walks and is met, one that walks only, one met only.
+BOTH, WALKS, MET = 0, 1, 2
+
+
 def _join_blocks(percent: int, size: int):
     """Streams rows sorted by block and joins one block at a time."""
 
-    def flush(docs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        ids = np.array(docs, np.int64)
-        label = PrefixTree(sets, percent).components()
-        least = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least[label])], ["a", "b"])
+    def flush(docs: list[int], sets: list[np.ndarray], roles: list[int]) -> pa.RecordBatch:
+        ids, role = np.array(docs, np.int64), np.array(roles)
+        tree = PrefixTree(sets, percent)
+        if (role == BOTH).all():
+            label = tree.components()
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, ids)
+            a, b = ids, least[label]
+        else:
+            a, b = ids[role == WALKS], tree.met(role == WALKS, role == MET, ids)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, sets, seen = None, [], [], None
+        key, docs, sets, roles, seen = None, [], [], [], None
         for batch in batches:
-            blocks, ids, k1, k2 = (batch.column(i).to_pylist() for i in range(4))
-            for i, text in enumerate(batch.column(4)):
+            blocks, ids, k1, k2, role = (batch.column(i).to_pylist() for i in range(5))
+            for i, text in enumerate(batch.column(5)):
                 if blocks[i] != key and docs:
-                    yield flush(docs, sets)
-                    docs, sets = [], []
+                    yield flush(docs, sets, roles)
+                    docs, sets, roles = [], [], []
                 key = blocks[i]
                 now = key, ids[i], k1[i], k2[i]
-                tokens = shingles(text.as_py(), size)
+                if now == seen:
+                    continue
                 # a repeated id brings each of its rows; only the class's own text counts
-                if now != seen and _set_key(tokens) == now[2:]:
+                tokens = shingles(text.as_py() or "", size)
+                if _set_key(tokens) == now[2:]:
                     seen = now
                     docs.append(ids[i])
                     sets.append(tokens)
+                    roles.append(role[i])
         if docs:
-            yield flush(docs, sets)
+            yield flush(docs, sets, roles)
 
     return run
 
 
+def _linked(source: DataFrame, units: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
+    """``node, component`` over verified links inside clusters.
+
+    A cluster of one chunk is a block. Of larger ones each chunk is a block, with about
+    ``HUBS`` documents that all chunks have, so that copies of one text become one component
+    whatever their number. Links that are left have an end outside the largest component:
+    such documents are joined with each other in pairs of chunks, and walk the trees of the
+    largest component's chunks, each link of theirs to it being one row. This work grows
+    with the cluster times the part outside its largest component, and no link is lost.
+    """
+
+    def joined(blocks: DataFrame) -> DataFrame:
+        laid = _with_texts(source, blocks.select("rep", "k1", "k2", "block", "role"), scratch).select("block", "doc", "k1", "k2", "role", "text")
+        bound_batches(source.sparkSession)
+        return laid.repartition("block").sortWithinPartitions("block", "doc", "k1", "k2").mapInArrow(_join_blocks(percent, size), "a long, b long")
+
+    chunks = lambda ngrams: F.ceil(F.col(ngrams) / CHUNK_NGRAMS).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("rep", "k1"), n).cast("int")
+    dealt = units.withColumn("chunks", chunks("ngrams"))
+    hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("k2", "rep"), F.greatest(F.lit(1), F.col("sets") / HUBS).cast("long")) == 0)
+    places = F.when(hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own(F.col("chunks"))))
+    alone = dealt.withColumn("chunk", F.explode(places)).select("rep", "k1", "k2", F.xxhash64("cluster", "chunk").alias("block"), F.lit(BOTH).alias("role"))
+    first = scratch.keep(joined(alone).where("a <> b"))
+    if not dealt.where("chunks > 1").limit(1).count():
+        return connected_components(first, scratch)
+    parts = connected_components(first, scratch)
+    large = scratch.keep(dealt.where("chunks > 1").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "k1", "k2", "n", "cluster", F.coalesce("component", "rep").alias("part")))
+    sums = large.groupBy("cluster", "part").agg(F.sum("n").alias("ngrams"))
+    most = sums.groupBy("cluster").agg(F.max(F.struct("ngrams", "part")).alias("most"), F.sum("ngrams").alias("all")).select("cluster", F.col("most.part").alias("main"), F.col("most.ngrams").alias("inner"), (F.col("all") - F.col("most.ngrams")).alias("outer"))
+    placed = large.join(most.where("outer > 0"), "cluster").withColumn("in_main", F.col("part") == F.col("main")).withColumn("ins", chunks("inner")).withColumn("outs", chunks("outer"))
+    placed = placed.withColumn("chunk", own(F.when(F.col("in_main"), F.col("ins")).otherwise(F.col("outs"))))
+    block = lambda kind, a, b: F.xxhash64("cluster", F.lit(kind), a, b).alias("block")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    keys = ["rep", "k1", "k2"]
+    outside, inside = placed.where(~F.col("in_main")), placed.where("in_main")
+    pairs = outside.select(*keys, "cluster", "chunk", each("outs")).select(*keys, block("pair", F.least("chunk", "other"), F.greatest("chunk", "other")), F.lit(BOTH).alias("role"))
+    walkers = outside.select(*keys, "cluster", "chunk", each("ins")).select(*keys, block("walk", "chunk", "other"), F.lit(WALKS).alias("role"))
+    met = inside.select(*keys, "cluster", "chunk", each("outs")).select(*keys, block("walk", "other", "chunk"), F.lit(MET).alias("role"))
+    second = joined(pairs.union(walkers).union(met)).where("a <> b")
+    return connected_components(first.union(second), scratch)
+
+
 def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id``.
 
@@ -368,27 +498,20 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
         )
 
     signed = scratch.keep(map_batches(source, ["doc", "text"], describe, "doc long, n long, k1 long, k2 long, cells array<long>"))
-    clusters = _clusters(signed, scratch)
+    tied = _tied(signed.select(F.explode("cells").alias("cell"), "doc"), scratch)
     base = scratch.keep(signed.select("doc", "n", "k1", "k2"))
     scratch.drop(signed)
 
-    # equal sets of a cluster are one class, told by the smallest id
-    members = scratch.keep(base.where("n > 0").join(clusters.withColumnsRenamed({"node": "doc", "component": "cluster"}), "doc"))
-    classes = scratch.keep(members.groupBy("cluster", "k1", "k2").agg(F.min("doc").alias("rep"), F.max("n").alias("n")))
-    totals = classes.groupBy("cluster").agg(F.sum("n").alias("ngrams"), F.count("*").alias("sets")).where("sets > 1")
-    chunks = F.ceil(F.col("ngrams") / CHUNK_NGRAMS).cast("int")
-    dealt = classes.join(totals, "cluster").select("rep", "k1", "k2", "cluster", chunks.alias("chunks"), F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"))
-    # a block is a pair of chunks (of a chunk with itself where there is one only)
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    paired = dealt.select("*", other)
-    blocks = paired.select(F.col("rep").alias("doc"), "k1", "k2", F.xxhash64("cluster", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"))
-    # texts of a small share of documents are needed: spare the others the shuffle if the
-    # wanted rows are few enough to be sent
-    blocks = sent_if_small(blocks, scratch, BROADCAST_ROWS)
-    laid = source.join(blocks, "doc").select("block", "doc", "k1", "k2", "text").repartition("block").sortWithinPartitions("block", "doc", "k1", "k2")
-    linked = connected_components(laid.mapInArrow(_join_blocks(percent, size), "a long, b long"), scratch)
-
-    reps = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "k1", "k2", F.coalesce("component", "rep").alias("found"))
-    joined = members.join(reps, ["cluster", "k1", "k2"]).select("doc", "k1", "k2", "found").distinct()
-    out = base.join(joined, ["doc", "k1", "k2"], "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("found", "doc").alias("component_id"))
+    # equal sets are one class, told by the smallest id
+    classes = scratch.keep(base.where("n > 0 AND doc IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.max("n").alias("n")))
+    units = _clusters(classes, tied, scratch)
+    large = F.col("ngrams") > CHUNK_NGRAMS
+    if units.where(large).limit(1).count():
+        again = units.where(large).select("rep", "k1", "k2", "n")
+        units = scratch.keep(units.where(~large).union(_clusters(again, _redealt(source, again, percent, size, scratch), scratch)))
+    linked = _linked(source, units, percent, size, scratch)
+
+    reps = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("found"))
+    joined = base.where("n > 0 AND doc IS NOT NULL").join(reps, ["k1", "k2"])
+    rest = base.where("n = 0 OR doc IS NULL").withColumn("found", F.col("doc"))
+    return joined.select("doc", "n", "found").union(rest.select("doc", "n", "found")).toDF(id_col, "n_shingles", "component_id")
