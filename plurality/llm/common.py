@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -9,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds on its way to Python. Texts may be long, so batches are
-#: small; memory follows the batch, never the partition.
+#: Rows and bytes an Arrow batch holds on its way to Python. Texts may be long, so batches
+#: are small; memory follows the batch, never the partition.
 BATCH_ROWS = 1024
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,21 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fallback for tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session without other executors takes a new temporary folder; any
+    other session is an error, as a folder of one machine would lose tables.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir("/tmp/checkpoints")
-    return context.getCheckpointDir().rstrip("/")
+    if not (found or context.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return (found or context.getCheckpointDir()).rstrip("/")
 
 
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor rereads them.
 
     ``keep`` writes a frame and returns the reread table; ``drop`` removes one that no
-    later step reads.
+    later step reads. What is left goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -42,7 +49,15 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.count = 0
 
+    def _place(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def keep(self, frame: DataFrame) -> DataFrame:
+        if not self.count:
+            place, files = self._place(self.root)
+            files.mkdirs(place)
+            files.deleteOnExit(place)
         self.count += 1
         path = f"{self.root}/{self.count}"
         frame.write.mode("overwrite").parquet(path)
@@ -53,9 +68,8 @@ class Scratch:
     def drop(self, frame: DataFrame) -> None:
         path = self.paths.pop(id(frame), None)
         if path:
-            hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-            hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+            place, files = self._place(path)
+            files.delete(place, True)
 
 
 #: Rows of identifiers that are sent to every executor at most (about 16 bytes each).
@@ -71,6 +85,18 @@ def sent_if_small(frame: DataFrame, scratch: Scratch, rows: int = SENT_ROWS) ->
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits on Arrow batches, where they are above the ones here.
+
+    The limits are read when a query runs, so they can not be set for one plan alone.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub("[^0-9-]", "", spark.conf.get(key)))
+        if now > most or now <= 0:
+            spark.conf.set(key, most)
+
+
 def map_batches(
     frame: DataFrame,
     columns: list[str],
@@ -78,6 +104,7 @@ def map_batches(
     schema: str,
 ) -> DataFrame:
     """Run ``step`` over the Arrow columns of each batch; it gets one array per column."""
+    bound_batches(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

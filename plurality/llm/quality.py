@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import Scratch, map_batches, texts
+from plurality.llm.common import Scratch, bound_batches, map_batches, texts
 
 #: Most labelled rows that a fit uses; of more, a share chosen by a hash of the id.
 MAX_FIT_ROWS = 20_000
@@ -86,11 +86,15 @@ class Model:
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing fit of labels to scores: centre and level of each pooled block."""
-    order = np.argsort(scores, kind="stable")
+    """Non-decreasing fit of labels to scores: centre and level of each pooled block.
+
+    Equal scores are one block from the start, so the order of ties does not matter.
+    """
+    values, where, counts = np.unique(scores, return_inverse=True, return_counts=True)
+    sums = np.bincount(where, labels, len(values))
     blocks: list[list[float]] = []
-    for s, y in zip(scores[order].tolist(), labels[order].tolist(), strict=True):
-        blocks.append([s, y, 1.0])
+    for s, y, n in zip((values * counts).tolist(), sums.tolist(), counts.tolist(), strict=True):
+        blocks.append([s, y, float(n)])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             s2, y2, n2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s2, blocks[-1][1] + y2, blocks[-1][2] + n2]
@@ -125,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     ``labels`` may repeat an id (its mean label, at least one half, counts as 1) and hold
     nulls (not used). With no usable label every score is 0.5; with one class only, that
     class's share. What reaches the driver: the sums of ``FIT_PARTS`` partitions, and the
-    calibration part of the bounded sample.
+    calibration part of the bounded sample (all of the sample if that part is empty).
     """
     scratch = Scratch(docs.sparkSession)
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
@@ -160,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     line = sum(np.frombuffer(r.line) for r in sums) if sums else np.zeros(size)
     n = max(1, sum(r.n for r in sums))
     model.coef = np.linalg.solve(square / n + RIDGE * np.eye(size), line / n)
-    rest = sample.where(held).select("doc", "x", "y").collect() or sample.select("doc", "x", "y").limit(1000).collect()
+    rest = sample.where(held).select("doc", "x", "y").collect() or sample.select("doc", "x", "y").collect()
     rest.sort(key=lambda r: (r.doc, r.x))
     raw = model.raw(np.array([r.x for r in rest]))
     model.xs, model.ys = isotonic(raw, np.array([r.y for r in rest]))
@@ -179,8 +183,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accept(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``, all columns as they were."""
+    """The rows of ``docs`` whose score is at least ``least``, all columns as they were.
 
+    A null or empty text has the score of an empty text; a text of any length is read whole,
+    and a worker holds one Arrow batch at a time.
+    """
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
