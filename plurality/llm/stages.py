@@ -22,8 +22,9 @@ VOCAB = "word_bpe_49k.json"
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose quality score is under ``REJECT_BELOW``; all rows are scored.
 
-    Learns from the labels of documents that are not held out (see ``quality``). Repeated
-    rows get the same verdict; null and empty texts are judged as empty texts.
+    Learns from the labels of documents that are not held out (see ``quality``). Without
+    such labels every score is 0.5, so all documents stay. Repeated rows get the same
+    verdict; null and empty texts are judged as empty texts.
     """
     learnable = table(spark, sf_dir, "labels").where(~F.coalesce(quality.held_out(), F.lit(True)))
     model = quality.fit(docs, learnable)
@@ -47,8 +48,13 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret found in a text, and counts ``n_chars`` anew; no row goes."""
+    """Replaces every secret found in a text, and counts ``n_chars`` anew; no row goes.
+
+    A null text stays null, and so its count; a table without ``n_chars`` gets none.
+    """
     clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 
