@@ -7,7 +7,9 @@ Two evaluators share one reading of the file:
   number of initial symbols minus the merges done; no identifiers are built.
 * ``encode``: identifiers. A piece longer than ``LEAF`` symbols is cut in halves down to
   leaves; leaves are independent of each other and encoded on their own, then neighbours
-  are joined upwards. At each join a window around the seam is encoded anew and grown
+  are joined upwards. Of texts with a run of ``LONG_RUN`` characters or more between white
+  space, the leaves (``WIDE_LEAF`` symbols each) are rows of their own, encoded by all
+  tasks in parallel, and one task joins what they come to. At each join a window around the seam is encoded anew and grown
   until its first token is the left side's token there and its last one the right side's.
   All neighbours inside a window, or inside a side, are neighbours in a true encoding, and
   a sequence whose every adjacent pair is such is the encoding of the whole.
@@ -22,20 +24,30 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
+import struct
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from plurality.llm.common import map_batches, texts
+from plurality.llm.common import Scratch, bound_batches, map_batches, texts
 
 LEAF = 256
-#: Distinct words whose result a worker remembers; the table starts anew when full.
-CACHE_WORDS = 300_000
+#: Unsplit characters from which a text's leaves are dealt to all tasks, and the symbols of
+#: such a leaf.
+LONG_RUN, WIDE_LEAF = 200_000, 16_384
+#: Symbols up to which a leaf is merged without a heap; no rank; bits of a symbol.
+FEW, NONE, LOW_BITS = 40, 1 << 62, (1 << 20) - 1
+#: Words, and their pieces, of at most this length are remembered by a worker, this many of
+#: each in a generation.
+CACHE_CHARS, CACHE_WORDS = 64, 120_000
 
 # The vocabulary's splitting pattern (here for strings without white space).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
@@ -60,18 +72,21 @@ class Vocabulary:
         model = content["model"]
         ids = model["vocab"]
         end = model.get("end_of_word_suffix") or ""
-        self.names = {number: name for name, number in ids.items()}
         self.special = {x["content"]: x["id"] for x in content["added_tokens"]}
-        self.names.update({number: name for name, number in self.special.items()})
+        names = {number: name for name, number in (ids | self.special).items()}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         symbols = _byte_symbols()
         self.inner = [ids[s] for s in symbols]
         self.last = [ids[s + end] for s in symbols]
         self.parts: dict[int, tuple[int, int]] = {}
         self.ranks: dict[int, tuple[int, int]] = {}
+        #: The same for ``_leaf``: rank and merged symbol in one number.
+        self.steps: dict[int, int] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             merged = ids[a + b]
             self.ranks.setdefault(ids[a] << 20 | ids[b], (rank, merged))
+            self.steps.setdefault(ids[a] << 20 | ids[b], rank << 20 | merged)
             self.parts.setdefault(merged, (ids[a], ids[b]))
 
     def chunks(self, text: str) -> list[str]:
@@ -134,7 +149,20 @@ class Vocabulary:
         return initial - self._merge(cells)[0]
 
     def _leaf(self, symbols: list[int]) -> list[int]:
-        return [x for x in self._merge(list(symbols))[1] if x >= 0]
+        """Merges of few symbols: the list of adjacent pairs' ranks is searched anew."""
+        if len(symbols) > FEW:
+            return [x for x in self._merge(list(symbols))[1] if x >= 0]
+        cells, get = list(symbols), self.steps.get
+        found = [get(a << 20 | b, NONE) for a, b in zip(cells, cells[1:])]
+        while found and (least := min(found)) < NONE:
+            i, merged = found.index(least), least & LOW_BITS
+            cells[i : i + 2] = (merged,)
+            del found[i]
+            if i:
+                found[i - 1] = get(cells[i - 1] << 20 | merged, NONE)
+            if i < len(found):
+                found[i] = get(merged << 20 | cells[i + 1], NONE)
+        return cells
 
     def spell(self, tokens: list[int]) -> list[int]:
         """The initial symbols that the tokens were merged from."""
@@ -167,10 +195,17 @@ class Vocabulary:
             if part not in known:
                 known[part] = self._leaf(list(part))
             level.append(known[part])
+        return self.joined(level)
+
+    def joined(self, level: list[list[int]]) -> list[int]:
+        """Encodings of neighbouring leaves, joined two by two up to one."""
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
+    def pieces(self, chunk: str) -> list[str]:
+        return [chunk] if chunk.isascii() and chunk.isalpha() and "'" not in chunk else PIECES.findall(chunk)
+
     def encode_piece(self, piece: str, leaf: int = LEAF) -> list[int]:
         return self.encode_symbols(self.symbols(piece), leaf)
 
@@ -181,13 +216,13 @@ class Vocabulary:
                 out.append(self.special[section])
             else:
                 for chunk in self.chunks(section):
-                    for piece in PIECES.findall(chunk):
+                    for piece in self.pieces(chunk):
                         out += self.encode_piece(piece, leaf)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: token strings, parted by blanks."""
-        return " ".join(self.names[x] for x in ids)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=4)
@@ -195,55 +230,110 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Remembered(dict):
+    """Results of short words, in two generations: when the younger one is full it becomes
+    the older one, and words of that which come up again move back."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, word: str):
+        found = self.older.get(word)
+        if found is None:
+            found = self.compute(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Counter:
-    """Token counts of texts, remembering the count of each distinct word."""
+    """Token counts of texts, remembering the count of each distinct short word."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known = vocab, {}
+        self.vocab, self.known, self.parts = vocab, Remembered(self.word), Remembered(vocab.count_piece)
 
     def word(self, word: str) -> int:
-        if len(self.known) >= 2 * CACHE_WORDS:
-            self.known.clear()
-        found = self.known[word] = sum(map(self.vocab.count_piece, PIECES.findall(word)))
-        return found
+        pieces = self.vocab.pieces(word)
+        return sum(map(self.parts.__getitem__, pieces)) if len(pieces) > 1 else self.vocab.count_piece(word)
 
     def text(self, text: str) -> int:
-        total, known = 0, self.known
+        total, known = 0, self.known.__getitem__
         for i, section in enumerate(self.vocab.sections(text)):
-            if i % 2:
-                total += 1
-            else:
-                for word in self.vocab.chunks(section):
-                    n = known.get(word)
-                    total += self.word(word) if n is None else n
+            total += 1 if i % 2 else sum(map(known, self.vocab.chunks(section)))
         return total
 
 
 class Encoder:
-    """(identifiers as little-endian bytes, decoded text), remembering distinct words."""
+    """Identifiers as little-endian bytes, remembering those of each distinct short word."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known = vocab, {}
-        self.special = {s: (np.array([n], "<u4").tobytes(), s) for s, n in vocab.special.items()}
-
-    def word(self, word: str) -> tuple[bytes, str]:
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        ids = [x for piece in PIECES.findall(word) for x in self.vocab.encode_piece(piece)]
-        found = np.array(ids, "<u4").tobytes(), self.vocab.decode(ids)
-        if len(word) <= 64:
-            self.known[word] = found
-        return found
+        self.vocab, self.known, self.parts = vocab, Remembered(self.word), Remembered(self.piece)
+        self.special = {s: np.array([n], "<u4").tobytes() for s, n in vocab.special.items()}
+
+    def piece(self, piece: str) -> bytes:
+        return packed(self.vocab.encode_piece(piece))
+
+    def word(self, word: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.vocab.pieces(word)))
 
     def text(self, text: str) -> tuple[bytes, str]:
-        parts, known = [], self.known
+        """(identifiers, decoded text)."""
+        ids = self.ids(text)
+        return ids, self.vocab.decode(unpacked(ids))
+
+    def ids(self, text: str) -> bytes:
+        parts, known = [], self.known.__getitem__
         for i, section in enumerate(self.vocab.sections(text)):
             if i % 2:
                 parts.append(self.special[section])
             else:
-                for word in self.vocab.chunks(section):
-                    parts.append(known.get(word) or self.word(word))
-        return b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts])
+                parts += map(known, self.vocab.chunks(section))
+        return b"".join(parts)
+
+    def leaves(self, text: str) -> Iterator[tuple[int, bytes]]:
+        """(piece, identifiers or symbols) in order. Pieces are numbered from 1 where they
+        are long and come as symbols, a leaf each; 0 marks identifiers of all between."""
+        done: list[bytes] = []
+        long = 0
+        for i, section in enumerate(self.vocab.sections(text)):
+            if i % 2:
+                done.append(self.special[section])
+                continue
+            for chunk in self.vocab.chunks(section):
+                if len(chunk) < WIDE_LEAF:
+                    done.append(self.known[chunk])
+                    continue
+                for piece in self.vocab.pieces(chunk):
+                    symbols = self.vocab.symbols(piece)
+                    if len(symbols) <= WIDE_LEAF:
+                        done.append(packed(self.vocab.encode_symbols(symbols)))
+                        continue
+                    yield 0, b"".join(done)
+                    done, long = [], long + 1
+                    for at in range(0, len(symbols), WIDE_LEAF):
+                        yield long, packed(symbols[at : at + WIDE_LEAF])
+        yield 0, b"".join(done)
+
+    def put_together(self, leaves: list[tuple[int, bytes]]) -> bytes:
+        """Identifiers of a text from its leaves, those of long pieces being encoded."""
+        out = []
+        for piece, run in itertools.groupby(leaves, key=lambda x: x[0]):
+            parts = [x[1] for x in run]
+            out += [packed(self.vocab.joined([unpacked(x) for x in parts]))] if piece else parts
+        return b"".join(out)
+
+
+def packed(ids: list[int]) -> bytes:
+    """As little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unpacked(data: bytes) -> list[int]:
+    return np.frombuffer(data, "<u4").tolist()
 
 
 @functools.lru_cache(maxsize=4)
@@ -275,29 +365,91 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
     return map_batches(docs, [id_col, text_col], step, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
+def _result(vocab_path: str, digests: bool, id_col: str):
+    """Builds the output batch from ids of rows and their packed identifiers."""
+
+    def build(ids: pa.Array, done: list[bytes]) -> pa.RecordBatch:
+        decode = vocabulary(vocab_path).decode
+        counts = pa.array([len(x) // 4 for x in done], pa.int64())
+        decoded = (decode(unpacked(x)) for x in done)
+        if digests:
+            more = [pa.array([hashlib.sha256(x).hexdigest() for x in done], pa.string()), pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in decoded], pa.string())]
+            names = ["ids_sha256", "decoded_sha256"]
+        else:
+            flat = np.frombuffer(b"".join(done), "<u4").astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(counts.to_numpy())]).astype(np.int32)
+            more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(list(decoded), pa.string())]
+            names = ["ids", "decoded"]
+        return pa.RecordBatch.from_arrays([ids, counts, *more], [id_col, "n_tokens", *names])
+
+    return build
+
+
+def _encode_wide(long: DataFrame, vocab_path: str, build, id_col: str, text_col: str, schema: str, scratch: Scratch) -> DataFrame:
+    """The same result for texts with long unsplit runs: leaves are dealt to all tasks.
+
+    A task holds one text's identifiers when it joins them; what it encodes anew are the
+    windows around the seams.
+    """
+    kind = dict(long.dtypes)[id_col]
+    keyed = scratch.keep(long.select(F.monotonically_increasing_id().alias("row"), id_col, text_col))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(vocab_path)
+        for batch in batches:
+            for row, id_, text in zip(batch.column(0).to_pylist(), batch.column(1), texts(batch.column(2)), strict=True):
+                for at, (piece, data) in enumerate(encoder.leaves(text)):
+                    columns = [pa.array([row], pa.int64()), pa.array([id_.as_py()], id_.type), pa.array([at], pa.int32()), pa.array([piece], pa.int32()), pa.array([data], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", id_col, "at", "piece", "data"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(vocab_path)
+        for batch in batches:
+            data = [packed(vocab.encode_symbols(unpacked(x))) if piece else x for piece, x in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(data, pa.binary())], batch.schema.names)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, key, id_, leaves = _encoder(vocab_path), None, None, []
+        for batch in batches:
+            for row, own, piece, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if row != key and key is not None:
+                    yield build(pa.array([id_.as_py()], id_.type), [encoder.put_together(leaves)])
+                    leaves = []
+                key, id_ = row, own
+                leaves.append((piece, data))
+        if key is not None:
+            yield build(pa.array([id_.as_py()], id_.type), [encoder.put_together(leaves)])
+
+    spec = f"row long, `{id_col}` {kind}, at int, piece int, data binary"
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    encoded = keyed.mapInArrow(cut, spec).repartition(parts, "row", "at").mapInArrow(encode, spec)
+    return encoded.repartition(parts, "row").sortWithinPartitions("row", "at").mapInArrow(join, schema)
+
+
 def encode_texts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row per input row: the encoding and its decoding.
 
     ``digests=False`` returns ``id, n_tokens, ids array<int>, decoded``; ``digests=True``
     returns SHA-256 of the identifiers (little-endian unsigned 32-bit) and of the decoded
     text instead, so that only digests travel. Null or empty text: no identifiers and an
-    empty decoded text. No shuffle; one pass.
+    empty decoded text; a null id and repeated rows stay; other columns are not read. One
+    pass without a shuffle, but for texts that hold a run of ``LONG_RUN`` characters without
+    white space, whose leaves are dealt to all tasks.
     """
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
+    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    schema = f"`{id_col}` {kind}, n_tokens long, {rest}"
+    build = _result(vocab_path, digests, id_col)
 
     def step(ids: pa.Array, column: pa.Array) -> pa.RecordBatch:
         encoder = _encoder(vocab_path)
-        done = [encoder.text(x) for x in texts(column)]
-        counts = pa.array([len(x[0]) // 4 for x in done], pa.int64())
-        if digests:
-            more = [pa.array([hashlib.sha256(x[0]).hexdigest() for x in done]), pa.array([hashlib.sha256(x[1].encode("utf-8")).hexdigest() for x in done])]
-            names = ["ids_sha256", "decoded_sha256"]
-        else:
-            flat = np.frombuffer(b"".join(x[0] for x in done), "<u4").astype(np.int32)
-            ends = np.concatenate([[0], np.cumsum(counts.to_numpy())]).astype(np.int32)
-            more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([x[1] for x in done], pa.string())]
-            names = ["ids", "decoded"]
-        return pa.RecordBatch.from_arrays([ids, counts, *more], [id_col, "n_tokens", *names])
-
-    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return map_batches(docs, [id_col, text_col], step, f"`{id_col}` {kind}, n_tokens long, {rest}")
+        return build(ids, [encoder.ids(x) for x in texts(column)])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    wide = (F.length(text) >= LONG_RUN) & text.rlike(rf"(?<![^\s])[^\s]{{{LONG_RUN}}}")
+    long = docs.where(wide)
+    if not long.limit(1).count():
+        return map_batches(docs, [id_col, text_col], step, schema)
+    short = map_batches(docs.where(~wide), [id_col, text_col], step, schema)
+    return short.union(_encode_wide(long, vocab_path, build, id_col, text_col, schema, Scratch(docs.sparkSession)))

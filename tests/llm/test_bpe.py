@@ -44,6 +44,29 @@ def test_long_unsplit(text):
     same(text)
 
 
+def test_leaves_dealt_to_tasks_join_to_the_same(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_RUN", 90)
+    monkeypatch.setattr(bpe, "WIDE_LEAF", 16)
+    rows = [(i, t) for i, t in enumerate([*ODD, "x " + "the" * 40 + "1234" * 30 + " y " + "é" * 95 + "<|endoftext|>" + "ab'll" * 30, None, "z" * 89, "q" * 90])]
+    rows += [(5, "a" * 3001), (None, "ba" * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS at").repartition(3)
+    encode = lambda t: LIBRARY.encode(t or "", add_special_tokens=False).ids
+    want = sorted(((d, encode(t), LIBRARY.decode(encode(t), skip_special_tokens=False)) for d, t in rows), key=str)
+    got = sorted(((r.doc_id, r.ids, r.decoded) for r in bpe.encode_texts(docs, PATH).collect()), key=str)
+    assert got == want
+    digests = {(r.doc_id, r.ids_sha256) for r in bpe.encode_texts(docs, PATH, digests=True).collect()}
+    assert digests == {(d, hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest()) for d, i, _ in want}
+
+
+def test_remembered_words_move_between_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    encoder = bpe.Encoder(bpe.vocabulary(PATH))
+    words = [f"word{i % 7}" for i in range(60)] + ["x" * 80] * 2
+    for w in words:
+        assert encoder.ids(w) == np.array(LIBRARY.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(encoder.known) <= 5 and "x" * 80 not in encoder.known
+
+
 def test_frames(spark):
     rows = [(1, "Hello, world"), (2, None), (None, "x"), (1, "Hello, world"), (3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "2 AS ids")
