@@ -6,21 +6,22 @@ a time walks down the tree; the overlap counted at a node serves all sets below
 subtree is left when even the rest of its longest set, or the rest of the walking set, can
 not lift the overlap to what the threshold asks of the subtree's shortest set.
 
-Which sets meet in a block is exact as well. If two sets with similarity ``t`` have sizes
-``m <= n``, they differ in at most ``m (1 - t) / t`` n-grams. N-grams are dealt by hash into
-more cells than that, so at least one cell is equal in both and (as shown in
-``signatures``) not empty. Equal cells are found by one range-partitioned sort of
-(cell hash, document), which splits a cell that very many documents share, and only each
-document's pair with the cell's first one leaves it. Connected documents form clusters;
-every link lies inside one.
-
-A passage that many documents share can fill a cell and tie unlike documents into one
-cluster. Clusters of more than ``CHUNK_NGRAMS`` n-grams are therefore dealt a second time, by
-their rarest n-grams: with all n-grams in one order, rarest first, linked sets share one of
-their first ``n - ceil(t n) + 1`` (see ``_redealt``). What is still too large for one task is
-cut into chunks, each joined on its own together with a few hub documents. Pairs of chunks
-are then joined for the documents that are not of the cluster's largest component so far:
-those walk the trees of all chunks (see ``_linked``).
+Which sets meet in a block is exact as well. A set of ``n`` n-grams lacks at most
+``n - ceil(t n)`` of them in a set that it links with. So, all n-grams being in one order,
+any order, the first ``k`` shared ones are among its first ``n - ceil(t n) + k``. This is
+used twice:
+
+* In the order of hashes, each set shows a part of its n-grams (``shown``), long enough that
+  of a link both ends see ``asked`` of theirs in other sets. Sets that see fewer have no
+  link and are done; a passage that many documents share does not keep a set that has much
+  else. One range-partitioned sort, which splits n-grams of very many documents.
+* The rest is ordered by the number of sets that hold an n-gram, rarest first. Linked sets
+  share one of the first ``n - ceil(t n) + 1``. Sets are tied by those, each to the first
+  one that holds the n-gram, and tied sets form clusters; every link lies inside one.
+
+Clusters too large for one task are cut into chunks, each joined on its own together with a
+few hub documents. Pairs of chunks are then joined for the documents that are not of the
+cluster's largest component so far: those walk the trees of all chunks (see ``_linked``).
 
 N-grams are 64-bit hashes, document sets are told apart by 128 bits: two different n-grams
 have one hash with a chance of about 2 ** -58 a pair.
@@ -42,12 +43,14 @@ from plurality.llm.components import connected_components
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: N-grams a block or chunk holds about at most (unless one document has more).
 CHUNK_NGRAMS = 250_000
+#: More shown n-grams leave fewer sets to the second dealing.
+SURPLUS_PERCENT = 15
 #: Documents of a chunked cluster that are in every chunk, about.
 HUBS = 32
 #: Rows of the block table (four numbers each) up to which it is sent to every executor.
 BROADCAST_ROWS = 200_000
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-SHIFT, HALF = np.uint64(33), np.uint64(32)
+SHIFT = np.uint64(33)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,62 +77,26 @@ def shingles(text: str, size: int) -> np.ndarray:
     return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
-class Signatures:
-    """Cell hashes of a set such that any two sets with similarity >= t share one."""
+def overlap_of(n: int, percent: int) -> int:
+    """N-grams that a set of ``n`` shares at least with one that it links with."""
+    return -(-percent * n // 100)
 
-    LEVELS = 3
 
-    def __init__(self, percent: int):
-        if not 50 <= percent <= 100:
-            raise ValueError("the threshold must be between 50 and 100 percent")
-        self.percent = percent
-        self.bounds = [1]
-
-    def bucket(self, n: int) -> int:
-        while self.bounds[-1] <= n:
-            low = self.bounds[-1]
-            self.bounds.append(max(low + 1, -(-low * 10**6 // self.percent**3)))
-        return int(np.searchsorted(self.bounds, n, "right")) - 1
-
-    def differences(self, bucket: int) -> int:
-        """Most n-grams in which linked sets can differ, the smaller being of this bucket."""
-        return (self.bounds[bucket + 1] - 1) * (100 - self.percent) // self.percent
-
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens)
-        if not n:
-            return np.empty(0, np.int64)
-        tokens = np.sort(tokens)
-        own = self.bucket(n)
-        found = [self._cells(tokens, own)]
-        # as the larger of a pair whose smaller set is one bucket below
-        if own and 100 * (self.bounds[own] - 1) >= self.percent * n:
-            found.append(self._cells(tokens, own - 1))
-        return np.concatenate(found).view(np.int64)
-
-    def _cells(self, tokens: np.ndarray, bucket: int) -> np.ndarray:
-        """Two linked sets differ in ``h`` cells at most. If either fills more than ``h``
-        cells, one cell is equal in both and not empty. Sets that fill fewer add the cells
-        of another dealing; both ends of a pair that could be missed do so. What fails
-        every dealing adds the single n-grams among which a linked set must have one."""
-        h = self.differences(bucket)
-        low = self.bounds[bucket]
-        cells = h + 1 if h == 0 else int((h + 1) / (1 - np.exp(-0.8 * low / (h + 1)))) + 3
-        out = []
-        for level in range(self.LEVELS):
-            # hashes are dealt by their size, so sorted ones lie cell by cell
-            dealt = tokens if not level else np.sort(mixed(tokens + np.uint64(level)))
-            cell = (dealt >> HALF) * np.uint64(cells) >> HALF
-            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            sums = np.add.reduceat(mixed(dealt), starts)
-            tag = np.uint64((bucket * (self.LEVELS + 1) + level) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-            out.append(mixed(mixed(sums + tag) + cell[starts]))
-            if len(starts) > h:
-                return np.concatenate(out)
-        least = -(-self.percent * len(tokens) // 100)
-        tag = np.uint64((bucket * (self.LEVELS + 1) + self.LEVELS) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        out.append(mixed(tokens[: len(tokens) - least + 1] + tag))
-        return np.concatenate(out)
+def surplus(n: int) -> int:
+    """Shared n-grams that a set of ``n`` shows beyond what it may lack."""
+    return max(1, n * SURPLUS_PERCENT // 100)
+
+
+def shown(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Of sorted hashes the first ones, ``surplus`` shared ones among them in any link."""
+    n = len(tokens)
+    return tokens[: n - overlap_of(n, percent) + surplus(n)] if n else tokens
+
+
+def asked(n: int, percent: int) -> int:
+    """Shown n-grams that a set of ``n`` sees in others if it has a link: a partner has at
+    least ``overlap_of`` n-grams, and shows its own surplus only."""
+    return surplus(overlap_of(n, percent))
 
 
 class PrefixTree:
@@ -300,12 +267,45 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(kind, np.array([end[0]]), np.array([end[1]]), np.array([end[1]]))
 
 
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, hits`` of a sorted partition: n-grams of the document that others show too.
+
+    An n-gram at either end of a partition counts as shared, as it may go on in the next.
+    """
+
+    def rows(docs: np.ndarray) -> pa.RecordBatch:
+        ids, hits = np.unique(docs, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits)], ["doc", "hits"])
+
+    last = None
+    for batch in batches:
+        cell, doc = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(cell):
+            continue
+        again = cell[1:] == cell[:-1]
+        shared = np.concatenate([[False], again]) | np.concatenate([again, [False]])
+        found = []
+        if last is None:
+            shared[0] = True
+        elif last[0] == cell[0]:
+            shared[0] = True
+            found = [] if last[2] else [last[1]]
+        last = cell[-1], doc[-1], shared[-1]
+        yield rows(np.concatenate([doc[shared], np.array(found, np.int64)]))
+    if last is not None and not last[2]:
+        yield rows(np.array([last[1]]))
+
+
+def _sorted_cells(cells: DataFrame) -> DataFrame:
+    parts = max(8, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cells.repartitionByRange(parts, "cell", "doc").sortWithinPartitions("cell", "doc")
+
+
 def _tied(cells: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, component`` over documents of ``cells(cell long, doc long)`` that share a cell,
     directly or by others."""
     spark = cells.sparkSession
-    dealt = cells.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell", "doc").sortWithinPartitions("cell", "doc")
-    starred = scratch.keep(dealt.mapInArrow(_stars, "kind int, part int, cell long, a long, b long"))
+    starred = scratch.keep(_sorted_cells(cells).mapInArrow(_stars, "kind int, part int, cell long, a long, b long"))
     # two rows a partition: a cell that goes on in the next partition joins both hubs
     firsts, lasts = {}, {}
     for row in starred.where("kind > 0").select("kind", "part", "cell", "a").collect():
@@ -346,17 +346,14 @@ def _with_texts(source: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataF
     return source.join(sent_if_small(wanted.withColumnRenamed("rep", "doc"), scratch, BROADCAST_ROWS), "doc")
 
 
-def _redealt(source: DataFrame, classes: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
-    """``node, component`` over documents of large clusters that share a rare n-gram.
+def _rarest(source: DataFrame, classes: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
+    """``node, component`` over documents that share one of their rarest n-grams.
 
-    A set of ``n`` n-grams lacks at most ``n - ceil(t n)`` in a set that it links with. So in
-    any order of all n-grams the first shared one is among its first ``n - ceil(t n) + 1``,
-    and the same holds for the other set. Here the order is by the number of sets that hold
-    an n-gram, then by hash; those of one set only can be shared with none and are left out.
-    An id with several sets is one document of all their n-grams, of which so many more are
-    looked at as its other sets have.
+    The order is by the number of sets that hold an n-gram, then by hash; those of one set
+    only can be shared with none and are left out. An id with several sets is one document
+    of all their n-grams, of which so many more are looked at as its other sets have.
     """
-    least = F.ceil(F.col("n") * percent / 100)
+    least = F.floor((F.col("n") * percent + 99) / 100)
     # n-grams of a document that need not be looked at
     spared = classes.groupBy("rep").agg((F.min(least) - 1).cast("int").alias("spared"))
     wanted = classes.join(spared, "rep").select("rep", "k1", "k2", "spared")
@@ -481,7 +478,6 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signer = Signatures(percent)
 
     def describe(ids: pa.Array, column: pa.Array) -> pa.RecordBatch:
         sizes, keys, cells = [], [], []
@@ -489,7 +485,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
             tokens = shingles(text, size)
             sizes.append(len(tokens))
             keys.append(_set_key(tokens))
-            cells.append(signer.of(tokens) if doc is not None else np.empty(0, np.int64))
+            cells.append(shown(tokens, percent).view(np.int64) if doc is not None else np.empty(0, np.int64))
         ends = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32)
         flat = np.concatenate(cells) if cells else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays(
@@ -498,17 +494,15 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
         )
 
     signed = scratch.keep(map_batches(source, ["doc", "text"], describe, "doc long, n long, k1 long, k2 long, cells array<long>"))
-    tied = _tied(signed.select(F.explode("cells").alias("cell"), "doc"), scratch)
     base = scratch.keep(signed.select("doc", "n", "k1", "k2"))
-    scratch.drop(signed)
-
     # equal sets are one class, told by the smallest id
     classes = scratch.keep(base.where("n > 0 AND doc IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.max("n").alias("n")))
-    units = _clusters(classes, tied, scratch)
-    large = F.col("ngrams") > CHUNK_NGRAMS
-    if units.where(large).limit(1).count():
-        again = units.where(large).select("rep", "k1", "k2", "n")
-        units = scratch.keep(units.where(~large).union(_clusters(again, _redealt(source, again, percent, size, scratch), scratch)))
+    hits = _sorted_cells(signed.select(F.explode("cells").alias("cell"), "doc")).mapInArrow(_seen, "doc long, hits long").groupBy("doc").agg(F.sum("hits").alias("hits"))
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(least * SURPLUS_PERCENT / 100))
+    left = scratch.keep(classes.join(hits.withColumnRenamed("doc", "rep"), "rep").where(enough).select("rep", "k1", "k2", "n"))
+    scratch.drop(signed)
+    units = _clusters(left, _rarest(source, left, percent, size, scratch), scratch)
     linked = _linked(source, units, percent, size, scratch)
 
     reps = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("found"))

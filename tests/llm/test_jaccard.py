@@ -85,7 +85,7 @@ def test_tree_links(sets, percent):
 
 @settings(max_examples=300, deadline=None)
 @given(st.sets(st.integers(0, 10**6), min_size=1, max_size=120), st.sampled_from([50, 80, 90]), st.randoms(use_true_random=False))
-def test_linked_sets_share_a_cell(base, percent, rng):
+def test_linked_sets_see_what_is_asked(base, percent, rng):
     other = set(base)
     for x in sorted(base):
         if rng.random() < (100 - percent) / 250:
@@ -93,6 +93,19 @@ def test_linked_sets_share_a_cell(base, percent, rng):
         if rng.random() < (100 - percent) / 250:
             other.add(rng.randrange(10**6, 10**7))
     if other and 100 * len(base & other) >= percent * len(base | other):
-        signer = jaccard.Signatures(percent)
-        a, b = (signer.of(jaccard.mixed(np.array(sorted(s), np.uint64))) for s in (base, other))
-        assert set(a.tolist()) & set(b.tolist())
+        a, b = (np.sort(jaccard.mixed(np.array(sorted(s), np.uint64))) for s in (base, other))
+        both = set(jaccard.shown(a, percent).tolist()) & set(jaccard.shown(b, percent).tolist())
+        assert len(both) >= max(jaccard.asked(len(a), percent), jaccard.asked(len(b), percent))
+
+
+def test_hits_count_shared_cells_and_ends():
+    import pyarrow as pa
+
+    cells, docs = [1, 2, 2, 3, 4, 4, 4, 5], [9, 9, 8, 9, 7, 8, 9, 9]
+    for cut in range(1, 8):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c), pa.array(d)], ["cell", "doc"]) for c, d in ((cells[:cut], docs[:cut]), (cells[cut:], docs[cut:]))]
+        total = {}
+        for batch in jaccard._seen(iter(parts)):
+            for doc, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[doc] = total.get(doc, 0) + hits
+        assert total == {9: 4, 8: 2, 7: 1}  # 2 and 4 are shared, 1 and 5 are ends
