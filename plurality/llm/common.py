@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch holds on its way to Python. Texts may be long, so batches
@@ -85,6 +85,27 @@ def sent_if_small(frame: DataFrame, scratch: Scratch, rows: int = SENT_ROWS) ->
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+#: A key is hot if it has at least this share of all rows; there are at most as many such
+#: keys as its inverse, so their rows fit every executor.
+HOT_SHARE = 1e-4
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: Column, total: int) -> DataFrame:
+    """``left`` joined to the one row of ``right`` that its key has.
+
+    ``rows`` says how many rows of ``left`` a key has, of ``total`` in all. Hot keys are sent
+    to every executor (``1 / HOT_SHARE`` rows at most), so only rows of other keys are
+    shuffled, and no task gets all rows of a hot one.
+    """
+    hot = rows >= max(2, total * HOT_SHARE)
+    values = [c for c in right.columns if c != key]
+    few = F.broadcast(right.where(hot).withColumn("_hot", F.lit(True)))
+    split = left.join(few, key, "left")
+    near = split.where("_hot").select(*left.columns, *values)
+    far = split.where("_hot IS NULL").select(*left.columns).join(right.where(~hot), key)
+    return near.unionByName(far.select(*left.columns, *values))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's limits on Arrow batches, where they are above the ones here.
 
