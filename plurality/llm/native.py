@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Matches of a text that are folded into one array at a time.
+CHUNK = 128
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, even inside lambdas of ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -32,8 +36,18 @@ def found_spans(text: Column, pattern: str, kind: str, order: int, group: int =
         taken = x["n"].isNotNull() & (x["m"] >= least)
         return F.struct(end.alias("pos"), F.when(taken, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    first = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(triples, first, grow, lambda acc: acc["out"])).otherwise(empty)
+    def spans(begin: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, F.struct(begin.alias("pos"), empty.alias("out")), grow, lambda acc: acc["out"])
+
+    # arrays grow by copying, so many matches are taken in chunks, whose beginnings come first
+    def chunked(all_: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_, k * CHUNK + 1, CHUNK))
+        length = lambda chunk: F.aggregate(chunk, F.lit(0), lambda acc, x: acc + x["gap"] + F.coalesce(x["n"], F.lit(0)))
+        begins = lambda cs: F.aggregate(cs, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + length(c))))
+        return let(chunks, lambda cs: let(begins(cs), lambda at: F.flatten(F.transform(cs, lambda c, k: spans(F.get(at, k), c)))))
+
+    few = lambda all_: F.when(F.size(all_) <= CHUNK, spans(F.lit(0), all_)).otherwise(chunked(all_))
+    return F.when(text.rlike(pattern), let(triples, few)).otherwise(empty)
 
 
 def span_text(spans: Column) -> Column:
@@ -44,11 +58,19 @@ def span_text(spans: Column) -> Column:
 def replaced(text: Column, spans: Column, mark: str) -> Column:
     """``text`` with each run of overlapping spans (sorted by start) replaced by ``mark``."""
 
-    def grow(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))), F.lit(mark))
-        inside = s["start"] < acc["pos"]
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(inside, acc["out"]).otherwise(fresh).alias("out"))
+    ends = lambda part: F.array_max(F.transform(part, lambda x: x["end"]))
+    count = F.size(spans)
+    starts = F.sequence(F.lit(0), F.floor((count - 1) / CHUNK).cast("int"))
+
+    # how far the spans of all chunks before one reach, then those before a span in its own
+    def joined(before: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            k = F.floor(i / CHUNK).cast("int")
+            reach = F.greatest(F.get(before, k), F.coalesce(ends(F.slice(spans, k * CHUNK + 1, i - k * CHUNK)), F.lit(0)))
+            return let(reach, lambda r: F.when(s["start"] < r, F.lit("")).otherwise(F.concat(F.substring(text, r + 1, s["start"] - r), F.lit(mark))))
+
+        return F.array_join(F.transform(spans, piece), "")
 
-    first = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, grow, rest)).otherwise(text)
+    before = F.aggregate(starts, F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), ends(F.slice(spans, k * CHUNK + 1, CHUNK))))))
+    rest = let(ends(spans), lambda end: F.substring(text, end + 1, F.length(text)))
+    return F.when(count > 0, F.concat(let(before, joined), rest)).otherwise(text)

@@ -45,26 +45,33 @@ def _weight(count: Column) -> Column:
 
 
 def most_entropy(candidate: Column) -> Column:
-    """The largest entropy in bits of the candidate's windows."""
+    """The largest entropy in bits of the candidate's windows.
 
-    def walk(chars: Column) -> Column:
-        head = F.slice(chars, 1, WINDOW)
-        count = lambda window, char: F.size(F.filter(window, lambda c: c == char)).cast("double")
-        first = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda acc, c: acc + _weight(count(head, c)))
-
-        def move(acc: Column, i: Column) -> Column:
-            window, gone, come = F.slice(chars, i, WINDOW), F.get(chars, i - 1), F.get(chars, i + WINDOW - 1)
+    The fold holds how often the window has each character of the candidate; a step takes
+    one from the count of the character that leaves and adds one to that of the one that
+    enters.
+    """
 
-            def changed(n: Column) -> Column:
-                less, more = _weight(n["gone"] - 1) - _weight(n["gone"]), _weight(n["come"] + 1) - _weight(n["come"])
-                return acc["sum"] + less + more
+    def walk(chars: Column) -> Column:
+        kinds = F.array_distinct(chars)
+        return let(F.struct(F.transform(chars, lambda c: F.array_position(kinds, c).cast("int")).alias("codes"), F.size(kinds).alias("kinds")), slide)
 
-            counts = F.struct(count(window, gone).alias("gone"), count(window, come).alias("come"))
-            new = F.when(gone == come, acc["sum"]).otherwise(let(counts, changed))
-            return let(new, lambda s: F.struct(s.alias("sum"), F.least(acc["least"], s).alias("least")))
+    def slide(c: Column) -> Column:
+        codes = c["codes"]
+        head = F.slice(codes, 1, WINDOW)
+        counts = F.transform(F.sequence(F.lit(1), c["kinds"]), lambda k: F.size(F.filter(head, lambda x: x == k)))
 
-        start = let(first, lambda s: F.struct(s.alias("sum"), s.alias("least")))
-        steps = F.when(F.size(chars) > WINDOW, F.sequence(F.lit(1), F.size(chars) - WINDOW)).otherwise(F.array().cast("array<int>"))
+        def move(acc: Column, i: Column) -> Column:
+            gone, come = F.get(codes, i - 1), F.get(codes, i + WINDOW - 1)
+            less, more = F.get(acc["counts"], gone - 1).cast("double"), F.get(acc["counts"], come - 1).cast("double")
+            changed = acc["sum"] + _weight(less - 1) - _weight(less) + _weight(more + 1) - _weight(more)
+            after = F.transform(acc["counts"], lambda n, k: n + F.when(k + 1 == come, 1).otherwise(0) - F.when(k + 1 == gone, 1).otherwise(0))
+            moved = lambda s: F.struct(after.alias("counts"), s.alias("sum"), F.least(acc["least"], s).alias("least"))
+            return F.when(gone == come, acc).otherwise(let(changed, moved))
+
+        total = lambda n: F.aggregate(n, F.lit(0.0), lambda acc, x: acc + _weight(x.cast("double")))
+        start = let(counts, lambda n: let(total(n), lambda s: F.struct(n.alias("counts"), s.alias("sum"), s.alias("least"))))
+        steps = F.when(F.size(codes) > WINDOW, F.sequence(F.lit(1), F.size(codes) - WINDOW)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(steps, start, move, lambda acc: F.lit(math.log2(WINDOW)) - acc["least"] / WINDOW)
 
     return let(F.split(candidate, ""), walk)

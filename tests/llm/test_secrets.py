@@ -81,3 +81,17 @@ def test_keys_of_letters_and_placeholders(spark):
     allowed = ["Donaudampfschifffahrtsgesellschaft", "some/Path/With_many-WORDS/inside", "UPPER_CASE_NAME_OF_A_CONSTANT", "placeholder-EXAMPLE_xxxxxxxx0000000", "2024-Report_Final/Version-12"]
     got = [r[-1] for r in run(spark, found + allowed)]
     assert got == [f"entropy:0:{len(x)}" for x in found] + [""] * len(allowed)
+
+
+def test_many_matches_and_very_long_texts(spark):
+    """Several chunks of matches, spans inside a longer one, and a text of half a million characters."""
+    texts = [" ".join(f"{i:024x} token=k{i}abcdef" for i in range(400)), "token=" + ".".join(["deadbeef" * 4] * 300) + " x", "word " * 100_000 + "password=hunter22" + " ab/12" * 20_000]
+    assert run(spark, texts) == [brute(x) for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, row in enumerate(secrets.redact(docs, mark="#").orderBy("doc_id").collect()):
+        out, pos = "", 0
+        for s, _, e, _ in sorted((int(x.split(":")[1]), 0, int(x.split(":")[2]), "") for x in brute(texts[i])[-1].split(",")):
+            if s >= pos:
+                out += texts[i][pos:s] + "#"
+            pos = max(pos, e)
+        assert row.text == out + texts[i][pos:]
