@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import Scratch, bound_batches, map_batches, texts
+from plurality.llm.common import Scratch, bound_batches, map_batches, texts, tidied
 
 LEAF = 256
 #: Unsplit characters from which a text's leaves are dealt to all tasks, and the symbols of
@@ -346,6 +346,12 @@ def _encoder(path: str) -> Encoder:
     return Encoder(vocabulary(path))
 
 
+def _forget() -> None:
+    """What a task remembers of words goes with it; the vocabulary stays."""
+    _counter.cache_clear()
+    _encoder.cache_clear()
+
+
 def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, n_bytes, n_tokens, over_limit``.
 
@@ -362,7 +368,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
             [id_col, "n_bytes", "n_tokens", "over_limit"],
         )
 
-    return map_batches(docs, [id_col, text_col], step, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs, [id_col, text_col], step, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean", _forget)
 
 
 def _result(vocab_path: str, digests: bool, id_col: str):
@@ -422,8 +428,8 @@ def _encode_wide(long: DataFrame, vocab_path: str, build, id_col: str, text_col:
 
     spec = f"row long, `{id_col}` {kind}, at int, piece int, data binary"
     parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = keyed.mapInArrow(cut, spec).repartition(parts, "row", "at").mapInArrow(encode, spec)
-    return encoded.repartition(parts, "row").sortWithinPartitions("row", "at").mapInArrow(join, schema)
+    encoded = keyed.mapInArrow(tidied(cut, _forget), spec).repartition(parts, "row", "at").mapInArrow(tidied(encode), spec)
+    return encoded.repartition(parts, "row").sortWithinPartitions("row", "at").mapInArrow(tidied(join, _forget), schema)
 
 
 def encode_texts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -450,6 +456,6 @@ def encode_texts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     wide = (F.length(text) >= LONG_RUN) & text.rlike(rf"(?<![^\s])[^\s]{{{LONG_RUN}}}")
     long = docs.where(wide)
     if not long.limit(1).count():
-        return map_batches(docs, [id_col, text_col], step, schema)
-    short = map_batches(docs.where(~wide), [id_col, text_col], step, schema)
+        return map_batches(docs, [id_col, text_col], step, schema, _forget)
+    short = map_batches(docs.where(~wide), [id_col, text_col], step, schema, _forget)
     return short.union(_encode_wide(long, vocab_path, build, id_col, text_col, schema, Scratch(docs.sparkSession)))

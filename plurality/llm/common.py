@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -118,11 +120,29 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None):
+    """``run`` as a task's function that gives its memory back when it ends, as Python
+    workers are reused; ``forget`` clears what the task remembered."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def map_batches(
     frame: DataFrame,
     columns: list[str],
     step: Callable[..., Iterable[pa.RecordBatch] | pa.RecordBatch],
     schema: str,
+    forget: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Run ``step`` over the Arrow columns of each batch; it gets one array per column."""
     bound_batches(frame.sparkSession)
@@ -137,6 +157,7 @@ def map_batches(
                 else:
                     yield from out
 
+    run = tidied(run, forget)
     return frame.select(*columns).mapInArrow(run, schema)
 
 

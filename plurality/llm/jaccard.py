@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.llm.common import Scratch, bound_batches, map_batches, sent_if_small, texts
+from plurality.llm.common import Scratch, bound_batches, map_batches, sent_if_small, texts, tidied
 from plurality.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -305,7 +305,7 @@ def _tied(cells: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, component`` over documents of ``cells(cell long, doc long)`` that share a cell,
     directly or by others."""
     spark = cells.sparkSession
-    starred = scratch.keep(_sorted_cells(cells).mapInArrow(_stars, "kind int, part int, cell long, a long, b long"))
+    starred = scratch.keep(_sorted_cells(cells).mapInArrow(tidied(_stars), "kind int, part int, cell long, a long, b long"))
     # two rows a partition: a cell that goes on in the next partition joins both hubs
     firsts, lasts = {}, {}
     for row in starred.where("kind > 0").select("kind", "part", "cell", "a").collect():
@@ -370,7 +370,7 @@ def _rarest(source: DataFrame, classes: DataFrame, percent: int, size: int, scra
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "doc", "spared"])
 
     laid = _with_texts(source, wanted, scratch).select("doc", "k1", "k2", "spared", "text")
-    tokens = scratch.keep(laid.mapInArrow(cut, "cell long, doc long, spared int"))
+    tokens = scratch.keep(laid.mapInArrow(tidied(cut), "cell long, doc long, spared int"))
     shared = tokens.groupBy("cell").agg(F.count("*").alias("sets")).where("sets > 1")
     ranked = tokens.join(shared, "cell")
     of_doc = Window.partitionBy("doc")
@@ -438,7 +438,7 @@ def _linked(source: DataFrame, units: DataFrame, percent: int, size: int, scratc
     def joined(blocks: DataFrame) -> DataFrame:
         laid = _with_texts(source, blocks.select("rep", "k1", "k2", "block", "role"), scratch).select("block", "doc", "k1", "k2", "role", "text")
         bound_batches(source.sparkSession)
-        return laid.repartition("block").sortWithinPartitions("block", "doc", "k1", "k2").mapInArrow(_join_blocks(percent, size), "a long, b long")
+        return laid.repartition("block").sortWithinPartitions("block", "doc", "k1", "k2").mapInArrow(tidied(_join_blocks(percent, size)), "a long, b long")
 
     chunks = lambda ngrams: F.ceil(F.col(ngrams) / CHUNK_NGRAMS).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rep", "k1"), n).cast("int")
@@ -497,7 +497,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
     base = scratch.keep(signed.select("doc", "n", "k1", "k2"))
     # equal sets are one class, told by the smallest id
     classes = scratch.keep(base.where("n > 0 AND doc IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.max("n").alias("n")))
-    hits = _sorted_cells(signed.select(F.explode("cells").alias("cell"), "doc")).mapInArrow(_seen, "doc long, hits long").groupBy("doc").agg(F.sum("hits").alias("hits"))
+    hits = _sorted_cells(signed.select(F.explode("cells").alias("cell"), "doc")).mapInArrow(tidied(_seen), "doc long, hits long").groupBy("doc").agg(F.sum("hits").alias("hits"))
     least = F.floor((F.col("n") * percent + 99) / 100)
     enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(least * SURPLUS_PERCENT / 100))
     left = scratch.keep(classes.join(hits.withColumnRenamed("doc", "rep"), "rep").where(enough).select("rep", "k1", "k2", "n"))

@@ -256,6 +256,10 @@ def tagger_of(field: Field) -> Tagger:
     return TAGGERS[key]
 
 
+def forget_words() -> None:
+    TAGGERS.clear()
+
+
 class Tagger:
     """Decodes batches of sentences; remembers the feature row of each distinct word."""
 
@@ -409,4 +413,4 @@ def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "do
         digests = pa.array([hashlib.sha256(span_text(base).encode()).hexdigest() for base, _ in done], pa.string())
         return pa.RecordBatch.from_arrays([ids, *counts, digests, pa.array([span_text(b + a) for b, a in done], pa.string())], [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return map_batches(docs, [id_col, text_col], step, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return map_batches(docs, [id_col, text_col], step, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string", forget_words)

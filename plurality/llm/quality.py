@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import Scratch, bound_batches, map_batches, texts
+from plurality.llm.common import Scratch, bound_batches, map_batches, texts, tidied
 
 #: Most labelled rows that a fit uses; of more, a share chosen by a hash of the id.
 MAX_FIT_ROWS = 20_000
@@ -196,7 +196,7 @@ def accept(docs: DataFrame, model: Model, least: float, text_col: str = "text")
             rows = np.array([statistics(x) for x in texts(batch.column(at))], float).reshape(-1, STATISTICS)
             yield batch.filter(pa.array(model.scores(rows) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(column: str = "doc_id") -> Column:
