@@ -28,13 +28,14 @@ MAX_TABLE_ROWS = 5_000
 
 # The base patterns, after what anchors them.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DIGITS = re.compile("[0-9]")
+#: Words from which a sentence without a stop is cut at the next plain word that is no cue.
+LONG_SENTENCE = 512
 
 
 def luhn(digits: str) -> bool:
@@ -374,7 +375,7 @@ def scan(rows: list[str], tagger: Tagger) -> list[tuple[list, list]]:
             row = known.get(w)
             line.append(tagger.row(w) if row is None else row)
             # a sentence ends at a stop after a letter; numbers may hold stops
-            if w[-1] in ".!?" and w[-2:-1].isalpha():
+            if (w[-1] in ".!?" and w[-2:-1].isalpha()) or (i - begin >= LONG_SENTENCE and w.isalpha() and w.lower() not in CUES):
                 sentences.append(line)
                 places.append((r, begin))
                 begin, line = i + 1, []
@@ -402,7 +403,9 @@ def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "do
     Columns ``id, n_email, n_ip, n_card, n_phone, base_sha256, spans``; spans are
     ``kind:start:end`` in code points by kind, then start. ``field`` is fitted from
     ``labelled_table()`` unless given. Null and empty texts have no spans; a null id and
-    repeated rows stay. One pass, no shuffle; the field's size does not follow the data.
+    repeated rows stay. Texts of any length are read whole; a sentence without a stop is cut
+    after ``LONG_SENTENCE`` words. One pass, no shuffle; the field's size does not follow the
+    data.
     """
     field = field or default_field()
     kind = dict(docs.dtypes)[id_col]

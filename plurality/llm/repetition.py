@@ -93,20 +93,45 @@ def maximal_repeats(ids: np.ndarray, order: np.ndarray, lcp: np.ndarray, least:
     return out
 
 
+def innermost(found: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """Of each of ``n`` suffixes, in order, the length of the innermost interval it is in.
+
+    Intervals nest or lie apart, and an inner one is longer; each suffix is written once.
+    """
+    out, open_, at = np.zeros(n, np.int64), [], 0
+
+    def until(end: int) -> None:
+        nonlocal at
+        if open_ and end > at:
+            out[at:end] = open_[-1][1]
+        at = max(at, end)
+
+    for length, first, last in sorted(found, key=lambda x: (x[1], -x[2])):
+        while open_ and open_[-1][0] < first:
+            until(open_[-1][0] + 1)
+            open_.pop()
+        until(first)
+        open_.append((last, length))
+    while open_:
+        until(open_[-1][0] + 1)
+        open_.pop()
+    return out
+
+
 def repeats(ids: np.ndarray, least: int) -> tuple[int, int, int]:
     """(covered words, longest repeat, maximal repeats) over repeats of ``least`` words on."""
     if len(ids) < 2:
         return 0, 0, 0
     order, levels = suffix_array(ids)
     lcp = common_prefixes(order, levels)
-    longest = int(lcp.max(initial=0))
-    if longest < least:
-        return 0, longest, 0
+    if lcp.max(initial=0) < least:
+        return 0, int(lcp.max(initial=0)), 0
     found = maximal_repeats(ids, order, lcp, least)
-    # a position's longest repeat is the larger common prefix with its two neighbours
+    longest = max(length for length, _, _ in found)
+    # spans of all occurrences of all maximal repeats: a repeat that is not maximal lies
+    # inside a longer one wherever it stands
     reach = np.zeros(len(ids), np.int64)
-    reach[order] = np.maximum(np.append(lcp, 0), np.insert(lcp, 0, 0))
-    reach[reach < least] = 0
+    reach[order] = innermost(found, len(ids))
     end = np.maximum.accumulate(np.arange(len(ids)) + reach)
     return int((end > np.arange(len(ids))).sum()), longest, len(found)
 
@@ -130,7 +155,8 @@ def repetition_rules(
     repeated. ``covered`` words lie in repeats of ``least_repeat`` words or more;
     ``longest_repeat`` is in words. ``kept`` is false if the base fails, if ``covered`` is
     over ``most_covered`` of the words, or if the longest repeat is over ``most_longest``.
-    Null and empty texts have no words and fail. Nulls in the id and repeated rows stay.
+    Null and empty texts have no words and fail; texts of any length are taken whole (memory
+    follows the longest text of a batch). Nulls in the id and repeated rows stay.
     """
     kind = dict(docs.dtypes)[id_col]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered", "longest_repeat", "n_maximal_repeats"]

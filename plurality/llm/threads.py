@@ -17,6 +17,8 @@ from plurality.llm.common import Scratch
 from plurality.llm.native import let
 
 MARKS = r"^(?:[\x20\t]*>)+"
+# Fixed value: a line that says who wrote the quote below it.
+ATTRIBUTION = r"^ *(On|Am|Le|El) .*(wrote|schrieb|a écrit|escribió) ?: *$"
 
 
 def _lines(text: Column) -> Column:
@@ -27,7 +29,13 @@ def _lines(text: Column) -> Column:
         level = F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
         return F.struct(level.alias("level"), F.substring(line, F.length(marks) + 1, F.length(line)).alias("body"))
 
-    return F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), one)
+    # a line that only introduces a deeper quote is of no level
+    def marked(lines: Column) -> Column:
+        below = lambda i: F.coalesce(F.get(lines, i + 1)["level"], F.lit(0))
+        introduces = lambda x, i: (below(i) > x["level"]) & x["body"].rlike(ATTRIBUTION)
+        return F.transform(lines, lambda x, i: F.struct(F.when(introduces(x, i), -1).otherwise(x["level"]).alias("level"), x["body"].alias("body")))
+
+    return let(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), one), marked)
 
 
 def _normal(passage: Column) -> Column:
@@ -81,15 +89,17 @@ def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     """One row per message: ``conv, turn, role, body, n_quotes, n_linked, parent_turn,
     thread_turn, depth, formatted``.
 
-    ``(conv, thread_turn, turn)`` sorts each conversation in reply order: a reply comes
-    after what it answers, in the thread begun by ``thread_turn``; a message that answers
-    none begins its own (depth 0). A message answers only earlier turns of its
+    ``(conv, thread_turn, turn)`` sorts each conversation by threads, and a thread by turn: a
+    reply always comes after what it answers, in the thread begun by ``thread_turn``, and
+    side branches of one thread stand in the order they were written, not one after the
+    other; a message that answers none begins its own (depth 0). A message answers only earlier turns of its
     conversation; of several at its lowest linked level, the latest. ``n_quotes`` counts
-    distinct quoted passages and lines, ``n_linked`` those found. ``formatted`` is the role
+    distinct quoted passages and lines, ``n_linked`` those found. A line like "On Monday Ann
+    wrote:" above a deeper quote belongs to no one and is left out. ``formatted`` is the role
     tag and the body. Null text: an empty body; null role: ``unknown``; rows with a null
     conversation or turn are never linked; repeated rows stay, and rows of one turn share a
-    parent. Conversations are never gathered: order is given by keys, so one may be of any
-    size.
+    parent; a passage said in several turns is the earliest one's. Conversations are never
+    gathered: order is given by keys, so one may be of any size, and so may a text.
     """
     scratch = Scratch(messages.sparkSession)
     rows = parsed(messages, conv_col, turn_col, role_col, text_col)
@@ -125,10 +135,13 @@ ORACLE_SQL = r"""
 WITH RECURSIVE cut AS (
   SELECT conv_id, turn, role, list_transform(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)), lambda line:
     {'level': length(regexp_extract(line, '^(?:[ \t]*>)+')) - length(replace(regexp_extract(line, '^(?:[ \t]*>)+'), '>', '')),
-     'body': substr(line, length(regexp_extract(line, '^(?:[ \t]*>)+')) + 1)}) AS lines
+     'body': substr(line, length(regexp_extract(line, '^(?:[ \t]*>)+')) + 1)}) AS plain
   FROM conversations
+), marked AS (
+  SELECT conv_id, turn, role, list_transform(plain, lambda x, i: {'level': CASE WHEN coalesce(plain[i + 1].level, 0) > x.level
+    AND regexp_matches(x.body, '^ *(On|Am|Le|El) .*(wrote|schrieb|a écrit|escribió) ?: *$') THEN -1 ELSE x.level END, 'body': x.body}) AS lines FROM cut
 ), messages AS (
-  SELECT *, regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: x.level = 0), lambda x: x.body), chr(10)), '^\s+|\s+$', '', 'g') AS body FROM cut
+  SELECT *, regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: x.level = 0), lambda x: x.body), chr(10)), '^\s+|\s+$', '', 'g') AS body FROM marked
 ), flat AS (
   SELECT DISTINCT conv_id, turn, l AS level, array_to_string(list_transform(lines, lambda x: CASE WHEN x.level = l THEN trim(x.body, ' ') ELSE '' END), chr(10)) AS kept
   FROM messages, unnest(range(0, list_max(list_transform(lines, lambda x: x.level)) + 1)) AS u(l)

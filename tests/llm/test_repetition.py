@@ -54,3 +54,13 @@ def test_rules(spark):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         assert r["n_words"] == len(words) and r["word_chars"] == sum(map(len, words))
     assert rep.repetition_rules(docs.limit(0)).count() == 0
+
+
+def test_very_long_and_periodic_texts(spark):
+    """Twenty thousand words of one period, and of hundreds of nested repeats."""
+    period = " ".join(f"w{i % 7}" for i in range(20_000))
+    nested = " ".join(f"w{i}" for k in range(40, 240) for i in range(k))
+    docs = spark.createDataFrame([(1, period), (2, nested)], "doc_id long, text string")
+    got = {r.doc_id: r for r in rep.repetition_rules(docs).collect()}
+    assert (got[1].covered, got[1].longest_repeat, got[1].kept) == (20_000, 19_993, False)
+    assert got[2].covered == len(nested.split()) - 1 and got[2].longest_repeat == 238
