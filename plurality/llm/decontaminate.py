@@ -40,8 +40,9 @@ TOKENS, HASHES = ("forms", "names", "raws"), ("hash0", "hash1", "hash2")
 LEAST_SHARE = 0.25
 #: A run of this many tokens along one alignment is reported, whatever share of the item it is.
 LONG_RUN = 13
-#: Benchmark windows up to this number are sent to every executor; more are shuffled.
-BROADCAST_WINDOWS = 200_000
+#: Hashes of benchmark windows up to this number are sent to every executor (16 bytes each,
+#: before the room that a hash table leaves free); more are shuffled.
+BROADCAST_WINDOWS = 2_000_000
 
 
 def _tokens(text: Column) -> Column:
@@ -128,6 +129,29 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return rows.join(totals, "item")
 
 
+#: A window of a document whose hash the benchmark has.
+SPOT = ("doc", "doc_at", "hash", "doc_tokens", "doc_raws")
+
+
+def _far_spots(source: DataFrame, hashes: DataFrame, cuts: list[tuple[Column, int]], scratch: Scratch) -> DataFrame:
+    """Windows with a hash of ``hashes`` where those are too many to be sent.
+
+    Only a number for the row, the place and the hash are shuffled. Then each document found
+    is read again with all its places, so its tokens travel once. The number is of the row's
+    content: should two rows share one, both look at all places, and tokens decide.
+    """
+    keyed = source.select(F.xxhash64("doc", "text").alias("key"), "doc", "text")
+    cut = _windows(keyed, ["key"], F.col("text"), cuts)
+    places = cut.select("key", F.struct(F.col("at").alias("doc_at"), F.col("width").alias("_w"), "kind", "hash").alias("place"), "hash").join(hashes, "hash", "left_semi")
+    of_row = scratch.keep(places.groupBy("key").agg(F.collect_set("place").alias("places")))  # at most the row's windows
+    wanted = keyed.join(sent_if_small(of_row.select("key"), scratch), "key", "left_semi")
+    tokens = wanted.select("key", "doc", _forms(F.col("text")).alias("t")).select("key", "doc", *(f"t.{c}" for c in TOKENS))
+    kinds = lambda p: F.when(p["kind"] == PLAIN, F.col("forms")).when(p["kind"] == NAMES, F.col("names")).otherwise(F.col("raws"))
+    cut_out = lambda p: F.struct(p["doc_at"], p["hash"], F.slice(kinds(p), p["doc_at"], p["_w"]), F.slice("raws", p["doc_at"], p["_w"]))
+    spots = tokens.join(of_row, "key").select("doc", F.explode(F.transform("places", cut_out)).alias("s"))
+    return spots.select("doc", "s.*").toDF(*SPOT)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -151,21 +175,25 @@ def contaminated(
     the same document id (a null one too) count together, and so do rows of one item.
     ``oracle_sql`` says the first count only, so pairs found by the others are not in it.
     """
-    known = benchmark_windows(benchmark, item_col, item_text_col, window)
+    scratch = Scratch(docs.sparkSession)
+    known = scratch.keep(benchmark_windows(benchmark, item_col, item_text_col, window))
     sizes = known.groupBy("width", "kind").count().collect()  # at most 3 x `window` rows
-    if sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
+    hashes = known.select("hash").distinct()
+    sent = sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS
     source = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = [(F.lit(w), k) for w, k in sorted({(r["width"], r["kind"]) for r in sizes}) or [(window, PLAIN)]]
-    cut = _windows(source, ["doc"], F.col("text"), cuts)
-    cut = cut.select("doc", F.col("at").alias("doc_at"), "hash", F.col("width").alias("_w"), _chosen(TOKENS).alias("_t"), F.col("raws").alias("_r"))
-    hit = cut.join(known, "hash")
-    part = lambda c: F.slice(c, F.col("doc_at"), F.col("_w"))
-    # said as an order, and null-safe: an equation would become part of the join key, and
-    # its not-null check would find the tokens a second time
-    alike = F.coalesce((part("_t") >= F.col("tokens")) & (part("_t") <= F.col("tokens")), F.lit(False))
+    if sent:
+        part = lambda c: F.slice(c, F.col("at"), F.col("width"))
+        cut = _windows(source, ["doc"], F.col("text"), cuts).join(F.broadcast(hashes), "hash", "left_semi")
+        spots = cut.select("doc", "at", "hash", part(_chosen(TOKENS)), part("raws")).toDF(*SPOT)
+    else:
+        spots = _far_spots(source, hashes, cuts, scratch)
+    spots = scratch.keep(spots)
+    hit = spots.join(known, "hash")
+    # said as an order, and null-safe: an equation would become part of the join key
+    alike = F.coalesce((F.col("doc_tokens") >= F.col("tokens")) & (F.col("doc_tokens") <= F.col("tokens")), F.lit(False))
     totals = [f"total{kind}" for kind in KINDS]
-    found = hit.where(alike).select("doc", "item", "kind", (F.col("doc_at") - F.col("at")).alias("shift"), "at", *totals, "tokens", "raws", part("_r").alias("doc_raws"))
+    found = hit.where(alike).select("doc", "item", "kind", (F.col("doc_at") - F.col("at")).alias("shift"), "at", *totals, "tokens", "raws", "doc_raws")
     slots = F.filter(F.arrays_zip(F.col("tokens").alias("form"), F.col("raws").alias("item"), F.col("doc_raws").alias("doc")), lambda s: s["form"].startswith("<"))
     bound = F.array_distinct(F.transform(slots, lambda s: F.struct(s["form"].alias("form"), s["item"].alias("item"), s["doc"].alias("doc"))))
     of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
