@@ -47,7 +47,7 @@ LONG_RUN, WIDE_LEAF = 200_000, 16_384
 FEW, NONE, LOW_BITS = 40, 1 << 62, (1 << 20) - 1
 #: Words, and their pieces, of at most this length are remembered by a worker, this many of
 #: each in a generation.
-CACHE_CHARS, CACHE_WORDS = 64, 120_000
+CACHE_CHARS, CACHE_WORDS = 64, 60_000
 
 # The vocabulary's splitting pattern (here for strings without white space).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
