@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch holds on its way to Python. Texts may be long, so batches
 #: are small; memory follows the batch, never the partition.
-BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
