@@ -117,7 +117,8 @@ def loose_option(text: Column) -> Column:
 
 
 def arc_label(label: Column) -> Column:
-    return F.translate(F.upper(F.trim(label.cast("string"))), "12345", "ABCDE")
+    text = F.upper(F.trim(label.cast("string")))
+    return F.when(text.rlike("^[1-5]$"), F.translate(text, "12345", "ABCDE")).otherwise(text)
 
 
 def marked_gold(text: Column) -> Column:

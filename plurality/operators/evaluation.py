@@ -120,13 +120,16 @@ def _decisions(method: str, pool: DataFrame, cap: int, grid: list[float], settin
         return stopping.adaptive(pool, cap, grid, confidence, settings.min_valid)
     if method == "confident-stop":
         return stopping.confident(pool, cap, grid, confidence)
-    if method == "RASC":
-        return stopping.buffered(pool, cap, grid, confidence, settings.buffer_size)
-    return stopping.unanimous_windows(pool, cap, [int(s) for s in grid])
+    return stopping.buffered(pool, cap, grid, confidence, settings.buffer_size)
 
 
 def curve(method: str, pool: DataFrame, observed: DataFrame, cap: int, grid: list[float], settings: Settings) -> DataFrame:
     """Sums of the measures per ``parameter`` of the grid."""
+    shown = lambda rows: rows.select(F.lit(method).alias("method"), F.lit(cap).cast("long").alias("budget_cap"), "parameter", *MEASURES)
+    if method == "ESC":
+        sizes = [stopping.window_size(s, cap) for s in grid]
+        rows = stopping.window_outcomes(pool, cap, sizes).join(observed, "question_id")
+        return shown(_summed(rows.select("parameter", *measured(rows)), ["parameter"]))
     stops, rest = _decisions(method, pool, cap, grid, settings)
     keys = ["question_id", "parameter"] if "parameter" in rest.columns else ["question_id"]
     base = rest.join(observed, "question_id")
@@ -139,7 +142,7 @@ def curve(method: str, pool: DataFrame, observed: DataFrame, cap: int, grid: lis
     wanted = pool.sparkSession.createDataFrame([(float(p),) for p in grid], "parameter double")
     frame = wanted.join(F.broadcast(whole), "parameter") if keys[1:] else wanted.crossJoin(F.broadcast(whole))
     out = frame.join(F.broadcast(moved), "parameter", "left")
-    return out.select(F.lit(method).alias("method"), F.lit(cap).cast("long").alias("budget_cap"), "parameter", *((F.coalesce(m, F.lit(0)) + F.coalesce(f"d_{m}", F.lit(0))).alias(m) for m in MEASURES))
+    return shown(out.select("parameter", *((F.coalesce(m, F.lit(0)) + F.coalesce(f"d_{m}", F.lit(0))).alias(m) for m in MEASURES)))
 
 
 def report_rows(sums: DataFrame, totals: DataFrame) -> DataFrame:

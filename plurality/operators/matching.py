@@ -27,11 +27,23 @@ def coverage(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def align(left: DataFrame, right: DataFrame, key: str, fallback: str) -> DataFrame:
-    """``left`` joined to ``right`` by ``key``; by ``fallback`` only if no key is shared."""
-    shared = left.select(key).join(right.select(key), key, "left_semi").limit(1).count()
-    on = key if shared else fallback
-    renamed = right.select(on, *[F.col(c).alias(f"other_{c}") for c in right.columns if c != on])
-    return left.join(renamed, on)
+    """``left`` joined to ``right`` by ``key``; by ``fallback`` only if no key is shared.
+
+    One plan: whether any key is shared is a row of its own, sent to both ways.
+    """
+    shared = F.broadcast(left.select(key).join(right.select(key), key, "left_semi").agg((F.count(F.lit(1)) > 0).alias("_shared")))
+
+    def way(on: str, wanted: bool) -> DataFrame:
+        gate = shared.where(F.col("_shared") == wanted).drop("_shared")
+        renamed = right.select(on, *[F.col(c).alias(f"other_{c}") for c in right.columns if c not in (key, fallback)])
+        return left.crossJoin(gate).join(renamed, on).select(*left.columns, *renamed.columns[1:])
+
+    return way(key, True).unionByName(way(fallback, False))
+
+
+def align_warnings(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``status, rows``: how many keys only one side has; none if the sets are equal."""
+    return coverage(left, right, key).groupBy("status").agg(F.count("*").alias("rows"))
 
 
 def cascade(candidates: DataFrame, questions: DataFrame, levels: list[str], id_col: str, target: str) -> DataFrame:

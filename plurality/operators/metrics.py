@@ -117,11 +117,13 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], metric: str, replicates: i
     return pairs.groupBy(*by).applyInPandas(run, out)
 
 
-def hashed_bootstrap(pairs: DataFrame, by: list[str], metric: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """The same interval for ``accuracy`` or ``brier`` over pairs of any number.
+def hashed_bootstrap(pairs: DataFrame, by: list[str], metric: str, replicates: int = 200, seed: int = 0, bins: int = 10) -> DataFrame:
+    """The same interval for pairs of any number: ``accuracy``, ``brier``, ``ece_paper`` or
+    ``ece_strict``.
 
     Each pair's weight in a replicate is Poisson(1), from a hash of its id. Sums are
-    aggregated before the shuffle, so a group never comes together.
+    aggregated before the shuffle (for a calibration error by its bins), so a group never
+    comes together; each pair is looked at once for every replicate.
     """
     u = F.pmod(F.xxhash64("question_id", "replicate", F.lit(seed)), F.lit(2**31)) / float(2**31)
     weight, level, term = F.lit(0), 0.0, float(np.exp(-1))
@@ -134,7 +136,21 @@ def hashed_bootstrap(pairs: DataFrame, by: list[str], metric: str, replicates: i
         gap = F.col(score) - F.col(correct)
         return F.col(correct).cast("double") if metric == "accuracy" else gap * gap
 
-    rows = pairs.withColumn("delta", 100 * (term_of("score", "correct") - term_of("ref_score", "ref_correct"))).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
+    rows = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
+    if metric.startswith("ece"):
+        binning = BINNINGS["edges" if metric == "ece_paper" else "product"]
+        sides = F.array(*[F.struct(F.lit(sign).alias("sign"), binning(F.col(score), bins).alias("bin"), F.col(score).cast("double").alias("s"), F.col(correct).alias("c")) for sign, score, correct in ((1, "score", "correct"), (-1, "ref_score", "ref_correct"))])
+        cells = rows.withColumn("side", F.explode(sides)).groupBy(*by, "replicate", "side.sign", "side.bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * (F.col("side.c") - F.col("side.s"))).alias("gap"))
+        gap = F.when(F.col("bin").isNotNull(), F.abs("gap")).otherwise(0.0)
+        side = cells.groupBy(*by, "replicate", "sign").agg(F.try_divide(100 * F.sum(gap), F.sum("n")).alias("e"))
+        means = side.groupBy(*by, "replicate").agg(F.sum(F.col("sign") * F.col("e")).alias("d"))
+        return _interval(means, by, metric)
+    rows = rows.withColumn("delta", 100 * (term_of("score", "correct") - term_of("ref_score", "ref_correct")))
     means = rows.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")).alias("d"))
+    return _interval(means, by, metric)
+
+
+def _interval(means: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """95 % of the replicates' differences ``d``, and how many of them are better."""
     better = (F.col("d") > 0) if metric == "accuracy" else (F.col("d") < 0)
     return means.groupBy(*by).agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.avg(F.when(better, 1.0).when(F.col("d") == 0, 0.5).otherwise(0.0)).alias("p_improve")).select(*by, F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"), "p_improve")

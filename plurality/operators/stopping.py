@@ -30,8 +30,9 @@ def capped(pool: DataFrame, cap: int) -> DataFrame:
     return pool.withColumn("size", F.count("*").over(_question())).where(F.col("pos") < cap)
 
 
-def running_votes(pool: DataFrame, cap: int, weight: Column) -> DataFrame:
-    """Rows with ``valid`` votes so far, the ``leader`` and its ``share`` of the weights.
+def running_votes(pool: DataFrame, cap: int, weight: Column, *more: str) -> DataFrame:
+    """Rows with ``valid`` votes so far, the ``leader`` and its ``share`` of the weights, and
+    ``more`` columns of the pool.
 
     Rows without answer, or with a null or negative weight, do not vote. A zero total has
     share 0.
@@ -43,7 +44,7 @@ def running_votes(pool: DataFrame, cap: int, weight: Column) -> DataFrame:
     lead = F.when(F.col("w").isNotNull(), F.struct("mass", -F.col("first"), "answer"))
     rows = rows.withColumn("lead", F.max(lead).over(_so_far())).withColumn("valid", F.count("w").over(_so_far())).withColumn("total", F.sum("w").over(_so_far()))
     part = F.when(F.col("total") > 0, F.col("lead.mass").cast("double") / F.col("total").cast("double")).otherwise(0.0)
-    return rows.select("question_id", "pos", "size", "valid", F.col("lead.answer").alias("leader"), part.alias("share"))
+    return rows.select("question_id", "pos", "size", "valid", F.col("lead.answer").alias("leader"), part.alias("share"), *more)
 
 
 def _fall_back(rows: DataFrame, cap: int, last: Column, used: Column) -> DataFrame:
@@ -88,42 +89,92 @@ def _voted(rows: DataFrame, cap: int) -> DataFrame:
     return _fall_back(sums, cap, best, F.lit(cap).cast("long"))
 
 
+def window_outcomes(pool: DataFrame, cap: int, sizes: list[int]) -> DataFrame:
+    """``question_id, parameter, early, prediction, used, status`` and the same for where no
+    window stops (``rest_*``), a row for each window size.
+
+    A window that ends at a row is unanimous if the run of equal answers up to there is as
+    long as it; the vote over complete windows is the leader after the last of them. So runs
+    and leaders are found once, and sizes are looked up in a question's own arrays.
+    """
+    sizes = sorted({min(max(2, s), cap) for s in sizes})
+    rows = running_votes(pool, cap, F.lit(1), "answer")
+    item = F.struct("pos", "answer", "leader")
+    per = rows.groupBy("question_id").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(item)).alias("items"))  # at most ``cap`` of them
+
+    def longer(acc: Column, x: Column) -> Column:
+        same = x["answer"].isNotNull() & (acc["last"] == x["answer"])
+        run = F.when(same, acc["run"] + 1).when(x["answer"].isNotNull(), 1).otherwise(0)
+        return F.struct(run.alias("run"), x["answer"].alias("last"), F.concat(acc["runs"], F.array(run)).alias("runs"))
+
+    kind = dict(rows.dtypes)["answer"]
+    start = F.struct(F.lit(0).alias("run"), F.lit(None).cast(kind).alias("last"), F.array().cast("array<int>").alias("runs"))
+    counted = per.withColumn("runs", F.aggregate("items", start, longer, lambda acc: acc["runs"]))
+    rowed = counted.select("question_id", "size", "items", "runs", F.explode(F.array(*map(F.lit, sizes))).alias("s"))
+    n = F.least("size", F.lit(cap)).cast("int")
+    usable = (n - F.pmod(n, F.col("s"))).cast("int")
+    ends = F.when(usable > 0, F.sequence(F.col("s"), F.greatest(usable, F.col("s")), F.col("s"))).otherwise(F.array().cast("array<int>"))
+    end = F.get(F.filter(ends, lambda e: F.get(F.col("runs"), e - 1) >= F.col("s")), F.lit(0))
+    short = F.col("size") < cap
+    last = F.when(usable > 0, F.get("items", usable - 1)["leader"])
+    rest = F.when(~short, last), F.when(short, F.col("size")).otherwise(usable).cast("long"), F.when(short, "insufficient_samples").when(last.isNull(), "no_valid_answer").otherwise("ok")
+    early = end.isNotNull()
+    stop = F.get("items", end - 1)["answer"], end.cast("long"), F.lit("early_stop")
+    names = ("prediction", "used", "status")
+    return rowed.select(
+        "question_id", F.col("s").cast("double").alias("parameter"), early.alias("early"), *(F.when(early, a).otherwise(b).alias(c) for a, b, c in zip(stop, rest, names, strict=True)), *(b.alias(f"rest_{c}") for b, c in zip(rest, names, strict=True))
+    )
+
+
 def unanimous_windows(pool: DataFrame, cap: int, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
     """Stops after a complete window of equal answers; else votes over complete windows.
 
     ``parameter`` is the window size. The fall-back frame has one row for each size.
     """
-    sizes = sorted({min(max(2, s), cap) for s in sizes})
-    rows = capped(pool, cap).withColumn("parameter", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
-    rows = rows.withColumn("window", F.floor(F.col("pos") / F.col("parameter")))
-    per = rows.groupBy("question_id", "parameter", "window").agg(F.count("*").alias("n"), F.count("answer").alias("a"), F.min("answer").alias("low"), F.max("answer").alias("high"))
-    same = per.where("n = parameter AND a = parameter AND low = high")
-    stops = same.groupBy("question_id", "parameter").agg(F.min(F.struct("window", "low")).alias("b")).select("question_id", "parameter", F.col("b.low").alias("prediction"), ((F.col("b.window") + 1) * F.col("parameter")).cast("long").alias("used"))
-    usable = F.floor(F.least("size", F.lit(cap)) / F.col("parameter")) * F.col("parameter")
-    counted = rows.where(F.col("pos") < usable).groupBy("question_id", "parameter", "answer").agg(F.max("size").alias("size"), F.max(usable.cast("long")).alias("usable"), F.count("answer").alias("w"), F.min("pos").alias("first"))
-    best = F.max(F.when(F.col("answer").isNotNull(), F.struct("w", -F.col("first"), "answer")))["answer"]
-    voted = counted.groupBy("question_id", "parameter").agg(best.alias("last"), F.max("usable").alias("full"))
-    frame = rows.groupBy("question_id", "parameter").agg(F.max("size").alias("size")).join(voted, ["question_id", "parameter"], "left")
-    short = F.col("size") < cap
-    status = F.when(short, "insufficient_samples").when(F.col("last").isNull(), "no_valid_answer").otherwise("ok")
-    rest = frame.select("question_id", "parameter", F.when(~short, F.col("last")).alias("prediction"), F.when(short, F.col("size")).otherwise(F.coalesce("full", F.lit(0))).alias("used"), status.alias("status"))
-    return stops, rest
+    rows = window_outcomes(pool, cap, sizes)
+    return rows.where("early").select("question_id", "parameter", "prediction", "used"), rows.select("question_id", "parameter", *(F.col(f"rest_{c}").alias(c) for c in ("prediction", "used", "status")))
+
+
+def window_curve(pool: DataFrame, cap: int, sizes: list[int], expected: DataFrame) -> DataFrame:
+    """The curve of ``unanimous_windows``, summed from one row a question and size."""
+    rows = window_outcomes(pool, cap, sizes).join(expected, "question_id")
+    right = F.coalesce(F.col("prediction") == F.col("gold"), F.lit(False))
+    sums = rows.groupBy("parameter").agg(F.count_if(right).alias("correct"), F.sum("used").alias("used"), F.count_if("early").alias("early"))
+    return sums.crossJoin(F.broadcast(expected.agg(F.count("*").alias("questions")))).select("parameter", "questions", "correct", "used", "early")
+
+
+def window_size(value: float, cap: int) -> int:
+    """A window size from a control value: rounded half to even, at most ``cap``; a value
+    under 2 is a fraction of ``cap``, of at least 2 rows."""
+    size = round(value)
+    return min(cap, size if size >= 2 else max(2, round(value * cap)))
 
 
 def buffered(pool: DataFrame, cap: int, grid: list[float], score: Column, capacity: int = 5) -> tuple[DataFrame, DataFrame]:
     """Stops when ``capacity`` answered rows reach the parameter, with their weighted vote;
     else the weighted vote of the whole prefix.
 
-    A row enters the buffers of all thresholds up to its score, and only the first
-    ``capacity`` of each; so a question adds at most ``capacity`` rows a threshold.
+    Thresholds between two neighbouring scores of a question fill the same buffer, so buffers
+    are formed once for each different score of the question, inside its own row.
     """
     rows = capped(pool, cap).withColumn("s", F.when(F.col("answer").isNotNull(), score))
-    entered = rows.select("question_id", "pos", "answer", "s", F.explode(F.filter(_thresholds(grid), lambda t: t <= F.col("s").cast("double"))).alias("parameter"))
-    slot = F.row_number().over(Window.partitionBy("question_id", "parameter").orderBy("pos"))
-    kept = entered.withColumn("slot", slot).where(F.col("slot") <= capacity)
-    sums = kept.groupBy("question_id", "parameter", "answer").agg(F.sum("s").alias("w"), F.min("pos").alias("first"), F.count("*").alias("n"), F.max("pos").alias("at"))
-    full = sums.groupBy("question_id", "parameter").agg(F.sum("n").alias("n"), F.max("at").alias("at"), F.max(F.struct("w", -F.col("first"), "answer")).alias("b")).where(F.col("n") == capacity)
-    stops = full.select("question_id", "parameter", F.col("b.answer").alias("prediction"), (F.col("at") + 1).alias("used"))
+    kind = dict(rows.dtypes)["s"]
+    total = f"decimal(38,{kind.rstrip(')').split(',')[1]})" if kind.startswith("decimal") else "double"
+    item = F.struct("pos", "answer", "s", F.col("s").cast("double").alias("d"))
+    per = rows.where("s IS NOT NULL").groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("items"))  # at most ``cap`` of them
+    levels = F.array_sort(F.array_distinct(F.transform("items", lambda x: x["d"])))
+    cases = per.withColumn("levels", levels).select("question_id", "items", F.posexplode("levels").alias("at", "high"), "levels")
+    low = F.when(F.col("at") > 0, F.get("levels", F.col("at") - 1)).otherwise(F.lit(float("-inf")))
+    kept = F.slice(F.filter("items", lambda x: x["d"] >= F.col("high")), 1, capacity)
+    full = cases.select("question_id", low.alias("low"), "high", kept.alias("kept")).where(F.size("kept") == capacity)
+
+    def mass(x: Column) -> Column:
+        return F.aggregate(F.filter("kept", lambda y: y["answer"] == x["answer"]), F.lit(0).cast(total), lambda acc, y: (acc + y["s"]).cast(total))
+
+    best = F.array_max(F.transform("kept", lambda x: F.struct(mass(x).alias("w"), (-x["pos"]).alias("f"), x["answer"].alias("answer"))))
+    held = F.filter(_thresholds(grid), lambda t: (t > F.col("low")) & (t <= F.col("high")))
+    found = full.select("question_id", "low", "high", best["answer"].alias("prediction"), (F.element_at("kept", -1)["pos"] + 1).alias("used"))
+    stops = found.select("question_id", F.explode(held).alias("parameter"), "prediction", "used")
     return stops, _voted(rows, cap)
 
 

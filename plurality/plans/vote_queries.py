@@ -145,7 +145,7 @@ decided AS (SELECT u.question_id, u.parameter, CASE WHEN s.win IS NOT NULL THEN
   FROM usable u LEFT JOIN stops s ON s.question_id = u.question_id AND s.parameter = u.parameter LEFT JOIN final f ON f.question_id = u.question_id AND f.parameter = u.parameter)
 {CURVE_SQL}""")
 def unanimous_window_curve(spark, sf_dir):
-    return E.curve(*E.unanimous_windows(pool(spark, sf_dir), CAP, SIZES), gold(spark, sf_dir), [float(s) for s in SIZES])
+    return E.window_curve(pool(spark, sf_dir), CAP, SIZES, gold(spark, sf_dir))
 
 
 @query(f"""WITH {SCORED_SQL}, {GRID_SQL}, entered AS (SELECT *, row_number() OVER (PARTITION BY question_id, parameter ORDER BY pos) AS slot FROM voting, grid WHERE CAST(confidence AS DOUBLE) >= parameter),

@@ -53,20 +53,34 @@ def question_files(spark: SparkSession, root: str, schema: str, datasets: list[s
 def polymorphic(spark: SparkSession, paths: str | list[str], item: str) -> DataFrame:
     """Objects from files that hold one object, a list, or ``{"results": [...]}``.
 
-    ``item`` is the struct of an object; ``position`` counts within a file.
+    ``item`` is the struct of an object; ``position`` counts within a file. A file that is no
+    such JSON fails the scan; an empty one holds nothing.
     """
     rows = spark.read.option("wholetext", True).text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
     text = F.trim("value")
-    wrapped = F.from_json(text, f"results array<struct<{item}>>")["results"]
-    many, one = F.from_json(text, f"array<struct<{item}>>"), F.from_json(text, f"struct<{item}>")
-    listed = F.when(text.startswith("["), many).when(wrapped.isNotNull(), wrapped).otherwise(F.array(one))
+    strict = {"mode": "FAILFAST"}
+    kind = F.when(text.startswith("["), "list").when(F.json_object_keys(text).isNull(), "bad").when(F.array_contains(F.json_object_keys(text), "results"), "results").otherwise("one")
+    bad = F.raise_error(F.concat(F.lit("malformed JSON in "), F.col("source_file"))).cast(f"array<struct<{item}>>")
+    listed = (
+        F.when(kind == "list", F.from_json(F.when(kind == "list", text), f"array<struct<{item}>>", strict))
+        .when(kind == "results", F.from_json(F.when(kind == "results", text), f"results array<struct<{item}>>", strict)["results"])
+        .when(kind == "one", F.array(F.from_json(F.when(kind == "one", text), f"struct<{item}>", strict)))
+        .otherwise(bad)
+    )
     return rows.select("source_file", F.posexplode(listed).alias("position", "item")).select("source_file", "position", "item.*")
 
 
-def samples(questions: DataFrame, column: str = "samples") -> DataFrame:
-    """One row for each sample of nested questions, ``row_index`` being its place."""
+def samples(questions: DataFrame, column: str = "samples", strict: bool = True) -> DataFrame:
+    """One row for each sample of nested questions, ``row_index`` being its place.
+
+    A question without samples is an error, or with ``strict=False`` one row whose
+    ``row_index`` and sample are null, so that it stays in every denominator.
+    """
     rest = [c for c in questions.columns if c != column]
-    return questions.select(*rest, F.posexplode(column).alias("row_index", "_s")).select(*rest, "row_index", "_s.*")
+    if strict:
+        some = F.when(F.size(column) > 0, F.col(column)).otherwise(F.raise_error(F.lit("a question has no samples")).cast(dict(questions.dtypes)[column]))
+        return questions.select(*rest, F.posexplode(some).alias("row_index", "_s")).select(*rest, "row_index", "_s.*")
+    return questions.select(*rest, F.posexplode_outer(column).alias("row_index", "_s")).select(*rest, "row_index", "_s.*")
 
 
 def logical(rows: DataFrame, name: str, first_present: bool = True) -> Column:

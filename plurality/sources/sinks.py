@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +13,37 @@ from pyspark.sql import functions as F
 from plurality.functions.hashing import ordered_digest
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def replaced_whole(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Runs ``write`` on a staging folder beside ``path``, then puts it in the old one's place.
+
+    If the job fails, what stood there before still does. On stores that rename by copying,
+    the last step is not a single one.
+    """
+    staged, before = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}", f"{path.rstrip('/')}.before-{uuid.uuid4().hex}"
+    (target, fs), (new, _), (old, _) = _place(spark, path.rstrip("/")), _place(spark, staged), _place(spark, before)
+    try:
+        write(staged)
+        there = fs.exists(target)
+        if there and not fs.rename(target, old):
+            raise OSError(f"{path} can not be moved")
+        if not fs.rename(new, target):
+            if there:
+                fs.rename(old, target)
+            raise OSError(f"{staged} can not be moved to {path}")
+        if there:
+            fs.delete(old, True)
+    finally:
+        fs.delete(new, True)
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
-    """One JSON object a line; readers see all files of a write or none."""
-    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """One JSON object a line; the old table stays until the new one is whole."""
+    replaced_whole(rows.sparkSession, path, lambda p: rows.write.option("ignoreNullFields", False).json(p))
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, digits: int | None = None) -> None:
@@ -30,7 +60,8 @@ def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, digi
             value = F.round(value, digits)
         return value.alias(name)
 
-    rows.select(*map(one, columns)).write.mode("overwrite").option("header", True).csv(path)
+    shown = rows.select(*map(one, columns))
+    replaced_whole(rows.sparkSession, path, lambda p: shown.write.option("header", True).csv(p))
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -98,3 +129,43 @@ def markdown(rows: DataFrame, columns: list[str], most: int = 1000) -> str:
     line = lambda cells: "| " + " | ".join(cells) + " |"
     body = [line([number(v) if isinstance(v, float) else "-" if v is None else str(v) for v in r]) for r in data]
     return "\n".join([line(columns), line(["---"] * len(columns)), *body]) + "\n"
+
+
+def write_report(report: DataFrame, columns: list[str], path: str, title: str, most: int = 10_000) -> None:
+    """A report in three forms below ``path``: ``rows.json``, ``rows.csv`` with exactly
+    ``columns``, and the Markdown table ``report.md``, all put in place at once."""
+    spark = report.sparkSession
+
+    def write(staged: str) -> None:
+        report.coalesce(1).write.option("ignoreNullFields", False).json(f"{staged}/rows.json")
+        absent = [F.lit(None).cast("string").alias(c) if c not in report.columns else F.col(c) for c in columns]
+        report.select(*absent).coalesce(1).write.option("header", True).csv(f"{staged}/rows.csv")
+        text = f"# {title}\n\n{markdown(report, [c for c in columns if c in report.columns], most)}"
+        write_text(spark, f"{staged}/report.md", text)
+
+    replaced_whole(spark, path, write)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    place, fs = _place(spark, path)
+    stream = fs.create(place, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+
+
+def write_manifest(spark: SparkSession, path: str, kind: str, stats: dict) -> None:
+    """A small record beside a table: what it is, and its counts and digest."""
+    write_text(spark, path, json.dumps({"schema_version": 1, "artifact_type": kind, **stats}, sort_keys=True))
+
+
+def merged_chunks(chunks: DataFrame, question: str, sample: str, chunk: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(all rows, one row of ``questions, samples, chunks, digest``) of a table of chunks.
+
+    The digest is of the chunks' digests in order, each of its ordered sample ids; a chunk
+    has a fixed size, so no task holds more than one chunk's ids.
+    """
+    per = chunks.groupBy(chunk).agg(F.array_sort(F.collect_list(F.struct(order, sample))).alias("_l"))
+    digests = per.select(chunk, ordered_digest(F.transform("_l", lambda x: x[sample])).alias("_d"))
+    total = digests.agg(F.count("*").alias("chunks"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(chunk, "_d"))), lambda x: x["_d"]), ","), 256).alias("digest"))
+    sizes = chunks.agg(F.count_distinct(question).alias("questions"), F.count("*").alias("samples"))
+    return chunks, sizes.crossJoin(total)
