@@ -92,15 +92,15 @@ def sent_if_small(frame: DataFrame, scratch: Scratch, rows: int = SENT_ROWS) ->
 HOT_SHARE = 1e-4
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, rows: Column, total: int) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], rows: Column, total: int) -> DataFrame:
     """``left`` joined to the one row of ``right`` that its key has.
 
-    ``rows`` says how many rows of ``left`` a key has, of ``total`` in all. Hot keys are sent
-    to every executor (``1 / HOT_SHARE`` rows at most), so only rows of other keys are
-    shuffled, and no task gets all rows of a hot one.
+    ``rows`` says how many rows of ``left`` a key has at most, of ``total`` in all. Hot keys
+    are sent to every executor (``1 / HOT_SHARE`` rows at most), so only rows of other keys
+    are shuffled, and no task gets all rows of a hot one.
     """
     hot = rows >= max(2, total * HOT_SHARE)
-    values = [c for c in right.columns if c != key]
+    values = [c for c in right.columns if c != key and c not in key]
     few = F.broadcast(right.where(hot).withColumn("_hot", F.lit(True)))
     split = left.join(few, key, "left")
     near = split.where("_hot").select(*left.columns, *values)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.llm.common import Scratch, bound_batches, map_batches, sent_if_small, texts, tidied
+from plurality.llm.common import Scratch, bound_batches, hot_join, map_batches, sent_if_small, texts, tidied
 from plurality.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -496,7 +496,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
     signed = scratch.keep(map_batches(source, ["doc", "text"], describe, "doc long, n long, k1 long, k2 long, cells array<long>"))
     base = scratch.keep(signed.select("doc", "n", "k1", "k2"))
     # equal sets are one class, told by the smallest id
-    classes = scratch.keep(base.where("n > 0 AND doc IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.max("n").alias("n")))
+    classes = scratch.keep(base.where("n > 0 AND doc IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
     hits = _sorted_cells(signed.select(F.explode("cells").alias("cell"), "doc")).mapInArrow(tidied(_seen), "doc long, hits long").groupBy("doc").agg(F.sum("hits").alias("hits"))
     least = F.floor((F.col("n") * percent + 99) / 100)
     enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(least * SURPLUS_PERCENT / 100))
@@ -505,7 +505,8 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
     units = _clusters(left, _rarest(source, left, percent, size, scratch), scratch)
     linked = _linked(source, units, percent, size, scratch)
 
-    reps = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("found"))
-    joined = base.where("n > 0 AND doc IS NOT NULL").join(reps, ["k1", "k2"])
+    reps = scratch.keep(classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("found")))
+    # a text of very many copies is one row of the classes, and met where its copies are
+    joined = hot_join(base.where("n > 0 AND doc IS NOT NULL"), reps, ["k1", "k2"], F.col("copies"), base.count())
     rest = base.where("n = 0 OR doc IS NULL").withColumn("found", F.col("doc"))
     return joined.select("doc", "n", "found").union(rest.select("doc", "n", "found")).toDF(id_col, "n_shingles", "component_id")
