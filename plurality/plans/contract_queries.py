@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 
 from plurality.functions import answers as A
 from plurality.functions import guards as G
-from plurality.functions import hashing as H
-from plurality.functions import prompts as R
-from plurality.functions import scores as S
 from plurality.functions import views as V
 from plurality.operators import contracts as K
 from plurality.operators import matching as M
@@ -16,7 +13,7 @@ from plurality.operators import sampling as T
 from plurality.operators import selection as L
 from plurality.plans.registry import query
 from plurality.sources import artifacts
-from plurality.sources.adapters import gold, pool, read
+from plurality.sources.adapters import pool, read
 
 PAYLOAD_SQL = """q AS (SELECT p_partkey AS question_id, CASE p_partkey % 5 WHEN 0 THEN 'gsm8k' ELSE 'sciq' END AS dataset_name, p_partkey % 5 = 0 AS number,
   CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 4 END AS num_views, CASE WHEN p_partkey % 5 = 0 THEN 32 WHEN p_partkey % 7 = 0 THEN 4 ELSE 8 END AS per, CASE WHEN p_partkey % 7 = 0 AND p_partkey % 5 <> 0 THEN 16 ELSE 32 END AS budget FROM part),

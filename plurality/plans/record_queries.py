@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plurality.functions import normalize as N
+from plurality.functions import prompts as P
 from plurality.functions import scores as S
+from plurality.functions import views as W
 from plurality.operators import evaluation as V
+from plurality.operators import matching as M
 from plurality.operators import records as R
-from plurality.operators import reparse
+from plurality.operators import sampling as T
 from plurality.plans.evaluation_queries import SETTINGS
 from plurality.plans.registry import query
 from plurality.sources import artifacts
-from plurality.sources.adapters import events_pool, gold, pool, read
+from plurality.sources import readers as D
+from plurality.sources import sinks as K
+from plurality.sources.adapters import gold, pool, read
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'q' || conv_id ELSE 'legacy:' || substr(sha256(coalesce(text, '')), 1, 20) END AS question, CASE WHEN turn % 4 = 0 THEN 's' || turn ELSE substr(sha256(conv_id || chr(0) || turn || chr(0) || (turn + 1)), 1, 24) END AS sample FROM conversations""", views=False)
@@ -135,3 +140,79 @@ def grouped_payloads(spark, sf_dir):
     )
     out = artifacts.grouped_payloads(rows)
     return out.select("dataset_name", "group_key", F.size("samples").cast("long").alias("n"), F.array_min(F.transform("samples", lambda s: s["k"])).alias("first"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS t FROM conversations)
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'deepseek' WHEN 1 THEN 'llama' WHEN 2 THEN 'qwen' END AS family, CASE turn % 4 WHEN 0 THEN 2048 WHEN 1 THEN 1024 WHEN 2 THEN 1024 END AS max_new_tokens, 'why ' || turn || ' x' AS stem, CASE turn % 3 WHEN 0 THEN ['one', 'two ' || turn] ELSE [] END AS options,
+  substr(sha256('x<｜Assistant｜>'), 1, 8) AS bare FROM r""", views=False)
+def prompts(spark, sf_dir):
+    turn = F.col("turn")
+    name = F.when(turn % 4 == 0, "org/DeepSeek-R1-Distill-Llama").when(turn % 4 == 1, "Llama-3").when(turn % 4 == 2, "QWEN2").otherwise("other")
+    body = F.concat(F.lit("Question: why "), turn.cast("string"), F.lit(" x"), F.when(turn % 3 == 0, F.concat(F.lit("\nOptions:\nA) one\nb. two "), turn.cast("string"))).otherwise(""))
+    chat = F.concat(F.lit("<|im_start|>system\nS<|im_end|>\n<|im_start|>user\n"), body, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", P.model_family(name).alias("family"), chat.alias("chat"), F.when(turn % 2 == 0, "x<｜Assistant｜><think>\n").otherwise("x<｜Assistant｜>").alias("ended"))
+    rows = rows.withColumn("parts", P.question_and_options(F.col("chat"))).withColumn("limits", P.generation_limits(F.col("family")))
+    return rows.select("conv_id", "turn", "family", F.col("limits.max_new_tokens").alias("max_new_tokens"), F.col("parts.stem").alias("stem"), F.col("parts.options").alias("options"), F.substring(F.sha2(P.without_forced_think(F.col("ended")), 256), 1, 8).alias("bare"))
+
+
+@query("""WITH r AS (SELECT question_id, pos, CAST(confidence AS DOUBLE) AS c FROM pool)
+SELECT question_id, pos, CASE WHEN pos % 3 = 0 THEN 0.25 WHEN pos % 3 = 1 THEN 0.75 ELSE c END AS score, CASE WHEN pos % 3 = 0 THEN 'cisc_confidence' WHEN pos % 3 = 1 THEN 'base_confidence' WHEN c IS NOT NULL THEN 'confidence' END AS source,
+  round(-(ln(2 * 0.5) + ln(2.0 / (pos + 2))) / 2, 9) AS certainty FROM r""")
+def method_scores(spark, sf_dir):
+    pos = F.col("pos")
+    rows = pool(spark, sf_dir).select("question_id", "pos", "confidence", F.when(pos % 3 == 0, 0.25).when(pos % 3 == 1, float("nan")).alias("cisc_confidence"), F.when(pos % 3 != 2, 0.75).alias("base_confidence"))
+    score, source = S.method_score(rows.columns, "informed", F.col("confidence"))
+    vectors = F.array(F.array(F.lit(0.5), 1.0 / (pos + 2)))
+    return rows.select("question_id", "pos", score.alias("score"), source.alias("source"), F.round(S.self_certainty(vectors, F.lit(2), logs=False), 9).alias("certainty"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS chunk, CAST(o_orderkey AS VARCHAR) AS q, o_orderkey AS o, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT chunk, count(*) AS questions, CAST(sum(n) AS BIGINT) AS samples, sha256(string_agg(q || chr(0), '' ORDER BY o)) AS digest FROM r GROUP BY chunk""", views=False)
+def chunk_summary(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chunk"), F.col("o_orderkey").alias("o"), F.col("o_orderkey").cast("string").alias("q")).join(lines, "o")
+    return K.chunk_summary(rows, "chunk", "q", "o")
+
+
+@query("""WITH v AS (SELECT p_partkey AS k, unnest(range(0, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END)) AS view_index, CASE p_partkey % 3 WHEN 0 THEN 32 WHEN 1 THEN 16 ELSE 8 END AS per FROM part)
+SELECT k, count(DISTINCT view_index) AS views, CAST(sum(per) AS BIGINT) AS samples, CAST(sum(per) // 2 AS BIGINT) AS valid, CAST(31 AS BIGINT) AS last FROM v GROUP BY k""", views=False)
+def expanded_samples(spark, sf_dir):
+    """Profiles to views to samples, and back to one row a question."""
+    k = F.col("p_partkey")
+    n = F.when(k % 3 == 1, 2).otherwise(F.when(k % 3 == 0, 0).otherwise(3))
+    rows = read(spark, sf_dir, "part").select(k.alias("question_id"), W.sampling_profile(F.when(k % 3 == 0, "Numeric").otherwise("option letter"), n).alias("p"))
+    views = rows.select("question_id", F.col("p.per_view").alias("per_view"), F.explode(F.sequence(F.lit(0), F.col("p.views") - 1)).alias("view_index"))
+    samples = W.expand_samples(views, F.col("per_view")).withColumn("is_valid_answer", F.col("sample_index") % 2 == 0)
+    done = W.rolled_up(samples.drop("per_view")).withColumnRenamed("samples", "rows")
+    whole = F.transform("rows", lambda s: s["view_index"] * F.size("rows") + s["sample_index"])
+    sorted_ = F.when(F.array_sort(whole) == whole, 31).otherwise(-1).cast("long")
+    return done.select(F.col("question_id").alias("k"), F.size(F.array_distinct(F.transform("rows", lambda s: s["view_index"]))).cast("long").alias("views"), F.col("attempted_budget").alias("samples"), F.col("valid_responses").alias("valid"), sorted_.alias("last"))
+
+
+@query("""SELECT o_orderkey AS i, o_orderkey // 100 AS batch, o_orderkey % 7 = 3 AS mine FROM orders""", views=False)
+def shards_and_batches(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"))
+    mine = D.shard(rows, "i", 7, 3).withColumn("mine", F.lit(True))
+    return rows.join(mine, "i", "left").select("i", D.batch_of("i", 100).alias("batch"), F.coalesce("mine", F.lit(False)).alias("mine"))
+
+
+@query("""WITH t AS (SELECT question_id, pos, 'calibration' AS task FROM pool WHERE pos < 2 UNION ALL SELECT question_id, pos, 'causal_lm' FROM pool WHERE pos = 5)
+SELECT question_id, pos, task, substr(sha256('3' || chr(0) || task || chr(0) || question_id), 1, 32) AS shuffle_key FROM t""")
+def task_mix(spark, sf_dir):
+    rows = pool(spark, sf_dir).select("question_id", "pos")
+    return T.task_mix(rows.where("pos < 2"), rows.where("pos = 5"), "question_id", 3)
+
+
+@query("""SELECT status, count(*) AS rows FROM (SELECT 'missing' AS status, o_custkey FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL HAVING o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1)
+UNION ALL SELECT 'unexpected', o_custkey FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL HAVING o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)) GROUP BY status""", views=False)
+def align_warnings(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return M.align_warnings(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1"), "o_custkey")
+
+
+@query("""SELECT c.o_orderkey AS k, n.n_name AS other_name FROM orders c JOIN nation n ON c.o_custkey % 25 = n.n_nationkey""", views=False)
+def aligned_by_fallback(spark, sf_dir):
+    """No id is shared, so rows meet by the fallback."""
+    left = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), (F.col("o_custkey") % 25).alias("source"))
+    right = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").cast("long").alias("source"), F.col("n_name").alias("name"))
+    return M.align(left, right, "id", "source").select("k", "other_name")
