@@ -80,14 +80,19 @@ def frame_of(pool: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame
     return known.where("answered IS NOT NULL"), totals
 
 
-def measured(rows: DataFrame) -> list[Column]:
-    """The measures of rows with ``prediction, used, status, gold, answered``."""
+def measures_of(prediction: Column, used: Column, status: Column) -> dict[str, Column]:
+    """The measures of a decision, for rows with ``gold`` and ``answered``."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
     values = [
-        flag(F.col("prediction") == F.col("gold")), F.col("used").cast("long"), F.size(F.filter("answered", lambda p: p < F.col("used"))).cast("long"),
-        F.col("prediction").isNull().cast("long"), flag(F.col("status") == "insufficient_samples"), flag(F.col("status") == "early_stop"),
+        flag(prediction == F.col("gold")), used.cast("long"), F.size(F.filter("answered", lambda p: p < used)).cast("long"),
+        prediction.isNull().cast("long"), flag(status == "insufficient_samples"), flag(status == "early_stop"),
     ]
-    return [v.alias(name) for v, name in zip(values, MEASURES, strict=True)]
+    return dict(zip(MEASURES, values, strict=True))
+
+
+def measured(rows: DataFrame) -> list[Column]:
+    """The measures of rows with ``prediction, used, status, gold, answered``."""
+    return [v.alias(m) for m, v in measures_of(F.col("prediction"), F.col("used"), F.col("status")).items()]
 
 
 def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -112,7 +117,7 @@ def fixed(pool: DataFrame, observed: DataFrame, settings: Settings, certainty: s
     return _summed(joined.select("method", "budget", *measured(joined)), ["method", "budget"])
 
 
-def _decisions(method: str, pool: DataFrame, cap: int, grid: list[float], settings: Settings) -> tuple[DataFrame, DataFrame]:
+def _decisions(method: str, pool: DataFrame, cap: int, grid: list[float], settings: Settings) -> DataFrame:
     confidence = F.col("confidence")
     if method == "ASC":
         return stopping.adaptive(pool, cap, grid, F.lit(1), settings.min_valid)
@@ -130,19 +135,13 @@ def curve(method: str, pool: DataFrame, observed: DataFrame, cap: int, grid: lis
         sizes = [stopping.window_size(s, cap) for s in grid]
         rows = stopping.window_outcomes(pool, cap, sizes).join(observed, "question_id")
         return shown(_summed(rows.select("parameter", *measured(rows)), ["parameter"]))
-    stops, rest = _decisions(method, pool, cap, grid, settings)
-    keys = ["question_id", "parameter"] if "parameter" in rest.columns else ["question_id"]
-    base = rest.join(observed, "question_id")
-    base = base.select(*keys, *measured(base))
-    early = stops.withColumn("status", F.lit("early_stop")).join(observed, "question_id")
-    early = early.select("question_id", "parameter", *measured(early))
-    moved = early.join(base.select(*keys, *(F.col(m).alias(f"_{m}") for m in MEASURES)), keys)
-    moved = moved.groupBy("parameter").agg(*(F.sum(F.col(m) - F.col(f"_{m}")).alias(f"d_{m}") for m in MEASURES))
-    whole = _summed(base, keys[1:])
-    wanted = pool.sparkSession.createDataFrame([(float(p),) for p in grid], "parameter double")
-    frame = wanted.join(F.broadcast(whole), "parameter") if keys[1:] else wanted.crossJoin(F.broadcast(whole))
-    out = frame.join(F.broadcast(moved), "parameter", "left")
-    return shown(out.select("parameter", *((F.coalesce(m, F.lit(0)) + F.coalesce(f"d_{m}", F.lit(0))).alias(m) for m in MEASURES)))
+    rows = _decisions(method, pool, cap, grid, settings).join(observed, "question_id")
+    base = F.struct(*measured(rows))
+
+    def changed(stop: Column, before: Column) -> dict[str, Column]:
+        return {m: v - before[m] for m, v in measures_of(stop["prediction"], stop["used"], F.lit("early_stop")).items()}
+
+    return shown(stopping.over_grid(stopping.curve_sums(rows, base, changed, MEASURES), grid, MEASURES))
 
 
 def report_rows(sums: DataFrame, totals: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ Running votes only grow, so the leader after each row is a running maximum of
 question. A threshold stops at the first row whose share reaches it: the row that lifts the
 running maximum of shares over it. Each row therefore knows the thresholds it stops, and no
 question is multiplied by the grid. What a question adds where it does not stop is the same
-for every threshold; curves add it for all questions and take it away for those stopped.
+for every threshold; curves add it for all questions and change it for those stopped. Rules
+give one row a question, so windows and votes are found once for stops and fall-backs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,46 +50,57 @@ def running_votes(pool: DataFrame, cap: int, weight: Column, *more: str) -> Data
     return rows.select("question_id", "pos", "size", "valid", F.col("lead.answer").alias("leader"), part.alias("share"), *more)
 
 
-def _fall_back(rows: DataFrame, cap: int, last: Column, used: Column) -> DataFrame:
-    """One row a question for where no rule stops: prediction, used samples, status."""
-    short = F.col("size") < cap
-    per = rows.groupBy("question_id").agg(F.max("size").alias("size"), last.alias("last"), used.alias("full"))
-    status = F.when(short, "insufficient_samples").when(F.col("last").isNull(), "no_valid_answer").otherwise("ok")
-    return per.select("question_id", F.when(~short, F.col("last")).alias("prediction"), F.when(short, F.col("size")).otherwise(F.col("full")).alias("used"), status.alias("status"))
-
-
 def _thresholds(grid: list[float]) -> Column:
     return F.array(*[F.lit(float(t)) for t in sorted(set(grid))])
 
 
-def _raised(rows: DataFrame, value: Column, grid: list[float], extra: list[Column]) -> DataFrame:
-    """Rows that are first to reach thresholds of the grid, one row for each of those."""
+def _lifts(rows: DataFrame, value: Column, grid: list[float], prediction: str) -> DataFrame:
+    """Rows with ``lift``: what is said at a row that is first to reach thresholds, and these;
+    null at other rows."""
     before = F.coalesce(F.max("_v").over(_before()), F.lit(float("-inf")))
-    lifted = rows.withColumn("_v", value).withColumn("_b", before).where("_v > _b")
+    lifted = rows.withColumn("_v", value).withColumn("_b", before)
     reached = F.filter(_thresholds(grid), lambda t: (t > F.col("_b")) & (t <= F.col("_v")))
-    return lifted.select("question_id", F.explode(reached).alias("parameter"), *extra)
+    lift = F.when(F.col("_v") > F.col("_b"), F.struct(F.col(prediction).alias("prediction"), (F.col("pos") + 1).cast("long").alias("used"), reached.alias("reached")))
+    return lifted.withColumn("lift", lift)
 
 
-def adaptive(pool: DataFrame, cap: int, grid: list[float], weight: Column, min_valid: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Stops once ``valid >= min_valid`` and the leader's share reaches the parameter."""
-    rows = running_votes(pool, cap, weight)
-    value = F.when(F.col("valid") >= min_valid, F.col("share"))
-    stops = _raised(rows, value, grid, [F.col("leader").alias("prediction"), (F.col("pos") + 1).alias("used")])
-    last = F.max_by("leader", "pos")
-    return stops, _fall_back(rows, cap, last, F.lit(cap).cast("long"))
+def _stops(lifts: Column) -> Column:
+    """``array<struct<parameter, prediction, used>>`` of a question's lifts."""
+    return F.flatten(F.transform(lifts, lambda x: F.transform(x["reached"], lambda t: F.struct(t.alias("parameter"), x["prediction"].alias("prediction"), x["used"].alias("used")))))
 
 
-def confident(pool: DataFrame, cap: int, grid: list[float], score: Column) -> tuple[DataFrame, DataFrame]:
-    """Stops at the first answered row whose score reaches the parameter, else votes."""
-    rows = capped(pool, cap).withColumn("s", F.when(F.col("answer").isNotNull(), score))
-    stops = _raised(rows, F.col("s").cast("double"), grid, [F.col("answer").alias("prediction"), (F.col("pos") + 1).alias("used")])
-    return stops, _voted(rows, cap)
+def _decided(per: DataFrame, cap: int, last: Column, full: Column, stops: Column) -> DataFrame:
+    """One row a question: its stops, and where no rule stops, what is said and used."""
+    short = F.col("size") < cap
+    status = F.when(short, "insufficient_samples").when(last.isNull(), "no_valid_answer").otherwise("ok")
+    return per.select("question_id", stops.alias("stops"), F.when(~short, last).alias("prediction"), F.when(short, F.col("size")).otherwise(full).cast("long").alias("used"), status.alias("status"))
 
 
-def _voted(rows: DataFrame, cap: int) -> DataFrame:
-    sums = rows.groupBy("question_id", "answer").agg(F.max("size").alias("size"), F.sum("s").alias("w"), F.min(F.when(F.col("s").isNotNull(), F.col("pos"))).alias("first"))
+def _tallied(rows: DataFrame, item: Column) -> DataFrame:
+    """Per question its size, the answer of the largest sum of ``s`` (first seen of several),
+    and all its ``item`` values; answers are summed first, all within one partitioning."""
+    sums = rows.groupBy("question_id", "answer").agg(F.max("size").alias("size"), F.sum("s").alias("w"), F.min(F.when(F.col("s").isNotNull(), F.col("pos"))).alias("first"), F.collect_list(item).alias("items"))
     best = F.max(F.when(F.col("w").isNotNull() & F.col("answer").isNotNull(), F.struct("w", -F.col("first"), "answer")))["answer"]
-    return _fall_back(sums, cap, best, F.lit(cap).cast("long"))
+    return sums.groupBy("question_id").agg(F.max("size").alias("size"), best.alias("last"), F.flatten(F.collect_list("items")).alias("items"))
+
+
+def adaptive(pool: DataFrame, cap: int, grid: list[float], weight: Column, min_valid: int = 2) -> DataFrame:
+    """Stops once ``valid >= min_valid`` and the leader's share reaches the parameter.
+
+    As all rules do, returns ``question_id, stops, prediction, used, status``: an array of
+    the parameters that stop the question with what is said then, and the fall-back.
+    """
+    rows = running_votes(pool, cap, weight)
+    rows = _lifts(rows, F.when(F.col("valid") >= min_valid, F.col("share")), grid, "leader")
+    per = rows.groupBy("question_id").agg(F.max("size").alias("size"), F.max_by("leader", "pos").alias("last"), F.collect_list("lift").alias("lifts"))
+    return _decided(per, cap, F.col("last"), F.lit(cap), _stops(F.col("lifts")))
+
+
+def confident(pool: DataFrame, cap: int, grid: list[float], score: Column) -> DataFrame:
+    """Stops at the first answered row whose score reaches the parameter, else votes."""
+    rows = capped(pool, cap).withColumn("s", F.when(F.col("answer").isNotNull(), score))
+    rows = _lifts(rows, F.col("s").cast("double"), grid, "answer")
+    return _decided(_tallied(rows, F.col("lift")), cap, F.col("last"), F.lit(cap), _stops(F.col("items")))
 
 
 def window_outcomes(pool: DataFrame, cap: int, sizes: list[int]) -> DataFrame:
@@ -150,7 +164,7 @@ def window_size(value: float, cap: int) -> int:
     return min(cap, size if size >= 2 else max(2, round(value * cap)))
 
 
-def buffered(pool: DataFrame, cap: int, grid: list[float], score: Column, capacity: int = 5) -> tuple[DataFrame, DataFrame]:
+def buffered(pool: DataFrame, cap: int, grid: list[float], score: Column, capacity: int = 5) -> DataFrame:
     """Stops when ``capacity`` answered rows reach the parameter, with their weighted vote;
     else the weighted vote of the whole prefix.
 
@@ -160,53 +174,62 @@ def buffered(pool: DataFrame, cap: int, grid: list[float], score: Column, capaci
     rows = capped(pool, cap).withColumn("s", F.when(F.col("answer").isNotNull(), score))
     kind = dict(rows.dtypes)["s"]
     total = f"decimal(38,{kind.rstrip(')').split(',')[1]})" if kind.startswith("decimal") else "double"
-    item = F.struct("pos", "answer", "s", F.col("s").cast("double").alias("d"))
-    per = rows.where("s IS NOT NULL").groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("items"))  # at most ``cap`` of them
-    levels = F.array_sort(F.array_distinct(F.transform("items", lambda x: x["d"])))
-    cases = per.withColumn("levels", levels).select("question_id", "items", F.posexplode("levels").alias("at", "high"), "levels")
-    low = F.when(F.col("at") > 0, F.get("levels", F.col("at") - 1)).otherwise(F.lit(float("-inf")))
-    kept = F.slice(F.filter("items", lambda x: x["d"] >= F.col("high")), 1, capacity)
-    full = cases.select("question_id", low.alias("low"), "high", kept.alias("kept")).where(F.size("kept") == capacity)
+    item = F.when(F.col("s").isNotNull(), F.struct("pos", "answer", "s", F.col("s").cast("double").alias("d")))
+    per = _tallied(rows, item).withColumn("items", F.array_sort("items"))  # at most ``cap`` of them
+    per = per.withColumn("levels", F.array_sort(F.array_distinct(F.transform("items", lambda x: x["d"]))))
+
+    def winner(kept: Column) -> Column:
+        mass = lambda x: F.aggregate(F.filter(kept, lambda y: y["answer"] == x["answer"]), F.lit(0).cast(total), lambda acc, y: (acc + y["s"]).cast(total))
+        return F.array_max(F.transform(kept, lambda x: F.struct(mass(x).alias("w"), (-x["pos"]).alias("f"), x["answer"].alias("answer"))))["answer"]
 
-    def mass(x: Column) -> Column:
-        return F.aggregate(F.filter("kept", lambda y: y["answer"] == x["answer"]), F.lit(0).cast(total), lambda acc, y: (acc + y["s"]).cast(total))
+    def case(high: Column, at: Column) -> Column:
+        low = F.when(at > 0, F.get("levels", at - 1)).otherwise(F.lit(float("-inf")))
+        kept = F.slice(F.filter("items", lambda x: x["d"] >= high), 1, capacity)
+        return F.struct(kept.alias("kept"), F.filter(_thresholds(grid), lambda t: (t > low) & (t <= high)).alias("reached"))
 
-    best = F.array_max(F.transform("kept", lambda x: F.struct(mass(x).alias("w"), (-x["pos"]).alias("f"), x["answer"].alias("answer"))))
-    held = F.filter(_thresholds(grid), lambda t: (t > F.col("low")) & (t <= F.col("high")))
-    found = full.select("question_id", "low", "high", best["answer"].alias("prediction"), (F.element_at("kept", -1)["pos"] + 1).alias("used"))
-    stops = found.select("question_id", F.explode(held).alias("parameter"), "prediction", "used")
-    return stops, _voted(rows, cap)
+    cases = F.filter(F.transform("levels", case), lambda c: (F.size(c["kept"]) == capacity) & (F.size(c["reached"]) > 0))
+    lifts = F.transform("cases", lambda c: F.struct(winner(c["kept"]).alias("prediction"), (F.element_at(c["kept"], -1)["pos"] + 1).cast("long").alias("used"), c["reached"].alias("reached")))
+    per = per.withColumn("cases", cases).withColumn("lifts", lifts)
+    return _decided(per, cap, F.col("last"), F.lit(cap), _stops(F.col("lifts")))
 
 
-def outcomes(stops: DataFrame, rest: DataFrame, grid: list[float]) -> DataFrame:
+def outcomes(decisions: DataFrame, grid: list[float]) -> DataFrame:
     """One row for each question and parameter (for reading single predictions)."""
-    if "parameter" not in rest.columns:
-        rest = rest.withColumn("parameter", F.explode(_thresholds(grid)))
-    early = stops.withColumn("status", F.lit("early_stop"))
-    joined = rest.join(early.select("question_id", "parameter", F.struct("prediction", "used", "status").alias("e")), ["question_id", "parameter"], "left")
-    stopped = F.col("e").isNotNull()
-    return joined.select("question_id", "parameter", *[F.when(stopped, F.col(f"e.{c}")).otherwise(F.col(c)).alias(c) for c in ("prediction", "used", "status")])
+    rows = decisions.withColumn("parameter", F.explode(_thresholds(grid)))
+    rows = rows.withColumn("e", F.get(F.filter("stops", lambda x: x["parameter"] == F.col("parameter")), F.lit(0)))
+    early = F.col("e").isNotNull()
+    return rows.select("question_id", "parameter", F.when(early, F.col("e.prediction")).otherwise(F.col("prediction")).alias("prediction"), F.when(early, F.col("e.used")).otherwise(F.col("used")).alias("used"), F.when(early, "early_stop").otherwise(F.col("status")).alias("status"))
+
+
+def curve_sums(rows: DataFrame, base: Column, changed: Callable[[Column, Column], Column], measures: list[str]) -> DataFrame:
+    """Sums of measures per parameter, from one row a question.
+
+    ``base`` is a struct of the measures where no rule stops, ``changed(stop, base)`` of what
+    a stop alters. Parameter null has the sums of all bases, the others what to add to them.
+    """
+    first = F.struct(F.lit(None).cast("double").alias("parameter"), *(F.col("_base")[m].cast("long").alias(m) for m in measures))
+    delta = lambda x: F.struct(x["parameter"].alias("parameter"), *(changed(x, F.col("_base"))[m].cast("long").alias(m) for m in measures))
+    stops = F.coalesce("stops", F.array().cast(rows.schema["stops"].dataType))
+    every = rows.withColumn("_base", base).withColumn("_stops", stops).select(F.explode(F.concat(F.array(first), F.transform("_stops", delta))).alias("c")).select("c.*")
+    return every.groupBy("parameter").agg(F.count("*").alias("rows"), *(F.sum(m).alias(m) for m in measures))
+
+
+def over_grid(sums: DataFrame, grid: list[float], measures: list[str]) -> DataFrame:
+    """``parameter, all_rows, rows, measures`` for each parameter: the base and its changes."""
+    wanted = sums.sparkSession.createDataFrame([(float(p),) for p in sorted(set(grid))], "parameter double")
+    whole = sums.where("parameter IS NULL").select(F.col("rows").alias("all_rows"), *(F.col(m).alias(f"_{m}") for m in measures))
+    frame = wanted.crossJoin(F.broadcast(whole)).join(F.broadcast(sums.where("parameter IS NOT NULL")), "parameter", "left")
+    return frame.select("parameter", "all_rows", F.coalesce("rows", F.lit(0)).alias("rows"), *((F.col(f"_{m}") + F.coalesce(m, F.lit(0))).alias(m) for m in measures))
 
 
-def curve(stops: DataFrame, rest: DataFrame, expected: DataFrame, grid: list[float]) -> DataFrame:
+def curve(decisions: DataFrame, expected: DataFrame, grid: list[float]) -> DataFrame:
     """Per parameter: ``correct``, ``used``, ``early`` over all expected questions.
 
     A question that is missing from the pool is wrong and uses nothing.
     """
-    right = F.coalesce(F.col("prediction") == F.col("gold"), F.lit(False)).cast("long")
-    base = expected.join(rest, "question_id", "left").withColumn("r", right)
-    gold = expected.select("question_id", "gold")
-    early = stops.join(gold, "question_id").withColumn("r", right)
-    if "parameter" in rest.columns:
-        whole = base.groupBy("parameter").agg(F.sum("r").alias("r0"), F.sum("used").alias("u0"))
-        keys, back = ["question_id", "parameter"], base.select("question_id", "parameter", F.col("r").alias("br"), F.col("used").alias("bu"))
-        frame = stops.sparkSession.createDataFrame([(float(p),) for p in sorted(set(grid))], "parameter double").join(F.broadcast(whole), "parameter")
-    else:
-        whole = base.agg(F.sum("r").alias("r0"), F.sum("used").alias("u0"))
-        keys, back = ["question_id"], base.select("question_id", F.col("r").alias("br"), F.col("used").alias("bu"))
-        frame = stops.sparkSession.createDataFrame([(float(p),) for p in sorted(set(grid))], "parameter double").crossJoin(F.broadcast(whole))
-    moved = early.join(back, keys).groupBy("parameter").agg(F.count("*").alias("early"), F.sum(F.col("r") - F.col("br")).alias("dr"), F.sum(F.col("used") - F.col("bu")).alias("du"))
-    total = expected.agg(F.count("*").alias("questions"))
-    out = frame.join(F.broadcast(moved), "parameter", "left").crossJoin(F.broadcast(total))
-    zero = F.lit(0)
-    return out.select("parameter", "questions", (F.coalesce("r0", zero) + F.coalesce("dr", zero)).alias("correct"), (F.coalesce("u0", zero) + F.coalesce("du", zero)).alias("used"), F.coalesce("early", zero).alias("early"))
+    rows = expected.join(decisions, "question_id", "left")
+    right = lambda p: F.coalesce(p == F.col("gold"), F.lit(False)).cast("long")
+    base = F.struct(right(F.col("prediction")).alias("correct"), F.coalesce("used", F.lit(0)).alias("used"))
+    changed = lambda stop, b: {"correct": right(stop["prediction"]) - b["correct"], "used": stop["used"] - b["used"]}
+    out = over_grid(curve_sums(rows, base, changed, ["correct", "used"]), grid, ["correct", "used"])
+    return out.select("parameter", F.col("all_rows").alias("questions"), "correct", "used", F.col("rows").alias("early"))

@@ -105,7 +105,7 @@ final AS (SELECT question_id, arg_max(leader, pos) AS answer FROM leaders GROUP
 
 
 def _adaptive(spark, sf_dir, weight):
-    return E.curve(*E.adaptive(pool(spark, sf_dir), CAP, GRID, weight), gold(spark, sf_dir), GRID)
+    return E.curve(E.adaptive(pool(spark, sf_dir), CAP, GRID, weight), gold(spark, sf_dir), GRID)
 
 
 @query(_adaptive_sql("1"))
@@ -127,7 +127,7 @@ final AS (SELECT question_id, answer FROM (SELECT *, row_number() OVER (PARTITIO
 @query(f"""WITH {SCORED_SQL}, {GRID_SQL}, stops AS (SELECT question_id, parameter, min(pos) AS pos, arg_min(answer, pos) AS answer FROM voting, grid WHERE CAST(confidence AS DOUBLE) >= parameter GROUP BY ALL), {DECIDED_SQL}
 {CURVE_SQL}""")
 def confident_stop_curve(spark, sf_dir):
-    return E.curve(*E.confident(pool(spark, sf_dir), CAP, GRID, F.col("confidence")), gold(spark, sf_dir), GRID)
+    return E.curve(E.confident(pool(spark, sf_dir), CAP, GRID, F.col("confidence")), gold(spark, sf_dir), GRID)
 
 
 SIZES = list(range(2, CAP + 1))
@@ -154,7 +154,7 @@ sums AS (SELECT question_id, parameter, answer, sum(confidence) AS w, min(pos) A
 stops AS (SELECT e.question_id, e.parameter, e.pos, l.answer FROM ended e JOIN lead l ON l.question_id = e.question_id AND l.parameter = e.parameter AND l.r = 1), {DECIDED_SQL}
 {CURVE_SQL}""")
 def buffered_stop_curve(spark, sf_dir):
-    return E.curve(*E.buffered(pool(spark, sf_dir), CAP, GRID, F.col("confidence")), gold(spark, sf_dir), GRID)
+    return E.curve(E.buffered(pool(spark, sf_dir), CAP, GRID, F.col("confidence")), gold(spark, sf_dir), GRID)
 
 
 @query(f"""WITH {_running_sql("1").replace("FROM pool", "FROM events_pool")}, grid AS (SELECT * FROM (VALUES (0.4), (0.5), (0.75)) t(parameter)),
@@ -163,7 +163,7 @@ final AS (SELECT question_id, arg_max(leader, pos) AS answer FROM leaders GROUP
 SELECT question_id, CAST(parameter AS DOUBLE) AS parameter, prediction, used, status FROM decided""")
 def adaptive_event_predictions(spark, sf_dir):
     grid = [0.4, 0.5, 0.75]
-    return E.outcomes(*E.adaptive(events_pool(spark, sf_dir), CAP, grid, F.lit(1)), grid)
+    return E.outcomes(E.adaptive(events_pool(spark, sf_dir), CAP, grid, F.lit(1)), grid)
 
 
 @query(f"""WITH {_running_sql("1")}, {GRID_SQL},
