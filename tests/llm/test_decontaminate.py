@@ -103,3 +103,10 @@ def test_long_quotes_of_long_items(spark):
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
     item, rows = " ".join(words), [(1, "so " + " ".join(words[50:63]) + " it goes"), (2, " ".join(words[50:62])), (3, " ".join(words[:8] + words[20:30] + words[90:101]))]
     assert run(spark, rows, [(1, item)])[0] == [(1, 1, 6, 193)]
+
+
+def test_item_inside_a_very_long_text(spark):
+    filler = "plain filler words go on and on. " * 20_000
+    rows = [(1, filler + ITEM + filler), (2, filler)]
+    got, *_ = run(spark, rows, [(100, ITEM)])
+    assert [(d, i) for d, i, *_ in got] == [(1, 100)]

@@ -109,3 +109,15 @@ def test_hits_count_shared_cells_and_ends():
             for doc, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 total[doc] = total.get(doc, 0) + hits
         assert total == {9: 4, 8: 2, 7: 1}  # 2 and 4 are shared, 1 and 5 are ends
+
+
+def test_very_long_texts_and_ties(spark, monkeypatch):
+    """A text of two hundred thousand words, its near copy just on either side of the threshold, and equal sets of unlike texts."""
+    monkeypatch.setattr(jaccard, "CHUNK_NGRAMS", 5000)
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:190_000])), (3, " ".join(words[:100_000])), (4, "a b a b a b"), (5, "a b a b a b a b"), (6, "b a b a b")]
+    rows += [(10 + i, " ".join(words[i : i + 100])) for i in range(0, 60, 5)] + [(90, "p q r"), (91, "q p r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.ngram_components(docs, 3, 90).collect())
+    assert got == brute(rows, 3, 90)
+    assert [c for d, _, c in got if d in (2, 3, 5, 6)] == [1, 3, 4, 4]

@@ -57,3 +57,29 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "n_tokens", "ids", "decoded"] and rows.count() > 50
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_with_nulls_repeats_and_clashing_names(spark, tmp_path):
+    """Each stage keeps its columns, gives each odd row its defined result, and takes an empty table."""
+    long = " ".join(f"w{i % 9973}" for i in range(60_000))
+    copy = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, copy), (2, copy), (2, copy), (None, copy), (3, None), (4, ""), (5, " \n"), (6, long), (7, long + " end"), (8, "token=abcdef123456 stays elsewhere")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "1 AS score", "'x' AS component_id", "2 AS n_tokens", "3 AS item_id", "4 AS _spans", "length(text) AS n_chars")
+    none = tmp_path / "sf"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{none}/benchmark.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    ids = lambda frame: sorted((r.doc_id for r in frame.collect()), key=str)
+    good = steps["quality classifier"](spark, docs, str(none))
+    assert good.columns == docs.columns and ids(good) == ids(docs)  # no labels: all score 0.5
+    single = steps["n-gram Jaccard join"](spark, docs, str(none))
+    assert single.columns == docs.columns and ids(single) == sorted([1, None, 3, 4, 5, 6, 8], key=str)
+    clean = steps["benchmark decontamination"](spark, docs, str(none))
+    assert clean.columns == docs.columns and ids(clean) == ids(docs)
+    safe = {r.doc_id: r for r in steps["secret scans"](spark, docs, str(none)).collect()}
+    assert safe[8].text == "[secret] stays elsewhere" and safe[8].n_chars == 24 and safe[3].text is None and safe[3].n_chars is None
+    assert steps["secret scans"](spark, docs.drop("n_chars"), str(none)).columns == docs.drop("n_chars").columns
+    done = steps["BPE encoding and decoding"](spark, docs, str(none))
+    assert ids(done) == ids(docs) and {r.doc_id: r.n_tokens for r in done.collect()}[3] == 0
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, docs.limit(0), str(none)).count() == 0, name
