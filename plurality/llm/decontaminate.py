@@ -171,7 +171,8 @@ def contaminated(
     or word for word in any letter case. These are also shown for a pair with ``LONG_RUN``
     tokens or more in a row along one alignment, whatever their share. An item of fewer than ``window`` tokens is one
     window. A template has ``LEAST_LITERALS`` literals at least; other windows, and items of
-    fewer tokens, are found word for word only. Null and empty texts hold nothing. Rows with
+    fewer tokens, are found word for word only. Null and empty texts hold nothing; texts of any
+    length are read whole, their tokens once. Rows with
     the same document id (a null one too) count together, and so do rows of one item.
     ``oracle_sql`` says the first count only, so pairs found by the others are not in it.
     """

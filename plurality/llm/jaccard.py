@@ -475,6 +475,9 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
     smallest id reachable over links. Null and empty texts have an empty set and link with
     nothing, not even each other. Rows that repeat an id are each judged by their own text; with a
     null id a row keeps its size, and its ``component_id`` is null. ``id`` must be integral.
+    Texts of any length are taken whole; a task holds the sets of one block at a time, one of
+    them at least. N-grams are 64-bit hashes, so sizes and links are exact but for a chance of
+    about 2 ** -58 for each pair of different n-grams that meet.
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))

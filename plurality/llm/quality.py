@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, score`` per input row; null and empty texts get the score of an empty text."""
+    """``id, score`` per input row; null and empty texts get the score of an empty text, and
+    a text of any length is read whole."""
     kind = dict(docs.dtypes)[id_col]
 
     def step(ids: pa.Array, column: pa.Array) -> pa.RecordBatch:

@@ -110,7 +110,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``access`` (AKIA and 16 or more capitals or digits), ``hex`` (24 or more digits of it);
     the method adds ``entropy`` spans apart from those. Spans are ``kind:start:end`` by
     start, then kind; ``base_sha256`` is of the base ones. A null or empty text has none.
-    Nulls in the id and repeated rows stay; other columns are not read. No shuffle.
+    Texts of any length are read whole. Nulls in the id and repeated rows stay; other columns
+    are not read. No shuffle.
     """
     scanned = _scanned(docs.select(F.col(id_col), F.col(text_col)), text_col)
     base, every = F.col("_spans.base"), F.col("_spans.all")
