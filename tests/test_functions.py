@@ -181,3 +181,9 @@ def test_samples(spark):
     assert T.hashed_sample(rows, 7, "id", "g").count() == 7 and T.hashed_sample(rows, 0, "id", "g").count() == 0
     weights = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "k string, weight double")
     assert sorted((r.k, r.allocation) for r in T.largest_remainder(weights, 10, "k").collect()) == [("a", 4), ("b", 3), ("c", 3)]
+
+
+def test_window_size_rounds_half_to_even_and_takes_fractions():
+    from plurality.operators.stopping import window_size
+
+    assert [window_size(v, 32) for v in (2.5, 3.5, 40, 1, 0.5, 0.02, 1.6)] == [2, 4, 32, 32, 16, 2, 2]
