@@ -48,6 +48,8 @@ FEW, NONE, LOW_BITS = 40, 1 << 62, (1 << 20) - 1
 #: Words, and their pieces, of at most this length are remembered by a worker, this many of
 #: each in a generation.
 CACHE_CHARS, CACHE_WORDS = 64, 60_000
+#: As many counts, which are small.
+CACHE_COUNTS = 200_000
 
 # The vocabulary's splitting pattern (here for strings without white space).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
@@ -234,16 +236,16 @@ class Remembered(dict):
     """Results of short words, in two generations: when the younger one is full it becomes
     the older one, and words of that which come up again move back."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int | None = None):
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.older, self.most = compute, {}, most or CACHE_WORDS
 
     def __missing__(self, word: str):
         found = self.older.get(word)
         if found is None:
             found = self.compute(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = found
@@ -254,7 +256,8 @@ class Counter:
     """Token counts of texts, remembering the count of each distinct short word."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known, self.parts = vocab, Remembered(self.word), Remembered(vocab.count_piece)
+        self.vocab = vocab
+        self.known, self.parts = Remembered(self.word, CACHE_COUNTS), Remembered(vocab.count_piece, CACHE_COUNTS)
 
     def word(self, word: str) -> int:
         pieces = self.vocab.pieces(word)
