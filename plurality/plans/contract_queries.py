@@ -116,7 +116,7 @@ GUARD_RAW = """CASE l_linenumber WHEN 1 THEN '0.5' WHEN 2 THEN 'NaN' WHEN 3 THEN
 
 
 @query(f"""WITH r AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, {GUARD_RAW} AS raw, CASE l_partkey % 4 WHEN 0 THEN ' Yes' WHEN 1 THEN 'INVALID' WHEN 2 THEN 'perhaps' END AS flag FROM lineitem)
-SELECT id, line, part, CASE line WHEN 1 THEN 0.5 WHEN 3 THEN -0.25 WHEN 6 THEN 7.0 END AS finite, CASE line WHEN 1 THEN 0.5 END AS probability, CASE line WHEN 1 THEN 0.5 WHEN 6 THEN 7.0 END AS non_negative,
+SELECT id, line, part, CAST(CASE line WHEN 1 THEN 0.5 WHEN 3 THEN -0.25 WHEN 6 THEN 7.0 END AS DOUBLE) AS finite, CAST(CASE line WHEN 1 THEN 0.5 END AS DOUBLE) AS probability, CAST(CASE line WHEN 1 THEN 0.5 WHEN 6 THEN 7.0 END AS DOUBLE) AS non_negative,
   CASE part % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN TRUE END AS flag, CASE line WHEN 1 THEN '0.5' WHEN 2 THEN 'NaN' WHEN 3 THEN '-0.25' WHEN 4 THEN 'B' WHEN 6 THEN '7.0' END AS answer_key,
   CASE line WHEN 1 THEN '0.5' WHEN 2 THEN 'NAN' WHEN 3 THEN '-0.25' WHEN 4 THEN 'B' WHEN 5 THEN 'N/A' WHEN 6 THEN '7' END AS answer_upper, CASE line WHEN 1 THEN '0.5' WHEN 2 THEN 'NaN' WHEN 3 THEN '-0.25' WHEN 4 THEN 'B' WHEN 5 THEN 'N/A' WHEN 6 THEN '7.0' END AS answer_letter FROM r""", views=False)
 def guards(spark, sf_dir):
