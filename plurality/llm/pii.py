@@ -261,6 +261,29 @@ def forget_words() -> None:
     TAGGERS.clear()
 
 
+#: Bits of a word's code below its feature row: it ends a sentence; a long one may end here.
+ENDS, PLAIN = 1, 2
+
+
+class Codes(dict):
+    """Of each distinct word its feature row and what it is to a sentence, in one number."""
+
+    MOST = 200_000
+
+    def __init__(self, tagger: Tagger):
+        super().__init__()
+        self.tagger = tagger
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        # a sentence ends at a stop after a letter; numbers may hold stops
+        ends = ENDS if word[-1] in ".!?" and word[-2:-1].isalpha() else 0
+        plain = PLAIN if word.isalpha() and word.lower() not in CUES else 0
+        code = self[word] = self.tagger.row(word) << 2 | plain | ends
+        return code
+
+
 class Tagger:
     """Decodes batches of sentences; remembers the feature row of each distinct word."""
 
@@ -269,21 +292,32 @@ class Tagger:
     def __init__(self, field: Field):
         self.field = field
         self.rows: dict[tuple[int, ...], int] = {(): 0}
-        self.words: dict[str, int] = {}
+        self.simple: dict[tuple, int] = {}
+        self.codes = Codes(self)
         self.table = np.zeros((3, 1, len(STATES)))
         self.moves = np.where(field.banned, -30, field.moves)
         self.start = np.where(field.banned_start, -30, field.start)
 
     def row(self, word: str) -> int:
-        if len(self.words) >= 400_000:
-            self.words.clear()
+        """The word's feature row. Features of lower-case and title words hang on few things,
+        so their rows are told by those."""
+        head = word[:-1] if word[-1] in ".,;:!?" else word
+        if not (head.isalpha() and ((lower := head.islower()) or head.istitle())):
+            return self._row(word)
+        cue = head if lower else head.lower()
+        few = lower, len(head) == 1, word[len(head) :], min(len(word), 12), cue if cue in CUES else ""
+        found = self.simple.get(few)
+        if found is None:
+            found = self.simple[few] = self._row(word)
+        return found
+
+    def _row(self, word: str) -> int:
         key = tuple(self.field.ids(word))
         found = self.rows.get(key)
         if found is None:
             found = self.rows[key] = len(self.rows)
             new = self.field.emit[:, list(key)].sum(1)
             self.table = np.concatenate([self.table, new[:, None]], axis=1)
-        self.words[word] = found
         return found
 
     def decode(self, sentences: list[list[int]]) -> list[np.ndarray | None]:
@@ -364,28 +398,31 @@ def field_spans(text: str, words: list[re.Match], tags: np.ndarray, at: int) ->
 
 def scan(rows: list[str], tagger: Tagger) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text."""
-    sentences, places, words_of = [], [], []
-    known = tagger.words
+    sentences, places = [], []
     for r, text in enumerate(rows):
-        words = list(WORD.finditer(text))
-        words_of.append(words)
-        begin, line = 0, []
-        for i, m in enumerate(words):
-            w = m[0]
-            row = known.get(w)
-            line.append(tagger.row(w) if row is None else row)
-            # a sentence ends at a stop after a letter; numbers may hold stops
-            if (w[-1] in ".!?" and w[-2:-1].isalpha()) or (i - begin >= LONG_SENTENCE and w.isalpha() and w.lower() not in CUES):
-                sentences.append(line)
+        words = WORD.findall(text)
+        codes = np.fromiter(map(tagger.codes.__getitem__, words), np.int64, len(words))
+        begin = 0
+        for end in [*(np.flatnonzero(codes & ENDS) + 1).tolist(), len(words)]:
+            while end - begin > LONG_SENTENCE:
+                later = np.flatnonzero(codes[begin + LONG_SENTENCE : end] & PLAIN)
+                if not len(later):
+                    break
+                cut = begin + LONG_SENTENCE + int(later[0]) + 1
+                sentences.append(codes[begin:cut] >> 2)
+                places.append((r, begin))
+                begin = cut
+            if begin < end:
+                sentences.append(codes[begin:end] >> 2)
                 places.append((r, begin))
-                begin, line = i + 1, []
-        if line:
-            sentences.append(line)
-            places.append((r, begin))
+            begin = end
     added: list[list] = [[] for _ in rows]
+    matches: dict[int, list[re.Match]] = {}  # places of words, of texts that need them
     for tags, (r, begin) in zip(tagger.decode(sentences), places, strict=True):
         if tags is not None:
-            added[r] += field_spans(rows[r], words_of[r], tags, begin)
+            if r not in matches:
+                matches[r] = list(WORD.finditer(rows[r]))
+            added[r] += field_spans(rows[r], matches[r], tags, begin)
     out = []
     for text, more in zip(rows, added, strict=True):
         base = base_spans(text)
