@@ -103,10 +103,22 @@ def decomposition(relations: DataFrame, baseline: DataFrame, gold: DataFrame, pr
 
 
 def metric_rows(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
-    """``n``, accuracy, both calibration errors and Brier score in percent, per group."""
-    paper = metrics.calibration_error(rows, by, "edges", bins).select(*by, (100 * F.col("ece")).alias("ece_paper"))
-    strict = metrics.calibration_error(rows, by, "product", bins).select(*by, (100 * F.col("ece")).alias("ece_strict"))
-    return metrics.summary(rows, by).select(*by, "n", "accuracy", "brier").join(paper, by).join(strict, by)
+    """``n``, accuracy, both calibration errors and Brier score in percent, per group.
+
+    Rows are summed once by both binnings; the metrics share these few cells and their shuffle.
+    """
+    gap = F.col("score") - F.col("correct")
+    binned = rows.withColumn("_b1", metrics.bin_by_edges(F.col("score"), bins)).withColumn("_b2", metrics.bin_by_product(F.col("score"), bins))
+    cells = binned.groupBy(*by, "_b1", "_b2").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum("correct").alias("c"), F.sum(gap * gap).alias("q"))
+
+    def error(column: str, name: str) -> DataFrame:
+        per = cells.groupBy(*by, column).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"))
+        apart = F.when(F.col(column).isNotNull(), F.abs(F.col("c") - F.col("s"))).otherwise(0.0)
+        return per.groupBy(*by).agg((100 * F.sum(apart) / F.sum("n")).alias(name))
+
+    n = F.sum("n")
+    whole = cells.groupBy(*by).agg(n.alias("n"), (100 * F.sum("c") / n).alias("accuracy"), (100 * F.sum("q") / n).alias("brier"))
+    return whole.join(error("_b1", "ece_paper"), by).join(error("_b2", "ece_strict"), by)
 
 
 #: Effects told apart: name, the method before, the method after.
