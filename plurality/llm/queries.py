@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plurality.llm import bpe, decontaminate, jaccard, pii, quality, repetition, secrets, threads, urls
+from plurality.llm import audit, bpe, decontaminate, jaccard, pii, quality, repetition, secrets, threads, urls
 from plurality.llm.common import table
 
 VOCAB = "word_bpe_49k.json"
@@ -52,5 +52,9 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_personal_data, op4_token_counts, op5_reply_threads, op6_benchmark_decontamination, op7_bpe_codec, op8_url_filter, op9_secret_scan, op10_repetition_rules)}
-ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.oracle_sql(), "op5_reply_threads": threads.ORACLE_SQL}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_personal_data, op4_token_counts, op5_reply_threads, op6_benchmark_decontamination, op7_bpe_codec, op8_url_filter, op9_secret_scan, op10_repetition_rules, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.oracle_sql(), "op5_reply_threads": threads.ORACLE_SQL, "op13_filter_audit": audit.ORACLE_SQL}
