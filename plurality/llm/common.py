@@ -68,7 +68,7 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
-    def drop(self, frame: DataFrame) -> None:
+    def drop(self, frame: DataFrame | None) -> None:
         path = self.paths.pop(id(frame), None)
         if path:
             place, files = self._place(path)
