@@ -93,8 +93,9 @@ def sent_if_small(frame: DataFrame, scratch: Scratch, rows: int = SENT_ROWS) ->
 HOT_SHARE = 1e-4
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], rows: Column, total: int) -> DataFrame:
-    """``left`` joined to the one row of ``right`` that its key has.
+def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], rows: Column, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined to the one row of ``right`` that its key has; ``how="left"`` keeps
+    rows whose key has none.
 
     ``rows`` says how many rows of ``left`` a key has at most, of ``total`` in all. Hot keys
     are sent to every executor (``1 / HOT_SHARE`` rows at most), so only rows of other keys
@@ -105,7 +106,7 @@ def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], rows: Colu
     few = F.broadcast(right.where(hot).withColumn("_hot", F.lit(True)))
     split = left.join(few, key, "left")
     near = split.where("_hot").select(*left.columns, *values)
-    far = split.where("_hot IS NULL").select(*left.columns).join(right.where(~hot), key)
+    far = split.where("_hot IS NULL").select(*left.columns).join(right.where(~hot), key, how)
     return near.unionByName(far.select(*left.columns, *values))
 
 

@@ -65,7 +65,7 @@ def _forms(text: Column) -> Column:
         def one(word: Column, i: Column) -> Column:
             low = F.lower(word)
             measured = low.isin(UNITS) & (i > 0) & digit(F.translate(F.get(words, i - 1), MARK, ""))
-            core = F.substring(word, 2, 1_000_000)
+            core = F.substring(word, F.lit(2), F.length(word))
             # a capital is lower-cased at the beginning of a sentence, and a name inside
             first = F.when(digit(core), "<number>").when(F.lower(core).isin(UNITS) & (i > 0) & digit(F.translate(F.get(words, i - 1), MARK, "")), "<unit>").otherwise(F.lower(core))
             letter = F.substring(word, 1, 1)
@@ -79,7 +79,7 @@ def _forms(text: Column) -> Column:
             letter = F.substring(F.translate(word, MARK, ""), 1, 1)
             return F.when(begins & ~plain.startswith("<") & (letter != F.lower(letter)), "<name>").otherwise(plain)
 
-        raws = F.transform(words, lambda w: F.lower(F.when(w.startswith(MARK), F.substring(w, 2, 1_000_000)).otherwise(w)))
+        raws = F.transform(words, lambda w: F.lower(F.when(w.startswith(MARK), F.substring(w, F.lit(2), F.length(w))).otherwise(w)))
         arrays = let(F.transform(words, one), lambda forms: F.struct(forms.alias("forms"), F.transform(forms, name).alias("names"), raws.alias("raws")))
         hashes = lambda t: (F.transform(t[c], lambda w: F.xxhash64(w)).alias(f"hash{k}") for k, c in enumerate(("forms", "names", "raws")))
         return let(arrays, lambda t: F.struct(t["forms"].alias("forms"), t["names"].alias("names"), t["raws"].alias("raws"), *hashes(t)))

@@ -13,19 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import Scratch
+from plurality.llm.common import Scratch, hot_join
 from plurality.llm.native import let
 
-MARKS = r"^(?:[\x20\t]*>)+"
+# What stands before a line's text; the marks end at the last ">" of it.
+MARKS = r"^[\x20\t>]*+"
 # Fixed value: a line that says who wrote the quote below it.
 ATTRIBUTION = r"^ *(On|Am|Le|El) .*(wrote|schrieb|a écrit|escribió) ?: *$"
+#: Salts that rows without a key are dealt by, as a join would put them together.
+SALTS = 1024
 
 
 def _lines(text: Column) -> Column:
     """Array of ``struct<level, body>``, one for each line."""
 
     def one(line: Column) -> Column:
-        marks = F.regexp_extract(line, MARKS, 0)
+        marks = F.rtrim(F.regexp_extract(line, MARKS, 0), F.lit(" \t"))
         level = F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
         return F.struct(level.alias("level"), F.substring(line, F.length(marks) + 1, F.length(line)).alias("body"))
 
@@ -42,47 +45,59 @@ def _normal(passage: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(passage, r"[\x20\x09-\x0D]+", " ")))
 
 
-def _passages(lines: Column, level: Column) -> Column:
-    """Normalised paragraphs and lines of a level, each once; blank ones left out.
+def _passages(lines: Column) -> Column:
+    """``level:passage`` of normalised paragraphs and lines, each once; blank ones left out.
 
-    What is of another level is a blank line, so it parts paragraphs as one does.
+    A paragraph is a run of lines of one level that are not blank, so a line is in one
+    paragraph only, however many levels there are.
     """
-    kept = F.transform(lines, lambda x: F.when(x["level"] == level, F.trim(x["body"])).otherwise(F.lit("")))
-    paragraphs = F.transform(F.split(F.array_join(kept, "\n"), "\n\n+"), _normal)
-    every = F.concat(paragraphs, F.transform(kept, _normal))
-    return F.filter(F.array_distinct(every), lambda p: p != "")
+    told = lambda i: F.trim(F.get(lines, i)["body"]) != ""
+    goes_on = lambda i, j: F.coalesce(told(j) & (F.get(lines, i)["level"] == F.get(lines, j)["level"]), F.lit(False))
+    places = F.filter(F.transform(lines, lambda x, i: i), told)
+    begins, ends = F.filter(places, lambda i: ~goes_on(i, i - 1)), F.filter(places, lambda i: ~goes_on(i, i + 1))
+    said = lambda level, body: F.concat(level.cast("string"), F.lit(":"), _normal(body))
+    whole = lambda x: F.array_join(F.transform(F.slice(lines, x["b"] + 1, x["e"] - x["b"] + 1), lambda y: F.trim(y["body"])), "\n")
+    runs = F.arrays_zip(begins.alias("b"), ends.alias("e"))
+    paragraphs = F.transform(runs, lambda x: said(F.get(lines, x["b"])["level"], whole(x)))
+    every = F.array_distinct(F.concat(paragraphs, F.transform(lines, lambda x: said(x["level"], x["body"]))))
+    return F.filter(every, lambda p: F.length(p) > F.instr(p, ":"))
 
 
-def parsed(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """``conv, turn, role, body, own, quoted``: text without quotes, and passages."""
+def _of(passage: Column) -> tuple[Column, Column]:
+    """Level and passage of ``level:passage``."""
+    at = F.instr(passage, ":")
+    return F.substring(passage, F.lit(1), at - 1).cast("int"), F.substring(passage, at + 1, F.length(passage))
 
-    def pieces(lines: Column) -> Column:
-        deepest = F.array_max(F.transform(lines, lambda x: x["level"]))
-        levels = F.when(deepest > 0, F.sequence(F.lit(1), deepest)).otherwise(F.array().cast("array<int>"))
 
-        def of(level: Column) -> Column:
-            return F.transform(_passages(lines, level), lambda p: F.struct(level.alias("level"), F.xxhash64(p).alias("hash"), p.alias("passage")))
+def parsed(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """``conv, turn, role, body, own, quoted``: text without quotes, and ``level:passage`` of
+    what the message says itself and of what it quotes."""
 
+    def pieces(lines: Column) -> Column:
         body = F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
-        return F.struct(F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), _passages(lines, F.lit(0)).alias("own"), F.flatten(F.transform(levels, of)).alias("quoted"))
+        of = lambda passages: F.struct(F.filter(passages, lambda p: p.startswith("0:")).alias("own"), F.filter(passages, lambda p: ~p.startswith("0:") & ~p.startswith("-")).alias("quoted"))
+        return F.struct(F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), let(_passages(lines), of).alias("said"))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), let(_lines(text), pieces).alias("p"))
-    return rows.select("conv", "turn", "role", "p.body", "p.own", "p.quoted")
+    return rows.select("conv", "turn", "role", "p.body", "p.said.own", "p.said.quoted")
 
 
 def _roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
-    """``conv, turn, parent, root, depth`` by doubling: a turn takes over its ancestor's."""
-    state = scratch.keep(parents.select("conv", "turn", "parent", F.col("parent").alias("root"), F.lit(1).alias("depth")))
+    """``conv, turn, parent, n_linked, root, depth`` by doubling: a turn takes over its
+    ancestor's. One root may have any number of replies, so it is met by ``hot_join``."""
+    state = scratch.keep(parents.select("conv", "turn", "parent", "n_linked", F.col("parent").alias("root"), F.lit(1).alias("depth")))
+    total = state.count()
     while True:
-        far = state.select("conv", F.col("turn").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        after = scratch.keep(
-            state.join(far, ["conv", "root"], "left").select("conv", "turn", "parent", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved"))
-        )
+        uses = state.groupBy("conv", "root").agg(F.count("*").alias("uses"))
+        far = state.select("conv", F.col("turn").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more")).join(uses, ["conv", "root"])
+        met = hot_join(state, far, ["conv", "root"], F.col("uses"), total, how="left")
+        moved = F.col("above").isNotNull().alias("moved")
+        after = scratch.keep(met.select("conv", "turn", "parent", "n_linked", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved))
         scratch.drop(state)
         if not after.where("moved").limit(1).count():
             return after.drop("moved")
-        state = after.drop("moved")
+        state = after
 
 
 def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -103,25 +118,31 @@ def reply_threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     """
     scratch = Scratch(messages.sparkSession)
     rows = parsed(messages, conv_col, turn_col, role_col, text_col)
-    quotes = rows.where((F.size("quoted") > 0) & F.col("conv").isNotNull() & F.col("turn").isNotNull()).select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.*").distinct()
-    quotes = scratch.keep(quotes)
-    kinds = dict(rows.dtypes)
-    if quotes.limit(1).count():
-        said = rows.select("conv", "turn", F.explode("own").alias("passage")).groupBy("conv", F.xxhash64("passage").alias("hash"), "passage").agg(F.min("turn").alias("origin"))
-        links = quotes.join(said, ["conv", "hash", "passage"]).where("origin < turn")
+    quoted = rows.where((F.size("quoted") > 0) & F.col("conv").isNotNull() & F.col("turn").isNotNull()).select("conv", "turn", F.explode("quoted").alias("q"))
+    level, passage = _of(F.col("q"))
+    quotes = scratch.keep(quoted.select("conv", "turn", level.alias("level"), passage.alias("passage")).distinct().withColumn("hash", F.xxhash64("passage")))
+    kinds, total = dict(rows.dtypes), quotes.count()
+    if total:
+        key = ["conv", "hash", "passage"]
+        own = rows.select("conv", "turn", F.explode("own").alias("q")).select("conv", "turn", _of(F.col("q"))[1].alias("passage"))
+        said = own.groupBy("conv", F.xxhash64("passage").alias("hash"), "passage").agg(F.min("turn").alias("origin"))
+        uses = quotes.groupBy(*key).agg(F.count("*").alias("uses"))
+        links = hot_join(quotes, said.join(uses, key), key, F.col("uses"), total).where("origin < turn")
         per_turn = links.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), F.col("origin"))).alias("best"), F.count("*").alias("n_linked"))
-        chosen = scratch.keep(per_turn.select("conv", "turn", F.col("best.origin").alias("parent"), "n_linked"))
-        linked = _roots(chosen, scratch).join(chosen.select("conv", "turn", "n_linked"), ["conv", "turn"])
+        linked = _roots(per_turn.select("conv", "turn", F.col("best.origin").alias("parent"), "n_linked"), scratch)
     else:
-        spec = f"conv {kinds['conv']}, turn {kinds['turn']}, parent {kinds['turn']}, root {kinds['turn']}, depth int, n_linked long"
+        spec = f"conv {kinds['conv']}, turn {kinds['turn']}, parent {kinds['turn']}, n_linked long, root {kinds['turn']}, depth int"
         linked = messages.sparkSession.createDataFrame([], spec)
+    scratch.drop(quotes)
     role = F.coalesce("role", F.lit("unknown"))
-    out = rows.join(linked, ["conv", "turn"], "left").select(
+    keyless = F.col("conv").isNull() | F.col("turn").isNull()
+    salted = rows.withColumn("salt", F.when(keyless, F.pmod(F.xxhash64("body"), F.lit(SALTS)) + 1).otherwise(0))
+    out = salted.join(linked.withColumn("salt", F.lit(0).cast("long")), ["conv", "turn", "salt"], "left").select(
         F.col("conv").alias(conv_col),
         F.col("turn").alias(turn_col),
         F.col("role").alias(role_col),
         "body",
-        F.size(F.array_distinct("quoted")).cast("long").alias("n_quotes"),
+        F.size("quoted").cast("long").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.col("parent").alias("parent_turn"),
         F.coalesce("root", "turn").alias("thread_turn"),
