@@ -55,19 +55,21 @@ def first_examples(samples: DataFrame, bad: Column, by: list[str], order: list[s
 
 def weighted_consensus(samples: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """``question_id, answer, support, samples, invalid, source``: the answer of the largest
-    confidence sum, of several the smallest text, as a share of all valid confidence.
+    confidence sum, of several the smallest text, as a share of all valid confidence. Sums are
+    of decimals (twelve digits where confidence is none), so equal masses are equal.
 
     An answer without a confidence from 0 to 1 is an error, a missing answer only counted. A
     consensus in ``stored`` (``question_id, answer, support``) goes before the one found.
     """
     good = F.col("confidence").between(0, 1)
-    checked = F.when(F.col("answer").isNull() | F.coalesce(good, F.lit(False)), F.col("confidence").cast("double")).otherwise(F.raise_error(F.concat(F.lit("bad confidence in question "), F.col("question_id").cast("string"))))
-    per = samples.withColumn("_c", checked).groupBy("question_id", "answer").agg(F.round(F.sum("_c"), 9).alias("m"), F.count("*").alias("n"))
+    exact = F.col("confidence") if dict(samples.dtypes)["confidence"].startswith("decimal") else F.col("confidence").cast("decimal(20,12)")
+    checked = F.when(F.col("answer").isNull() | F.coalesce(good, F.lit(False)), exact).otherwise(F.raise_error(F.concat(F.lit("bad confidence in question "), F.col("question_id").cast("string"))))
+    per = samples.withColumn("_c", checked).groupBy("question_id", "answer").agg(F.sum("_c").alias("m"), F.count("*").alias("n"))
     some = F.col("answer").isNotNull()
     best = per.groupBy("question_id").agg(
         F.min(F.when(some, F.struct((-F.col("m")).alias("m"), "answer"))).alias("b"), F.sum(F.when(some, F.col("m"))).alias("total"), F.sum("n").alias("samples"), F.coalesce(F.sum(F.when(~some, F.col("n"))), F.lit(0)).alias("invalid")
     )
-    found = best.select("question_id", F.when(F.col("total") > 0, F.col("b.answer")).alias("answer"), F.when(F.col("total") > 0, -F.col("b.m") / F.col("total")).alias("support"), "samples", "invalid")
+    found = best.select("question_id", F.when(F.col("total") > 0, F.col("b.answer")).alias("answer"), F.when(F.col("total") > 0, (-F.col("b.m")).cast("double") / F.col("total").cast("double")).alias("support"), "samples", "invalid")
     if stored is None:
         return found.withColumn("source", F.lit("recomputed"))
     given = stored.select("question_id", F.col("answer").alias("_a"), F.col("support").alias("_s"))

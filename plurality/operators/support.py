@@ -91,10 +91,13 @@ def paired_scores(identity: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def cluster_weights(pool: DataFrame, cluster: str, beta: float = 0.5) -> DataFrame:
-    """Rows with ``cluster_size`` and ``dependency = size ** -beta``; invalid rows get 0."""
+    """Rows with ``cluster_size`` and ``dependency = size ** -beta``; invalid rows get 0.
+
+    The weight is a decimal of nine digits, so masses do not depend on the order of rows.
+    """
     ok = F.col("answer").isNotNull() & F.col(cluster).isNotNull()
     size = F.count_if(ok).over(Window.partitionBy("question_id", cluster))
-    return pool.withColumn("cluster_size", F.when(ok, size)).withColumn("dependency", F.when(ok, F.pow(double(size), F.lit(-beta))).otherwise(0.0))
+    return pool.withColumn("cluster_size", F.when(ok, size)).withColumn("dependency", F.when(ok, F.round(F.pow(double(size), F.lit(-beta)), 9)).otherwise(0.0).cast("decimal(18,9)"))
 
 
 def cluster_summary(pool: DataFrame, cluster: str, beta: float = 0.5) -> DataFrame:

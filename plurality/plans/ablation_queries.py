@@ -190,13 +190,13 @@ def first_examples(spark, sf_dir):
     return R.first_examples(pool(spark, sf_dir), F.col("answer").isNull(), ["dataset_id"], ["question_id", "pos"]).select("dataset_id", "question_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH sums AS (SELECT question_id, answer, round(sum(CAST(confidence AS DOUBLE)), 9) AS m, count(*) AS n FROM pool WHERE answer IS NULL OR confidence IS NOT NULL GROUP BY ALL),
+@query("""WITH sums AS (SELECT question_id, answer, sum(confidence) AS m, count(*) AS n FROM pool WHERE answer IS NULL OR confidence IS NOT NULL GROUP BY ALL),
 found AS (SELECT question_id, arg_min(answer, (-m, answer)) FILTER (WHERE answer IS NOT NULL) AS a, max(m) FILTER (WHERE answer IS NOT NULL) AS top, sum(m) FILTER (WHERE answer IS NOT NULL) AS total, CAST(sum(n) AS BIGINT) AS samples, CAST(coalesce(sum(n) FILTER (WHERE answer IS NULL), 0) AS BIGINT) AS invalid FROM sums GROUP BY ALL)
-SELECT question_id, CASE WHEN question_id % 10 = 0 THEN 'RF' WHEN total > 0 THEN a END AS answer, round(CASE WHEN question_id % 10 = 0 THEN 0.75 WHEN total > 0 THEN top / total END, 6) AS support, samples, invalid, CASE WHEN question_id % 10 = 0 THEN 'stored' ELSE 'recomputed' END AS source FROM found""")
+SELECT question_id, CASE WHEN question_id % 10 = 0 THEN 'RF' WHEN total > 0 THEN a END AS answer, round(CASE WHEN question_id % 10 = 0 THEN 0.75 WHEN total > 0 THEN CAST(top AS DOUBLE) / CAST(total AS DOUBLE) END, 9) AS support, samples, invalid, CASE WHEN question_id % 10 = 0 THEN 'stored' ELSE 'recomputed' END AS source FROM found""")
 def weighted_consensus(spark, sf_dir):
     rows = pool(spark, sf_dir).where("answer IS NULL OR confidence IS NOT NULL")
     stored = gold(spark, sf_dir).where(F.col("question_id") % 10 == 0).select("question_id", F.lit("RF").alias("answer"), F.lit(0.75).alias("support"))
-    return R.weighted_consensus(rows, stored).withColumn("support", F.round("support", 6))
+    return R.weighted_consensus(rows, stored).withColumn("support", F.round("support", 9))
 
 
 @query("""WITH specs AS (SELECT n_name AS dataset, n_nationkey + 1 AS weight, CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey / 100.0 END AS percentage FROM nation),

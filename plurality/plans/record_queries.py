@@ -101,13 +101,13 @@ def typed_scores(spark, sf_dir):
 
 
 @query("""WITH sizes AS (SELECT question_id, pos % 3 AS c, count(*) AS n FROM pool WHERE answer IS NOT NULL GROUP BY ALL),
-w AS (SELECT p.question_id, p.pos, p.answer, p.confidence, p.relation_weight, CASE WHEN p.answer IS NOT NULL THEN s.n ** -0.5 ELSE 0 END AS d FROM pool p LEFT JOIN sizes s ON s.question_id = p.question_id AND s.c = p.pos % 3),
-m AS (SELECT question_id, answer, sum(CAST(confidence AS DOUBLE) * CAST(relation_weight AS DOUBLE) * d) AS mass FROM w WHERE answer IS NOT NULL AND confidence IS NOT NULL GROUP BY ALL),
-t AS (SELECT question_id, answer, CASE WHEN sum(mass) OVER (PARTITION BY question_id) > 0 THEN mass / sum(mass) OVER (PARTITION BY question_id) END AS relssc FROM m)
-SELECT w.question_id, w.pos, round(w.d, 6) AS dependency_weight, round(t.relssc, 6) AS relssc FROM w LEFT JOIN t ON t.question_id = w.question_id AND t.answer = w.answer""")
+w AS (SELECT p.question_id, p.pos, p.answer, p.confidence, p.relation_weight, CASE WHEN p.answer IS NOT NULL THEN CAST(round(s.n ** -0.5, 9) AS DECIMAL(18,9)) ELSE 0 END AS d FROM pool p LEFT JOIN sizes s ON s.question_id = p.question_id AND s.c = p.pos % 3),
+m AS (SELECT question_id, answer, sum(confidence * relation_weight * d) AS mass FROM w WHERE answer IS NOT NULL AND confidence IS NOT NULL GROUP BY ALL),
+t AS (SELECT question_id, answer, CASE WHEN sum(mass) OVER (PARTITION BY question_id) > 0 THEN CAST(mass AS DOUBLE) / CAST(sum(mass) OVER (PARTITION BY question_id) AS DOUBLE) END AS relssc FROM m)
+SELECT w.question_id, w.pos, CAST(w.d AS DOUBLE) AS dependency_weight, round(t.relssc, 9) AS relssc FROM w LEFT JOIN t ON t.question_id = w.question_id AND t.answer = w.answer""")
 def attached_targets(spark, sf_dir):
     rows = R.attached(pool(spark, sf_dir).withColumn("cluster", F.col("pos") % 3), "cluster")
-    return rows.select("question_id", "pos", F.round("dependency_weight", 6).alias("dependency_weight"), F.round("relssc", 6).alias("relssc"))
+    return rows.select("question_id", "pos", F.col("dependency_weight").cast("double"), F.round("relssc", 9).alias("relssc"))
 
 
 @query("""WITH s AS (SELECT l_linestatus AS tag, round(l_discount * 10, 6) AS p, l_returnflag = 'A' AS ok FROM lineitem WHERE l_tax <> 0.05 AND l_discount * 10 <= 1 + 1e-9),

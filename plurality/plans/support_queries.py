@@ -115,7 +115,7 @@ CLUSTER_SQL = """sizes AS (SELECT question_id, answer || '/' || (pos % 5) AS clu
 FROM pool p LEFT JOIN sizes s ON p.question_id = s.question_id AND p.answer || '/' || (p.pos % 5) = s.cluster""")
 def dependency_weights(spark, sf_dir):
     rows = pool(spark, sf_dir).withColumn("cluster", F.concat_ws("/", "answer", (F.col("pos") % 5).cast("string")))
-    return S.cluster_weights(rows, "cluster").select("question_id", "pos", "cluster_size", F.round("dependency", 6).alias("dependency"))
+    return S.cluster_weights(rows, "cluster").select("question_id", "pos", "cluster_size", F.round(F.col("dependency").cast("double"), 6).alias("dependency"))
 
 
 @query(f"""WITH {CLUSTER_SQL} SELECT question_id, count(*) AS clusters, CAST(sum(n) AS BIGINT) AS "rows", max(n) AS largest, round(avg(n), 6) AS mean_size, round(sum(sqrt(n)), 6) AS effective_mass FROM sizes GROUP BY ALL""")

@@ -14,11 +14,11 @@ TABLES = [f[:-8] for f in os.listdir(SF) if f.endswith(".parquet")]
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 5) + 0.0
+        return "nan" if math.isnan(value) else round(value, 6) + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(map(plain, value))
     if hasattr(value, "as_integer_ratio") and not isinstance(value, (int, bool)):
-        return round(float(value), 5)
+        return round(float(value), 6)
     return value
 
 
