@@ -53,11 +53,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def _parts(host: Column, rest: Column, rules: list[tuple[str, str]]) -> Column:
-    """Parts of a URL over ``ALPHABET``: host, then path and query, without what rules name."""
-    cut_host, cut_rest = host, rest
-    for own in sorted({r.partition("/")[0] for r, _ in rules}, key=len):
-        shorter = F.substring(host, F.lit(1), F.length(host) - len(own) - 1)
-        cut_host = F.when(host == own, F.lit("")).when(host.endswith("." + own), shorter).otherwise(cut_host)
+    """Parts of a URL over ``ALPHABET``: host, then path and query, without what rules name.
+
+    Every host loses as many labels at its end as the shortest rule has, whichever rule fits
+    it, so what is left tells neither the ending nor which rule decided.
+    """
+    named = min((r.partition("/")[0].count(".") + 1 for r, _ in rules), default=0)
+    labels = F.split(host, r"\.")
+    cut_host = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - named, F.lit(0))), ".")
+    cut_rest = rest
     for start in sorted({r.partition("/")[2] for r, _ in rules} - {""}, key=len):
         cut_rest = F.when(rest.startswith("/" + start), F.substring(rest, F.lit(len(start) + 1), F.length(rest))).otherwise(cut_rest)
     low = F.regexp_replace(F.lower(F.concat(cut_host, cut_rest)), "[0-9]+", "0")
