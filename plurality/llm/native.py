@@ -74,3 +74,24 @@ def replaced(text: Column, spans: Column, mark: str) -> Column:
     before = F.aggregate(starts, F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), ends(F.slice(spans, k * CHUNK + 1, CHUNK))))))
     rest = let(ends(spans), lambda end: F.substring(text, end + 1, F.length(text)))
     return F.when(count > 0, F.concat(let(before, joined), rest)).otherwise(text)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Of ``spans`` those that no span of ``others`` overlaps; both are sorted by start, and
+    ``spans`` do not overlap each other.
+
+    How many of the others begin before a span ends is its place in both arrays sorted
+    together; how far those reach is known for whole chunks, and found inside one.
+    """
+    # a span's end goes before a start at the same place, as those do not overlap
+    marks = F.array_sort(F.concat(F.transform(others, lambda o: F.struct(o["start"].alias("at"), F.lit(1).alias("tag"))), F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("tag")))))
+    places = F.transform(F.filter(F.transform(marks, lambda m, i: F.struct(m["tag"].alias("tag"), i.alias("i"))), lambda m: m["tag"] == 0), lambda m, j: m["i"] - j)
+    ends = F.transform(others, lambda o: o["end"])
+    reach = lambda e, n: F.coalesce(F.array_max(F.slice(e, F.floor(n / CHUNK).cast("int") * CHUNK + 1, n % CHUNK)), F.lit(0))
+    starts = F.sequence(F.lit(0), F.floor(F.size(others) / CHUNK).cast("int"))
+    before = lambda e: F.aggregate(starts, F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.coalesce(F.array_max(F.slice(e, k * CHUNK + 1, CHUNK)), F.lit(0))))))
+
+    def free(n: Column, e: Column, b: Column) -> Column:
+        return F.filter(spans, lambda s, j: let(F.get(n, j), lambda m: F.greatest(reach(e, m), F.get(b, F.floor(m / CHUNK).cast("int"))) <= s["start"]))
+
+    return F.when(F.size(others) == 0, spans).otherwise(let(places, lambda n: let(ends, lambda e: let(before(e), lambda b: free(n, e, b)))))

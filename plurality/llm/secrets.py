@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.native import found_spans, let, replaced, span_text
+from plurality.llm.native import apart, found_spans, let, replaced, span_text
 
 # The three base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -80,7 +80,6 @@ def most_entropy(candidate: Column) -> Column:
 def entropy_spans(text: Column, base: Column) -> Column:
     """Candidates of enough entropy that are not allowed and touch no base span."""
     spans = found_spans(text, CANDIDATE, "entropy", 3)
-    clear = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
     def random(s: Column) -> Column:
         def judged(word: Column) -> Column:
@@ -92,7 +91,8 @@ def entropy_spans(text: Column, base: Column) -> Column:
 
         return let(F.substring(text, s["start"] + 1, s["end"] - s["start"]), judged)
 
-    return F.when(F.size(spans) > 0, F.filter(clear, random)).otherwise(spans)
+    clear = let(spans, lambda s: F.when(F.size(s) > 0, apart(s, base)).otherwise(s))
+    return F.filter(clear, random)
 
 
 def _scanned(docs: DataFrame, text_col: str) -> DataFrame:

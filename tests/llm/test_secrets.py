@@ -95,3 +95,27 @@ def test_many_matches_and_very_long_texts(spark):
                 out += texts[i][pos:s] + "#"
             pos = max(pos, e)
         assert row.text == out + texts[i][pos:]
+
+
+def test_planted_keys_are_found_and_many_spans_stay_fast(spark):
+    """Keys that no base pattern sees, among prose and key lines."""
+    import random
+    import string
+    import time
+
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(letters) for _ in range(rng.randrange(28, 48))) for _ in range(200)]
+    prose = [f"The quick brown foxes of site number {i} run over very-long-hyphenated-words and internationalisations" for i in range(200)]
+    docs = [(i, f"{p} use {k} here.") for i, (p, k) in enumerate(zip(prose, keys, strict=True))] + [(1000 + i, p) for i, p in enumerate(prose)]
+    lines = "\n".join(f"token = {rng.choice(letters)}{i:06d}abcdef and {rng.choice(keys)}" for i in range(4000))
+    rows = spark.createDataFrame([*docs, (5000, lines)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(rows).collect()}
+    assert time.time() - start < 90
+    found = sum("entropy" in got[i] for i in range(200))
+    assert found >= 0.95 * 200 and not any("entropy" in got[1000 + i] for i in range(200))
+    spans = [(int(a), int(b), kind) for kind, a, b in (x.split(":") for x in got[5000].split(","))]
+    base = [x for x in spans if x[2] != "entropy"]
+    assert len(base) == 4000 and len(spans) - len(base) >= 0.95 * 4000
+    assert not any(a < d and c < b for (a, b, kind), (c, d, other) in zip(spans, spans[1:]) if "entropy" in (kind, other))
