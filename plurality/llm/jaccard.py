@@ -332,8 +332,10 @@ def _clusters(classes: DataFrame, tied: DataFrame, scratch: Scratch) -> DataFram
     """
     inside = scratch.keep(classes.join(tied.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep").select("rep", "k1", "k2", "n", "cluster"))
     totals = inside.groupBy("cluster").agg(F.sum("n").alias("ngrams"), F.count("*").alias("sets")).where("sets > 1")
-    found = scratch.keep(inside.join(totals, "cluster").select("rep", "k1", "k2", "n", "cluster", "ngrams", "sets"))
+    totals = scratch.keep(totals)
+    found = scratch.keep(hot_join(inside, totals, "cluster", F.col("sets"), inside.count()).select("rep", "k1", "k2", "n", "cluster", "ngrams", "sets"))
     scratch.drop(inside)
+    scratch.drop(totals)
     return found
 
 
@@ -371,12 +373,13 @@ def _rarest(source: DataFrame, classes: DataFrame, percent: int, size: int, scra
 
     laid = _with_texts(source, wanted, scratch).select("doc", "k1", "k2", "spared", "text")
     tokens = scratch.keep(laid.mapInArrow(tidied(cut), "cell long, doc long, spared int"))
-    shared = tokens.groupBy("cell").agg(F.count("*").alias("sets")).where("sets > 1")
-    ranked = tokens.join(shared, "cell")
+    shared = scratch.keep(tokens.groupBy("cell").agg(F.count("*").alias("sets")).where("sets > 1"))
+    ranked = hot_join(tokens, shared, "cell", F.col("sets"), tokens.count())
     of_doc = Window.partitionBy("doc")
     first = ranked.select("cell", "doc", F.row_number().over(of_doc.orderBy("sets", "cell")).alias("at"), F.count("*").over(of_doc).alias("shared"), "spared").where("at <= shared - spared")
     found = _tied(first.select("cell", "doc"), scratch)
     scratch.drop(tokens)
+    scratch.drop(shared)
     return found
 
 
@@ -451,9 +454,10 @@ def _linked(source: DataFrame, units: DataFrame, percent: int, size: int, scratc
         return connected_components(first, scratch)
     parts = connected_components(first, scratch)
     large = scratch.keep(dealt.where("chunks > 1").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "k1", "k2", "n", "cluster", F.coalesce("component", "rep").alias("part")))
-    sums = large.groupBy("cluster", "part").agg(F.sum("n").alias("ngrams"))
-    most = sums.groupBy("cluster").agg(F.max(F.struct("ngrams", "part")).alias("most"), F.sum("ngrams").alias("all")).select("cluster", F.col("most.part").alias("main"), F.col("most.ngrams").alias("inner"), (F.col("all") - F.col("most.ngrams")).alias("outer"))
-    placed = large.join(most.where("outer > 0"), "cluster").withColumn("in_main", F.col("part") == F.col("main")).withColumn("ins", chunks("inner")).withColumn("outs", chunks("outer"))
+    sums = large.groupBy("cluster", "part").agg(F.sum("n").alias("ngrams"), F.count("*").alias("rows"))
+    most = sums.groupBy("cluster").agg(F.max(F.struct("ngrams", "part")).alias("most"), F.sum("ngrams").alias("all"), F.sum("rows").alias("rows")).select("cluster", "rows", F.col("most.part").alias("main"), F.col("most.ngrams").alias("inner"), (F.col("all") - F.col("most.ngrams")).alias("outer"))
+    most = scratch.keep(most.where("outer > 0"))
+    placed = hot_join(large, most, "cluster", F.col("rows"), large.count()).drop("rows").withColumn("in_main", F.col("part") == F.col("main")).withColumn("ins", chunks("inner")).withColumn("outs", chunks("outer"))
     placed = placed.withColumn("chunk", own(F.when(F.col("in_main"), F.col("ins")).otherwise(F.col("outs"))))
     block = lambda kind, a, b: F.xxhash64("cluster", F.lit(kind), a, b).alias("block")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
