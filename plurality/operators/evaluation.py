@@ -1,9 +1,10 @@
 """The whole evaluation of a pool: fixed budgets, threshold curves, budget matches.
 
-Every method gives predictions per question; what a report row adds up over questions is the
-same for all of them (``MEASURES``). Expected questions that the pool lacks are wrong, use
-nothing, and are insufficient. Curves add the fall-back of all questions once and correct it
-for those that stop, so questions are not multiplied by the grid, but for window sizes.
+A question's samples become one row (``folds``), in which every method is folded; what a
+report row adds up over questions is the same for all of them (``MEASURES``). Expected
+questions that the pool lacks are wrong, use nothing, and are insufficient. Curves add the
+fall-back of all questions once and changes where a threshold stops, so questions are not
+multiplied by the grid, but for window sizes.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.operators import selection, stopping, votes
+from plurality.operators import folds, selection, stopping
 
 # The methods, in order of display, and the columns of a report.
 FIXED = ["SC", "CISC", "Self-Certainty", "Best-of-N", "weighted-SC"]
@@ -26,7 +27,7 @@ COLUMNS = (
     "invalid_predictions insufficient_sample_questions invalid_gold_questions early_stop_questions budget_gap budget_compliant selection_split "
     "selection_rule validation_actual_avg_samples"
 ).split()
-MEASURES = ["correct", "generated_samples", "valid_samples", "invalid_predictions", "insufficient_sample_questions", "early_stop_questions"]
+MEASURES = folds.MEASURES
 RULES = {
     "validation": "closest validation average at or below the target; accuracy not used",
     "test": "fixed parameter of the validation artifact",
@@ -72,113 +73,183 @@ class Settings:
         return [float(s) for s in sorted(set(sizes)) or [cap]]
 
 
-def frame_of(pool: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(observed questions with ``gold`` and the positions of their answers, totals)."""
-    per = pool.groupBy("question_id").agg(F.array_sort(F.collect_list(F.when(F.col("answer").isNotNull(), F.col("pos")))).alias("answered"))  # a pool's size
-    known = expected.join(per, "question_id", "left")
-    totals = known.agg(F.count("*").alias("questions_total"), F.count("answered").alias("questions_observed"), F.count_if(F.col("gold").isNull()).alias("invalid_gold_questions"))
-    return known.where("answered IS NOT NULL"), totals
+#: Kinds of a report's rows.
+ROW_TYPES = ["fixed_budget", "threshold_curve", "dynamic_budget_match"]
+FIXED_SERIES, CURVE_SERIES, TOTALS = "fixed", "curve", "totals"
 
 
-def measures_of(prediction: Column, used: Column, status: Column) -> dict[str, Column]:
-    """The measures of a decision, for rows with ``gold`` and ``answered``."""
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
-    values = [
-        flag(prediction == F.col("gold")), used.cast("long"), F.size(F.filter("answered", lambda p: p < used)).cast("long"),
-        prediction.isNull().cast("long"), flag(status == "insufficient_samples"), flag(status == "early_stop"),
-    ]
-    return dict(zip(MEASURES, values, strict=True))
+@dataclass(frozen=True)
+class Series:
+    """A group of report rows: methods under one cap, for a target or for the whole curve."""
+
+    name: str
+    cap: int
+    target: int | None = None
+
 
+def _wanted_series(settings: Settings, phase: str, row_types: list[str]) -> list[Series]:
+    out = []
+    if phase != "test" and "threshold_curve" in row_types:
+        out.append(Series(CURVE_SERIES, settings.cap))
+    if phase == "test" or "dynamic_budget_match" in row_types:
+        out += [Series(f"match:{t}", min(settings.cap, t), t) for t in settings.targets]
+    return out
 
-def measured(rows: DataFrame) -> list[Column]:
-    """The measures of rows with ``prediction, used, status, gold, answered``."""
-    return [v.alias(m) for m, v in measures_of(F.col("prediction"), F.col("used"), F.col("status")).items()]
 
+def _parameters(settings: Settings, method: str, cap: int) -> list[float]:
+    grid = settings.grid(method, cap)
+    return sorted({float(min(max(2, stopping.window_size(s, cap)), cap)) for s in grid}) if method == "ESC" else grid
 
-def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(*(F.sum(m).alias(m) for m in MEASURES))
 
+def _entry(method: str, at: Column, m: Column) -> Column:
+    return F.struct(F.lit(method).alias("method"), at.cast("int").alias("at"), m.alias("m"))
 
-def fixed(pool: DataFrame, observed: DataFrame, settings: Settings, certainty: str) -> DataFrame:
-    """Sums of the measures per ``method, budget``."""
-    budgets, confidence = sorted(set(settings.budgets)), F.col("confidence")
-    found = {
-        "SC": votes.majority(pool, budgets),
-        "CISC": votes.informed_vote(pool, budgets, confidence, settings.temperature, settings.scale),
-        "Self-Certainty": votes.sum_vote(pool, budgets, F.col(certainty)),
-        "Best-of-N": votes.best_sample(pool, budgets, confidence),
-        "weighted-SC": votes.sum_vote(pool, budgets, confidence),
+
+def _fixed_entries(settings: Settings, methods: list[str], kinds: dict[str, str]) -> Column:
+    """Entries of every vote under every budget."""
+    said = {
+        "SC": lambda p: F.get(p, F.size(p) - 1)["by_count"]["leader"],
+        "CISC": lambda p: folds.informed_winner(p, settings.temperature, settings.scale),
+        "Self-Certainty": lambda p: folds.winner(p, lambda x: x["n"], kinds["n"]),
+        "Best-of-N": folds.best_sample,
+        "weighted-SC": lambda p: folds.winner(p, lambda x: x["c"], kinds["c"]),
     }
-    rows = None
-    for method, predictions in found.items():
-        one = predictions.withColumn("method", F.lit(method))
-        rows = one if rows is None else rows.unionByName(one)
-    joined = rows.join(observed, "question_id")
-    return _summed(joined.select("method", "budget", *measured(joined)), ["method", "budget"])
-
-
-def _decisions(method: str, pool: DataFrame, cap: int, grid: list[float], settings: Settings) -> DataFrame:
-    confidence = F.col("confidence")
-    if method == "ASC":
-        return stopping.adaptive(pool, cap, grid, F.lit(1), settings.min_valid)
-    if method == "weighted-ASC":
-        return stopping.adaptive(pool, cap, grid, confidence, settings.min_valid)
-    if method == "confident-stop":
-        return stopping.confident(pool, cap, grid, confidence)
-    return stopping.buffered(pool, cap, grid, confidence, settings.buffer_size)
-
-
-def curve(method: str, pool: DataFrame, observed: DataFrame, cap: int, grid: list[float], settings: Settings) -> DataFrame:
-    """Sums of the measures per ``parameter`` of the grid."""
-    shown = lambda rows: rows.select(F.lit(method).alias("method"), F.lit(cap).cast("long").alias("budget_cap"), "parameter", *MEASURES)
-    if method == "ESC":
-        sizes = [stopping.window_size(s, cap) for s in grid]
-        rows = stopping.window_outcomes(pool, cap, sizes).join(observed, "question_id")
-        return shown(_summed(rows.select("parameter", *measured(rows)), ["parameter"]))
-    rows = _decisions(method, pool, cap, grid, settings).join(observed, "question_id")
-    base = F.struct(*measured(rows))
-
-    def changed(stop: Column, before: Column) -> dict[str, Column]:
-        return {m: v - before[m] for m, v in measures_of(stop["prediction"], stop["used"], F.lit("early_stop")).items()}
-
-    return shown(stopping.over_grid(stopping.curve_sums(rows, base, changed, MEASURES), grid, MEASURES))
-
-
-def report_rows(sums: DataFrame, totals: DataFrame) -> DataFrame:
+    samples, size, gold = F.col("samples"), F.col("size"), F.col("gold")
+
+    def of(budget: Column, at: Column) -> Column:
+        def told(prefix: Column) -> Column:
+            # one expression of the measures for all methods, as they differ in what is said
+            votes = F.array(*(F.struct(F.lit(m).alias("method"), said[m](prefix).alias("prediction")) for m in FIXED if m in methods))
+            return F.transform(votes, lambda v: F.struct(v["method"].alias("method"), at.cast("int").alias("at"), folds.fixed_measures(budget, v["prediction"], samples, size, gold).alias("m")))
+
+        return folds.let(F.slice(samples, 1, budget), told)
+
+    return F.flatten(F.transform(F.array(*map(F.lit, sorted(set(settings.budgets)))), of))
+
+
+def _rule_entries(rules: list[str], settings: Settings, kind: str) -> Column:
+    """Entries of every stopping rule, for rows with ``prefix, voted`` and ``spec``."""
+    prefix, size, gold, spec = F.col("prefix"), F.col("size"), F.col("gold"), F.col("spec")
+    cap = spec["cap"]
+    leader = lambda name: F.get(prefix, F.size(prefix) - 1)[name]["leader"]
+    last = {"ASC": leader("by_count"), "weighted-ASC": leader("by_weight"), "confident-stop": F.col("voted"), "RASC": F.col("voted")}
+    lifts = {"ASC": "by_count", "weighted-ASC": "by_weight", "confident-stop": "alone"}
+    found = []
+    for method in rules:
+        grid = spec["grids"][method]
+        if method == "ESC":
+            out = folds.window_measures(cap, grid, prefix, size, gold)
+        else:
+            reached = folds.buffer_lifts(prefix, settings.buffer_size, kind, gold) if method == "RASC" else folds.lifts(prefix, lifts[method], gold)
+            out = _changed(reached, folds.fallback_measures(cap, last[method], cap, prefix, size, gold), grid)
+        found.append(_named(method, out))
+    return F.concat(*found)
+
+
+def _changed(lifts: Column, base: Column, grid: Column) -> Column:
+    return folds.let(base, lambda b: folds.changes(lifts, b, grid))
+
+
+def _named(method: str, found: Column) -> Column:
+    return F.transform(found, lambda x: _entry(method, x["at"], x["m"]))
+
+
+def _spec(name: str, cap: int, grids: dict[str, Column]) -> Column:
+    every = [(grids[m] if m in grids else F.array().cast("array<double>")).alias(m) for m in DYNAMIC]
+    return F.struct(F.lit(name).alias("series"), F.lit(cap).cast("int").alias("cap"), F.struct(*every).alias("grids"))
+
+
+def _chosen(artifact: DataFrame, by: list[str], targets: list[int], methods: list[str]) -> DataFrame:
+    """An artifact as one map a group (``method:target`` to parameter and average before).
+
+    A parameter that is given twice is an error, and one that is not, where the map is read.
+    """
+    rows = artifact.where(F.col("budget_target").isin(targets) & F.col("method").isin(methods))
+    value = F.struct(F.col("parameter").cast("double").alias("parameter"), F.col("validation_actual_avg_samples").cast("double").alias("before"))
+    entry = F.struct(F.concat_ws(":", "method", F.col("budget_target").cast("string")).alias("k"), value.alias("v"))
+    return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("chosen"))
+
+
+def _grid_of(method: str, target: int) -> Column:
+    lost = F.raise_error(F.lit(f"the artifact must have every method once for target {target}: {method} has none"))
+    return F.array(F.coalesce(F.try_element_at("chosen", F.lit(f"{method}:{target}"))["parameter"], lost.cast("double")))
+
+
+KEYS = ["parameter double", "cap long", "target long", "before double"]
+COUNTS = ["questions_total", "questions_observed", "invalid_gold_questions"]
+
+
+def _summed(rows: DataFrame, wanted: DataFrame | None, by: list[str], key: Column) -> DataFrame:
+    """Sums of measures by ``series, method, at``, with the parameter that stands there.
+
+    ``rows`` have ``entries`` and ``key`` (a struct of ``KEYS``); ``wanted`` adds the
+    parameters of whole grids as rows without measures, so that each place has one. What is
+    expected and observed is summed in the same way, and stands beside every row.
+    """
+    names = [k.split()[0] for k in KEYS]
+    each = rows.select(*by, "series", key.alias("k"), F.explode("entries").alias("e")).select(*by, "series", "e.method", "e.at", *(F.get("e.m", F.lit(i)).alias(m) for i, m in enumerate(MEASURES)), "k.*")
+    if wanted is not None:
+        each = each.unionByName(wanted, allowMissingColumns=True)
+    sums = each.groupBy(*by, "series", "method", "at").agg(*(F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in MEASURES), *(F.max(k).alias(k) for k in names))
+    group = Window.partitionBy(*by)  # a row for each place of the grids
+    total = lambda m: F.max(F.when(F.col("series") == TOTALS, F.col(m))).over(group)
+    order = Window.partitionBy(*by, "series", "method").orderBy("at")
+    whole = (F.col("series") == FIXED_SERIES) | (F.col("method") == "ESC")
+    along = {m: F.when(whole, F.col(m)).otherwise(F.sum(m).over(order)).alias(m) for m in MEASURES}
+    counts = [total(m).alias(c) for m, c in zip(MEASURES, COUNTS, strict=False)]
+    return sums.select(*by, "series", "method", *names, *along.values(), *counts).where("parameter IS NOT NULL AND questions_total IS NOT NULL")
+
+
+def report_rows(rows: DataFrame) -> DataFrame:
     """Sums of the observed questions, with missing ones added and ratios formed."""
-    rows = sums.crossJoin(F.broadcast(totals))
-    missing = F.col("questions_total") - F.col("questions_observed")
-    for name in ("invalid_predictions", "insufficient_sample_questions"):
-        rows = rows.withColumn(name, F.col(name) + missing)
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    rows = rows.withColumn("accuracy", ratio("correct", "questions_total")).withColumn("accuracy_percent", 100 * F.col("accuracy"))
-    rows = rows.withColumn("actual_avg_samples", ratio("generated_samples", "questions_total")).withColumn("avg_samples_used", F.col("actual_avg_samples"))
-    rows = rows.withColumn("avg_samples_used_observed", ratio("generated_samples", "questions_observed"))
-    rows = rows.withColumn("invalid_samples", F.col("generated_samples") - F.col("valid_samples")).withColumn("invalid_rate", ratio("invalid_samples", "generated_samples"))
-    if "parameter" in rows.columns:
-        window = F.col("method") == "ESC"
-        rows = rows.withColumn("threshold", F.col("parameter")).withColumn("parameter_type", F.when(window, "window_size").otherwise("confidence_threshold")).withColumn("window_size", F.when(window, F.col("parameter").cast("long")))
-    return rows
-
-
-def with_columns(rows: DataFrame) -> DataFrame:
-    """Exactly the report's columns, in order; absent ones are null, others left out."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    c = F.col
+    missing, invalid = c("questions_total") - c("questions_observed"), c("generated_samples") - c("valid_samples")
+    average = ratio(c("generated_samples"), c("questions_total"))
+    more = {
+        "invalid_predictions": c("invalid_predictions") + missing, "insufficient_sample_questions": c("insufficient_sample_questions") + missing, "accuracy": ratio(c("correct"), c("questions_total")), "accuracy_percent": 100 * ratio(c("correct"), c("questions_total")),
+        "actual_avg_samples": average, "avg_samples_used": average, "avg_samples_used_observed": ratio(c("generated_samples"), c("questions_observed")), "invalid_samples": invalid, "invalid_rate": ratio(invalid, c("generated_samples")),
+    }
+    return rows.withColumns(more)
+
+
+def _shown(rows: DataFrame, by: list[str], phase: str) -> DataFrame:
+    """Rows of all kinds from those of the series: budgets, curves, and matches."""
+    fixed, curve = F.col("series") == FIXED_SERIES, F.col("series") == CURVE_SERIES
+    target = F.col("target")
+    gap = F.col("actual_avg_samples") - target
+    within = F.col("actual_avg_samples") <= target + 1e-12
+    if phase != "test":  # of a target's grid the parameter nearest to it
+        order = [F.abs(gap)] if phase == "analysis" else [within.desc(), -gap]
+        nearest = F.row_number().over(Window.partitionBy(*by, "series", "method").orderBy(*order, "parameter"))
+        allowed = (nearest == 1) if phase == "analysis" else (nearest == 1) & within
+        rows = rows.withColumn("_keep", F.when(target.isNull(), True).otherwise(allowed)).where("_keep").drop("_keep")
+        rows = rows.withColumn("row_type", F.when(fixed, ROW_TYPES[0]).when(curve, ROW_TYPES[1]).otherwise(ROW_TYPES[2]))
+    else:
+        kinds = F.when(fixed, F.array(F.lit(ROW_TYPES[0]))).otherwise(F.array(F.lit(ROW_TYPES[1]), F.lit(ROW_TYPES[2])))
+        rows = rows.withColumn("row_type", F.explode(kinds))
+    match, window = F.col("row_type") == ROW_TYPES[2], F.col("method") == "ESC"
+    budget, phase_of = F.col("parameter").cast("long"), F.lit("analysis" if phase == "analysis" else "validation")
+    return rows.withColumns({
+        "budget": F.when(fixed, budget).when(match, target), "budget_cap": F.when(fixed, budget).otherwise(F.col("cap")), "threshold": F.when(~fixed, F.col("parameter")),
+        "parameter_type": F.when(~fixed, F.when(window, "window_size").otherwise("confidence_threshold")), "window_size": F.when(~fixed & window, budget),
+        "budget_target": F.when(match, target), "budget_gap": F.when(match, gap), "budget_compliant": F.when(match, gap <= 0),
+        "selection_split": F.when(match, phase_of), "selection_rule": F.when(match, F.lit(RULES[phase])), "validation_actual_avg_samples": F.when(match, F.col("before")),
+    })
+
+
+def with_columns(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and exactly the report's columns, in order; absent ones are null."""
     text = {"row_type", "method", "parameter_type", "selection_split", "selection_rule"}
     real = {"threshold", "accuracy", "accuracy_percent", "actual_avg_samples", "avg_samples_used", "avg_samples_used_observed", "invalid_rate", "budget_gap", "validation_actual_avg_samples"}
     kind = lambda c: "string" if c in text else "double" if c in real else "boolean" if c == "budget_compliant" else "long"
-    return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kind(c)).alias(c) for c in COLUMNS))
-
-
-def matched_rows(curves: DataFrame, target: int, phase: str) -> DataFrame:
-    """Of report rows of curves capped by ``target`` the chosen one of each method."""
-    renamed = curves.withColumn("used", F.col("generated_samples")).withColumn("questions", F.col("questions_total"))
-    chosen = selection.match_budgets(renamed, [target], ["method"], analysis=phase == "analysis")
-    gap = F.col("actual_avg_samples") - target
-    out = chosen.withColumn("row_type", F.lit("dynamic_budget_match")).withColumn("budget", F.lit(target)).withColumn("budget_target", F.lit(target)).withColumn("budget_gap", gap)
-    return out.withColumn("budget_compliant", gap <= 0).withColumn("selection_split", F.lit("analysis" if phase == "analysis" else "validation")).withColumn("selection_rule", F.lit(RULES[phase]))
+    return rows.select(*by, *((F.col(c) if c in rows.columns else F.lit(None)).cast(kind(c)).alias(c) for c in COLUMNS))
 
 
-def evaluate(pool: DataFrame, expected: DataFrame, settings: Settings | None = None, phase: str = "analysis", artifact: DataFrame | None = None, certainty: str = "confidence") -> DataFrame:
+def evaluate(
+    pool: DataFrame, expected: DataFrame, settings: Settings | None = None, phase: str = "analysis", artifact: DataFrame | None = None, certainty: str = "confidence",
+    by: list[str] | None = None, row_types: list[str] | None = None, methods: list[str] | None = None,
+) -> DataFrame:
     """All report rows of a pool (``question_id, pos, answer, confidence``) over expected
     questions (``question_id, gold``).
 
@@ -186,45 +257,68 @@ def evaluate(pool: DataFrame, expected: DataFrame, settings: Settings | None = N
     each target, the parameter matched on curves capped by the target; ``validation`` never
     goes over a target, and a method that can not meet one has no row (``unmatched``).
     ``test`` only evaluates the parameters of ``artifact`` at their targets. Questions of the
-    pool that are not expected do not count: ``matching.coverage`` lists them.
+    pool that are not expected do not count: ``matching.coverage`` lists them. ``by`` names
+    columns of both tables (a model, a data set) that reports are made for, ``row_types`` and
+    ``methods`` what is needed of them. The pool is read once, whatever is asked for; nothing
+    runs before the result does.
     """
-    settings = settings or Settings()
+    settings, by = settings or Settings(), by or []
+    row_types, methods = row_types or ROW_TYPES, methods or [*FIXED, *DYNAMIC]
     if phase not in PHASES:
         raise ValueError(f"the phase is one of {PHASES}")
     if (phase == "test") != (artifact is not None):
         raise ValueError("the test phase, and only it, takes an artifact")
-    observed, totals = frame_of(pool, expected)
-    budgets = report_rows(fixed(pool, observed, settings, certainty), totals)
-    out = [with_columns(budgets.withColumn("row_type", F.lit("fixed_budget")).withColumn("budget_cap", F.col("budget")))]
-
-    def curves(cap: int, grids: dict[str, list[float]]) -> DataFrame:
-        sums = None
-        for method, grid in grids.items():
-            one = curve(method, pool, observed, cap, grid, settings)
-            sums = one if sums is None else sums.unionByName(one)
-        return report_rows(sums, totals)
-
+    rules, key = [m for m in DYNAMIC if m in methods], [*by, "question_id"]
+    series = _wanted_series(settings, phase, row_types) if rules else []
+    budgets = sorted(set(settings.budgets)) if "fixed_budget" in row_types else []
+    most = max([*budgets, *(x.cap for x in series), 1])
+    kinds = {"c": dict(pool.dtypes)["confidence"], "n": dict(pool.dtypes)[certainty]}
+    rows = expected.select(*key, "gold").join(folds.question_rows(pool, key, most, settings.min_valid, certainty), key, "left")
+    spark, wanted = pool.sparkSession, []
+    specs = [_spec(TOTALS, 0, {})]
+    if budgets:
+        specs.append(_spec(FIXED_SERIES, 0, {}))
+        wanted = [(FIXED_SERIES, m, i, float(b), b, None) for m in FIXED if m in methods for i, b in enumerate(budgets)]
     if phase == "test":
-        for target in settings.targets:
-            # one parameter a method: a few rows
-            chosen = artifact.where(F.col("budget_target") == target).select("method", "parameter", "validation_actual_avg_samples").collect()
-            if sorted(r.method for r in chosen) != sorted(DYNAMIC):
-                raise ValueError(f"the artifact must have every method once for target {target}")
-            rows = curves(min(settings.cap, target), {r.method: [float(r.parameter)] for r in chosen})
-            before = pool.sparkSession.createDataFrame([(r.method, float(r.validation_actual_avg_samples)) for r in chosen], "method string, validation_actual_avg_samples double")
-            gap = F.col("actual_avg_samples") - target
-            out.append(with_columns(rows.withColumn("row_type", F.lit("threshold_curve"))))
-            done = rows.join(F.broadcast(before), "method").withColumn("row_type", F.lit("dynamic_budget_match")).withColumn("budget", F.lit(target)).withColumn("budget_target", F.lit(target))
-            out.append(with_columns(done.withColumn("budget_gap", gap).withColumn("budget_compliant", gap <= 0).withColumn("selection_split", F.lit("validation")).withColumn("selection_rule", F.lit(RULES[phase]))))
+        given = _chosen(artifact, by, list(settings.targets), rules)
+        rows = rows.join(F.broadcast(given), by, "left") if by else rows.crossJoin(F.broadcast(given))
+    else:
+        rows = rows.withColumn("chosen", F.lit(None))
+    for one in series:
+        if phase == "test":
+            grids = {m: _grid_of(m, one.target) for m in rules}
+        else:
+            grids = {m: F.array(*map(F.lit, _parameters(settings, m, one.cap))) for m in rules}
+            wanted += [(one.name, m, i, p, one.cap, one.target) for m in rules for i, p in enumerate(_parameters(settings, m, one.cap))]
+        specs.append(_spec(one.name, one.cap, grids))
+    # folds take far longer than a shuffle of the samples, so questions are dealt to all tasks
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    # a row for each group of report rows, so that rules are said once for all caps
+    seen, flag = F.col("samples").isNotNull(), lambda c: c.cast("long")
+    rows = rows.select(*by, "gold", "size", "samples", "chosen", F.explode(F.array(*specs)).alias("spec")).withColumn("series", F.col("spec.series")).where(seen | (F.col("series") == TOTALS))
+    rows = rows.withColumn("prefix", F.slice("samples", F.lit(1), F.col("spec.cap")))
+    rows = rows.withColumn("voted", folds.winner(F.col("prefix"), lambda x: x["c"], kinds["c"]))
+    total = _entry("", F.lit(0), F.array(F.lit(1).cast("long"), flag(seen), flag(F.col("gold").isNull()), *[F.lit(0).cast("long")] * 3))
+    entries = F.when(F.col("series") == TOTALS, F.array(total))
+    if budgets:
+        entries = entries.when(F.col("series") == FIXED_SERIES, _fixed_entries(settings, methods, kinds))
+    if series:
+        entries = entries.otherwise(_rule_entries(rules, settings, kinds["c"]))
+    rows = rows.withColumn("entries", entries)
+    named = ", ".join(KEYS)
+    if phase == "test":  # a grid is one parameter, which the artifact's map has for the entry
+        target = F.substring_index("series", ":", -1)
+        own = F.transform("entries", lambda e: F.struct(e["method"], e["at"], e["m"], F.try_element_at("chosen", F.concat_ws(":", e["method"], target)).alias("v")))
+        each = rows.select(*by, "series", "spec.cap", F.explode(own).alias("e"))
+        at_target = F.when(F.col("series").startswith("match:"), F.substring_index("series", ":", -1)).cast("long")
+        rows = each.select(*by, "series", F.array("e").alias("entries"), F.struct(F.when(F.col("e.at") == 0, F.col("e.v.parameter")).alias("parameter"), F.col("cap").cast("long").alias("cap"), at_target.alias("target"), F.col("e.v.before").alias("before")).alias("key"))
     else:
-        out.append(with_columns(curves(settings.cap, {m: settings.grid(m, settings.cap) for m in DYNAMIC}).withColumn("row_type", F.lit("threshold_curve"))))
-        for target in settings.targets:
-            cap = min(settings.cap, target)
-            out.append(with_columns(matched_rows(curves(cap, {m: settings.grid(m, cap) for m in DYNAMIC}), target, phase)))
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rows
+        rows = rows.withColumn("key", F.lit(None).cast(f"struct<{named.replace(' ', ':').replace(',:', ',')}>"))
+    frame = spark.createDataFrame(wanted, "series string, method string, at int, parameter double, cap long, target long") if wanted else None
+    if by and wanted:
+        frame = expected.select(*by).distinct().crossJoin(F.broadcast(frame))
+    report = report_rows(_summed(rows, frame, by, F.col("key")))
+    return with_columns(_shown(report, by, phase), by)
 
 
 def unmatched(report: DataFrame, settings: Settings) -> DataFrame:
@@ -235,16 +329,21 @@ def unmatched(report: DataFrame, settings: Settings) -> DataFrame:
     return wanted.join(found, ["method", "target"], "left").where(F.coalesce("n", F.lit(0)) != 1).select("method", "target")
 
 
-def calibration_artifact(report: DataFrame, settings: Settings, model: str, dataset: str) -> DataFrame:
+def calibration_artifact(report: DataFrame, settings: Settings, model: str, dataset: str, now: bool = True) -> DataFrame:
     """The parameters that a validation report chose, for use on a test pool.
 
     One row for each method and target (else an error), scoped to a model and a data set.
+    With ``now`` the error comes at once, which runs the report; else when rows are read.
     """
     if not model.strip() or not dataset.strip():
         raise ValueError("an artifact is of a model and a data set")
-    if lost := unmatched(report, settings).collect():
+    if now and (lost := unmatched(report, settings).collect()):
         raise ValueError(f"not exactly one match for {sorted((r.method, r.target) for r in lost)}")
-    rows = report.where("row_type = 'dynamic_budget_match' AND selection_split = 'validation'")
+    found = report.where("row_type = 'dynamic_budget_match' AND selection_split = 'validation'")
+    wanted = report.sparkSession.createDataFrame([(m, t) for m in DYNAMIC for t in settings.targets], "method string, budget_target long")
+    one = F.count("row_type").over(Window.partitionBy("method", "budget_target")) == 1
+    wrong = F.raise_error(F.concat(F.lit("not exactly one match for "), F.col("method"), F.lit(" at "), F.col("budget_target").cast("string")))
+    rows = wanted.join(found, ["method", "budget_target"], "left").withColumn("method", F.when(one, F.col("method")).otherwise(wrong))
     return rows.select(
         F.lit(model).alias("model_id"), F.lit(dataset).alias("dataset_name"), "method", "budget_target", "parameter_type", F.coalesce(F.col("window_size").cast("double"), F.col("threshold")).alias("parameter"), "budget_cap",
         F.lit(settings.cap).cast("long").alias("cap"), F.lit(settings.min_valid).cast("long").alias("min_valid"), F.lit(settings.buffer_size).cast("long").alias("buffer_size"),

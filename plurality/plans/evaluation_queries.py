@@ -73,6 +73,11 @@ def _split(spark, sf_dir):
     return (rows.where(half == 0), truth.where(half == 0)), (rows.where(half == 1), truth.where(half == 1))
 
 
+def _artifact(rows, truth):
+    report = V.evaluate(rows, truth, SETTINGS, "validation", row_types=["dynamic_budget_match"])
+    return V.calibration_artifact(report, SETTINGS, "m", "d", now=False)
+
+
 HALF_SQL = "half AS (SELECT * FROM gold WHERE question_id % 2 = 0), other AS (SELECT * FROM gold WHERE question_id % 2 = 1)"
 
 
@@ -81,7 +86,7 @@ SELECT 'm' AS model_id, 'd' AS dataset_name, method, CAST(8 AS BIGINT) AS budget
   CAST(2 AS BIGINT) AS min_valid, CAST(5 AS BIGINT) AS buffer_size, round(generated_samples / questions_total, 6) AS validation_actual_avg_samples, valid_samples AS validation_valid_samples, round((generated_samples - valid_samples) / generated_samples, 6) AS validation_invalid_rate FROM {MATCH_SQL} WHERE r = 1""")
 def calibration_artifact(spark, sf_dir):
     (rows, truth), _ = _split(spark, sf_dir)
-    out = V.calibration_artifact(V.evaluate(rows, truth, SETTINGS, "validation"), SETTINGS, "m", "d")
+    out = _artifact(rows, truth)
     return out.withColumn("validation_actual_avg_samples", F.round("validation_actual_avg_samples", 6)).withColumn("validation_invalid_rate", F.round("validation_invalid_rate", 6))
 
 
@@ -90,8 +95,7 @@ SELECT t.method, CAST(8 AS BIGINT) AS budget_target, t.parameter AS threshold, q
 FROM test_rows t JOIN chosen c ON c.method = t.method AND c.parameter = t.parameter""")
 def test_report(spark, sf_dir):
     (rows, truth), (other, other_truth) = _split(spark, sf_dir)
-    artifact = V.calibration_artifact(V.evaluate(rows, truth, SETTINGS, "validation"), SETTINGS, "m", "d")
-    out = V.evaluate(other, other_truth, SETTINGS, "test", artifact).where("row_type = 'dynamic_budget_match'")
+    out = V.evaluate(other, other_truth, SETTINGS, "test", _artifact(rows, truth), row_types=["dynamic_budget_match"]).where("row_type = 'dynamic_budget_match'")
     return out.select("method", "budget_target", "threshold", "questions_total", "correct", "generated_samples", "valid_samples", "early_stop_questions", F.round("budget_gap", 6).alias("budget_gap"), "budget_compliant", F.round("validation_actual_avg_samples", 6).alias("validation_actual_avg_samples"))
 
 

@@ -125,9 +125,9 @@ won AS (SELECT question_id, arg_max(answer, (n, -f)) AS sc FROM sums GROUP BY AL
 t AS (SELECT half, 100 * avg(CAST(ok AS INT)) AS acc, avg(used) AS used FROM scored GROUP BY half)
 SELECT 'SC' AS method, round(a.acc, 6) AS left_accuracy, round(a.used, 6) AS left_samples, round(b.acc, 6) AS right_accuracy, round(b.used, 6) AS right_samples, round(b.acc - a.acc, 6) AS delta_accuracy FROM t a JOIN t b ON a.half = 0 AND b.half = 1""")
 def paired_reports(spark, sf_dir):
-    rows, truth = pool(spark, sf_dir), gold(spark, sf_dir)
-    half = lambda i: V.evaluate(rows.where(F.col("question_id") % 2 == i), truth.where(F.col("question_id") % 2 == i), SETTINGS).where("method = 'SC'")
-    out = R.paired_reports(half(0), half(1), 16, ["method"])
+    half = lambda rows: rows.withColumn("half", F.col("question_id") % 2)
+    report = V.evaluate(half(pool(spark, sf_dir)), half(gold(spark, sf_dir)), SETTINGS, by=["half"], row_types=["fixed_budget"], methods=["SC"])
+    out = R.paired_reports(report.where("half = 0"), report.where("half = 1"), 16, ["method"])
     return out.select("method", *[F.round(c, 6).alias(c) for c in ("left_accuracy", "left_samples", "right_accuracy", "right_samples", "delta_accuracy")])
 
 
