@@ -4,9 +4,8 @@ Phrases are counted level by level. A phrase of k words is a pair of numbers: th
 first and of its last k-1 words, so a key is exact in 64 bits.
 
 1. Words: tasks count in dictionaries; those of ``least`` occurrences get numbers.
-2. Candidates of a level are Apriori-safe: both parts are frequent, and some task has seen the
-   pair often enough, as a phrase of ``least`` occurrences in T parts of the corpus has
-   ``least / T`` in one of them at least.
+2. Candidates of a level are Apriori-safe: pairs of neighbours that are both frequent, and
+   that tasks have seen ``least`` times in all. Tasks add pairs up before they are shuffled.
 3. A minimal perfect hash over the candidates gives each a slot. Mappers look pairs up, verify
    the stored key, count slots with ``np.bincount`` and hand on arrays, added up as a tree.
    They also write the slots down in place of the numbers before, which the next level reads.
@@ -35,8 +34,10 @@ from plurality.llm.common import Scratch, bound_batches, hot_join, tidied, tree_
 VOLUME = 1 << 20
 #: Positions of a level's bit array for each key it has to place.
 ROOM = 2
-#: Slots of an array that is added up; different words or pairs a task holds at most.
-BLOCK, HELD_WORDS, HELD_PAIRS = 4096, 300_000, 2_000_000
+#: Slots of an array that is added up; different words, and pairs, that a task holds at most.
+BLOCK, HELD_WORDS, HELD_PAIRS = 4096, 300_000, 800_000
+#: Pairs of one Arrow batch.
+SHOWN_PAIRS = 1 << 16
 #: Ranks are first found in as many groups of a language.
 SALTS = 64
 NO_WORD, SKIPPED = -1, -2
@@ -252,14 +253,15 @@ def _word_slots(rows: DataFrame, volumes: DataFrame, bases: dict[int, int], scra
 
             def slots(lang: str, text: bytes, before: bytes | None) -> np.ndarray:
                 own, tokens = known.setdefault(lang, {}), tokens_of(text)
-                new = list(set(tokens).difference(own))
-                if new:
+                seen = list(map(own.get, tokens))
+                if None in seen:
                     if len(own) > HELD_WORDS:
                         own.clear()
-                        new = list(set(tokens))
+                    new = list(set(tokens).difference(own))
                     own.update(zip(new, (s if s < 0 else s + base for s in volume.slots([_word_key(lang, w) for w in new])), strict=True))
                     own[b""], own[b"\n"] = SKIPPED, NO_WORD
-                found = np.fromiter(map(own.__getitem__, tokens), np.int32, len(tokens))
+                    seen = list(map(own.__getitem__, tokens))
+                found = np.array(seen, np.int32)
                 found = found[found != SKIPPED]
                 return found if before is None else np.where(found >= 0, found, _array(before))
 
@@ -277,55 +279,49 @@ def _word_slots(rows: DataFrame, volumes: DataFrame, bases: dict[int, int], scra
     return table
 
 
-def _pairs(slots: np.ndarray, told: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of neighbouring slots, and which of them are of two frequent phrases."""
-    good = slots >= 0
-    if told is not None:
-        good &= told[slots]
-    both = good[:-1] & good[1:]
-    wide = slots.astype(np.int64).astype(np.uint64)
-    return (wide[:-1] << np.uint64(32) | (wide[1:] & np.uint64(0xFFFFFFFF)))[both], both
+def _pairs(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of neighbouring slots, and where they stand."""
+    both = np.flatnonzero((slots[:-1] >= 0) & (slots[1:] >= 0))
+    wide = slots.astype(np.int64)
+    return (wide[both] << 32 | wide[both + 1]).view(np.uint64), both
 
 
-def _candidates(table: DataFrame, frequent, least: int) -> DataFrame:
-    """``left, right``: pairs that may occur ``least`` times, each once."""
-    parts = max(1, table.rdd.getNumPartitions())
-    local = max(1, -(-least // parts))
+def _candidates(table: DataFrame, least: int) -> DataFrame:
+    """``pair``: keys of neighbours that occur ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = _unpacked(frequent)
-        keys, counts, waiting, size, bound = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, local
+        keys, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (keys, counts)
-            if not waiting or not len(keys):
+            new, n = np.unique(np.concatenate(waiting), return_counts=True)
+            if not len(keys):
                 return new, n
             both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
             return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
 
-        def shown(chosen: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array((chosen >> np.uint64(32)).astype(np.int64)), pa.array((chosen & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["left", "right"])
+        def shown() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), SHOWN_PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + SHOWN_PAIRS].view(np.int64)), pa.array(counts[at : at + SHOWN_PAIRS])], ["pair", "n"])
 
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                waiting.append(_pairs(_array(data), told)[0])
+                waiting.append(_pairs(_array(data))[0])
                 size += len(waiting[-1])
             if size >= HELD_PAIRS:
                 (keys, counts), waiting, size = merged(), [], 0
-                if len(keys) >= HELD_PAIRS:  # what goes early is more parts, so all of it counts
-                    yield shown(keys)
-                    keys, counts, bound = keys[:0], counts[:0], 1
-        keys, counts = merged()
-        yield shown(keys[counts >= bound])
+                if len(keys) >= HELD_PAIRS:
+                    yield from shown()
+                    keys, counts = keys[:0], counts[:0]
+        if waiting:
+            keys, counts = merged()
+        yield from shown()
 
-    return table.mapInArrow(tidied(run), "left long, right long").distinct()
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = table.mapInArrow(tidied(run), "pair long, n long").repartition(parts, "pair")
+    return seen.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair")
 
 
-def _unpacked(frequent) -> np.ndarray | None:
-    return None if frequent is None else np.unpackbits(np.frombuffer(frequent.value, np.uint8), bitorder="little").view(bool)
-
-
-def _counted_slots(table: DataFrame, frequent, volumes: DataFrame, bases: dict[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _counted_slots(table: DataFrame, volumes: DataFrame, bases: dict[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """A table with ``slots`` of the next level (rows without ``block``), and ``block,
     counts`` of all tasks, a block beginning at that slot. A pass for each volume."""
     names = ["slots", "found", "block", "counts"]
@@ -335,19 +331,19 @@ def _counted_slots(table: DataFrame, frequent, volumes: DataFrame, bases: dict[i
         sent, last = _sent(volumes, number), number == max(bases)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, base=base, last=last) -> Iterator[pa.RecordBatch]:
-            volume, told = pickle.loads(sent.value), _unpacked(frequent)
+            volume = pickle.loads(sent.value)
             totals = np.zeros(volume.hash.size, np.int64)
             row = lambda *values: pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)], names)
             for batch in batches:
                 for data, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     slots = _array(data)
-                    keys, both = _pairs(slots, told)
+                    keys, places = _pairs(slots)
                     own = volume.slots(keys)
                     hits = own[own >= 0]
                     reach = int(hits.max()) + 1 if len(hits) else 0
                     totals[:reach] += np.bincount(hits)
                     out = np.full(len(slots), NO_WORD, np.int32) if before is None else _array(before).copy()
-                    out[np.flatnonzero(both)[own >= 0]] = hits + base
+                    out[places[own >= 0]] = hits + base
                     if not last:
                         yield row(data, out.tobytes(), None, None)
                     elif len(thin := _thinned(out)):
@@ -364,28 +360,17 @@ def _counted_slots(table: DataFrame, frequent, volumes: DataFrame, bases: dict[i
     return held, functools.reduce(DataFrame.unionByName, sums)
 
 
-def _frequent(sums: DataFrame, least: int) -> DataFrame:
-    """``block, bits, slots, counts``: which slots of a block reach ``least``."""
+def _by_slot(sums: DataFrame) -> DataFrame:
+    """``slot, a`` of the blocks' slots that occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = np.frombuffer(data, np.int64)
-                at = np.flatnonzero(counts >= least)
-                columns = [pa.array([block], pa.int64()), pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())]
-                lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (at + block, counts[at])]
-                yield pa.RecordBatch.from_arrays([*columns, *lists], ["block", "bits", "slots", "counts"])
-
-    return sums.mapInArrow(tidied(run), "block long, bits binary, slots array<long>, counts array<long>")
-
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(at + block, pa.int64()), pa.array(counts[at])], ["slot", "a"])
 
-def _told(frequent: DataFrame, size: int):
-    """One bit for each slot of a level (``MOST_SLOTS`` / 8 bytes at most), sent to all."""
-    bits = np.zeros(size, bool)
-    for r in frequent.select("block", "bits").toLocalIterator():
-        part = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-        bits[r.block : r.block + len(part)] |= part[: size - r.block].astype(bool)  # padded to whole bytes
-    return frequent.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+    return sums.mapInArrow(tidied(run), "slot long, a long")
 
 
 def _read_cuts(pairs: DataFrame, parts: DataFrame, total: int) -> DataFrame:
@@ -449,22 +434,19 @@ def collocations(
         none = F.array().cast("array<long>")
         word = F.col("word").cast("string")
         parts = scratch.keep(told.select("slot", "lang", word.alias("phrase"), word.alias("last"), F.col("n").alias("a"), none.alias("heads"), none.alias("tails")))
-        table, frequent = _word_slots(rows, volumes, bases, scratch), None
-        slots = table
+        slots = table = _word_slots(rows, volumes, bases, scratch)
     for k in range(2, most_words + 1) if count else []:
-        pairs = scratch.keep(_candidates(slots, frequent, least))
+        pairs = scratch.keep(_candidates(slots, least))
         count = pairs.count()
         if not count:
             break
-        volumes = _volumes(pairs, ["left", "right"], count, volume, lambda a, b: PairVolume(a.to_numpy().astype(np.uint64) << np.uint64(32) | b.to_numpy().astype(np.uint64)), scratch)
+        volumes = _volumes(pairs, ["pair"], count, volume, lambda keys: PairVolume(keys.to_numpy().view(np.uint64)), scratch)
         bases = _bases(volumes)
-        after, sums = _counted_slots(slots, frequent, volumes, bases, scratch)
+        after, sums = _counted_slots(slots, volumes, bases, scratch)
         scratch.drop(table)
         table, slots = after, after.where("block IS NULL").select("slots")
-        blocks = scratch.keep(_frequent(tree_summed(sums, ["block"]), least))
-        frequent = _told(blocks, count)
         keys = _keys_by_slot(volumes, bases, "slot long, left long, right long", lambda part: [pa.array((part >> np.uint64(32)).astype(np.int64)), pa.array((part & np.uint64(0xFFFFFFFF)).astype(np.int64))])
-        counts = blocks.select(F.explode(F.arrays_zip("slots", "counts")).alias("x")).select(F.col("x.slots").alias("slot"), F.col("x.counts").alias("a"))
+        counts = _by_slot(tree_summed(sums, ["block"])).where(F.col("a") >= least)
         own = scratch.keep(keys.join(counts, "slot"))
         parts = scratch.keep(_read_cuts(own, parts, own.count()))
         found.append(parts)
