@@ -64,21 +64,28 @@ def _total(kind: str) -> str:
     return f"decimal(38,{kind.rstrip(')').split(',')[1]})" if kind.startswith("decimal") else "double"
 
 
-def winner(samples: Column, weight: Callable[[Column], Column], kind: str) -> Column:
-    """The answer of the largest summed weight; of several the first seen. Null without one."""
+def vote(samples: Column, weight: Callable[[Column], Column], kind: str) -> Column:
+    """``struct<w, f, answer, total>``: the answer of the largest summed weight, of several the
+    first seen, and the sum of all weights. Null without a vote."""
     total = _total(kind)
+    added = lambda rows: F.aggregate(rows, F.lit(0).cast(total), lambda acc, x: (acc + weight(x)).cast(total))
 
     def best(valid: Column) -> Column:
         def one(answer: Column) -> Column:
             own = F.filter(valid, lambda x: x["answer"] == answer)
-            mass = F.aggregate(own, F.lit(0).cast(total), lambda acc, x: (acc + weight(x)).cast(total))
-            return F.struct(mass.alias("w"), (-F.array_min(F.transform(own, lambda x: x["pos"]))).alias("f"), answer.alias("answer"))
+            return F.struct(added(own).alias("w"), (-F.array_min(F.transform(own, lambda x: x["pos"]))).alias("f"), answer.alias("answer"))
 
-        return F.array_max(F.transform(F.array_distinct(F.transform(valid, lambda x: x["answer"])), one))["answer"]
+        top = F.array_max(F.transform(F.array_distinct(F.transform(valid, lambda x: x["answer"])), one))
+        return let(top, lambda t: F.when(t.isNotNull(), F.struct(t["w"].alias("w"), t["f"].alias("f"), t["answer"].alias("answer"), added(valid).alias("total"))))
 
     return let(F.filter(samples, lambda x: x["answer"].isNotNull() & weight(x).isNotNull()), best)
 
 
+def winner(samples: Column, weight: Callable[[Column], Column], kind: str) -> Column:
+    """The answer of the largest summed weight; of several the first seen. Null without one."""
+    return vote(samples, weight, kind)["answer"]
+
+
 def informed_winner(samples: Column, temperature: float, scale: str) -> Column:
     """The vote with confidence turned to weights within ``samples`` (see ``votes``)."""
     score = lambda x: F.when(x["answer"].isNotNull(), x["c"].cast("double"))

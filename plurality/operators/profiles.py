@@ -6,10 +6,13 @@ once; profiles then add these few counts, so no sample is copied for each profil
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plurality.operators import metrics
+from plurality.operators import folds, metrics
 
 # The subtypes of a relation, the profiles, and the mark of an invalid answer.
 SUBTYPES = ("identity", "layout_wrapper", "number_representation", "equivalent_quantity")
@@ -44,21 +47,6 @@ def profile_table(spark: SparkSession, profiles: dict[str, tuple[str, ...]] | No
     return spark.createDataFrame(rows, "profile string, subtype string")
 
 
-def winners(rows: DataFrame, by: list[str], mass: Column, gold: DataFrame, keep_invalid: bool = False) -> DataFrame:
-    """``by, question_id, predicted, score, correct``: first-seen winner of the mass.
-
-    ``keep_invalid`` makes missing answers a class of their own: where it wins, nothing is
-    predicted, which is wrong. Without positive mass a question has no row.
-    """
-    answer = F.coalesce("answer", F.lit(INVALID)) if keep_invalid else F.col("answer")
-    valid = rows.withColumn("_a", answer).withColumn("_m", mass).where("_a IS NOT NULL AND _m IS NOT NULL")
-    sums = valid.groupBy(*by, "question_id", "_a").agg(F.sum("_m").alias("m"), F.min("pos").alias("first"))
-    best = sums.groupBy(*by, "question_id").agg(F.sum("m").alias("total"), F.max(F.struct("m", -F.col("first"), "_a")).alias("b")).where("total > 0")
-    found = best.join(gold, "question_id")
-    predicted = F.when(F.col("b._a") != INVALID, F.col("b._a"))
-    return found.select(*by, "question_id", predicted.alias("predicted"), (F.col("b.m").cast("double") / F.col("total").cast("double")).alias("score"), F.coalesce((predicted == F.col("gold")).cast("int"), F.lit(0)).alias("correct"))
-
-
 def profile_observations(pool: DataFrame, gold: DataFrame, profiles: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``profile, question_id, selected, valid, predicted, score, correct`` of a pool with
     ``subtype``: counted votes of the samples that a profile selects. A question whose
@@ -72,68 +60,102 @@ def profile_observations(pool: DataFrame, gold: DataFrame, profiles: dict[str, t
     return per.join(gold, "question_id").select("profile", "question_id", "selected", "valid", F.col("b.answer").alias("predicted"), (F.col("b.n") / F.col("valid")).alias("score"), right.alias("correct"))
 
 
-def matched_baselines(baseline: DataFrame, gold: DataFrame, budgets: DataFrame) -> dict[str, DataFrame]:
-    """Baselines from each question's first ``selected`` samples, per ``profile``.
+def _question_rows(relations: DataFrame, baseline: DataFrame, gold: DataFrame) -> tuple[DataFrame, str]:
+    """``question_id, gold, own, base``: a question's relation samples with their subtypes, and
+    its baseline samples, as arrays; and the type of their confidence."""
+    own = relations.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "answer", "subtype"))).alias("own"))
+    base = baseline.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "answer", "confidence"))).alias("base"))
+    return gold.join(own, "question_id").join(base, "question_id", "left"), dict(baseline.dtypes)["confidence"]
+
+
+def _verdict(best: Column, gold: Column) -> Column:
+    """``struct<score, correct>`` of a vote; null if nothing has positive mass."""
+    right = F.coalesce(((best["answer"] != INVALID) & (best["answer"] == gold)).cast("int"), F.lit(0))
+    return F.when(best["total"] > 0, F.struct((best["w"].cast("double") / best["total"].cast("double")).alias("score"), right.alias("correct")))
+
+
+def _judged(best: Column, gold: Column) -> Column:
+    return folds.let(best, lambda b: _verdict(b, gold))
 
-    ``budgets``: ``profile, question_id, selected``. A question's samples are taken once for
-    each different budget it has, not for each profile.
-    """
-    sizes = budgets.select("question_id", "selected").distinct()
-    rows = baseline.join(sizes, "question_id").where(F.col("pos") < F.col("selected"))
-    confidence = F.col("confidence")
-    found = {
-        "SC-k-valid": winners(rows, ["selected"], F.lit(1), gold),
-        "SSC-k-valid": winners(rows, ["selected"], confidence, gold),
-        "SSC-k-paper": winners(rows, ["selected"], confidence, gold, keep_invalid=True),
-    }
-    return {name: budgets.join(w, ["question_id", "selected"]).select("profile", "question_id", "predicted", "score", "correct") for name, w in found.items()}
+
+def _lattice(rows: DataFrame, kind: str, profiles: dict[str, tuple[str, ...]] | None, verdicts: Callable[[Column, Column, Column], dict[str, Column]]) -> DataFrame:
+    """``profile, question_id, selected, valid, v``: all profiles of a question from its own
+    arrays. ``v`` is a struct of the verdicts on (own samples selected, baseline samples of
+    equal number, gold). Profiles that select nothing are left out."""
+    wanted = F.array(*(F.struct(F.lit(name).alias("profile"), F.array(*map(F.lit, subtypes)).alias("subtypes")) for name, subtypes in (profiles or PROFILES).items()))
+
+    def of(p: Column) -> Column:
+        def told(chosen: Column) -> Column:
+            equal = F.filter("base", lambda x: x["pos"] < F.size(chosen))
+            every = folds.let(equal, lambda e: F.struct(*(v.alias(name) for name, v in verdicts(chosen, e, F.col("gold")).items())))
+            return F.struct(p["profile"].alias("profile"), F.size(chosen).cast("long").alias("selected"), F.size(F.filter(chosen, lambda x: x["answer"].isNotNull())).cast("long").alias("valid"), every.alias("v"))
+
+        return folds.let(F.filter("own", lambda x: F.array_contains(p["subtypes"], x["subtype"])), told)
+
+    return rows.select("question_id", F.explode(F.filter(F.transform(wanted, of), lambda x: x["selected"] > 0)).alias("p")).select("question_id", "p.*")
+
+
+def _kept(samples: Column) -> Column:
+    """Samples whose missing answers are a class of their own."""
+    return F.transform(samples, lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(x["answer"], F.lit(INVALID)).alias("answer"), x["confidence"].alias("confidence")))
+
+
+def _counted(samples: Column, gold: Column) -> Column:
+    return _judged(folds.vote(samples, lambda x: F.lit(1).cast("double"), "double"), gold)
 
 
 def decomposition(relations: DataFrame, baseline: DataFrame, gold: DataFrame, profiles: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``profile, method, question_id, selected, score, correct`` over the questions that all
-    four methods of a profile have."""
-    own = profile_observations(relations, gold, profiles).where("predicted IS NOT NULL")
-    frames = {"RelSC-profile": own.select("profile", "question_id", "predicted", "score", "correct")} | matched_baselines(baseline, gold, own.select("profile", "question_id", "selected"))
-    rows = None
-    for name, frame in frames.items():
-        one = frame.select("profile", F.lit(name).alias("method"), "question_id", "score", "correct")
-        rows = one if rows is None else rows.unionByName(one)
-    shared = F.count("*").over(Window.partitionBy("profile", "question_id")) == len(frames)
-    return rows.withColumn("_all", shared).where("_all").drop("_all").join(own.select("profile", "question_id", "selected"), ["profile", "question_id"])
+    four methods of a profile have. Both pools are read once."""
+    rows, kind = _question_rows(relations, baseline, gold)
+    confidence = lambda x: x["confidence"]
+    verdicts = lambda own, equal, truth: {
+        "RelSC-profile": _counted(own, truth),
+        "SC-k-valid": _counted(equal, truth),
+        "SSC-k-valid": _judged(folds.vote(equal, confidence, kind), truth),
+        "SSC-k-paper": folds.let(_kept(equal), lambda e: _judged(folds.vote(e, confidence, kind), truth)),
+    }
+    per = _lattice(rows, kind, profiles, verdicts)
+    names = ["RelSC-profile", "SC-k-valid", "SSC-k-valid", "SSC-k-paper"]
+    all_four = functools.reduce(lambda a, b: a & b, (F.col("v")[n].isNotNull() for n in names))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("method"), F.col("v")[n].alias("x")) for n in names)))
+    return per.where(all_four).select("profile", "question_id", "selected", each.alias("m")).select("profile", "m.method", "question_id", "selected", "m.x.score", "m.x.correct")
 
 
 def metric_rows(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """``n``, accuracy, both calibration errors and Brier score in percent, per group.
 
-    Rows are summed once by both binnings; the metrics share these few cells and their shuffle.
+    Rows are summed once by both binnings; all metrics come from a group's few cells (at most
+    ``(bins + 1) ** 2``), which stand in one row.
     """
     gap = F.col("score") - F.col("correct")
-    binned = rows.withColumn("_b1", metrics.bin_by_edges(F.col("score"), bins)).withColumn("_b2", metrics.bin_by_product(F.col("score"), bins))
+    binned = rows.withColumns({"_b1": metrics.bin_by_edges(F.col("score"), bins), "_b2": metrics.bin_by_product(F.col("score"), bins)})
     cells = binned.groupBy(*by, "_b1", "_b2").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum("correct").alias("c"), F.sum(gap * gap).alias("q"))
+    held = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("q").alias("q"), F.array_sort(F.collect_list(F.struct("_b1", "_b2", "s", "c"))).alias("cells"))
 
-    def error(column: str, name: str) -> DataFrame:
-        per = cells.groupBy(*by, column).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"))
-        apart = F.when(F.col(column).isNotNull(), F.abs(F.col("c") - F.col("s"))).otherwise(0.0)
-        return per.groupBy(*by).agg((100 * F.sum(apart) / F.sum("n")).alias(name))
+    def error(name: str) -> Column:
+        apart = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + (y["c"] - y["s"]))
+        gaps = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.abs(apart(F.filter("cells", lambda x: x[name] == b))))
+        return 100 * F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x) / F.col("n")
 
-    n = F.sum("n")
-    whole = cells.groupBy(*by).agg(n.alias("n"), (100 * F.sum("c") / n).alias("accuracy"), (100 * F.sum("q") / n).alias("brier"))
-    return whole.join(error("_b1", "ece_paper"), by).join(error("_b2", "ece_strict"), by)
+    return held.select(*by, "n", (100 * F.col("c") / F.col("n")).alias("accuracy"), (100 * F.col("q") / F.col("n")).alias("brier"), error("_b1").alias("ece_paper"), error("_b2").alias("ece_strict"))
 
 
 #: Effects told apart: name, the method before, the method after.
 EFFECTS = [("relation", "SC-k-valid", "RelSC-profile"), ("weighting", "SSC-k-valid", "SC-k-valid"), ("invalid_policy", "SSC-k-paper", "SSC-k-valid")]
 
 
+def _beside(table: DataFrame, names: list[str], values: list[str]) -> DataFrame:
+    """One row a profile: a struct of ``values`` for each method of ``names``."""
+    return table.groupBy("profile").agg(*(F.max(F.when(F.col("method") == n, F.struct(*values))).alias(n) for n in names))
+
+
 def effects(table: DataFrame, metrics_of: tuple[str, ...] = ("accuracy", "ece_paper", "ece_strict", "brier")) -> DataFrame:
     """Per profile and effect the difference of each metric, from ``metric_rows``."""
-    out = None
-    for name, before, after in EFFECTS:
-        a = table.where(F.col("method") == before).select("profile", *[F.col(m).alias(f"_{m}") for m in metrics_of])
-        b = table.where(F.col("method") == after)
-        one = b.join(a, "profile").select("profile", F.lit(name).alias("effect"), *[(F.col(m) - F.col(f"_{m}")).alias(m) for m in metrics_of])
-        out = one if out is None else out.unionByName(one)
-    return out
+    names = list(dict.fromkeys(m for _, *pair in EFFECTS for m in pair))
+    one = lambda name, a, b: F.struct(F.lit(name).alias("effect"), F.col(f"`{a}`").isNotNull().alias("_a"), F.col(f"`{b}`").isNotNull().alias("_b"), *((F.col(f"`{b}`")[m] - F.col(f"`{a}`")[m]).alias(m) for m in metrics_of))
+    rows = _beside(table, names, list(metrics_of)).select("profile", F.explode(F.array(*(one(*e) for e in EFFECTS))).alias("e"))
+    return rows.where("e._a AND e._b").select("profile", "e.effect", *(f"e.{m}" for m in metrics_of))
 
 
 def best_profiles(effect_rows: DataFrame, k: int = 8) -> DataFrame:
@@ -145,18 +167,21 @@ def best_profiles(effect_rows: DataFrame, k: int = 8) -> DataFrame:
 def profile_report(relations: DataFrame, baseline: DataFrame, gold: DataFrame, profiles: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Metrics of each profile beside the full baseline and the one of equal budget, over
     the questions that all three have, and what the profile adds to either."""
-    every = profile_observations(relations, gold, profiles)
-    own = every.where("predicted IS NOT NULL").select("profile", "question_id", "selected", "score", "correct")
-    full = winners(baseline, [], F.col("confidence"), gold, keep_invalid=True).select("question_id", F.col("score").alias("full_score"), F.col("correct").alias("full_correct"))
-    equal = matched_baselines(baseline, gold, every.select("profile", "question_id", "selected"))["SSC-k-paper"]
-    rows = own.join(full, "question_id").join(equal.select("profile", "question_id", F.col("score").alias("equal_score"), F.col("correct").alias("equal_correct")), ["profile", "question_id"])
-    table = metric_rows(rows, ["profile"])
+    rows, kind = _question_rows(relations, baseline, gold)
+    paper = lambda samples, truth: folds.let(_kept(samples), lambda e: _judged(folds.vote(e, lambda x: x["confidence"], kind), truth))
+    per = _lattice(rows.withColumn("full", paper(F.col("base"), F.col("gold"))), kind, profiles, lambda own, equal, truth: {"own": _counted(own, truth), "full": F.col("full"), "equal": paper(equal, truth)})
+    names = ["own", "full", "equal"]
+    all_three = functools.reduce(lambda a, b: a & b, (F.col("v")[n].isNotNull() for n in names))
+    measured = ["n", "accuracy", "brier", "ece_paper", "ece_strict"]
+    each = F.array(*(F.struct(F.lit(n).alias("method"), F.col("v")[n].alias("x")) for n in names))
+    flat = per.where(all_three).select("profile", F.explode(each).alias("m")).select("profile", "m.method", "m.x.score", "m.x.correct")
+    means = per.groupBy("profile").agg(F.avg("selected").alias("mean_selected"), F.avg("valid").alias("mean_valid"))
+    beside = _beside(metric_rows(flat, ["profile", "method"]), names, measured).join(means, "profile")
+    shown = [F.col("own")[m].alias(m) for m in measured]
     for name in ("full", "equal"):
-        part = metric_rows(rows.select("profile", F.col(f"{name}_score").alias("score"), F.col(f"{name}_correct").alias("correct")), ["profile"])
-        table = table.join(part.select("profile", *[F.col(m).alias(f"{name}_{m}") for m in ("accuracy", "ece_paper", "brier")]), "profile")
-        table = table.select("*", *[(F.col(m) - F.col(f"{name}_{m}")).alias(f"delta_{m}_{name}") for m in ("accuracy", "ece_paper", "brier")])
-    sizes = every.groupBy("profile").agg(F.avg("selected").alias("mean_selected"), F.avg("valid").alias("mean_valid"))
-    return table.join(sizes, "profile")
+        for m in ("accuracy", "ece_paper", "brier"):
+            shown += [F.col(name)[m].alias(f"{name}_{m}"), (F.col("own")[m] - F.col(name)[m]).alias(f"delta_{m}_{name}")]
+    return beside.where("own IS NOT NULL").select("profile", *shown, "mean_selected", "mean_valid")
 
 
 def slot_observations(pool: DataFrame, gold: DataFrame, slot: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plurality.operators import evaluation as V
+from plurality.operators import reaggregation
 from plurality.plans import vote_queries as Q
 from plurality.plans.registry import ORACLES, query
 from plurality.sources.adapters import gold, pool
@@ -55,8 +56,8 @@ WINDOW = "CASE WHEN method = 'ESC' THEN CAST(parameter AS BIGINT) END AS window_
 MATCH_SQL = "(SELECT *, row_number() OVER (PARTITION BY method ORDER BY 8 - generated_samples / questions_total, parameter) AS r FROM capped_rows WHERE generated_samples / questions_total <= 8 + 1e-12)"
 
 
-def _shown(report):
-    return report.select(*SHOWN, *(F.round(c, 6).alias(c) for c in ("accuracy", "actual_avg_samples", "invalid_rate")))
+def _shown(report, *more):
+    return report.select(*more, *SHOWN, *(F.round(c, 6).alias(c) for c in ("accuracy", "actual_avg_samples", "invalid_rate")))
 
 
 @query(f"""WITH {ANSWERED_SQL}, {_rows_sql("fixed_rows", _fixed_sql(), "gold")}, {_rows_sql("curve_rows", _dynamic_sql(32), "gold")}, {_rows_sql("capped_rows", _dynamic_sql(8), "gold")}
@@ -67,6 +68,21 @@ def evaluation_report(spark, sf_dir):
     return _shown(V.evaluate(pool(spark, sf_dir), gold(spark, sf_dir), SETTINGS, "validation"))
 
 
+def _by_model(sql: str) -> str:
+    return sql.replace("SELECT p.method", "SELECT CAST(e.question_id % 3 AS VARCHAR) AS model, p.method")
+
+
+@query(f"""WITH {ANSWERED_SQL}, {_by_model(_rows_sql("fixed_rows", _fixed_sql(), "gold"))}, {_by_model(_rows_sql("capped_rows", _dynamic_sql(8), "gold"))}
+SELECT 'fixed_budget' AS row_type, model, method, CAST(parameter AS BIGINT) AS budget, NULL::DOUBLE AS threshold, {SUMS}, {ROUNDED} FROM fixed_rows
+UNION ALL SELECT 'dynamic_budget_match', model, method, 8, parameter, {SUMS}, {ROUNDED} FROM {MATCH_SQL.replace("PARTITION BY method", "PARTITION BY model, method")} WHERE r = 1""")
+def reports_by_model(spark, sf_dir):
+    """Three models, each with questions of its own, in one pass."""
+    model = (F.col("question_id") % 3).cast("string")
+    pools, expected = (x.withColumn("model", model) for x in (pool(spark, sf_dir), gold(spark, sf_dir)))
+    out = reaggregation.reports(pools, expected, SETTINGS, "validation", parts=["model"], row_types=["fixed_budget", "dynamic_budget_match"])
+    return _shown(out, "model").drop("budget_target", "budget_cap", "window_size")
+
+
 def _split(spark, sf_dir):
     rows, truth = pool(spark, sf_dir), gold(spark, sf_dir)
     half = F.col("question_id") % 2
