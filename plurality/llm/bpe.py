@@ -60,7 +60,7 @@ SPLIT = re.compile(f"[{WHITE}]+")
 CONTROLS = re.compile("[\x1c-\x1f]")
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable stand-in of each byte: itself if printable, else 256 upwards."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
@@ -78,7 +78,7 @@ class Vocabulary:
         names = {number: name for name, number in (ids | self.special).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        symbols = _byte_symbols()
+        symbols = byte_symbols()
         self.inner = [ids[s] for s in symbols]
         self.last = [ids[s + end] for s in symbols]
         self.parts: dict[int, tuple[int, int]] = {}

@@ -11,29 +11,35 @@ powers of two, so nothing is padded.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plurality.llm.bpe import byte_symbols
 from plurality.llm.common import Scratch, map_batches, texts, tidied
 
 LENGTH = 2048
 #: What ends a document.
 END_ID = 1
 HASHED, DIMENSIONS, BITS, SEED = 1024, 4, 15, 20240611
-#: Units between blanks that a worker remembers, and the longest of them.
-HELD_UNITS, UNIT_CHARS = 400_000, 64
+#: Units between blanks that a worker remembers; what stands for one that may not be cut out.
+HELD_UNITS, ODD = 600_000, False
 #: Tokens of a task: at least and, beyond the session's number of partitions, at most.
 LEAST_TOKENS, MOST_TOKENS = 1 << 16, 1 << 26
 #: Sequences that are handed on together.
 FLUSH = 64
+#: Strings whose characters every Unicode version knows alike, without special strings.
+PLAIN = re.compile(r"(?:[\x20-;=-~\xa1-\u024f])+")
 #: Units that are encoded together.
 RUN_UNITS = 512
 #: A blank between two characters that are not white space. No token of the vocabulary's
@@ -55,54 +61,95 @@ class Units:
         self.kind = number_type(self.tokenizer.get_vocab_size())
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         special = self.tokenizer.get_added_tokens_decoder()
+        self.specials = {x.content for x in special.values()}
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        self.merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+        byte_level = model["normalizer"] is None and model["pre_tokenizer"]["type"] == "ByteLevel" and model["pre_tokenizer"]["use_regex"]
+        self.merger = self._same_merger(vocab, public_tokenizers.PATTERN) if byte_level else None
         #: Bytes of each token; a character of the vocabulary stands for a byte.
         self.widths = np.zeros(max([*vocab.values(), *special]) + 1, np.int64)
         for name, number in vocab.items():
             self.widths[number] = len(name)
         for number, token in special.items():
             self.widths[number] = len(token.content.encode())
-        #: Encodings of ``" " + unit``; None for a unit that may not be cut out.
-        self.known: dict[str, bytes | None] = {}
+        del self.merges
+        #: Encodings of ``" " + unit``.
+        self.known: dict[str, bytes | bool] = {}
 
     def direct(self, strings: list[str]) -> list[bytes]:
         """Encodings of strings that each may follow the one before as they stand: runs of
         them are encoded together, and parted where their bytes end."""
+        plain = [i for i, x in enumerate(strings) if PLAIN.fullmatch(x)] if self.merger else []
+        if len(plain) < len(strings):
+            out = [b""] * len(strings)
+            rest = sorted(set(range(len(strings))).difference(plain))
+            for at, encode in ((plain, self._merged), (rest, self._encoded)):
+                for i, x in zip(at, self._runs([strings[i] for i in at], encode), strict=True):
+                    out[i] = x
+            return out
+        return self._runs(strings, self._merged)
+
+    def _merged(self, text: str) -> list[int]:
+        return self.merger.encode_ordinary(text)
+
+    def _encoded(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _runs(self, strings: list[str], encode: Callable[[str], list[int]]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(strings), RUN_UNITS):
             run = strings[at : at + RUN_UNITS]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(encode("".join(run)), self.kind)
             ends = np.cumsum([len(x.encode()) for x in run])
             cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends, "right").tolist()
             data, each = ids.tobytes(), ids.itemsize
             out += [data[a * each : b * each] for a, b in zip([0, *cuts], cuts)]  # noqa: B905
         return out
 
+    def _same_merger(self, vocab: dict[str, int], pattern: str):
+        """A faster merger that gives the same numbers for plain strings, or None.
+
+        It joins the pair whose whole has the lowest number. That is the same as going by the
+        list of merges if numbers follow that list, and every token comes out whole from its
+        own string (so a token's two halves are always those of its merge).
+        """
+        letters = {s: bytes([b]) for b, s in enumerate(byte_symbols())}
+        ranks = {b"".join(map(letters.__getitem__, name)): number for name, number in vocab.items() if all(c in letters for c in name)}
+        merges = [vocab["".join(m)] for m in self.merges]
+        if merges != list(range(256, 256 + len(merges))) or any(len(self.tokenizer.model.tokenize(x)) != 1 for x in vocab if x not in self.specials):
+            return None
+        return tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
     def alone(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def learn(self, units: set[str]) -> None:
-        new = units.difference(self.known)
+    def learn(self, new: set[str]) -> None:
+        """Encodes units not known yet; those that may not be cut out get ``ODD``."""
         if len(new) + len(self.known) > HELD_UNITS:
             self.known.clear()
-            new = units
         clean = [u for u in new if u and not (u[0].isspace() or u[-1].isspace())]
-        self.known.update(dict.fromkeys(new))
+        if len(clean) < len(new):
+            self.known.update(dict.fromkeys(new, ODD))
         self.known.update(zip(clean, self.direct([" " + u for u in clean]), strict=True))
 
     def batch(self, rows: list[str]) -> list[bytes]:
         """Token numbers of each text."""
-        cut = [x.split(" ") for x in rows]
-        inner: set[str] = set()
-        for parts in cut:
-            inner.update(parts[1:-1])
-        self.learn(inner)
+        cut, get = [x.split(" ") for x in rows], self.known.get
+        found = [list(map(get, parts[1:-1])) for parts in cut]
+        lost = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {parts[i + 1] for parts, at in zip(cut, lost, strict=True) for i in at}
+        if new:
+            self.learn(new)
         ends = self.alone([x for parts in cut for x in (parts[0], " " + parts[-1] if len(parts) > 1 else "")])
         out = []
-        for i, (text, parts) in enumerate(zip(rows, cut, strict=True)):
+        for i, (text, parts, units, at) in enumerate(zip(rows, cut, found, lost, strict=True)):
+            for k in at:
+                units[k] = get(parts[k + 1])
             head, last = parts[0], parts[-1]
             whole = len(parts) == 1 or (not (head and head[-1].isspace()) and last and not last[0].isspace())
             try:
-                out.append(b"".join([ends[2 * i], *map(self.known.__getitem__, parts[1:-1]), ends[2 * i + 1]]) if whole else self.odd(text))
+                out.append(b"".join([ends[2 * i], *units, ends[2 * i + 1]]) if whole else self.odd(text))
             except TypeError:  # a unit that may not be cut out
                 out.append(self.odd(text))
         return out
@@ -110,8 +157,7 @@ class Units:
     def odd(self, text: str) -> bytes:
         """The same for a text with longer white space."""
         parts = CUT.split(text)
-        self.learn({x for x in parts[1:-1] if len(x) <= UNIT_CHARS})
-        known = [self.known.get(x) if 0 < i < len(parts) - 1 else None for i, x in enumerate(parts)]
+        known = [self.known.get(x) or None if 0 < i < len(parts) - 1 else None for i, x in enumerate(parts)]
         missing = iter(self.alone([(" " if i else "") + x for i, x in enumerate(parts) if known[i] is None]))
         return b"".join(next(missing) if x is None else x for x in known)
 
@@ -177,7 +223,7 @@ def tokenised(docs: DataFrame, vocab_path: str, id_col: str, text_col: str) -> D
         )
 
     kind = dict(docs.dtypes)[id_col]
-    return map_batches(docs, [id_col, text_col], step, f"doc {kind}, key long, n long, ids binary", _units.cache_clear)
+    return map_batches(docs, [id_col, text_col], step, f"doc {kind}, key long, n long, ids binary", lambda: _units(vocab_path).known.clear())
 
 
 def powers_of_two(n: int) -> list[int]:
