@@ -5,6 +5,8 @@ Observations have ``score`` in [0, 1] and ``correct`` 0 or 1; ``by`` names the g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,37 +119,93 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], metric: str, replicates: i
     return pairs.groupBy(*by).applyInPandas(run, out)
 
 
+def _poisson_levels() -> np.ndarray:
+    """Chances of at most 0, 1, 2, ... of a Poisson count with mean 1."""
+    terms = np.exp(-1) / np.cumprod([1.0, *range(1, 9)])
+    return np.cumsum(terms)
+
+
+def resampled_counts(hashes: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """``[pair, replicate]``: how often a replicate has a pair, Poisson with mean 1.
+
+    Two rounds of 32-bit multiplication and shifts mix a pair's hash with the replicate's
+    number, so any engine can form the same counts.
+    """
+    low = np.uint64(0xFFFFFFFF)
+    u = (hashes.astype(np.uint64)[:, None] + np.arange(replicates, dtype=np.uint64) * np.uint64(2654435761) + np.uint64(seed) * np.uint64(40503)) & low
+    u = (u * np.uint64(2246822519)) & low
+    u ^= u >> np.uint64(15)
+    u = (u * np.uint64(3266489917)) & low
+    u ^= u >> np.uint64(13)
+    return np.searchsorted(_poisson_levels(), u / 2.0**32, "right").astype(np.int64)
+
+
+def _bootstrap_terms(metric: str, bins: int, ref_score: np.ndarray, ref_correct: np.ndarray, score: np.ndarray, correct: np.ndarray) -> np.ndarray:
+    """``[pair, term]``: what a pair adds to a replicate's sums. The first term counts pairs,
+    the others are a difference, or gaps by bin of the target and then of the reference."""
+    one = np.ones((len(score), 1))
+    if metric == "accuracy":
+        return np.hstack([one, (correct - ref_correct)[:, None]])
+    if metric == "brier":
+        return np.hstack([one, ((score - correct) ** 2 - (ref_score - ref_correct) ** 2)[:, None]])
+    sides = []
+    for p, c in ((score, correct), (ref_score, ref_correct)):
+        place = np.digitize(p, np.linspace(0, 1, bins + 1)) - 1 if metric == "ece_paper" else np.minimum((np.clip(p, 0, 1) * bins).astype(int), bins - 1)
+        side = np.zeros((len(p), bins))
+        inside = np.flatnonzero((place >= 0) & (place < bins))
+        side[inside, place[inside]] = (c - p)[inside]
+        sides.append(side)
+    return np.hstack([one, *sides])
+
+
+#: Comparisons whose sums a task holds before it hands them on.
+HELD_GROUPS = 64
+
+
 def hashed_bootstrap(pairs: DataFrame, by: list[str], metric: str, replicates: int = 200, seed: int = 0, bins: int = 10) -> DataFrame:
     """The same interval for pairs of any number: ``accuracy``, ``brier``, ``ece_paper`` or
     ``ece_strict``.
 
-    Each pair's weight in a replicate is Poisson(1), from a hash of its id. Sums are
-    aggregated before the shuffle (for a calibration error by its bins), so a group never
-    comes together; each pair is looked at once for every replicate.
+    A replicate is a row of a matrix of sums: tasks multiply their pairs' resampled counts
+    with what the pairs add to the metric, and hand on one matrix for each comparison. Pairs
+    are not multiplied, nothing of theirs is shuffled, and a comparison never comes together.
     """
-    u = F.pmod(F.xxhash64("question_id", "replicate", F.lit(seed)), F.lit(2**31)) / float(2**31)
-    weight, level, term = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(9):
-        level += term
-        weight = F.when(u >= level, F.lit(k + 1)).otherwise(weight)
-        term /= k + 1
-
-    def term_of(score: str, correct: str) -> Column:
-        gap = F.col(score) - F.col(correct)
-        return F.col(correct).cast("double") if metric == "accuracy" else gap * gap
-
-    rows = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
-    if metric.startswith("ece"):
-        binning = BINNINGS["edges" if metric == "ece_paper" else "product"]
-        sides = F.array(*[F.struct(F.lit(sign).alias("sign"), binning(F.col(score), bins).alias("bin"), F.col(score).cast("double").alias("s"), F.col(correct).alias("c")) for sign, score, correct in ((1, "score", "correct"), (-1, "ref_score", "ref_correct"))])
-        cells = rows.withColumn("side", F.explode(sides)).groupBy(*by, "replicate", "side.sign", "side.bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * (F.col("side.c") - F.col("side.s"))).alias("gap"))
-        gap = F.when(F.col("bin").isNotNull(), F.abs("gap")).otherwise(0.0)
-        side = cells.groupBy(*by, "replicate", "sign").agg(F.try_divide(100 * F.sum(gap), F.sum("n")).alias("e"))
-        means = side.groupBy(*by, "replicate").agg(F.sum(F.col("sign") * F.col("e")).alias("d"))
-        return _interval(means, by, metric)
-    rows = rows.withColumn("delta", 100 * (term_of("score", "correct") - term_of("ref_score", "ref_correct")))
-    means = rows.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")).alias("d"))
-    return _interval(means, by, metric)
+    width = 2 if metric in ("accuracy", "brier") else 1 + 2 * bins
+    kinds = dict(pairs.dtypes)
+    spec = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def shown() -> pd.DataFrame:
+            rows = [(*group, at, float(x)) for group, sums in held.items() for at, x in enumerate(sums.ravel())]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*by, "at", "x"])
+
+        for frame in frames:
+            for group, rows in frame.groupby(by, dropna=False, sort=False):
+                terms = _bootstrap_terms(metric, bins, *(rows[c].to_numpy(float) for c in ("ref_score", "ref_correct", "score", "correct")))
+                sums = resampled_counts(rows["_h"].to_numpy(np.uint64), replicates, seed).T @ terms
+                key = tuple(None if pd.isna(g) else g for g in group)
+                held[key] = held[key] + sums if key in held else sums
+            if len(held) >= HELD_GROUPS:
+                yield shown()
+        if held:
+            yield shown()
+
+    digest = F.conv(F.substring(F.md5(F.col("question_id").cast("string")), 1, 8), 16, 10).cast("long")
+    numbers = [F.col(c).cast("double").alias(c) for c in ("ref_score", "ref_correct", "score", "correct")]
+    sums = pairs.select(*by, digest.alias("_h"), *numbers).mapInPandas(run, f"{spec}, at int, x double").groupBy(*by, "at").agg(F.sum("x").alias("x"))
+    cell = F.pmod("at", F.lit(width))
+    held = sums.groupBy(*by, F.floor(F.col("at") / width).alias("replicate")).agg(F.sum(F.when(cell == 0, F.col("x"))).alias("n"), F.map_from_entries(F.collect_list(F.struct(cell.alias("k"), F.col("x").alias("v")))).alias("terms"))
+    if width == 2:
+        d = F.try_divide(100 * F.col("terms")[F.lit(1)], F.col("n"))
+    else:
+        gaps = lambda first: sum((F.abs(F.col("terms")[F.lit(first + i)]) for i in range(bins)), F.lit(0.0))
+        d = F.try_divide(100 * (gaps(1) - gaps(1 + bins)), F.col("n"))
+    if metric == "accuracy":
+        d = F.round(d, 9)  # equal counts are equal
+    return _interval(held.select(*by, d.alias("d")), by, metric)
 
 
 def _interval(means: DataFrame, by: list[str], metric: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from plurality.functions import hashing as H
@@ -135,6 +137,28 @@ def bootstrap_ci(spark, sf_dir):
 query()(bootstrap_ci)
 
 
+REPLICATES = 40
+COUNTS_SQL = f"""hashed AS (SELECT p.*, r, (('0x' || substr(md5(p.question_id::VARCHAR), 1, 8))::UBIGINT + r::UBIGINT * 2654435761 + 283521) % 4294967296 AS u0 FROM rows_ p, range(0, {REPLICATES}) t(r)),
+once AS (SELECT *, (u0 * 2246822519) % 4294967296 AS u1 FROM hashed), twice AS (SELECT *, (xor(u1, u1 >> 15) * 3266489917) % 4294967296 AS u2 FROM once), unit AS (SELECT *, xor(u2, u2 >> 13) / 4294967296.0::DOUBLE AS u FROM twice),
+counted AS (SELECT *, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020]::DOUBLE[], lambda e: e <= u)) AS k FROM unit)"""
+GAP_SQL = """SELECT question_id % 3 AS dataset_id, r, least(floor(least(greatest(x, 0), 1) * 10), 9) AS bin, sum(k * (y - x)) AS gap FROM counted GROUP BY ALL"""
+
+
+@query(f"""WITH {PAIR_SQL.replace("b.q - a.p AS shift", "b.q - a.p AS shift, a.p AS rp, b.q AS tp")}, {COUNTS_SQL},
+means AS (SELECT 'brier' AS metric, question_id % 3 AS dataset_id, r, 100 * sum(k * bd) / sum(k) AS d FROM counted GROUP BY ALL UNION ALL SELECT 'accuracy', question_id % 3, r, round(100 * sum(k * (c - rc)) / sum(k), 9) FROM counted GROUP BY ALL
+  UNION ALL SELECT 'ece_strict', dataset_id, r, 100 * (t.e - s.e) / n FROM (SELECT question_id % 3 AS dataset_id, r, sum(k) AS n FROM counted GROUP BY ALL)
+  JOIN (SELECT dataset_id, r, sum(abs(gap)) AS e FROM ({GAP_SQL.replace("x,", "tp,").replace("y - x", "c - tp")}) GROUP BY ALL) t USING (dataset_id, r) JOIN (SELECT dataset_id, r, sum(abs(gap)) AS e FROM ({GAP_SQL.replace("x,", "rp,").replace("y - x", "rc - rp")}) GROUP BY ALL) s USING (dataset_id, r))
+SELECT metric, dataset_id, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, round(avg(CASE WHEN d = 0 THEN 0.5 WHEN (metric = 'accuracy') = (d > 0) THEN 1 ELSE 0 END), 6) AS p_improve FROM means GROUP BY ALL""")
+def hashed_bootstrap_ci(spark, sf_dir):
+    """Pairs of any number: replicates are rows of a matrix of sums."""
+    ref, target, _ = _pair(spark, sf_dir)
+    a = ref.select("question_id", F.col("score").alias("ref_score"), F.col("correct").alias("ref_correct"))
+    pairs = a.join(target.select("question_id", "score", "correct"), "question_id").withColumn("dataset_id", F.col("question_id") % 3)
+    found = [X.hashed_bootstrap(pairs, ["dataset_id"], m, REPLICATES, seed=7).withColumn("metric", F.lit(m)) for m in ("brier", "accuracy", "ece_strict")]
+    out = functools.reduce(lambda x, y: x.unionByName(y), found)
+    return out.select("metric", "dataset_id", *[F.round(c, 6).alias(c) for c in ("low", "high", "p_improve")])
+
+
 @query("""WITH picked AS (SELECT p_partkey AS question_id, p_brand AS dataset_name FROM part)
 SELECT question_id, dataset_name, ('0x' || substr(sha256('holdout' || chr(0) || '7' || chr(0) || dataset_name || chr(0) || question_id), 1, 16))::UBIGINT / 18446744073709551616.0 < 0.2 AS validation FROM picked""", views=False)
 def holdout_partition(spark, sf_dir):
