@@ -20,6 +20,18 @@ def holdout_fraction(namespace: str, seed: int, dataset: Column, question: Colum
     return F.conv(head, 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float(2**64))
 
 
+def partition_rows(rows: DataFrame, role: str, namespace: str, seed: int, fraction: float, dataset: str = "dataset_name", question: str = "question_id") -> DataFrame:
+    """Rows of the ``validation`` or ``test`` questions by hash, with ``split`` rewritten to
+    that role and what it was as ``source_split``. A missing or empty id is an error."""
+    if role not in ("validation", "test"):
+        raise ValueError(f"a partition is validation or test, not {role!r}")
+    id_ = F.col(question).cast("string")
+    checked = F.when(F.coalesce(id_, F.lit("")) == "", F.raise_error(F.lit("a row has no question id")).cast("string")).otherwise(id_)
+    chosen = holdout_fraction(namespace, seed, F.col(dataset), checked) < fraction
+    before = F.col("split") if "split" in rows.columns else F.lit(None).cast("string")
+    return rows.where(chosen if role == "validation" else ~chosen).withColumns({"source_split": before, "split": F.lit(role)})
+
+
 def seed_of(seed: int, *parts: Column) -> Column:
     return F.conv(stable_id(*parts, length=8), 16, 10).cast("long") + F.lit(seed)
 

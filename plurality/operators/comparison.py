@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plurality.functions.arrays import let
+from plurality.operators import profiles
+
 
 def observations(shares: DataFrame, score: str, gold: DataFrame) -> DataFrame:
     """``question_id, predicted, score, correct``: first-seen winner of each question."""
@@ -66,25 +71,37 @@ def relation_diagnostics(identity: DataFrame, relation: DataFrame, by: list[str]
 
 
 def weight_sweep(pool: DataFrame, gold: DataFrame, grids: dict[str, list[float]], subtype: str = "view") -> DataFrame:
-    """Observations for each combination of subtype weights, ``config`` numbering them.
+    """Observations for each combination of subtype weights: ``question_id, w_*, predicted,
+    score, correct``.
 
-    Masses are summed per question, answer and subtype once; a combination then only
-    weighs these few sums. ``grids``: weights of each subtype, 0 to 9, in order.
+    Masses are summed per question, answer and subtype once and stand in one row a question;
+    all combinations are weighed in that row. ``grids``: weights of each subtype, 0 to 9.
     """
     names = sorted(grids)
-    spark = pool.sparkSession
-    configs = spark.createDataFrame([(0,)], "config int")
-    for name in names:
-        values = spark.createDataFrame([(float(v),) for v in grids[name]], f"w_{name} double")
-        configs = configs.crossJoin(F.broadcast(values))
     valid = pool.where("answer IS NOT NULL AND confidence IS NOT NULL")
     masses = valid.groupBy("question_id", "answer", subtype).agg(F.sum("confidence").cast("double").alias("m"), F.min("pos").alias("first"))
-    sums = masses.groupBy("question_id", "answer").agg(F.min("first").alias("first_pos"), *[F.coalesce(F.sum(F.when(F.col(subtype).cast("string") == str(n), F.col("m"))), F.lit(0.0)).alias(f"m_{n}") for n in names])
-    mass = sum((F.col(f"m_{n}") * F.col(f"w_{n}") for n in names), F.lit(0.0))
-    rows = sums.crossJoin(F.broadcast(configs.drop("config"))).withColumn("mass", F.round(mass, 9))
-    keys = [f"w_{n}" for n in names]
-    best = rows.groupBy("question_id", *keys).agg(F.sum("mass").alias("total"), F.max(F.struct("mass", -F.col("first_pos"), "answer")).alias("b")).where("total > 0")
-    return best.join(gold, "question_id").select("question_id", *keys, F.col("b.answer").alias("predicted"), (F.col("b.mass") / F.col("total")).alias("score"), (F.col("b.answer") == F.col("gold")).cast("int").alias("correct"))
+    own = F.array(*(F.coalesce(F.sum(F.when(F.col(subtype).cast("string") == n, F.col("m"))), F.lit(0.0)) for n in names))
+    sums = masses.groupBy("question_id", "answer").agg((-F.min("first")).alias("f"), own.alias("m"))
+    rows = sums.groupBy("question_id").agg(F.collect_list(F.struct("f", "answer", "m")).alias("answers"))
+    configs = F.array(*(F.array(*(F.lit(float(w)) for w in c)) for c in itertools.product(*(grids[n] for n in names))))
+
+    def weighed(config: Column) -> Column:
+        mass = lambda a: F.round(F.aggregate(F.zip_with(a["m"], config, lambda m, w: m * w), F.lit(0.0), lambda acc, x: acc + x), 9)
+        votes = F.transform("answers", lambda a: F.struct(mass(a).alias("mass"), a["f"].alias("f"), a["answer"].alias("answer")))
+        total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x["mass"])
+        return let(votes, lambda v: F.struct(config.alias("w"), F.array_max(v).alias("b"), total(v).alias("total")))
+
+    each = rows.join(gold, "question_id").select("question_id", "gold", F.explode(F.filter(F.transform(configs, weighed), lambda x: x["total"] > 0)).alias("x"))
+    weights = [F.get("x.w", F.lit(i)).alias(f"w_{n}") for i, n in enumerate(names)]
+    return each.select("question_id", *weights, F.col("x.b.answer").alias("predicted"), (F.col("x.b.mass") / F.col("x.total")).alias("score"), (F.col("x.b.answer") == F.col("gold")).cast("int").alias("correct"))
+
+
+def best_weights(sweep: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` combinations with the lowest calibration error (bins by the score's product),
+    then the highest accuracy, then the smallest weights: ``w_*, n, ece, accuracy``."""
+    names = [c for c in sweep.columns if c.startswith("w_")]
+    rows = profiles.metric_rows(sweep, names).select(*names, "n", F.round("ece_strict", 9).alias("ece"), F.round("accuracy", 9).alias("accuracy"))
+    return rows.orderBy("ece", F.desc("accuracy"), *names).limit(k)
 
 
 def micro_average(rows: DataFrame, by: list[str]) -> DataFrame:

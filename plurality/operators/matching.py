@@ -109,20 +109,45 @@ def first_reason(rows: DataFrame, reasons: list[tuple[str, Column]], kept: str =
 def wrong_consensus(own: DataFrame, relations: DataFrame, gold: DataFrame, least: float) -> DataFrame:
     """Confident wrong answers of the identity pool and what the relation pool makes of them.
 
-    ``drop``: support lost by the wrong answer; ``broken``: it is no longer among the tops
-    (ties within 1e-12); ``corrected``: the right answer is the only top.
+    ``status`` is ``evaluated``, ``unmatched`` (no relation answers) or ``undefined`` (none
+    with a score), the other columns null then. ``drop``: support lost by the wrong answer;
+    ``broken``: it is not the only top any more (ties within 1e-12); ``displaced``: it is
+    below every top; ``corrected``: the top answer (of several the smallest text) is right.
     """
     from plurality.operators.support import top_answer
 
     wrong = top_answer(own, "ssc").join(gold, "question_id").where(F.col("answer") != F.col("gold")).where(F.col("ssc") >= least)
-    tops = relations.where("relsc IS NOT NULL").groupBy("question_id").agg(F.max("relsc").alias("top"))
-    per = relations.join(tops, "question_id").withColumn("is_top", F.abs(F.col("relsc") - F.col("top")) <= 1e-12)
+    tops = relations.groupBy("question_id").agg(F.max("relsc").alias("top"), F.count("*").alias("answers"))
+    per = relations.join(tops, "question_id").withColumn("is_top", F.coalesce(F.abs(F.col("relsc") - F.col("top")) <= 1e-12, F.lit(False)))
     w = wrong.withColumnRenamed("answer", "wrong")
     rows = w.join(per, "question_id", "left").groupBy("question_id", "wrong", "gold", "ssc").agg(
-        F.coalesce(F.max(F.when(F.col("answer") == F.col("wrong"), F.col("relsc"))), F.lit(0.0)).alias("relsc"),
+        F.coalesce(F.max(F.when(F.col("answer") == F.col("wrong"), F.col("relsc"))), F.lit(0.0)).alias("found"),
         F.count_if("is_top").alias("tops"),
+        F.max("answers").alias("answers"),
         F.coalesce(F.bool_or(F.col("is_top") & (F.col("answer") == F.col("wrong"))), F.lit(False)).alias("wrong_top"),
-        F.coalesce(F.bool_or(F.col("is_top") & (F.col("answer") == F.col("gold"))), F.lit(False)).alias("gold_top"),
+        F.min(F.when(F.col("is_top"), F.col("answer"))).alias("top_answer"),
     )
-    drop = F.col("ssc") - F.col("relsc")
-    return rows.select("question_id", "wrong", "gold", "ssc", "relsc", drop.alias("drop"), F.try_divide(drop, F.col("ssc")).alias("relative_drop"), (~F.col("wrong_top")).alias("broken"), (F.col("gold_top") & (F.col("tops") == 1)).alias("corrected"))
+    status = F.when(F.col("answers").isNull(), "unmatched").when(F.col("tops") == 0, "undefined").otherwise("evaluated")
+    rows = rows.withColumn("status", status)
+    told = lambda value: F.when(F.col("status") == "evaluated", value)
+    drop = F.col("ssc") - F.col("found")
+    return rows.select(
+        "question_id", "wrong", "gold", "ssc", "status", told(F.col("found")).alias("relsc"), told(drop).alias("drop"), told(F.try_divide(drop, F.col("ssc"))).alias("relative_drop"),
+        told(~(F.col("wrong_top") & (F.col("tops") == 1))).alias("broken"), told(~F.col("wrong_top")).alias("displaced"), told(F.col("top_answer") == F.col("gold")).alias("corrected"),
+    )
+
+
+def consensus_summary(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts, means and rates of ``wrong_consensus`` cases; means and rates are of evaluated
+    ones. ``relative_drop_of_means`` is the ratio of the means, not the mean of the ratios."""
+    ok = F.col("status") == "evaluated"
+    n = F.count_if(ok)
+    mean = lambda c: F.avg(F.when(ok, F.col(c)))
+    counts = {f"{c}_count": F.count_if(ok & F.col(c)) for c in ("broken", "displaced", "corrected")}
+    rates = {f"{c}_rate": F.try_divide(F.count_if(ok & F.col(c)), n) for c in ("broken", "displaced", "corrected")}
+    values = {
+        "candidates": F.count("*"), "evaluated": n, "unmatched": F.count_if(F.col("status") == "unmatched"), "undefined": F.count_if(F.col("status") == "undefined"), "mean_ssc_all": F.avg("ssc"),
+        "mean_ssc": mean("ssc"), "mean_relsc": mean("relsc"), "mean_drop": mean("drop"), "mean_relative_drop": mean("relative_drop"),
+        "relative_drop_of_means": F.when(mean("ssc") > 0, (mean("ssc") - mean("relsc")) / mean("ssc")), **counts, **rates,
+    }
+    return cases.groupBy(*(by or [])).agg(*(v.alias(name) for name, v in values.items()))

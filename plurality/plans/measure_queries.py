@@ -119,6 +119,18 @@ def weight_sweep(spark, sf_dir):
     return out.select("w_1", "w_3", "n", F.round("accuracy", 6).alias("accuracy"), F.round("mean_score", 5).alias("mean_score"))
 
 
+@query("""WITH configs AS (SELECT * FROM (VALUES (0.0), (0.5), (1.0)) a(w_1), (VALUES (0.0), (1.0)) b(w_3)),
+masses AS (SELECT question_id, answer, w_1, w_3, round(sum(CAST(confidence AS DOUBLE) * CASE "view" WHEN 0 THEN 1.0 WHEN 1 THEN w_1 WHEN 2 THEN 0.5 ELSE w_3 END), 9) AS m, min(pos) AS f FROM pool, configs WHERE answer IS NOT NULL AND confidence IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id, w_1, w_3 ORDER BY m DESC, f) AS r, sum(m) OVER (PARTITION BY question_id, w_1, w_3) AS total FROM masses),
+won AS (SELECT w_1, w_3, m / total AS score, CAST(answer = g.gold AS INT) AS c FROM ranked JOIN gold g USING (question_id) WHERE r = 1 AND total > 0),
+bins AS (SELECT w_1, w_3, least(floor(score * 10), 9) AS b, count(*) AS n, sum(c) AS c, sum(score) AS s FROM won GROUP BY ALL)
+SELECT CAST(w_1 AS DOUBLE) AS w_1, CAST(w_3 AS DOUBLE) AS w_3, CAST(sum(n) AS BIGINT) AS n, round(100 * sum(abs(c - s)) / sum(n), 6) AS ece, round(100 * sum(c) / sum(n), 6) AS accuracy FROM bins GROUP BY w_1, w_3 ORDER BY ece, accuracy DESC, w_1, w_3 LIMIT 3""")
+def best_weights(spark, sf_dir):
+    """A top-k report: the weights with the lowest calibration error."""
+    out = C.best_weights(C.weight_sweep(pool(spark, sf_dir), gold(spark, sf_dir), GRIDS), 3)
+    return out.select("w_1", "w_3", "n", F.round("ece", 6).alias("ece"), F.round("accuracy", 6).alias("accuracy"))
+
+
 @query("""SELECT flag, CAST(sum(q) AS BIGINT) AS questions, CAST(sum(c) AS BIGINT) AS correct, CAST(sum(u) AS BIGINT) AS used, round(sum(c) / sum(q), 6) AS accuracy, round(sum(u) / sum(q), 6) AS average_used
 FROM (SELECT l_returnflag AS flag, l_linestatus, count(*) AS q, count(*) FILTER (WHERE l_discount > 0.05) AS c, sum(l_linenumber) AS u FROM lineitem GROUP BY ALL) GROUP BY flag""", views=False)
 def micro_average(spark, sf_dir):
@@ -166,6 +178,14 @@ def holdout_partition(spark, sf_dir):
     return rows.select("question_id", "dataset_name", (H.holdout_fraction("holdout", 7, F.col("dataset_name"), F.col("question_id")) < 0.2).alias("validation"))
 
 
+@query("""WITH picked AS (SELECT p_partkey AS question_id, p_brand AS dataset_name, p_type AS split, ('0x' || substr(sha256('holdout' || chr(0) || '7' || chr(0) || p_brand || chr(0) || p_partkey), 1, 16))::UBIGINT / 18446744073709551616.0 < 0.2 AS validation FROM part)
+SELECT question_id, dataset_name, split AS source_split, CASE WHEN validation THEN 'validation' ELSE 'test' END AS split FROM picked""", views=False)
+def split_rewritten(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_brand").alias("dataset_name"), F.col("p_type").alias("split"))
+    both = [H.partition_rows(rows, role, "holdout", 7, 0.2) for role in ("validation", "test")]
+    return both[0].unionByName(both[1]).select("question_id", "dataset_name", "source_split", "split")
+
+
 @query("""WITH picked AS (SELECT p_partkey AS question_id, p_brand AS dataset_name, row_number() OVER (PARTITION BY p_brand ORDER BY substr(sha256('5' || chr(0) || p_partkey), 1, 32), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
 SELECT question_id, dataset_name, CASE WHEN n > 1 AND r <= least(n - 1, greatest(1, round_even(n * 0.25, 0))) THEN 'test' ELSE 'train' END AS split FROM picked""", views=False)
 def group_split(spark, sf_dir):
@@ -232,17 +252,35 @@ def audit_counters(spark, sf_dir):
     return M.first_reason(pool(spark, sf_dir), reasons)
 
 
-@query(f"""WITH {RELSC_SQL}, own AS (SELECT question_id, answer, m, CAST(m AS DOUBLE) / nullif(CAST(sum(m) OVER (PARTITION BY question_id) AS DOUBLE), 0) AS ssc FROM (SELECT question_id, answer, sum(confidence) AS m FROM pool WHERE answer IS NOT NULL AND confidence IS NOT NULL AND "view" = 0 GROUP BY ALL)),
+CONSENSUS_SQL = f"""WITH {RELSC_SQL}, own AS (SELECT question_id, answer, m, CAST(m AS DOUBLE) / nullif(CAST(sum(m) OVER (PARTITION BY question_id) AS DOUBLE), 0) AS ssc FROM (SELECT question_id, answer, sum(confidence) AS m FROM pool WHERE answer IS NOT NULL AND confidence IS NOT NULL AND "view" = 0 GROUP BY ALL)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY m DESC, answer) AS r FROM own WHERE ssc IS NOT NULL) WHERE r = 1),
-tops AS (SELECT question_id, list(answer) AS answers FROM (SELECT *, max(relsc) OVER (PARTITION BY question_id) AS hi FROM relsc) WHERE abs(relsc - hi) <= 1e-12 GROUP BY ALL)
-SELECT b.question_id, b.answer AS wrong, g.gold, round(ssc, 6) AS ssc, round(coalesce(r.relsc, 0), 6) AS relsc, round(ssc - coalesce(r.relsc, 0), 6) AS "drop", round((ssc - coalesce(r.relsc, 0)) / ssc, 6) AS relative_drop,
-  NOT list_contains(t.answers, b.answer) AS broken, t.answers = [g.gold] AS corrected
-FROM best b JOIN gold g USING (question_id) LEFT JOIN relsc r ON r.question_id = b.question_id AND r.answer = b.answer JOIN tops t ON t.question_id = b.question_id WHERE b.answer <> g.gold AND ssc >= 0.4""")
-def wrong_consensus_cases(spark, sf_dir):
+tops AS (SELECT question_id, list(answer) AS answers FROM (SELECT *, max(relsc) OVER (PARTITION BY question_id) AS hi FROM relsc WHERE question_id % 7 <> 0) WHERE abs(relsc - hi) <= 1e-12 GROUP BY ALL),
+cases AS (SELECT b.question_id, b.answer AS wrong, g.gold, ssc, CASE WHEN t.answers IS NULL THEN 'unmatched' ELSE 'evaluated' END AS status, CASE WHEN t.answers IS NOT NULL THEN coalesce(r.relsc, 0) END AS relsc,
+  t.answers <> [b.answer] AS broken, NOT list_contains(t.answers, b.answer) AS displaced, list_min(t.answers) = g.gold AS corrected
+  FROM best b JOIN gold g USING (question_id) LEFT JOIN tops t USING (question_id) LEFT JOIN relsc r ON r.question_id = b.question_id AND r.answer = b.answer WHERE b.answer <> g.gold AND ssc >= 0.4)"""
+
+
+def _cases(spark, sf_dir):
+    """The relation pool lacks every seventh question."""
     rows = pool(spark, sf_dir)
     own = S.answer_shares(rows.where("view = 0"), F.col("confidence"), "ssc")
-    out = M.wrong_consensus(own, S.counted_relations(rows), gold(spark, sf_dir), 0.4)
-    return out.select("question_id", "wrong", "gold", *[F.round(c, 6).alias(c) for c in ("ssc", "relsc", "drop", "relative_drop")], "broken", "corrected")
+    relations = S.counted_relations(rows.where(F.col("question_id") % 7 != 0))
+    return M.wrong_consensus(own, relations, gold(spark, sf_dir), 0.4)
+
+
+@query(f"""{CONSENSUS_SQL} SELECT question_id, wrong, gold, status, round(ssc, 6) AS ssc, round(relsc, 6) AS relsc, round(ssc - relsc, 6) AS "drop", round((ssc - relsc) / ssc, 6) AS relative_drop, broken, displaced, corrected FROM cases""")
+def wrong_consensus_cases(spark, sf_dir):
+    return _cases(spark, sf_dir).select("question_id", "wrong", "gold", "status", *[F.round(c, 6).alias(c) for c in ("ssc", "relsc", "drop", "relative_drop")], "broken", "displaced", "corrected")
+
+
+@query(f"""{CONSENSUS_SQL}, e AS (SELECT * FROM cases WHERE status = 'evaluated')
+SELECT count(*) AS candidates, (SELECT count(*) FROM e) AS evaluated, count(*) FILTER (WHERE status = 'unmatched') AS unmatched, CAST(0 AS BIGINT) AS undefined, round(avg(ssc), 6) AS mean_ssc_all,
+  (SELECT round(avg(ssc), 6) FROM e) AS mean_ssc, (SELECT round(avg(relsc), 6) FROM e) AS mean_relsc, (SELECT round(avg(ssc - relsc), 6) FROM e) AS mean_drop, (SELECT round(avg((ssc - relsc) / ssc), 6) FROM e) AS mean_relative_drop,
+  (SELECT round((avg(ssc) - avg(relsc)) / avg(ssc), 6) FROM e) AS relative_drop_of_means, (SELECT count(*) FILTER (WHERE broken) FROM e) AS broken_count, (SELECT count(*) FILTER (WHERE displaced) FROM e) AS displaced_count, (SELECT count(*) FILTER (WHERE corrected) FROM e) AS corrected_count,
+  (SELECT round(avg(CAST(broken AS INT)), 6) FROM e) AS broken_rate, (SELECT round(avg(CAST(displaced AS INT)), 6) FROM e) AS displaced_rate, (SELECT round(avg(CAST(corrected AS INT)), 6) FROM e) AS corrected_rate FROM cases""")
+def consensus_summary(spark, sf_dir):
+    out = M.consensus_summary(_cases(spark, sf_dir))
+    return out.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
 
 
 @query(f"""WITH {RELSSC_SQL}, k AS (SELECT question_id, count(*) AS k FROM pool WHERE "view" IN (0, 1) GROUP BY ALL),
