@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.functions.hashing import ordered_digest
+from plurality.operators import records
 
 
 def _place(spark: SparkSession, path: str):
@@ -82,9 +83,7 @@ def check_metadata(spark: SparkSession, path: str, metadata: dict) -> bool:
             keys = sorted(k for k in before.keys() | metadata.keys() if before.get(k) != metadata.get(k))
             raise ValueError(f"metadata at {path} differs in {keys}")
         return False
-    stream = fs.create(target, False)
-    stream.write(bytearray(json.dumps(metadata, sort_keys=True).encode()))
-    stream.close()
+    replaced_whole(spark, path, lambda p: _put_text(spark, p, json.dumps(metadata, sort_keys=True)))
     return True
 
 
@@ -147,6 +146,11 @@ def write_report(report: DataFrame, columns: list[str], path: str, title: str, m
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small record, staged and then renamed, so that no reader sees half of it."""
+    replaced_whole(spark, path, lambda p: _put_text(spark, p, text))
+
+
+def _put_text(spark: SparkSession, path: str, text: str) -> None:
     place, fs = _place(spark, path)
     stream = fs.create(place, True)
     stream.write(bytearray(text.encode("utf-8")))
@@ -158,6 +162,57 @@ def write_manifest(spark: SparkSession, path: str, kind: str, stats: dict) -> No
     write_text(spark, path, json.dumps({"schema_version": 1, "artifact_type": kind, **stats}, sort_keys=True))
 
 
+def write_comparison(left: DataFrame, right: DataFrame, budget: int, keys: list[str], path: str, title: str) -> None:
+    """Two reports' methods side by side (``records.paired_reports``) in the three forms."""
+    rows = records.paired_reports(left, right, budget, keys).orderBy(*keys)
+    write_report(rows, rows.columns, path, title)
+
+
+def _chunk_digests(rows: DataFrame, chunk: str, key: str) -> DataFrame:
+    """``chunk, rows, digest`` of a chunk's rows in the order of ``key``; a chunk has a fixed
+    size, so its rows' digests fit one array."""
+    row = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key), row.alias("d")))), lambda x: x["d"])
+    return rows.groupBy(chunk).agg(F.count("*").alias("rows"), ordered_digest(listed).alias("digest"))
+
+
+def publish(rows: DataFrame, root: str, chunk: str, key: str) -> dict:
+    """A new version of a table of chunks below ``root``; the pointer to it is swapped last.
+
+    ``versions/<id>/rows`` holds the rows by chunk, ``versions/<id>/chunks`` a digest of each
+    chunk's rows; ``current.json`` names the version and the digest over all chunks. Until
+    it is replaced readers see the version before; a run that stops earlier leaves only a
+    folder that nothing names. Returns the record.
+    """
+    spark = rows.sparkSession
+    version = uuid.uuid4().hex
+    at = f"{root.rstrip('/')}/versions/{version}"
+    rows.write.partitionBy(chunk).parquet(f"{at}/rows")
+    _chunk_digests(rows, chunk, key).write.parquet(f"{at}/chunks")
+    per = spark.read.parquet(f"{at}/chunks")
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(chunk, "digest"))), lambda x: x["digest"]), ","), 256)
+    total = per.agg(F.sum("rows").alias("rows"), F.count("*").alias("chunks"), whole.alias("digest")).first()
+    record = {"version": version, "rows": total.rows or 0, "chunks": total.chunks, "digest": total.digest}
+    write_text(spark, f"{root.rstrip('/')}/current.json", json.dumps(record, sort_keys=True))
+    return record
+
+
+def published(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:
+    """(rows, digests of chunks) of the version that ``root`` names; None before the first."""
+    place, fs = _place(spark, f"{root.rstrip('/')}/current.json")
+    if not fs.exists(place):
+        return None
+    record = json.loads(spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/current.json").first().value)
+    at = f"{root.rstrip('/')}/versions/{record['version']}"
+    return spark.read.parquet(f"{at}/rows"), spark.read.parquet(f"{at}/chunks")
+
+
+def changed_chunks(before: DataFrame | None, rows: DataFrame, chunk: str, key: str) -> DataFrame:
+    """Chunks of ``rows`` that differ from published digests ``before`` or are not there."""
+    now = _chunk_digests(rows, chunk, key)
+    return now.select(chunk) if before is None else now.join(before.select(chunk, "digest"), [chunk, "digest"], "left_anti").select(chunk)
+
+
 def merged_chunks(chunks: DataFrame, question: str, sample: str, chunk: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(all rows, one row of ``questions, samples, chunks, digest``) of a table of chunks.
 
