@@ -12,13 +12,20 @@ def within_budgets(pool: DataFrame, budgets: list[int]) -> DataFrame:
     return sized.withColumn("budget", F.explode(F.array(*[F.lit(b).cast("long") for b in sorted(set(budgets))]))).where("pos < budget")
 
 
-def _outcomes(rows: DataFrame, winners: DataFrame) -> DataFrame:
+def _outcomes(best: DataFrame) -> DataFrame:
     """Too few samples: no prediction, all of them used. No winner: no valid answer."""
-    frame = rows.groupBy("question_id", "budget").agg(F.max("size").alias("size"))
-    joined = frame.join(winners, ["question_id", "budget"], "left")
     enough = F.col("size") >= F.col("budget")
     status = F.when(~enough, "insufficient_samples").when(F.col("winner").isNull(), "no_valid_answer").otherwise("ok")
-    return joined.select("question_id", "budget", F.when(enough, F.col("winner")).alias("prediction"), F.least("size", "budget").alias("used"), status.alias("status"))
+    return best.select("question_id", "budget", F.when(enough, F.col("winner")).alias("prediction"), F.least("size", "budget").alias("used"), status.alias("status"))
+
+
+def _largest(rows: DataFrame, weight: Column) -> DataFrame:
+    """The answer of the largest sum of ``weight``; rows that do not vote tell the size only,
+    so that votes and frame are one pass over one partitioning by question."""
+    w = F.when(F.col("answer").isNotNull(), weight)
+    sums = rows.withColumn("_w", w).groupBy("question_id", "budget", "answer").agg(F.max("size").alias("size"), F.sum("_w").alias("w"), F.min(F.when(F.col("_w").isNotNull(), F.col("pos"))).alias("first"))
+    vote = F.when(F.col("w").isNotNull(), F.struct("w", -F.col("first"), "answer"))
+    return _outcomes(sums.groupBy("question_id", "budget").agg(F.max("size").alias("size"), F.max(vote)["answer"].alias("winner")))
 
 
 def sum_vote(pool: DataFrame, budgets: list[int], weight: Column) -> DataFrame:
@@ -26,11 +33,7 @@ def sum_vote(pool: DataFrame, budgets: list[int], weight: Column) -> DataFrame:
 
     ``weight`` should be integral or decimal, so that no sum depends on row order.
     """
-    rows = within_budgets(pool, budgets)
-    valid = rows.where(F.col("answer").isNotNull() & weight.isNotNull())
-    sums = valid.groupBy("question_id", "budget", "answer").agg(F.sum(weight).alias("w"), F.min("pos").alias("first"))
-    best = sums.groupBy("question_id", "budget").agg(F.max(F.struct("w", -F.col("first"), "answer")).alias("b")).select("question_id", "budget", F.col("b.answer").alias("winner"))
-    return _outcomes(rows, best)
+    return _largest(within_budgets(pool, budgets), weight)
 
 
 def majority(pool: DataFrame, budgets: list[int]) -> DataFrame:
@@ -40,9 +43,8 @@ def majority(pool: DataFrame, budgets: list[int]) -> DataFrame:
 def best_sample(pool: DataFrame, budgets: list[int], score: Column) -> DataFrame:
     """The answer of the row with the largest score; the first row wins ties."""
     rows = within_budgets(pool, budgets)
-    valid = rows.where(F.col("answer").isNotNull() & score.isNotNull())
-    best = valid.groupBy("question_id", "budget").agg(F.max(F.struct(score.alias("s"), -F.col("pos"), "answer")).alias("b")).select("question_id", "budget", F.col("b.answer").alias("winner"))
-    return _outcomes(rows, best)
+    vote = F.when(F.col("answer").isNotNull() & score.isNotNull(), F.struct(score.alias("s"), -F.col("pos"), "answer"))
+    return _outcomes(rows.groupBy("question_id", "budget").agg(F.max("size").alias("size"), F.max(vote)["answer"].alias("winner")))
 
 
 def informed_vote(pool: DataFrame, budgets: list[int], score: Column, temperature: float = 1.0, scale: str = "softmax") -> DataFrame:
@@ -62,10 +64,7 @@ def informed_vote(pool: DataFrame, budgets: list[int], score: Column, temperatur
         weight = F.col("score")
     else:
         raise ValueError(f"unknown scale {scale!r}")
-    valid = rows.withColumn("weight", F.round(weight, 12).cast("decimal(20,12)")).where("weight IS NOT NULL")
-    sums = valid.groupBy("question_id", "budget", "answer").agg(F.sum("weight").alias("w"), F.min("pos").alias("first"))
-    best = sums.groupBy("question_id", "budget").agg(F.max(F.struct("w", -F.col("first"), "answer")).alias("b")).select("question_id", "budget", F.col("b.answer").alias("winner"))
-    return _outcomes(rows, best)
+    return _largest(rows.withColumn("weight", F.round(weight, 12).cast("decimal(20,12)")), F.col("weight"))
 
 
 def strict_score(predictions: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+import __spark_entry__ as entry
 from plurality.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,9 @@ def test_tasks_grow_with_rows(spark, make, monkeypatch, capsys):
     tasks = lambda text: [int(x) for x in re.findall(r"hashpartitioning\(question_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", text)]
     assert tasks(wide) == [spark.sparkContext.defaultParallelism]
     assert tasks(fine) == [-(-n // 10)] and fine.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["vote_informed_softmax", "vote_informed_linear", "vote_informed_plain", "vote_majority_fixed", "vote_weighted_fixed", "best_of_n_fixed"])
+def test_votes_read_the_pool_once(spark, name, capsys):
+    text = plan_of(entry.queries()[name](spark, SF), capsys)
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
