@@ -217,9 +217,12 @@ def curve_sums(rows: DataFrame, base: Column, changed: Callable[[Column, Column]
 def over_grid(sums: DataFrame, grid: list[float], measures: list[str]) -> DataFrame:
     """``parameter, all_rows, rows, measures`` for each parameter: the base and its changes."""
     wanted = sums.sparkSession.createDataFrame([(float(p),) for p in sorted(set(grid))], "parameter double")
-    whole = sums.where("parameter IS NULL").select(F.col("rows").alias("all_rows"), *(F.col(m).alias(f"_{m}") for m in measures))
-    frame = wanted.crossJoin(F.broadcast(whole)).join(F.broadcast(sums.where("parameter IS NOT NULL")), "parameter", "left")
-    return frame.select("parameter", "all_rows", F.coalesce("rows", F.lit(0)).alias("rows"), *((F.col(f"_{m}") + F.coalesce(m, F.lit(0))).alias(m) for m in measures))
+    names = ["rows", *measures]
+    zeros = wanted.select("parameter", *(F.lit(0).cast("long").alias(c) for c in names), F.lit(True).alias("_in"))
+    both = sums.withColumn("_in", F.lit(False)).unionByName(zeros).groupBy("parameter").agg(*(F.sum(c).alias(c) for c in names), F.max("_in").alias("_in"))
+    base = lambda c: F.max(F.when(F.col("parameter").isNull(), F.col(c))).over(Window.partitionBy(F.lit(1)))  # noqa: E731  (one row a parameter)
+    frame = both.select("*", *(base(c).alias(f"_{c}") for c in names)).where("_in AND _rows IS NOT NULL")
+    return frame.select("parameter", F.col("_rows").alias("all_rows"), "rows", *((F.col(f"_{m}") + F.col(m)).alias(m) for m in measures))
 
 
 def curve(decisions: DataFrame, expected: DataFrame, grid: list[float]) -> DataFrame:

@@ -30,3 +30,8 @@ def test_tasks_grow_with_rows(spark, make, monkeypatch, capsys):
 def test_votes_read_the_pool_once(spark, name, capsys):
     text = plan_of(entry.queries()[name](spark, SF), capsys)
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["adaptive_count_curve", "adaptive_weighted_curve", "budget_match"])
+def test_curves_read_the_pool_once(spark, name, capsys):
+    assert plan_of(entry.queries()[name](spark, SF), capsys).count("FileScan") == 2  # the pool and the right answers
