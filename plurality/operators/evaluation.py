@@ -105,8 +105,9 @@ def _entry(method: str, at: Column, m: Column) -> Column:
     return F.struct(F.lit(method).alias("method"), at.cast("int").alias("at"), m.alias("m"))
 
 
-def _fixed_entries(settings: Settings, methods: list[str], kinds: dict[str, str]) -> Column:
-    """Entries of every vote under every budget."""
+def _fixed_entries(settings: Settings, methods: list[str], kinds: dict[str, str], alike: bool) -> Column:
+    """Entries of every vote under every budget. Where both weights are ``alike`` their vote is
+    taken once."""
     said = {
         "SC": lambda p: F.get(p, F.size(p) - 1)["by_count"]["leader"],
         "CISC": lambda p: folds.informed_winner(p, settings.temperature, settings.scale),
@@ -119,7 +120,10 @@ def _fixed_entries(settings: Settings, methods: list[str], kinds: dict[str, str]
     def of(budget: Column, at: Column) -> Column:
         def told(prefix: Column) -> Column:
             # one expression of the measures for all methods, as they differ in what is said
-            votes = F.array(*(F.struct(F.lit(m).alias("method"), said[m](prefix).alias("prediction")) for m in FIXED if m in methods))
+            both = {"Self-Certainty", "weighted-SC"}
+            one = lambda m, w: F.struct(F.lit(m).alias("method"), (said[m](prefix) if w is None or m not in both else w).alias("prediction"))
+            told_of = lambda w: F.array(*(one(m, w) for m in FIXED if m in methods))
+            votes = folds.let(said["weighted-SC"](prefix), told_of) if alike and both <= set(methods) else told_of(None)
             return F.transform(votes, lambda v: F.struct(v["method"].alias("method"), at.cast("int").alias("at"), folds.fixed_measures(budget, v["prediction"], samples, size, gold).alias("m")))
 
         return folds.let(F.slice(samples, 1, budget), told)
@@ -248,7 +252,7 @@ def with_columns(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def evaluate(
     pool: DataFrame, expected: DataFrame, settings: Settings | None = None, phase: str = "analysis", artifact: DataFrame | None = None, certainty: str = "confidence",
-    by: list[str] | None = None, row_types: list[str] | None = None, methods: list[str] | None = None,
+    by: list[str] | None = None, row_types: list[str] | None = None, methods: list[str] | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """All report rows of a pool (``question_id, pos, answer, confidence``) over expected
     questions (``question_id, gold``).
@@ -260,7 +264,9 @@ def evaluate(
     pool that are not expected do not count: ``matching.coverage`` lists them. ``by`` names
     columns of both tables (a model, a data set) that reports are made for, ``row_types`` and
     ``methods`` what is needed of them. The pool is read once, whatever is asked for; nothing
-    runs before the result does.
+    runs before the result does. Samples are dealt by question to ``tasks`` tasks (without it
+    the session's shuffle partitions), so that many make a task small; 0 leaves a pool as it
+    is, where it is dealt by ``question_id`` already and ``by`` is empty.
     """
     settings, by = settings or Settings(), by or []
     row_types, methods = row_types or ROW_TYPES, methods or [*FIXED, *DYNAMIC]
@@ -272,9 +278,12 @@ def evaluate(
     series = _wanted_series(settings, phase, row_types) if rules else []
     budgets = sorted(set(settings.budgets)) if "fixed_budget" in row_types else []
     most = max([*budgets, *(x.cap for x in series), 1])
-    kinds = {"c": dict(pool.dtypes)["confidence"], "n": dict(pool.dtypes)[certainty]}
-    rows = expected.select(*key, "gold").join(folds.question_rows(pool, key, most, settings.min_valid, certainty), key, "left")
+    kinds = {"c": folds.exact(dict(pool.dtypes)["confidence"], most), "n": folds.exact(dict(pool.dtypes)[certainty], most)}
     spark, wanted = pool.sparkSession, []
+    # folds take far longer than a shuffle of plain samples, so these are dealt before they grow
+    if tasks != 0:
+        pool = pool.select(*dict.fromkeys([*key, "pos", "answer", "confidence", certainty])).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    rows = expected.select(*key, "gold").join(folds.question_rows(pool, key, most, settings.min_valid, certainty).hint("merge"), key, "left")
     specs = [_spec(TOTALS, 0, {})]
     if budgets:
         specs.append(_spec(FIXED_SERIES, 0, {}))
@@ -291,8 +300,6 @@ def evaluate(
             grids = {m: F.array(*map(F.lit, _parameters(settings, m, one.cap))) for m in rules}
             wanted += [(one.name, m, i, p, one.cap, one.target) for m in rules for i, p in enumerate(_parameters(settings, m, one.cap))]
         specs.append(_spec(one.name, one.cap, grids))
-    # folds take far longer than a shuffle of the samples, so questions are dealt to all tasks
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
     # a row for each group of report rows, so that rules are said once for all caps
     seen, flag = F.col("samples").isNotNull(), lambda c: c.cast("long")
     rows = rows.select(*by, "gold", "size", "samples", "chosen", F.explode(F.array(*specs)).alias("spec")).withColumn("series", F.col("spec.series")).where(seen | (F.col("series") == TOTALS))
@@ -301,7 +308,7 @@ def evaluate(
     total = _entry("", F.lit(0), F.array(F.lit(1).cast("long"), flag(seen), flag(F.col("gold").isNull()), *[F.lit(0).cast("long")] * 3))
     entries = F.when(F.col("series") == TOTALS, F.array(total))
     if budgets:
-        entries = entries.when(F.col("series") == FIXED_SERIES, _fixed_entries(settings, methods, kinds))
+        entries = entries.when(F.col("series") == FIXED_SERIES, _fixed_entries(settings, methods, kinds, certainty == "confidence"))
     if series:
         entries = entries.otherwise(_rule_entries(rules, settings, kinds["c"]))
     rows = rows.withColumn("entries", entries)

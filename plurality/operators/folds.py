@@ -21,47 +21,66 @@ from plurality.functions.arrays import let
 MEASURES = ["correct", "generated_samples", "valid_samples", "invalid_predictions", "insufficient_sample_questions", "early_stop_questions"]
 
 
-def _running(rows: DataFrame, key: list[str], name: str, weight: Column, min_valid: int) -> DataFrame:
-    """Adds ``name``: ``struct<leader, value, before>`` after each row: the leading answer,
-    its share of the votes once ``min_valid`` have voted, and the largest such share before.
+def exact(kind: str, most: int) -> str:
+    """The type that sums of ``most`` weights of a type are kept in: decimals of few digits are
+    counted in their last digit, as whole numbers, which are added far faster."""
+    digits = int(kind[8:].split(",")[0]) if kind.startswith("decimal") else 38
+    return "bigint" if digits + len(str(most)) <= 18 else kind
+
+
+def _whole(name: str, kind: str, most: int) -> Column:
+    scale = 10 ** int(kind.rstrip(")").split(",")[1]) if exact(kind, most) != kind else 1
+    return (F.col(name) * F.lit(scale)).cast(exact(kind, most)) if scale != 1 else F.col(name).cast(exact(kind, most))
+
+
+def _running(rows: DataFrame, key: list[str], votes: dict[str, Column], min_valid: int) -> DataFrame:
+    """Adds each name of ``votes``: ``struct<leader, value, before>`` after each row: the leading
+    answer, its share of the votes once ``min_valid`` have voted, and the largest such share
+    before.
 
     Rows without answer, or with a null or negative weight, do not vote; a zero total has
-    share 0. Votes only grow, so the leader is a running maximum.
+    share 0. Votes only grow, so the leader is a running maximum. All votes are found in one
+    pass by answer and one by question.
     """
-    rows = rows.withColumn("_w", F.when(F.col("answer").isNotNull() & (weight >= 0), weight))  # votes
-    own = Window.partitionBy(*key, F.when(F.col("_w").isNotNull(), F.col("answer"))).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = F.col
+    own = Window.partitionBy(*key, "answer").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     so_far = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lead = F.when(F.col("_w").isNotNull(), F.struct(F.sum("_w").over(own).alias("mass"), (-F.min("pos").over(own)).alias("f"), F.col("answer").alias("answer")))
-    rows = rows.withColumn("_l", lead)
-    rows = rows.withColumn("_l", F.max("_l").over(so_far)).withColumn("_t", F.sum("_w").over(so_far)).withColumn("_n", F.count("_w").over(so_far))
-    part = F.when(F.col("_t") > 0, F.col("_l.mass").cast("double") / F.col("_t").cast("double")).otherwise(0.0)
-    rows = rows.withColumn("_v", F.when(F.col("_n") >= min_valid, part)).withColumn("_b", F.max("_v").over(earlier))
-    return rows.withColumn(name, F.struct(F.col("_l.answer").alias("leader"), F.col("_v").alias("value"), F.col("_b").alias("before"))).drop("_w", "_l", "_t", "_n", "_v", "_b")
+    each = lambda of: {f"_{k}_{name}": v for name in votes for k, v in of(name).items()}
+    rows = rows.withColumns(each(lambda n: {"w": F.when(c("answer").isNotNull() & (votes[n] >= 0), votes[n])}))
+    rows = rows.withColumns(each(lambda n: {"m": F.sum(f"_w_{n}").over(own), "f": F.min(F.when(c(f"_w_{n}").isNotNull(), c("pos"))).over(own)}))
+    lead = lambda n: F.when(c(f"_w_{n}").isNotNull(), F.struct(c(f"_m_{n}").alias("mass"), (-c(f"_f_{n}")).alias("f"), c("answer").alias("answer")))
+    rows = rows.withColumns(each(lambda n: {"l": F.max(lead(n)).over(so_far), "t": F.sum(f"_w_{n}").over(so_far), "n": F.count(f"_w_{n}").over(so_far)}))
+    part = lambda n: F.when(c(f"_t_{n}") > 0, c(f"_l_{n}.mass").cast("double") / c(f"_t_{n}").cast("double")).otherwise(0.0)
+    rows = rows.withColumns(each(lambda n: {"v": F.when(c(f"_n_{n}") >= min_valid, part(n))}))
+    rows = rows.withColumns(each(lambda n: {"b": F.max(f"_v_{n}").over(earlier)}))
+    return rows.withColumns({n: F.struct(c(f"_l_{n}.answer").alias("leader"), c(f"_v_{n}").alias("value"), c(f"_b_{n}").alias("before")) for n in votes})
 
 
 def question_rows(pool: DataFrame, key: list[str], most: int, min_valid: int, certainty: str) -> DataFrame:
     """``key, size, samples``: at most ``most`` samples of each question, in order.
 
-    ``pos`` is the place in the order, from 0 without gaps, and ``answered`` counts answers up
-    to there. One shuffle by ``key``; windows and the group use the same partitioning.
+    ``pos`` is the place in the order, from 0 without gaps, ``answered`` counts answers up to
+    there, ``d`` is the confidence as a double, and ``c`` and ``n`` are weights to be summed, of
+    the type ``exact`` tells. One shuffle by ``key``; windows and the group use the same
+    partitioning.
     """
-    ordered = Window.partitionBy(*key).orderBy("pos")
+    ordered, kinds = Window.partitionBy(*key).orderBy("pos"), dict(pool.dtypes)
     rows = pool.select(*key, "pos", "answer", F.col("confidence").alias("c"), F.col(certainty).alias("n"))
     rows = rows.withColumns({"size": F.count("*").over(Window.partitionBy(*key)), "answered": F.count("answer").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "pos": (F.row_number().over(ordered) - 1).cast("long")}).where(F.col("pos") < most)
-    rows = _running(rows, key, "by_count", F.lit(1), min_valid)
-    rows = _running(rows, key, "by_weight", F.col("c"), min_valid)
+    rows = rows.withColumn("d", F.col("c").cast("double"))
+    rows = _running(rows, key, {"by_count": F.lit(1), "by_weight": F.col("c")}, min_valid)
     earlier = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_v", F.when(F.col("answer").isNotNull(), F.col("c").cast("double")))
+    rows = rows.withColumn("_v", F.when(F.col("answer").isNotNull(), F.col("d")))
     alone = F.struct(F.col("answer").alias("leader"), F.col("_v").alias("value"), F.max("_v").over(earlier).alias("before")).alias("alone")
-    item = F.struct("pos", "answer", "answered", "c", "n", "by_count", "by_weight", alone)
+    item = F.struct("pos", "answer", "answered", "d", _whole("c", kinds["confidence"], most).alias("c"), _whole("n", kinds[certainty], most).alias("n"), "by_count", "by_weight", alone)
     rows = rows.select(*key, "size", item.alias("item"))
     return rows.groupBy(*key).agg(F.max("size").alias("size"), F.array_sort(F.collect_list("item")).alias("samples"))
 
 
 def _total(kind: str) -> str:
     """The type sums of a weight are kept in."""
-    return f"decimal(38,{kind.rstrip(')').split(',')[1]})" if kind.startswith("decimal") else "double"
+    return "bigint" if kind == "bigint" else f"decimal(38,{kind.rstrip(')').split(',')[1]})" if kind.startswith("decimal") else "double"
 
 
 def vote(samples: Column, weight: Callable[[Column], Column], kind: str) -> Column:
@@ -88,7 +107,7 @@ def winner(samples: Column, weight: Callable[[Column], Column], kind: str) -> Co
 
 def informed_winner(samples: Column, temperature: float, scale: str) -> Column:
     """The vote with confidence turned to weights within ``samples`` (see ``votes``)."""
-    score = lambda x: F.when(x["answer"].isNotNull(), x["c"].cast("double"))
+    score = lambda x: F.when(x["answer"].isNotNull(), x["d"])
 
     def weighed(edge: Column) -> Column:
         if scale == "softmax":
@@ -160,7 +179,7 @@ def lifts(samples: Column, name: str, gold: Column) -> Column:
 def buffer_lifts(samples: Column, capacity: int, kind: str, gold: Column) -> Column:
     """The same for buffers of ``capacity`` answered samples that reach a threshold: one case
     for each different score, as thresholds between two scores fill the same buffer."""
-    score = lambda x: x["c"].cast("double")
+    score = lambda x: x["d"]
 
     def cases(items: Column) -> Column:
         def of(levels: Column) -> Column:
@@ -191,20 +210,28 @@ def window_measures(cap: Column, sizes: Column, samples: Column, size: Column, g
     start = F.struct(F.lit(0).alias("run"), F.get(samples, F.lit(-1))["answer"].alias("last"), F.array().cast("array<int>").alias("runs"))
     held = F.least(size, cap).cast("int")
 
+    short, none = size < cap, F.get(samples, F.lit(-1))["answer"]
+
     def of(runs: Column) -> Column:
+        # of too few samples no window that is longer than every run says anything, whatever its size
+        cut = F.when(short, measures(samples, gold, none, size.cast("long"), "insufficient_samples"))
+        return let(F.struct(F.coalesce(F.array_max(runs), F.lit(0)).alias("longest"), cut.alias("cut")), lambda known: sized(runs, known))
+
+    def sized(runs: Column, known: Column) -> Column:
         def one(s: Column, at: Column) -> Column:
+            within = s <= known["longest"]
+
             def told(usable: Column) -> Column:
                 ends = F.when(usable > 0, F.sequence(s, F.greatest(usable, s), s)).otherwise(F.array().cast("array<int>"))
-                end = F.get(F.filter(ends, lambda e: F.get(runs, e - 1) >= s), F.lit(0))
+                end = F.when(within, F.get(F.filter(ends, lambda e: F.get(runs, e - 1) >= s), F.lit(0)))
                 last = F.when(usable > 0, F.get(samples, usable - 1)["by_count"]["leader"])
-                short = size < cap
                 status = F.when(short, "insufficient_samples").when(last.isNull(), "no_valid_answer").otherwise("ok")
                 stop = lambda e: F.struct(F.get(samples, e - 1)["answer"].alias("p"), e.cast("long").alias("u"), F.lit("early_stop").alias("s"))
                 rest = F.struct(F.when(~short, last).alias("p"), F.when(short, size).otherwise(usable).cast("long").alias("u"), status.alias("s"))
                 said = let(end, lambda e: F.when(e.isNotNull(), stop(e)).otherwise(rest))
-                return F.struct(at.cast("int").alias("at"), let(said, lambda x: measures(samples, gold, x["p"], x["u"], x["s"])).alias("m"))
+                return let(said, lambda x: measures(samples, gold, x["p"], x["u"], x["s"]))
 
-            return let(held - F.pmod(held, s), told)
+            return F.struct(at.cast("int").alias("at"), F.when(short & ~within, known["cut"]).otherwise(let(held - F.pmod(held, s), told)).alias("m"))
 
         return F.transform(F.transform(sizes, lambda s: s.cast("int")), one)
 

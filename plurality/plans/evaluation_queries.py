@@ -8,7 +8,7 @@ from plurality.operators import evaluation as V
 from plurality.operators import reaggregation
 from plurality.plans import vote_queries as Q
 from plurality.plans.registry import ORACLES, query
-from plurality.sources.adapters import gold, pool
+from plurality.sources.adapters import gold, pool, read, tasks
 
 SETTINGS = V.Settings(budgets=(1, 4, 16), thresholds=tuple(i / 10 for i in range(11)), targets=(8,))
 GRID_SQL = "grid AS (SELECT i / 10 AS parameter FROM range(0, 11) t(i))"
@@ -65,7 +65,7 @@ SELECT 'fixed_budget' AS row_type, method, CAST(parameter AS BIGINT) AS budget,
 UNION ALL SELECT 'threshold_curve', method, NULL, NULL, 32, parameter, {WINDOW}, {SUMS}, {ROUNDED} FROM curve_rows
 UNION ALL SELECT 'dynamic_budget_match', method, 8, 8, 8, parameter, {WINDOW}, {SUMS}, {ROUNDED} FROM {MATCH_SQL} WHERE r = 1""")
 def evaluation_report(spark, sf_dir):
-    return _shown(V.evaluate(pool(spark, sf_dir), gold(spark, sf_dir), SETTINGS, "validation"))
+    return _shown(V.evaluate(pool(spark, sf_dir), gold(spark, sf_dir), SETTINGS, "validation", tasks=0))
 
 
 def _by_model(sql: str) -> str:
@@ -79,7 +79,7 @@ def reports_by_model(spark, sf_dir):
     """Three models, each with questions of its own, in one pass."""
     model = (F.col("question_id") % 3).cast("string")
     pools, expected = (x.withColumn("model", model) for x in (pool(spark, sf_dir), gold(spark, sf_dir)))
-    out = reaggregation.reports(pools, expected, SETTINGS, "validation", parts=["model"], row_types=["fixed_budget", "dynamic_budget_match"])
+    out = reaggregation.reports(pools, expected, SETTINGS, "validation", parts=["model"], row_types=["fixed_budget", "dynamic_budget_match"], tasks=tasks(read(spark, sf_dir, "lineitem")))
     return _shown(out, "model").drop("budget_target", "budget_cap", "window_size")
 
 
@@ -90,7 +90,7 @@ def _split(spark, sf_dir):
 
 
 def _artifact(rows, truth):
-    report = V.evaluate(rows, truth, SETTINGS, "validation", row_types=["dynamic_budget_match"])
+    report = V.evaluate(rows, truth, SETTINGS, "validation", row_types=["dynamic_budget_match"], tasks=0)
     return V.calibration_artifact(report, SETTINGS, "m", "d", now=False)
 
 
@@ -111,7 +111,7 @@ SELECT t.method, CAST(8 AS BIGINT) AS budget_target, t.parameter AS threshold, q
 FROM test_rows t JOIN chosen c ON c.method = t.method AND c.parameter = t.parameter""")
 def test_report(spark, sf_dir):
     (rows, truth), (other, other_truth) = _split(spark, sf_dir)
-    out = V.evaluate(other, other_truth, SETTINGS, "test", _artifact(rows, truth), row_types=["dynamic_budget_match"]).where("row_type = 'dynamic_budget_match'")
+    out = V.evaluate(other, other_truth, SETTINGS, "test", _artifact(rows, truth), row_types=["dynamic_budget_match"], tasks=0).where("row_type = 'dynamic_budget_match'")
     return out.select("method", "budget_target", "threshold", "questions_total", "correct", "generated_samples", "valid_samples", "early_stop_questions", F.round("budget_gap", 6).alias("budget_gap"), "budget_compliant", F.round("validation_actual_avg_samples", 6).alias("validation_actual_avg_samples"))
 
 
@@ -119,7 +119,5 @@ def test_report(spark, sf_dir):
 SELECT 'CISC' AS method, count(f) AS native_records, list_sort(list(DISTINCT f) FILTER (WHERE f IS NOT NULL)) AS native_fields, CASE WHEN count(f) > 0 THEN 'exact' ELSE 'proxy' END AS status FROM picked
 UNION ALL SELECT 'RASC', 0, [], 'proxy'""", views=False)
 def method_metadata(spark, sf_dir):
-    from plurality.sources.adapters import read
-
     rows = read(spark, sf_dir, "lineitem").select(F.when(F.col("l_tax") != 0.07, F.col("l_discount")).alias("native"), F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("late"))
     return V.method_metadata(rows, {"CISC": ["native", "late"], "RASC": ["absent"]})

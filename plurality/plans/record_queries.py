@@ -17,7 +17,7 @@ from plurality.plans.registry import query
 from plurality.sources import artifacts
 from plurality.sources import readers as D
 from plurality.sources import sinks as K
-from plurality.sources.adapters import gold, pool, read
+from plurality.sources.adapters import gold, pool, read, tasks
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'q' || conv_id ELSE 'legacy:' || substr(sha256(coalesce(text, '')), 1, 20) END AS question, CASE WHEN turn % 4 = 0 THEN 's' || turn ELSE substr(sha256(conv_id || chr(0) || turn || chr(0) || (turn + 1)), 1, 24) END AS sample FROM conversations""", views=False)
@@ -126,7 +126,7 @@ t AS (SELECT half, 100 * avg(CAST(ok AS INT)) AS acc, avg(used) AS used FROM sco
 SELECT 'SC' AS method, round(a.acc, 6) AS left_accuracy, round(a.used, 6) AS left_samples, round(b.acc, 6) AS right_accuracy, round(b.used, 6) AS right_samples, round(b.acc - a.acc, 6) AS delta_accuracy FROM t a JOIN t b ON a.half = 0 AND b.half = 1""")
 def paired_reports(spark, sf_dir):
     half = lambda rows: rows.withColumn("half", F.col("question_id") % 2)
-    report = V.evaluate(half(pool(spark, sf_dir)), half(gold(spark, sf_dir)), SETTINGS, by=["half"], row_types=["fixed_budget"], methods=["SC"])
+    report = V.evaluate(half(pool(spark, sf_dir)), half(gold(spark, sf_dir)), SETTINGS, by=["half"], row_types=["fixed_budget"], methods=["SC"], tasks=tasks(read(spark, sf_dir, "lineitem")))
     out = R.paired_reports(report.where("half = 0"), report.where("half = 1"), 16, ["method"])
     return out.select("method", *[F.round(c, 6).alias(c) for c in ("left_accuracy", "left_samples", "right_accuracy", "right_samples", "delta_accuracy")])
 

@@ -35,3 +35,13 @@ def test_votes_read_the_pool_once(spark, name, capsys):
 @pytest.mark.parametrize("name", ["adaptive_count_curve", "adaptive_weighted_curve", "budget_match"])
 def test_curves_read_the_pool_once(spark, name, capsys):
     assert plan_of(entry.queries()[name](spark, SF), capsys).count("FileScan") == 2  # the pool and the right answers
+
+
+@pytest.mark.parametrize("name", ["evaluation_report", "reports_by_model", "paired_reports", "calibration_artifact", "test_report"])
+def test_evaluations_are_dealt_by_rows(spark, name, monkeypatch, capsys):
+    """No shuffle of samples has the session's number of tasks, which tables do not change."""
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 100)
+    n = -(-adapters.read(spark, SF, "lineitem").count() // 100)
+    frame = entry.queries()[name](spark, SF)
+    found = [int(x) for x in re.findall(r"hashpartitioning\([^()]*question_id[^()]*, (\d+)\)", plan_of(frame, capsys))]
+    assert found and set(found) == {n}
