@@ -60,11 +60,32 @@ def profile_observations(pool: DataFrame, gold: DataFrame, profiles: dict[str, t
     return per.join(gold, "question_id").select("profile", "question_id", "selected", "valid", F.col("b.answer").alias("predicted"), (F.col("b.n") / F.col("valid")).alias("score"), right.alias("correct"))
 
 
+def _states(baseline: DataFrame) -> DataFrame:
+    """Baseline samples with what is said after each: ``count`` and ``weight`` of the answers
+    given, ``paper`` with missing answers as a class of their own; ``struct<w, answer, total>``.
+    Votes that only grow have their leader as a running maximum."""
+    c, kept = F.col, F.coalesce("answer", F.lit(INVALID))
+    rows = baseline.select("question_id", "pos", "answer", "confidence", kept.alias("_a"))
+    given = c("answer").isNotNull()
+    votes = {"count": F.when(given, F.lit(1.0)), "weight": F.when(given, c("confidence")), "paper": c("confidence")}
+    own = Window.partitionBy("question_id", "_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy("question_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = lambda of: {f"_{k}_{name}": v for name in votes for k, v in of(name).items()}
+    rows = rows.withColumns(each(lambda n: {"w": votes[n]}))
+    rows = rows.withColumns(each(lambda n: {"m": F.sum(f"_w_{n}").over(own), "f": F.min(F.when(c(f"_w_{n}").isNotNull(), c("pos"))).over(own)}))
+    lead = lambda n: F.when(c(f"_w_{n}").isNotNull(), F.struct(c(f"_m_{n}").alias("w"), (-c(f"_f_{n}")).alias("f"), c("_a").alias("answer")))
+    rows = rows.withColumns(each(lambda n: {"l": F.max(lead(n)).over(so_far), "t": F.sum(f"_w_{n}").over(so_far)}))
+    state = lambda n: F.struct(c(f"_l_{n}.w").cast("double").alias("w"), c(f"_l_{n}.answer").alias("answer"), c(f"_t_{n}").cast("double").alias("total")).alias(n)
+    return rows.select("question_id", F.struct("pos", "answer", "confidence", *map(state, votes)).alias("x"))
+
+
 def _question_rows(relations: DataFrame, baseline: DataFrame, gold: DataFrame) -> tuple[DataFrame, str]:
-    """``question_id, gold, own, base``: a question's relation samples with their subtypes, and
-    its baseline samples, as arrays; and the type of their confidence."""
-    own = relations.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "answer", "subtype"))).alias("own"))
-    base = baseline.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "answer", "confidence"))).alias("base"))
+    """``question_id, gold, own, base``: counts of a question's relation samples by subtype and
+    answer, and its baseline samples with what is said after each, as arrays; and the type of
+    their confidence. ``falls`` tells that a weight is negative, where masses do not only grow."""
+    cells = relations.groupBy("question_id", "subtype", "answer").agg(F.count("*").alias("n"), (-F.min("pos")).alias("f"))
+    own = cells.groupBy("question_id").agg(F.collect_list(F.struct("subtype", "answer", "n", "f")).alias("own"))
+    base = _states(baseline).groupBy("question_id").agg(F.array_sort(F.collect_list("x")).alias("base"), F.max(F.col("x.confidence") < 0).alias("falls"))
     return gold.join(own, "question_id").join(base, "question_id", "left"), dict(baseline.dtypes)["confidence"]
 
 
@@ -80,17 +101,21 @@ def _judged(best: Column, gold: Column) -> Column:
 
 def _lattice(rows: DataFrame, kind: str, profiles: dict[str, tuple[str, ...]] | None, verdicts: Callable[[Column, Column, Column], dict[str, Column]]) -> DataFrame:
     """``profile, question_id, selected, valid, v``: all profiles of a question from its own
-    arrays. ``v`` is a struct of the verdicts on (own samples selected, baseline samples of
-    equal number, gold). Profiles that select nothing are left out."""
+    arrays. ``v`` is a struct of the verdicts on (counts of own samples selected, baseline
+    samples of equal number, gold). Profiles that select nothing are left out."""
     wanted = F.array(*(F.struct(F.lit(name).alias("profile"), F.array(*map(F.lit, subtypes)).alias("subtypes")) for name, subtypes in (profiles or PROFILES).items()))
 
     def of(p: Column) -> Column:
-        def told(chosen: Column) -> Column:
-            equal = F.filter("base", lambda x: x["pos"] < F.size(chosen))
+        def counted(chosen: Column) -> Column:
+            sizes = F.struct(_total_n(chosen).alias("selected"), _total_n(F.filter(chosen, lambda x: x["answer"].isNotNull())).alias("valid"))
+            return folds.let(sizes, lambda z: told(chosen, z["selected"], z["valid"]))
+
+        def told(chosen: Column, selected: Column, valid: Column) -> Column:
+            equal = F.filter("base", lambda x: x["pos"] < selected)
             every = folds.let(equal, lambda e: F.struct(*(v.alias(name) for name, v in verdicts(chosen, e, F.col("gold")).items())))
-            return F.struct(p["profile"].alias("profile"), F.size(chosen).cast("long").alias("selected"), F.size(F.filter(chosen, lambda x: x["answer"].isNotNull())).cast("long").alias("valid"), every.alias("v"))
+            return F.struct(p["profile"].alias("profile"), selected.alias("selected"), valid.alias("valid"), every.alias("v"))
 
-        return folds.let(F.filter("own", lambda x: F.array_contains(p["subtypes"], x["subtype"])), told)
+        return folds.let(F.filter("own", lambda x: F.array_contains(p["subtypes"], x["subtype"])), counted)
 
     return rows.select("question_id", F.explode(F.filter(F.transform(wanted, of), lambda x: x["selected"] > 0)).alias("p")).select("question_id", "p.*")
 
@@ -100,20 +125,44 @@ def _kept(samples: Column) -> Column:
     return F.transform(samples, lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(x["answer"], F.lit(INVALID)).alias("answer"), x["confidence"].alias("confidence")))
 
 
-def _counted(samples: Column, gold: Column) -> Column:
-    return _judged(folds.vote(samples, lambda x: F.lit(1).cast("double"), "double"), gold)
+def _total_n(cells: Column) -> Column:
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+
+
+def _counted(cells: Column, gold: Column) -> Column:
+    """The verdict of counts by subtype and answer."""
+
+    def best(valid: Column) -> Column:
+        def one(answer: Column) -> Column:
+            own = F.filter(valid, lambda x: x["answer"] == answer)
+            return F.struct(_total_n(own).alias("w"), F.array_max(F.transform(own, lambda x: x["f"])).alias("f"), answer.alias("answer"))
+
+        top = F.array_max(F.transform(F.array_distinct(F.transform(valid, lambda x: x["answer"])), one))
+        return folds.let(top, lambda t: F.when(t.isNotNull(), F.struct(t["w"].alias("w"), t["answer"].alias("answer"), _total_n(valid).alias("total"))))
+
+    return _judged(folds.let(F.filter(cells, lambda x: x["answer"].isNotNull()), best), gold)
+
+
+def _said(samples: Column, name: str, gold: Column, kind: str) -> Column:
+    """The verdict of a vote of all ``samples``: what stands at the last of them, or, where
+    masses may fall, the vote taken anew."""
+    stands = _judged(F.get(samples, F.size(samples) - 1)[name], gold)
+    if name == "count":
+        return stands
+    rows = _kept(samples) if name == "paper" else samples
+    anew = folds.let(rows, lambda e: _judged(folds.vote(e, lambda x: x["confidence"], kind), gold))
+    return F.when(F.col("falls"), anew).otherwise(stands)
 
 
 def decomposition(relations: DataFrame, baseline: DataFrame, gold: DataFrame, profiles: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``profile, method, question_id, selected, score, correct`` over the questions that all
     four methods of a profile have. Both pools are read once."""
     rows, kind = _question_rows(relations, baseline, gold)
-    confidence = lambda x: x["confidence"]
     verdicts = lambda own, equal, truth: {
         "RelSC-profile": _counted(own, truth),
-        "SC-k-valid": _counted(equal, truth),
-        "SSC-k-valid": _judged(folds.vote(equal, confidence, kind), truth),
-        "SSC-k-paper": folds.let(_kept(equal), lambda e: _judged(folds.vote(e, confidence, kind), truth)),
+        "SC-k-valid": _said(equal, "count", truth, kind),
+        "SSC-k-valid": _said(equal, "weight", truth, kind),
+        "SSC-k-paper": _said(equal, "paper", truth, kind),
     }
     per = _lattice(rows, kind, profiles, verdicts)
     names = ["RelSC-profile", "SC-k-valid", "SSC-k-valid", "SSC-k-paper"]
@@ -168,7 +217,7 @@ def profile_report(relations: DataFrame, baseline: DataFrame, gold: DataFrame, p
     """Metrics of each profile beside the full baseline and the one of equal budget, over
     the questions that all three have, and what the profile adds to either."""
     rows, kind = _question_rows(relations, baseline, gold)
-    paper = lambda samples, truth: folds.let(_kept(samples), lambda e: _judged(folds.vote(e, lambda x: x["confidence"], kind), truth))
+    paper = lambda samples, truth: _said(samples, "paper", truth, kind)
     per = _lattice(rows.withColumn("full", paper(F.col("base"), F.col("gold"))), kind, profiles, lambda own, equal, truth: {"own": _counted(own, truth), "full": F.col("full"), "equal": paper(equal, truth)})
     names = ["own", "full", "equal"]
     all_three = functools.reduce(lambda a, b: a & b, (F.col("v")[n].isNotNull() for n in names))
