@@ -5,7 +5,8 @@ first and of its last k-1 words, so a key is exact in 64 bits.
 
 1. Words: tasks count in dictionaries; those of ``least`` occurrences get numbers.
 2. Candidates of a level are Apriori-safe: pairs of neighbours that are both frequent, and
-   that tasks have seen ``least`` times in all. Tasks add pairs up before they are shuffled.
+   that tasks have seen ``least`` times in all. Tasks add pairs up before they are shuffled,
+   and send them packed, in rows of many pairs.
 3. A minimal perfect hash over the candidates gives each a slot. Mappers look pairs up, verify
    the stored key, count slots with ``np.bincount`` and hand on arrays, added up as a tree.
    They also write the slots down in place of the numbers before, which the next level reads.
@@ -36,8 +37,8 @@ VOLUME = 1 << 20
 ROOM = 2
 #: Slots of an array that is added up; different words, and pairs, that a task holds at most.
 BLOCK, HELD_WORDS, HELD_PAIRS = 4096, 300_000, 800_000
-#: Pairs of one Arrow batch.
-SHOWN_PAIRS = 1 << 16
+#: Pairs of one Arrow batch; neighbours whose different pairs one task adds up at most.
+SHOWN_PAIRS, PART_PAIRS = 1 << 16, 1 << 21
 #: Ranks are first found in as many groups of a language.
 SALTS = 64
 NO_WORD, SKIPPED = -1, -2
@@ -255,8 +256,9 @@ def _word_slots(rows: DataFrame, volumes: DataFrame, bases: dict[int, int], scra
                 own, tokens = known.setdefault(lang, {}), tokens_of(text)
                 seen = list(map(own.get, tokens))
                 if None in seen:
-                    if len(own) > HELD_WORDS:
-                        own.clear()
+                    if sum(map(len, known.values())) > HELD_WORDS:
+                        for held in known.values():
+                            held.clear()
                     new = list(set(tokens).difference(own))
                     own.update(zip(new, (s if s < 0 else s + base for s in volume.slots([_word_key(lang, w) for w in new])), strict=True))
                     own[b""], own[b"\n"] = SKIPPED, NO_WORD
@@ -286,39 +288,106 @@ def _pairs(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (wide[both] << 32 | wide[both + 1]).view(np.uint64), both
 
 
-def _candidates(table: DataFrame, least: int) -> DataFrame:
-    """``pair``: keys of neighbours that occur ``least`` times."""
+class PairSums:
+    """Counts of pairs by ascending key; what comes in waits until ``HELD_PAIRS`` are there."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.single: list[np.ndarray] = []
+        self.counted: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """Keys in any order, each once more; or ascending ones with their counts."""
+        self.single.append(keys) if counts is None else self.counted.append((keys, counts))
+        self.size += len(keys)
+        if self.size >= HELD_PAIRS:
+            self.settle()
+
+    def settle(self) -> None:
+        runs = [(self.keys, self.counts), *self.counted]
+        if self.single:
+            runs.append(np.unique(np.concatenate(self.single), return_counts=True))
+        self.single, self.counted, self.size = [], [], 0
+        keys, counts = (np.concatenate(x) for x in zip(*runs, strict=True))
+        if len(keys):
+            order = np.argsort(keys, kind="stable")  # merges the ascending runs
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.keys, self.counts = keys[first], np.add.reduceat(counts, first)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold the largest; first bytes first, then second ones."""
+    narrow = values.astype(np.min_scalar_type(int(values.max())))
+    return narrow.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _of_planes(data: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(-1, count)
+    return np.ascontiguousarray(planes.T).view(f"u{len(planes)}").ravel()
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """``part, many, lefts, rights, counts``: ascending keys with their counts, a row for each part (or a piece of it)."""
+    own = PerfectHash._place(keys, 0, parts)
+    order = np.argsort(own, kind="stable")
+    keys, counts, own = keys[order], counts[order], own[order]
+    ends = np.flatnonzero(np.concatenate([own[1:] != own[:-1], [True]])) + 1
+    rows, size, start = [], 0, 0
+    for end in ends.tolist():
+        for at in range(start, end, SHOWN_PAIRS):
+            piece, n = keys[at : min(end, at + SHOWN_PAIRS)], counts[at : min(end, at + SHOWN_PAIRS)]
+            lefts = np.diff(piece >> np.uint64(32), prepend=np.uint64(0))
+            rows.append((int(own[at]), len(piece), _planes(lefts), _planes(piece & np.uint64(0xFFFFFFFF)), _planes(n)))
+            size += len(piece)
+            if size >= SHOWN_PAIRS:
+                yield _dealt_rows(rows)
+                rows, size = [], 0
+        start = end
+    if rows:
+        yield _dealt_rows(rows)
+
+
+def _dealt_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "many", "lefts", "rights", "counts"])
+
+
+def _candidates(table: DataFrame, least: int, positions: int) -> DataFrame:
+    """``pair``: keys of neighbours that occur ``least`` times.
+
+    Tasks send their pairs packed, a row for each part; there are so many parts that one holds
+    at most ``PART_PAIRS`` of ``positions`` neighbours or so.
+    """
+    parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-positions // PART_PAIRS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(waiting), return_counts=True)
-            if not len(keys):
-                return new, n
-            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-
-        def shown() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(keys), SHOWN_PAIRS):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + SHOWN_PAIRS].view(np.int64)), pa.array(counts[at : at + SHOWN_PAIRS])], ["pair", "n"])
-
+        sums = PairSums()
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                waiting.append(_pairs(_array(data))[0])
-                size += len(waiting[-1])
-            if size >= HELD_PAIRS:
-                (keys, counts), waiting, size = merged(), [], 0
-                if len(keys) >= HELD_PAIRS:
-                    yield from shown()
-                    keys, counts = keys[:0], counts[:0]
-        if waiting:
-            keys, counts = merged()
-        yield from shown()
-
-    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = table.mapInArrow(tidied(run), "pair long, n long").repartition(parts, "pair")
-    return seen.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair")
+                sums.add(_pairs(_array(data))[0])
+            if len(sums.keys) >= HELD_PAIRS:
+                sums.settle()
+                yield from _dealt(sums.keys, sums.counts, parts)
+                sums = PairSums()
+        sums.settle()
+        if len(sums.keys):
+            yield from _dealt(sums.keys, sums.counts, parts)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = PairSums()
+        for batch in batches:
+            for _, many, lefts, rights, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = np.cumsum(_of_planes(lefts, many), dtype=np.uint64) << np.uint64(32) | _of_planes(rights, many)
+                sums.add(keys, _of_planes(counts, many).astype(np.int64))
+        sums.settle()
+        frequent = sums.keys[sums.counts >= least].view(np.int64)
+        for at in range(0, len(frequent), SHOWN_PAIRS):
+            yield pa.RecordBatch.from_arrays([pa.array(frequent[at : at + SHOWN_PAIRS])], ["pair"])
+
+    sent = table.mapInArrow(tidied(run), "part int, many long, lefts binary, rights binary, counts binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(tidied(added), "pair long")
 
 
 def _counted_slots(table: DataFrame, volumes: DataFrame, bases: dict[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -423,7 +492,8 @@ def collocations(
     counted = scratch.keep(word_counts(rows).where(f"word IS NULL OR n >= {int(least)}"))
     totals = counted.where("word IS NULL").select("lang", "n")
     words = counted.where("word IS NOT NULL")
-    count, found = words.count(), []
+    count, positions = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = []
     if count:
         volumes = _volumes(words, ["lang", "word"], count, volume, lambda langs, ws: WordVolume([_word_key(x, w) for x, w in zip(langs.to_pylist(), ws.to_pylist(), strict=True)]), scratch)
         bases = _bases(volumes)
@@ -436,7 +506,7 @@ def collocations(
         parts = scratch.keep(told.select("slot", "lang", word.alias("phrase"), word.alias("last"), F.col("n").alias("a"), none.alias("heads"), none.alias("tails")))
         slots = table = _word_slots(rows, volumes, bases, scratch)
     for k in range(2, most_words + 1) if count else []:
-        pairs = scratch.keep(_candidates(slots, least))
+        pairs = scratch.keep(_candidates(slots, least, positions))
         count = pairs.count()
         if not count:
             break
@@ -446,8 +516,9 @@ def collocations(
         scratch.drop(table)
         table, slots = after, after.where("block IS NULL").select("slots")
         keys = _keys_by_slot(volumes, bases, "slot long, left long, right long", lambda part: [pa.array((part >> np.uint64(32)).astype(np.int64)), pa.array((part & np.uint64(0xFFFFFFFF)).astype(np.int64))])
-        counts = _by_slot(tree_summed(sums, ["block"])).where(F.col("a") >= least)
-        own = scratch.keep(keys.join(counts, "slot"))
+        summed = scratch.keep(tree_summed(sums, ["block"]))  # no task runs two Python steps, as each has a worker
+        own = scratch.keep(keys.join(_by_slot(summed).where(F.col("a") >= least), "slot"))
+        scratch.drop(summed)
         parts = scratch.keep(_read_cuts(own, parts, own.count()))
         found.append(parts)
     scratch.drop(table) if count else None

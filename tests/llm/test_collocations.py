@@ -88,3 +88,50 @@ def test_words_of_equal_hashes_get_another_seed(monkeypatch):
     assert built.seed == 1
     assert sorted(built.slots([b"a en", b"b en"])) == [0, 1]
     assert built.slots([b"c en"]) == [-1]
+
+
+def test_pairs_are_added_up_and_dealt_whole(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD_PAIRS", 500)
+    monkeypatch.setattr(collocations, "SHOWN_PAIRS", 64)
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 40, 5000, dtype=np.uint64) << np.uint64(32) | rng.integers(0, 2**31, 5000, dtype=np.uint64) % np.uint64(70)
+    keys[:3] = (2**31 - 1) << 32 | (2**31 - 1), 0, 7
+    sums = collocations.PairSums()
+    for part in np.array_split(keys, 37):
+        sums.add(part)
+    sums.settle()
+    plain = Counter(keys.tolist())
+    assert dict(zip(sums.keys.tolist(), sums.counts.tolist(), strict=True)) == plain
+    assert (np.diff(sums.keys.astype(object)) > 0).all()
+    again, where = collocations.PairSums(), {}
+    for factor in (1, 300, 70_000, 2**33):
+        for batch in collocations._dealt(sums.keys, sums.counts * factor, 5):
+            for part, many, lefts, rights, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.cumsum(collocations._of_planes(lefts, many), dtype=np.uint64) << np.uint64(32) | collocations._of_planes(rights, many)
+                assert all(where.setdefault(k, part) == part for k in own.tolist())
+                again.add(own, collocations._of_planes(counts, many).astype(np.int64))
+    again.settle()
+    assert set(where.values()) == set(range(5))
+    assert dict(zip(again.keys.tolist(), again.counts.tolist(), strict=True)) == {k: n * (1 + 300 + 70_000 + 2**33) for k, n in plain.items()}
+
+
+def test_tasks_send_few_rows_of_many_pairs(spark, monkeypatch):
+    """A row for each pair grew faster than the input: more words are frequent in a larger one."""
+    slots = np.random.default_rng(5).integers(0, 3000, 60_000).astype(np.int32)
+    monkeypatch.setattr(collocations, "PART_PAIRS", 7000)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = collocations._candidates(spark.createDataFrame([(bytearray(slots.tobytes()),)], "slots binary").coalesce(1), 2, len(slots))
+        found = [r.pair for r in rows.collect()]
+        plan, made = rows._jdf.queryExecution().executedPlan(), []
+        while plan.children().size():
+            if plan.nodeName() == "MapInArrow":
+                made.append(plan.metrics().apply("pythonNumRowsReceived").value())
+            plan = plan.children().head()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    counts = Counter((slots[:-1].astype(np.int64) << 32 | slots[1:]).tolist())
+    assert sorted(found) == sorted(k for k, n in counts.items() if n >= 2)
+    assert made[0] == len(found)
+    assert 9 <= made[1] <= 64 < len(counts)
