@@ -20,36 +20,46 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plurality.llm.bpe import byte_symbols
-from plurality.llm.common import Scratch, map_batches, texts, tidied
+from plurality.llm.common import Scratch, bound_batches, texts, tidied
 
 LENGTH = 2048
 #: What ends a document.
 END_ID = 1
 HASHED, DIMENSIONS, BITS, SEED = 1024, 4, 15, 20240611
-#: Units between blanks that a worker remembers; what stands for one that may not be cut out.
-HELD_UNITS, ODD = 600_000, False
 #: Tokens of a task: at least and, beyond the session's number of partitions, at most.
 LEAST_TOKENS, MOST_TOKENS = 1 << 16, 1 << 26
 #: Sequences that are handed on together.
 FLUSH = 64
+#: Bytes of texts whose units are encoded together, each once.
+CHUNK_BYTES = 16 << 20
 #: Strings whose characters every Unicode version knows alike, without special strings.
-PLAIN = re.compile(r"(?:[\x20-;=-~\xa1-\u024f])+")
-#: Units that are encoded together.
-RUN_UNITS = 512
-#: A blank between two characters that are not white space. No token of the vocabulary's
-#: pattern goes on over it, and its search looks no further back, so both sides can be encoded
-#: on their own, the blank with what follows.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+PLAIN = r"^[\t\n\r\x20-;=-~\x{a1}-\x{24f}]*$"
+#: White space that texts are cut before, beside blanks.
+MARKS = "\n\r\t"
+#: White space of a length that the faster merger may not bear.
+LONG_SPACE = re.compile(r"\s{1000}")
+#: Units that are encoded in one call, and texts that are put together at a time.
+RUN_UNITS, RUN_TEXTS = 4096, 256
+#: Kinds of units: white space alone; with other white space at an end, or led by a special string.
+BLANK, ODD = 1, 2
 
 
 class Units:
-    """Encodes texts unit by unit and remembers the short ones."""
+    """Encodes texts unit by unit, equal units of a batch once.
+
+    Texts are cut before each blank, tab and line's end. No token of the vocabulary's pattern
+    goes on over these, and its search looks back no further, except where white space is
+    longer: its last character stands apart from those before it. So up to two of them are
+    cut right, and texts with three, or with two at the end, are encoded whole, as are those
+    with other white space, or a special string that ends what comes before, behind a cut.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,8 +75,9 @@ class Units:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         self.merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        byte_level = model["normalizer"] is None and model["pre_tokenizer"]["type"] == "ByteLevel" and model["pre_tokenizer"]["use_regex"]
-        self.merger = self._same_merger(vocab, public_tokenizers.PATTERN) if byte_level else None
+        byte_level = model["normalizer"] is None and model["pre_tokenizer"]["type"] == "ByteLevel" and model["pre_tokenizer"]["use_regex"] and not model["pre_tokenizer"]["add_prefix_space"]
+        known = all("<" in x.content and not (x.lstrip or x.rstrip or re.search(r"\s", x.content)) for x in special.values())
+        self.merger = self._same_merger(vocab, public_tokenizers.PATTERN) if byte_level and known else None
         #: Bytes of each token; a character of the vocabulary stands for a byte.
         self.widths = np.zeros(max([*vocab.values(), *special]) + 1, np.int64)
         for name, number in vocab.items():
@@ -74,21 +85,74 @@ class Units:
         for number, token in special.items():
             self.widths[number] = len(token.content.encode())
         del self.merges
-        #: Encodings of ``" " + unit``.
-        self.known: dict[str, bytes | bool] = {}
-
-    def direct(self, strings: list[str]) -> list[bytes]:
-        """Encodings of strings that each may follow the one before as they stand: runs of
-        them are encoded together, and parted where their bytes end."""
-        plain = [i for i, x in enumerate(strings) if PLAIN.fullmatch(x)] if self.merger else []
-        if len(plain) < len(strings):
-            out = [b""] * len(strings)
-            rest = sorted(set(range(len(strings))).difference(plain))
-            for at, encode in ((plain, self._merged), (rest, self._encoded)):
-                for i, x in zip(at, self._runs([strings[i] for i in at], encode), strict=True):
-                    out[i] = x
-            return out
-        return self._runs(strings, self._merged)
+
+    def batch(self, rows: list[str]) -> list[bytes]:
+        """Token numbers of each text."""
+        if not (self.merger and rows):
+            return self.alone(rows)
+        marked = pa.array(rows, pa.string())
+        for mark in MARKS:
+            marked = pc.replace_substring(marked, mark, " " + mark)
+        # A line's end before each text makes its first unit like any other; it goes below.
+        parts = pc.split_pattern(pc.binary_join_element_wise("\n", marked, ""), " ")
+        words = parts.values.dictionary_encode()
+        starts, words, distinct = parts.offsets.to_numpy(), words.indices.to_numpy(), words.dictionary
+        del marked, parts
+        ids, first, counts, kinds = self.encoded(distinct)
+        kinds = kinds[words]
+        blanks = (kinds[1:] == BLANK) & (kinds[:-1] == BLANK)
+        blanks[starts[1:-1] - 1] = False  # of two texts
+        odd = np.concatenate([np.flatnonzero(kinds == ODD), np.flatnonzero(blanks)])
+        out: list[bytes] = []
+        for at in range(0, len(rows), RUN_TEXTS):
+            bounds = starts[at : at + RUN_TEXTS + 1]
+            own = words[bounds[0] : bounds[-1]]
+            ends = np.cumsum(counts[own])
+            data = ids[np.arange(ends[-1]) + np.repeat(first[own] + counts[own] - ends, counts[own])]
+            cuts = [0, *ends[bounds[1:] - bounds[0] - 1].tolist()]
+            out += [data[a + 1 : b].tobytes() for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+        for i in np.unique(np.searchsorted(starts, odd, "right") - 1).tolist():
+            out[i] = self.whole(rows[i])
+        return out
+
+    def encoded(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Token numbers of all units, each one's first place there and count, and its kind.
+
+        A unit follows a blank, which its numbers begin with, or begins with one of ``MARKS``.
+        Units of kind ``ODD`` have no numbers.
+        """
+        kinds = np.zeros(len(units), np.int8)
+        kinds[pc.is_in(units, pa.array(["", *MARKS])).to_numpy(zero_copy_only=False)] = BLANK
+        plain = pc.match_substring_regex(units, PLAIN).to_numpy(zero_copy_only=False)
+        special = tuple(self.specials)
+        for i in np.flatnonzero(~plain).tolist():
+            unit = units[i].as_py()
+            body = unit[unit[0] in MARKS :]
+            if body[0].isspace() or body[-1].isspace() or body.startswith(special):
+                kinds[i] = ODD
+        first, counts = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        found, held = [], 0
+        usual = kinds == 0
+        for at, encode, size in ((usual & plain, self._merged, RUN_UNITS), (usual & ~plain, self._encoded, RUN_UNITS), (kinds == BLANK, self._encoded, 1)):
+            places = np.flatnonzero(at)
+            for low in range(0, len(places), size):
+                run = places[low : low + size]
+                ids, cuts = self._run(units.take(pa.array(run)), encode)
+                first[run], counts[run] = held + cuts[:-1], np.diff(cuts)
+                found.append(ids)
+                held += len(ids)
+        return np.concatenate(found) if found else np.zeros(0, self.kind), first, counts, kinds
+
+    def _run(self, units: pa.StringArray, encode: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Units encoded together, and where each begins and ends by its bytes."""
+        joined = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units), " ")[0].as_py()
+        led = np.zeros(len(units), bool)
+        for mark in MARKS:
+            joined = joined.replace(" " + mark, mark)
+            led |= pc.starts_with(units, mark).to_numpy(zero_copy_only=False)
+        ids = np.array(encode(joined), self.kind)
+        ends = np.cumsum(pc.binary_length(units).to_numpy() + ~led)
+        return ids, np.concatenate([[0], np.searchsorted(np.cumsum(self.widths[ids]), ends, "right")])
 
     def _merged(self, text: str) -> list[int]:
         return self.merger.encode_ordinary(text)
@@ -96,16 +160,13 @@ class Units:
     def _encoded(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _runs(self, strings: list[str], encode: Callable[[str], list[int]]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(strings), RUN_UNITS):
-            run = strings[at : at + RUN_UNITS]
-            ids = np.array(encode("".join(run)), self.kind)
-            ends = np.cumsum([len(x.encode()) for x in run])
-            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends, "right").tolist()
-            data, each = ids.tobytes(), ids.itemsize
-            out += [data[a * each : b * each] for a, b in zip([0, *cuts], cuts)]  # noqa: B905
-        return out
+    def alone(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def whole(self, text: str) -> bytes:
+        """The same for a text that may not be cut."""
+        plain = pc.match_substring_regex(pa.array([text]), PLAIN)[0].as_py() and not LONG_SPACE.search(text)
+        return np.array((self._merged if plain else self._encoded)(text), self.kind).tobytes()
 
     def _same_merger(self, vocab: dict[str, int], pattern: str):
         """A faster merger that gives the same numbers for plain strings, or None.
@@ -121,46 +182,6 @@ class Units:
             return None
         return tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def alone(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def learn(self, new: set[str]) -> None:
-        """Encodes units not known yet; those that may not be cut out get ``ODD``."""
-        if len(new) + len(self.known) > HELD_UNITS:
-            self.known.clear()
-        clean = [u for u in new if u and not (u[0].isspace() or u[-1].isspace())]
-        if len(clean) < len(new):
-            self.known.update(dict.fromkeys(new, ODD))
-        self.known.update(zip(clean, self.direct([" " + u for u in clean]), strict=True))
-
-    def batch(self, rows: list[str]) -> list[bytes]:
-        """Token numbers of each text."""
-        cut, get = [x.split(" ") for x in rows], self.known.get
-        found = [list(map(get, parts[1:-1])) for parts in cut]
-        lost = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        new = {parts[i + 1] for parts, at in zip(cut, lost, strict=True) for i in at}
-        if new:
-            self.learn(new)
-        ends = self.alone([x for parts in cut for x in (parts[0], " " + parts[-1] if len(parts) > 1 else "")])
-        out = []
-        for i, (text, parts, units, at) in enumerate(zip(rows, cut, found, lost, strict=True)):
-            for k in at:
-                units[k] = get(parts[k + 1])
-            head, last = parts[0], parts[-1]
-            whole = len(parts) == 1 or (not (head and head[-1].isspace()) and last and not last[0].isspace())
-            try:
-                out.append(b"".join([ends[2 * i], *units, ends[2 * i + 1]]) if whole else self.odd(text))
-            except TypeError:  # a unit that may not be cut out
-                out.append(self.odd(text))
-        return out
-
-    def odd(self, text: str) -> bytes:
-        """The same for a text with longer white space."""
-        parts = CUT.split(text)
-        known = [self.known.get(x) or None if 0 < i < len(parts) - 1 else None for i, x in enumerate(parts)]
-        missing = iter(self.alone([(" " if i else "") + x for i, x in enumerate(parts) if known[i] is None]))
-        return b"".join(next(missing) if x is None else x for x in known)
-
 
 def number_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
@@ -213,17 +234,38 @@ def document_keys(documents: list[np.ndarray]) -> np.ndarray:
 def tokenised(docs: DataFrame, vocab_path: str, id_col: str, text_col: str) -> DataFrame:
     """``doc, key, n, ids``: token numbers of each document, as bytes, and its key."""
 
-    def step(ids: pa.Array, column: pa.Array) -> pa.RecordBatch:
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _units(vocab_path)
         end = np.array([END_ID], units.kind).tobytes()
-        done = [x + end for x in units.batch(texts(column))]
-        arrays = [np.frombuffer(x, units.kind) for x in done]
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(document_keys(arrays), pa.int64()), pa.array([len(x) for x in arrays], pa.int64()), pa.array(done, pa.binary())], ["doc", "key", "n", "ids"]
-        )
-
-    kind = dict(docs.dtypes)[id_col]
-    return map_batches(docs, [id_col, text_col], step, f"doc {kind}, key long, n long, ids binary", lambda: _units(vocab_path).known.clear())
+        for names, rows in chunks(batches):
+            done = units.batch(rows)
+            for at in range(0, len(rows), RUN_TEXTS):
+                part = [x + end for x in done[at : at + RUN_TEXTS]]
+                arrays = [np.frombuffer(x, units.kind) for x in part]
+                columns = [names[at : at + RUN_TEXTS], pa.array(document_keys(arrays), pa.int64()), pa.array([len(x) for x in arrays], pa.int64()), pa.array(part, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "n", "ids"])
+
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"doc {dict(docs.dtypes)[id_col]}, key long, n long, ids binary")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of batches until they have ``CHUNK_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield chunk(held)
+            held, size = [], 0
+    if held:
+        yield chunk(held)
+
+
+def chunk(batches: list[pa.RecordBatch]) -> tuple[pa.Array, list[str]]:
+    return pa.concat_arrays([b.column(0) for b in batches]), [x for b in batches for x in texts(b.column(1))]
 
 
 def powers_of_two(n: int) -> list[int]:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -82,6 +83,42 @@ def test_units_equal_the_library():
     assert units.batch(texts[:10]) + units.batch(texts[10:]) == want
 
 
+@pytest.mark.parametrize("alphabet", [["a", "b.", " ", "\n", "\r", "\t", "é"], ["a", " ", "\n", "<|endoftext|>", "日", "\u2028", "’"]])
+def test_white_space_equals_the_library(alphabet):
+    """Runs of it at the beginning, inside, at the end and before special strings."""
+    rng = random.Random(5)
+    units = packing.Units(PATH)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(6000)] + ["a" + " " * 1_200_000 + "b"]
+    assert units.batch(texts) == [np.array(e.ids, units.kind).tobytes() for e in units.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_plain_texts_take_the_faster_merger(monkeypatch):
+    """Lines, first and last words too, and equal words once."""
+    units, merged = packing.Units(PATH), []
+    texts = [f"First {i % 7}.\n\nNext line\tété {i % 7} last" for i in range(1000)]
+    want = [np.array(e.ids, units.kind).tobytes() for e in units.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    slow, fast = units.tokenizer, units._merged
+
+    class Library:
+        def encode_batch_fast(self, strings, **options):
+            assert not "".join(strings).strip(), strings
+            return slow.encode_batch_fast(strings, **options)
+
+    monkeypatch.setattr(units, "tokenizer", Library())
+    monkeypatch.setattr(units, "_merged", lambda text: merged.append(text) or fast(text))
+    assert units.batch(texts) == want
+    assert sum(map(len, merged)) < 200
+
+
+def test_texts_are_chunked_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 1000)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i, None], "text": ["x" * 300, None]}) for i in range(7)] + [pa.RecordBatch.from_pydict({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})]
+    found = list(packing.chunks(iter(batches)))
+    assert [len(ids) for ids, _ in found] == [8, 6]
+    assert [x for ids, _ in found for x in ids.to_pylist()] == [x for i in range(7) for x in (i, None)]
+    assert [x for _, rows in found for x in rows] == ["x" * 300, ""] * 7
+
+
 def test_curve_visits_neighbours():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = packing.hilbert_keys(cells, 3)
